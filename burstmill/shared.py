@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A side with at most this many rows, counted beforehand, may be broadcast.
 BROADCAST_ROWS = 20_000
@@ -78,3 +79,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def with_field(schema: StructType, name: str, ddl: str) -> StructType:
+    """schema and one more field, of the type that the DDL text names."""
+    return StructType([*schema.fields, StructField(name, StructType.fromDDL(f"x {ddl}")[0].dataType)])
