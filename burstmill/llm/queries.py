@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstmill.llm import byte_bpe, language_id, mixing, quality_rules, sharding, simhash
+from burstmill.llm import ann, byte_bpe, language_id, mixing, quality_rules, sharding, simhash, warc
 
 SHARDS = 40
 RANKS = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, usable=~language_id.held_out())
@@ -23,6 +27,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -55,5 +64,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_mix_sources, op5_byte_bpe, op6_simhash, op7_quality_rules, op10_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_language_id, op3_warc, op4_mix_sources, op5_byte_bpe, op6_simhash, op7_quality_rules, op10_shards)}
+ORACLES = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+             g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM g""",
+}
