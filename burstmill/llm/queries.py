@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstmill.llm import ann, byte_bpe, language_id, mixing, quality_rules, sharding, simhash, warc
+from burstmill.llm import ann, byte_bpe, language_id, licenses, mixing, quality_rules, quotations, sharding, simhash, warc
 
 SHARDS = 40
 RANKS = "byte_bpe_50k.tiktoken"
@@ -54,6 +54,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *base, f"{v}.base_failed", f"{v}.kept", f"{v}.char_distance", f"{v}.word_distance")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: a directory for each source, in it one for every hundred ids."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id"])
+    return found.withColumn("score", F.round("score", 9))
+
+
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return quotations.link(talk).drop("own")
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     written = sharding.shuffle_into_shards(docs, SHARDS)
@@ -64,7 +77,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_language_id, op3_warc, op4_mix_sources, op5_byte_bpe, op6_simhash, op7_quality_rules, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_language_id, op3_warc, op4_mix_sources, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_license_scan, op9_quotation_links, op10_shards)}
 ORACLES = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstmill.llm.components import connected_components
+from burstmill.operators.components import connected_components
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
 SHINGLE = 3
