@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burstmill.shared import maybe_broadcast
+
 MIDNIGHT_HINT = "Is the end time intentionally put in the very beginning of that day?"
 
 
@@ -42,11 +44,12 @@ def require_pairs(pairs: DataFrame, end: str) -> DataFrame:
     return pairs
 
 
-def in_any_pair(bursts: DataFrame, pairs: DataFrame, begin: str, end: str, key: str) -> DataFrame:
-    """Bursts whose begin day or end day is a day of some pair."""
-    days = pairs.select(F.explode(F.array("prm_date", "sec_date")).alias("day")).distinct()
-    met = bursts.select(key, F.explode(F.array_distinct(F.array(F.to_date(F.col(begin)), F.to_date(F.col(end))))).alias("day")).join(days, "day", "left_semi")
-    return bursts.join(met.select(key).distinct(), key, "left_semi")
+def in_any_pair(bursts: DataFrame, pairs: DataFrame, begin: str, end: str) -> DataFrame:
+    """Bursts whose begin day or end day is a day of some pair: two look-ups by day, as one with OR plans as a product."""
+    days = maybe_broadcast(pairs.select(F.explode(F.array("prm_date", "sec_date")).alias("_begin")).distinct())
+    met = bursts.withColumns({"_b": F.to_date(F.col(begin)), "_e": F.to_date(F.col(end))})
+    met = met.join(days, F.col("_b") == F.col("_begin"), "left").join(days.withColumnRenamed("_begin", "_end"), F.col("_e") == F.col("_end"), "left")
+    return met.filter("_begin IS NOT NULL OR _end IS NOT NULL").select(*bursts.columns)
 
 
 def extent(pairs: DataFrame) -> DataFrame:

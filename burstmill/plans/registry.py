@@ -1,4 +1,9 @@
 """All queries of the package outside the llm subpackage, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from burstmill.plans.catalog_queries import ORACLES as _CATALOG_SQL
+from burstmill.plans.catalog_queries import QUERIES as _CATALOG
+from burstmill.plans.raster_queries import ORACLES as _RASTER_SQL
+from burstmill.plans.raster_queries import QUERIES as _RASTER
+
+QUERIES = _CATALOG | _RASTER
+ORACLES = _CATALOG_SQL | _RASTER_SQL
