@@ -10,7 +10,7 @@ from burstmill.llm import byte_bpe, language_id, mixing, quality_rules, simhash
 from burstmill.shared import materialize
 
 #: Language scores (0 to 1) below which a document is rejected, besides those without a letter.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.4
 RANKS = "byte_bpe_50k.tiktoken"
 
 
