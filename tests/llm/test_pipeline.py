@@ -54,6 +54,6 @@ def test_odd_and_empty(spark, odd_docs, no_docs):
 
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    found = language_id.predict(docs, language_id.fit(docs, usable=~language_id.held_out()), keep=["doc_id", "text"]).select("doc_id", "language.*").collect()
+    found = language_id.predict(docs, language_id.fit(docs, usable=~language_id.held_out()), keep=["doc_id", "text"]).select("doc_id", "text", "language.*").collect()
     kept = np.mean([r.lang_pred != "und" and r.score >= C.MIN_LANGUAGE_SCORE for r in found if len(r.text.split()) >= quality_rules.MIN_BASE_WORDS])
     assert kept > 0.999
