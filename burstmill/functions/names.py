@@ -47,7 +47,7 @@ def slc_file(role: str, date: Column, pol: Column, band: Column) -> Column:
 
 
 def slugify(title: Column) -> Column:
-    return F.trim(F.lit("_"), F.regexp_replace(F.lower(title), "[^a-z0-9]+", "_"))
+    return F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def quoted(text: Column) -> Column:

@@ -58,8 +58,11 @@ PAIR = ("prm_date", "sec_date")
 
 
 def sar_coherence(catalogue: DataFrame, slc: DataFrame, job: Job) -> DataFrame:
-    """(prm_date, sec_date, y, x, coh)"""
-    samples = paired_samples(slc, job_pairs(catalogue, job))
+    """(prm_date, sec_date, y, x, coh). Among pairs that the job gives itself each primary may occur once."""
+    found = job_pairs(catalogue, job)
+    if job.InSAR_pairs and not pairs.repeated_primaries(found).isEmpty():
+        raise ValueError("a primary date is given twice")
+    samples = paired_samples(slc, found)
     parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], PAIR)
     return cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, PAIR)
 
@@ -67,8 +70,6 @@ def sar_coherence(catalogue: DataFrame, slc: DataFrame, job: Job) -> DataFrame:
 def sar_interferogram(catalogue: DataFrame, slc: DataFrame, job: Job, unwrap: bool = True) -> DataFrame:
     """(prm_date, sec_date, y, x, phase, unw_phase, coh) after multilooking."""
     found = job_pairs(catalogue, job)
-    if not pairs.repeated_primaries(found.distinct(), ("sec_date",)).isEmpty():
-        raise ValueError("a pair is given twice")
     samples = paired_samples(slc, found)
     looks = (job.n_rg_looks, job.n_az_looks)
     ifg = cube.multilook(cube.interferogram(samples, PAIR), ["re", "im"], *looks, PAIR)

@@ -1,0 +1,227 @@
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from burstmill.operators import bursts, cube, kernels, pairs
+from burstmill.operators.components import connected_components
+from pyspark.sql import functions as F
+
+D = dt.date
+
+
+def days(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "date string").select(F.to_date("date").alias("date"))
+
+
+def test_offset_pairs_keep_repeats(spark):
+    a = days(spark, "2024-01-01", "2024-01-01", "2024-01-13", "2024-01-25")
+    found = sorted((r.prm_date, r.sec_date) for r in pairs.offset_pairs(a, 12).collect())
+    assert found == [(D(2024, 1, 1), D(2024, 1, 13))] * 2 + [(D(2024, 1, 13), D(2024, 1, 25))]
+    assert [r.prm_date for r in pairs.unpaired(a, 12).collect()] == [D(2024, 1, 25)]
+
+
+def test_offset_pairs_of_paths_take_the_last(spark):
+    rows = spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-01", "b", 2), ("2024-01-13", "c", 3)], "date string, path string, k int")
+    (r,) = pairs.offset_pairs_of_paths(rows, 12, "date", "path", "k").collect()
+    assert (r.prm_path, r.sec_path) == ("b", "c")
+
+
+def test_no_pairs_hint(spark):
+    none = pairs.offset_pairs(days(spark, "2024-01-01"), 12)
+    with pytest.raises(ValueError, match="Is the end time intentionally put in the very beginning of that day?"):
+        pairs.require_pairs(none, "2024-01-13T00:00:00Z")
+    with pytest.raises(ValueError, match="no pairs"):
+        pairs.require_pairs(none, "2024-01-13")
+
+
+def test_small_baselines_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(3)), D(2024, 1, 1) + dt.timedelta(int(rng.integers(120))), float(rng.normal(0, 100))) for _ in range(80)]
+    a = spark.createDataFrame(rows, "b int, date date, perp double")
+    brute = lambda lo: sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and lo <= (q[1] - p[1]).days <= 30 and abs(q[2] - p[2]) <= 80)
+    assert sorted((r.b, r.prm_date, r.sec_date) for r in pairs.small_baseline_pairs(a, 30, 80, by=("b",)).collect()) == brute(1)
+    assert sorted((r.b, r.prm_date, r.sec_date) for r in pairs.small_baseline_pairs_symmetric(a, 30, 80, ("b",)).collect()) == brute(-30)
+    plan = pairs.small_baseline_pairs(a, 30, 80, by=("b",))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_reference_pairs(spark):
+    a = spark.createDataFrame([(1, D(2024, 1, 1), 0.0), (1, D(2024, 1, 13), 50.0), (1, D(2024, 6, 1), 400.0)], "b int, date date, perp double")
+    (best,) = pairs.optimal_reference(a, ("b",), 500, 365).collect()
+    assert best.ref_date == D(2024, 1, 13)
+    ref = spark.createDataFrame([(1, D(2024, 1, 13), 50.0)], "b int, ref_date date, ref_perp double")
+    assert sorted(r.sec_date for r in pairs.reference_pairs(a, ref, ("b",)).collect()) == [D(2024, 1, 1), D(2024, 6, 1)]
+    assert pairs.reference_pairs(a, ref, ("b",), with_self=True).count() == 3
+    assert {r.temp_baseline for r in pairs.baselines(a, ("b",)).filter("master_date < slave_date").collect()} == {-12, -140, -152}
+
+
+def test_date_membership(spark):
+    t = lambda *x: dt.datetime(*x)
+    b = spark.createDataFrame([(1, t(2024, 1, 1, 23, 59), t(2024, 1, 2, 0, 1)), (2, t(2024, 1, 5), t(2024, 1, 5)), (3, t(2024, 1, 9), t(2024, 1, 9))], "id int, begin timestamp, end timestamp")
+    p = spark.createDataFrame([(D(2024, 1, 2), D(2024, 1, 9))], "prm_date date, sec_date date")
+    assert sorted(r.id for r in pairs.in_any_pair(b, p, "begin", "end").collect()) == [1, 3]
+    assert pairs.extent(p).first() == (D(2024, 1, 2), D(2024, 1, 9))
+
+
+def catalogue(spark):
+    rows = [
+        (3, 20, "IW2", "VV", 95, "P1", "/p1", "2024-01-01 05:00:00"),
+        (1, 10, "IW1", "VV", 95, "P1", "/p1", "2024-01-13 05:00:00"),
+        (2, 10, "IW1", "VV", 117, "P2", "/p2", "2024-01-13 23:59:59"),
+        (4, 10, "IW2", "VH", 117, "P2", "/p2", "2024-01-13 23:59:59.5"),
+    ]
+    df = spark.createDataFrame(rows, "abs_id long, burst_id long, swath string, pol string, track int, product string, path string, s string")
+    ring = F.expr("array(array(array(10D,46D), array(11D,46D), array(11D,47D), array(10D,47D), array(10D,46D)))")
+    return df.withColumn("start", F.to_timestamp_ntz("s")).drop("s").withColumn("footprint", ring)
+
+
+def test_catalogue_rules(spark):
+    c = catalogue(spark)
+    assert sorted(r.abs_id for r in bursts.matching(c, "2024-01-13", "2024-01-13").collect()) == [1, 2]
+    assert sorted(r.abs_id for r in bursts.matching(c, pol="vv", burst_id=None).collect()) == [1, 2, 3]
+    low = bursts.lowest_burst(c)
+    assert sorted(r.abs_id for r in low.collect()) == [1, 2, 4] and bursts.first_swath(low).first()[0] == "IW1"
+    assert [r.abs_id for r in bursts.guarded(c, ["abs_id"], 5).collect()] == [1, 2, 3, 4]
+    with pytest.raises(ValueError, match="4 rows"):
+        bursts.guarded(c, ["abs_id"], 4)
+    assert bursts.guarded(c, ["abs_id"], 2, fail=False).count() == 2
+    assert {(r.burst_id, r.track) for r in bursts.first_per_label(c, "burst_id", "abs_id", "track").collect()} == {(10, 95), (20, 95)}
+    cal = bursts.calendar(c)
+    assert {(r.day, tuple(r.tracks)) for r in cal.collect()} == {(1, (95,)), (13, (95, 117))}
+    assert bursts.month_maps(cal).first()["last_track_of"] == {1: 95, 13: 117}
+    assert bursts.covering(c, 10.5, 46.5).count() == 4 and bursts.covering(c, 12, 46.5).count() == 0
+    assert [r["product"] for r in bursts.metadata_products(c, "iw1", 10).orderBy("ord").collect()] == ["P1", "P2"]
+    assert bursts.merged(c, c).count() == 8 and c.count() == 4
+    assert bursts.track_centres(c).filter("track = 95").first()[1:] == (46.5, 10.5)
+    split = c.select("abs_id", bursts.split_number(c, ["product"]).alias("n")).collect()
+    assert {r.abs_id: r.n for r in split} == {3: 11, 1: 1, 2: 1, 4: 1}
+
+
+def test_roles(spark):
+    c = days(spark, "2024-01-01", "2024-01-13", "2024-01-25")
+    assert [r.role for r in bursts.primary_and_secondaries(c, "2024-01-13").orderBy("date").collect()] == ["sec_first", "prm", "sec"]
+    with pytest.raises(ValueError, match="primary"):
+        bursts.primary_and_secondaries(c, "2025-01-01")
+
+
+def image(spark, values):
+    rows = [(y, x, float(v)) for y, line in enumerate(values) for x, v in enumerate(line)]
+    return spark.createDataFrame(rows, "y long, x long, v double")
+
+
+@pytest.mark.parametrize(("w", "h"), [(3, 5), (1, 1), (2, 2), (10, 2)])
+def test_boxcar_by_brute_force(spark, w, h):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(7, 9))
+    found = {(r.y, r.x): r.v for r in cube.boxcar(image(spark, a), ["v"], w, h).collect()}
+    for y in range(7):
+        for x in range(9):
+            ys = slice(max(0, y - (h - 1) // 2), y + h // 2 + 1)
+            xs = slice(max(0, x - (w - 1) // 2), x + w // 2 + 1)
+            assert found[y, x] == pytest.approx(a[ys, xs].sum() / (w * h))
+
+
+def test_boxcar_with_gaps(spark):
+    a = image(spark, np.ones((4, 4))).filter("NOT (y = 1 AND x = 2)")
+    found = {(r.y, r.x): r.v for r in cube.boxcar(cube.densified(a, ["v"]), ["v"], 3, 3).collect()}
+    assert len(found) == 16 and found[1, 1] == pytest.approx(8 / 9) and found[0, 0] == pytest.approx(4 / 9)
+
+
+def test_self_coherence_is_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [(y, x, *(float(v) for v in rng.normal(size=2))) for y in range(6) for x in range(6)]
+    df = spark.createDataFrame([(y, x, i, q, i, q) for y, x, i, q in rows], "y long, x long, i1 double, q1 double, i2 double, q2 double")
+    assert all(r.coh == pytest.approx(1, abs=1e-9) for r in cube.coherence(df, 3, 3).collect())
+
+
+def test_multilook_of_a_constant(spark):
+    assert {(r.y, r.x, r.v) for r in cube.multilook(image(spark, np.full((3, 5), 7.0)), ["v"], 4, 2).collect()} == {(y, x, 7.0) for y in range(2) for x in range(2)}
+
+
+def test_cube_rules(spark):
+    nan = float("nan")
+    c = spark.createDataFrame([("2024-01-01", 0, 0, 0.2, 1.0), ("2024-01-13", 0, 0, nan, 2.0), ("2024-01-01", 0, 1, nan, 3.0)], "t string, y long, x long, a double, b double")
+    m = {r.x: r.a for r in cube.reduce_time(c, ["a"]).collect()}
+    assert m == {0: 0.2, 1: None}
+    assert {r.x: r["class"] for r in cube.below(cube.reduce_time(c, ["a"]), "a", 0.5).collect()} == {0: True, 1: False}
+    assert cube.filter_temporal(c, "2024-01-01", "2024-01-13").count() == 2
+    assert cube.rename_labels(cube.filter_bands(c, [1]), ["B"], ["b"]).columns == ["t", "y", "x", "B"]
+    assert "t" not in cube.drop_dimension(c.filter("t = '2024-01-01'"), "t").columns
+    with pytest.raises(ValueError, match="more than one"):
+        cube.drop_dimension(c, "t")
+    assert cube.add_dimension(c, "p", "VV").first()["p"] == "VV"
+    assert cube.mosaic([c.select("y", "x", "b"), c.select("y", "x", (F.col("b") + 1).alias("b"))], ["b"]).filter("x = 1").first()["b"] == 4
+    h = {r.band: r for r in cube.health(c, ["a", "b"]).collect()}
+    assert h["a"].nan_ratio == pytest.approx(2 / 3) and not h["b"].healthy
+    same = cube.mismatch(c.filter("t < '2024-01-02'"), c.filter("t < '2024-01-02'"), "b").first()
+    assert (same.n, same.ratio, same.accepted) == (2, 0, True)
+    s = {(r.t): r.b for r in cube.referenced(c.filter("x = 0"), "b", ("y", "x"), reference="2024-01-13").collect()}
+    assert s == {"2024-01-01": -1.0, "2024-01-13": 0.0}
+
+
+def test_elevation_is_bilinear(spark):
+    dem = spark.createDataFrame([(c, r, 10.0 * c + r) for c in range(3) for r in range(3)], "col int, row int, height double")
+    c = spark.createDataFrame([(0, 0, 0.5, 1.25), (0, 1, 9.0, 9.0)], "y int, x int, lon double, lat double")
+    assert {r.x: r.elevation for r in cube.with_elevation(c, dem, "lon", "lat", 1.0).collect()} == {0: pytest.approx(6.25), 1: None}
+
+
+def test_unwrapping_a_ramp(spark):
+    ramp = np.array([[0.7 * x + 0.2 * y for x in range(30)] for y in range(4)])
+    wrapped = np.arctan2(np.sin(ramp), np.cos(ramp))
+    p = image(spark, wrapped).withColumnRenamed("v", "phase")
+    for r in kernels.unwrap_rows(p).collect():
+        assert r.unw_phase - ramp[r.y, r.x] == pytest.approx(wrapped[r.y, 0] - ramp[r.y, 0], abs=1e-9)
+    assert kernels.residues(p).first()["residues"] == 0
+    vortex = np.array([[math.atan2(y - 2.5, x - 2.5) for x in range(6)] for y in range(6)])
+    assert kernels.residues(image(spark, vortex).withColumnRenamed("v", "phase")).first()["residues"] == 1
+
+
+def test_goldstein_keeps_a_pure_fringe(spark):
+    z = np.exp(1j * np.array([[0.4 * x + 0.1 * y for x in range(64)] for y in range(64)]))
+    noisy = z + 0.8 * (np.random.default_rng(0).normal(size=z.shape) + 1j * np.random.default_rng(1).normal(size=z.shape))
+    rows = [(y, x, float(noisy[y, x].real), float(noisy[y, x].imag)) for y in range(64) for x in range(64)]
+    found = kernels.goldstein(spark.createDataFrame(rows, "y long, x long, re double, im double"), 1.0, 32).collect()
+    after = np.zeros_like(z)
+    for r in found:
+        after[r.y, r.x] = r.re + 1j * r.im
+    error = lambda a: np.abs(np.angle(a * z.conj())).mean()
+    assert len(found) == 64 * 64 and error(after) < 0.5 * error(noisy)
+
+
+def test_network_inversion(spark):
+    truth = {D(2024, 1, 1): 0.0, D(2024, 1, 13): 2.0, D(2024, 1, 25): -1.0, D(2024, 2, 6): 5.0}
+    d = list(truth)
+    rows = [(1, a, b, truth[b] - truth[a], 1.0) for a in d for b in d if a < b] + [(1, d[2], d[0], truth[d[0]] - truth[d[2]], 2.0)]
+    found = kernels.invert_network(spark.createDataFrame(rows, "p long, prm_date date, sec_date date, phase double, w double"), ["p"], weight="w")
+    assert {r.date: r.displacement for r in found.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in truth.items()}
+
+
+def flood(mask):
+    left, out = {tuple(c) for c in np.argwhere(mask)}, []
+    while left:
+        todo, area = [left.pop()], []
+        while todo:
+            y, x = todo.pop()
+            area.append((y, x))
+            for c in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if c in left:
+                    left.remove(c)
+                    todo.append(c)
+        out.append(area)
+    return out
+
+
+def test_raster_components_by_flood_fill(spark):
+    mask = np.random.default_rng(6).random((25, 30)) < 0.55
+    rows = [(y, x, bool(mask[y, x])) for y in range(25) for x in range(30)]
+    found = kernels.raster_components(spark.createDataFrame(rows, "y long, x long, low boolean"), "low").collect()
+    slow = [(len(a), min(y for y, _ in a), max(y for y, _ in a), min(x for _, x in a), max(x for _, x in a)) for a in flood(mask)]
+    assert sorted((r.cells, r.y0, r.y1, r.x0, r.x1) for r in found) == sorted(slow)
+
+
+def test_components_of_a_long_chain(spark):
+    rows = [(i, i + 1) for i in range(200)] + [(1000, 1001)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
