@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, StructField, StructType
 
 from burstmill.functions.phasors import wrapped
 from burstmill.operators.components import connected_components
@@ -61,30 +64,68 @@ def goldstein(image: DataFrame, alpha: float = 0.5, patch: int = 64, window: int
     return parts.groupBy("y", "x").agg((F.sum("re") / total).alias("re"), (F.sum("im") / total).alias("im"))
 
 
+def _groups(table: pa.Table, keys: int) -> np.ndarray:
+    """Where groups of equal leading columns start in a sorted table, and its length."""
+    n = table.num_rows
+    new = np.zeros(max(0, n - 1), bool)
+    for c in table.columns[:keys]:
+        c = c.combine_chunks()
+        same = pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+        both_null = pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1])).to_numpy(zero_copy_only=False)
+        new |= ~(same | both_null)
+    return np.r_[0, np.flatnonzero(new) + 1, n] if n else np.zeros(1, int)
+
+
 def invert_network(pairs: DataFrame, key: list[str], value: str = "phase", weight: str | None = None) -> DataFrame:
     """(key, date, displacement): least squares over the increments between dates (Berardino 2002), first date 0.
 
-    pairs: key, prm_date, sec_date and the value of the pair. weight: a column, or null for equal weights. A pixel's
-    pairs are one group; its size is that of the network.
+    pairs: key, prm_date, sec_date and the value of the pair. weight: a column, or null for equal weights. Pixels are
+    read in the order of their key, and those of a batch that share network and weights are solved together.
     """
     ship_package(pairs.sparkSession)
-    table = pairs.select(*key, F.datediff("prm_date", F.lit("1970-01-01")).alias("a"), F.datediff("sec_date", F.lit("1970-01-01")).alias("b"), F.col(value).cast("double").alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*key).schema) + ", date date, displacement double"
-
-    def solved(group: tuple, rows: pa.Table) -> pa.Table:
-        a, b, v, w = (rows[c].to_numpy() for c in ("a", "b", "v", "w"))
-        days = np.unique(np.r_[a, b])
-        design = np.zeros((len(v), len(days) - 1))
-        lo, hi = np.searchsorted(days, np.minimum(a, b)), np.searchsorted(days, np.maximum(a, b))
-        for k in range(len(v)):
-            design[k, lo[k] : hi[k]] = 1 if b[k] > a[k] else -1
-        root = np.sqrt(w)
-        steps = np.linalg.lstsq(design * root[:, None], v * root, rcond=None)[0] if len(days) > 1 else np.zeros(0)
-        n = len(days)
-        columns = {k: pa.array([g.as_py()] * n, rows[k].type) for k, g in zip(key, group)}
-        return pa.table(columns | {"date": pa.array(days.astype("int32"), pa.int32()).cast(pa.date32()), "displacement": np.r_[0.0, np.cumsum(steps)]})
-
-    return table.groupBy(*key).applyInArrow(solved, schema)
+    day = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    table = pairs.select(*key, day("prm_date").alias("_a"), day("sec_date").alias("_b"), F.col(value).cast("double").alias("_v"), w.alias("_w"))
+    schema = StructType([*pairs.select(*key).schema.fields, StructField("date", DateType()), StructField("displacement", DoubleType())])
+    k = len(key)
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        at = _groups(rows, k)
+        a, b, v, w = (rows.column(k + j).to_numpy() for j in range(4))
+        alike: dict[bytes, list[int]] = {}
+        for g in range(len(at) - 1):
+            s = slice(at[g], at[g + 1])
+            alike.setdefault(a[s].tobytes() + b[s].tobytes() + w[s].tobytes(), []).append(g)
+        first, dates, moved = [], [], []
+        for members in alike.values():
+            s = slice(at[members[0]], at[members[0] + 1])
+            days = np.unique(np.r_[a[s], b[s]])
+            lo, hi = np.searchsorted(days, np.minimum(a[s], b[s])), np.searchsorted(days, np.maximum(a[s], b[s]))
+            steps = np.arange(len(days) - 1)
+            design = ((steps >= lo[:, None]) & (steps < hi[:, None])) * np.where(b[s] > a[s], 1.0, -1.0)[:, None]
+            root = np.sqrt(w[s])[:, None]
+            values = np.stack([v[at[g] : at[g + 1]] for g in members], 1)
+            found = np.linalg.lstsq(design * root, values * root, rcond=None)[0] if len(steps) else np.zeros((0, len(members)))
+            moved.append(np.vstack([np.zeros(len(members)), np.cumsum(found, 0)]).T.ravel())
+            dates.append(np.tile(days, len(members)))
+            first.append(np.repeat(at[members], len(days)))
+        picked = rows.select(range(k)).take(pa.array(np.concatenate(first)))
+        columns = [*(c.combine_chunks() for c in picked.columns), pa.array(np.concatenate(dates).astype(np.int32)).cast(pa.date32()), pa.array(np.concatenate(moved))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            last = _groups(rows, k)[-2] if rows.num_rows else 0
+            if last:
+                yield solve(rows.slice(0, last).combine_chunks())
+            rest = rows.slice(last)  # the last pixel may go on in the next batch
+        if rest is not None and rest.num_rows:
+            yield solve(rest.combine_chunks())
+
+    return table.repartition(*key).sortWithinPartitions(*key, "_a", "_b").mapInArrow(run, schema)
 
 
 def raster_components(image: DataFrame, flag: str, by: tuple[str, ...] = ()) -> DataFrame:
