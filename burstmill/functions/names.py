@@ -58,3 +58,17 @@ def quoted(text: Column) -> Column:
 def last_json(text: Column) -> Column:
     """The last JSON object that starts a line of mixed output."""
     return F.regexp_extract(text, r"(?s).*(?:^|\n)(\{.*\})", 1)
+
+
+def band_kind(name: Column) -> Column:
+    """Which product a band belongs to, by its prefix; null for others."""
+    kinds = {"Phase": "wrapped", "Unw": "unwrapped", "coh": "coherence", "elevation": "elevation"}
+    found = F.lit(None).cast("string")
+    for prefix, kind in kinds.items():
+        found = F.when(name.startswith(prefix), kind).otherwise(found)
+    return found
+
+
+def unwrap_command(conf: Column) -> Column:
+    """The command that an unwrapper's configuration text names: of its comment lines the first that begins with snaphu."""
+    return F.nullif(F.regexp_extract(conf, r"(?m)^#\s*(snaphu .*?)\s*$", 1), F.lit(""))

@@ -177,3 +177,22 @@ def referenced(series: DataFrame, value: str, by: tuple[str, ...], t: str = "t",
     w = Window.partitionBy(*by)
     w = w.orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if reference is None else w
     return series.withColumn(value, F.col(value) - at.over(w))
+
+
+def within_polygon(cube: DataFrame, ring: Column, x: str = "x", y: str = "y") -> DataFrame:
+    """Cells inside a closed ring of [x, y] points (planar); its box filters first."""
+    from burstmill.functions.geometry import box_of, inside
+
+    b = box_of(ring)
+    near = F.col(x).between(b["west"], b["east"]) & F.col(y).between(b["south"], b["north"])
+    return cube.filter(near).filter(inside(ring, F.col(x), F.col(y)))
+
+
+def tiled(cube: DataFrame, height: int, width: int, overlap: int) -> DataFrame:
+    """cube with each cell once for every tile (ty, tx) whose core of height x width, widened by overlap, holds it."""
+
+    def tiles(c: str, size: int) -> Column:
+        first = F.greatest(F.floor((F.col(c) - overlap) / size), F.lit(0))
+        return F.sequence(first.cast("long"), F.floor((F.col(c) + overlap) / size).cast("long"))
+
+    return cube.withColumn("ty", F.explode(tiles("y", height))).withColumn("tx", F.explode(tiles("x", width)))

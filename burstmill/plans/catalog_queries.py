@@ -259,3 +259,32 @@ def stac_item_json(spark, sf_dir):
     name = F.concat(F.lit("S1_"), F.col("o_orderkey").cast("string"), F.lit(".tif"))
     later = F.col("o_orderdate") + F.expr("INTERVAL 12 DAYS")
     return o.select("o_orderkey", stac.item(name, dates.iso_z(F.col("o_orderdate")), dates.iso_z(later), [x, y, x + 1, y + 1]).alias("item"))
+
+
+@query(f"""WITH t AS ({_TAGS}) SELECT event_id, CASE WHEN starts_with(tag, 'Phase') THEN 'wrapped' WHEN starts_with(tag, 'Unw') THEN 'unwrapped' WHEN starts_with(tag, 'coh') THEN 'coherence' WHEN starts_with(tag, 'elevation') THEN 'elevation' END AS kind FROM t""")
+def band_routing(spark, sf_dir):
+    return band_name_normalise(spark, sf_dir).select("event_id", names.band_kind(F.col("tag")).alias("kind"))
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE user_id = 17), p AS (SELECT a.d AS x, b.d AS y FROM d a JOIN d b ON b.d = a.d + 12)
+SELECT '{"InSAR_pairs":[' || coalesce(string_agg('["' || x || '","' || y || '"]', ',' ORDER BY x), '') || '],"sub_swath_id":"IW2"}' AS value FROM p""")
+def pair_document(spark, sf_dir):
+    from burstmill.plans.workflows import pair_document as document
+
+    c = catalogue(spark, sf_dir).filter("burst_id = 17")
+    return document(pairs.offset_pairs(c, 12, "start").distinct(), "IW2")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type AS track FROM events), m AS (SELECT year(d) AS y, month(d) AS m, day(d) AS day, max(track) AS track FROM d GROUP BY 1, 2, 3)
+SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, string_agg(day || '=' || track, ',' ORDER BY day) AS days FROM m GROUP BY 1, 2""")
+def calendar_month_maps(spark, sf_dir):
+    m = bursts.month_maps(bursts.calendar(catalogue(spark, sf_dir), "swath"))
+    return m.select("year", "month", F.array_join(F.transform(F.map_entries("last_track_of"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("days"))
+
+
+@query("SELECT user_id % 3 AS grp, bool_and(event_type = 'click') AS all_finished FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1")
+def jobs_finished(spark, sf_dir):
+    from burstmill.sources.catalog import jobs_after
+
+    jobs = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("grp"), F.col("ts").alias("created"), F.when(F.col("event_type") == "click", "finished").otherwise("running").alias("status"))
+    return jobs_after(jobs, "2024-01-29 00:00:00").groupBy("grp").agg(F.bool_and(F.col("status") == "finished").alias("all_finished"))

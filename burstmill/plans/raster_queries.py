@@ -216,3 +216,23 @@ def connected_components(spark, sf_dir):
     """Areas of low coherence; tests hold them against a flood fill."""
     low = cube.below(cube.coherence(pair(spark, sf_dir), 5, 3), "coh", 0.35)
     return kernels.raster_components(low, "class")
+
+
+_RING = [(2.0, 10.0), (28.0, 60.0), (15.0, 300.0), (2.0, 10.0)]
+
+
+def _crossing(a: tuple[float, float], b: tuple[float, float]) -> str:
+    return f"CASE WHEN ({a[1]} > y) <> ({b[1]} > y) AND x < {a[0]} + ({b[0]} - {a[0]}) * (y - {a[1]}) / ({b[1]} - {a[1]}) THEN 1 ELSE 0 END"
+
+
+@query(f"WITH r AS ({_R}) SELECT y, x, round(i, 6) + 0.0 AS i FROM r WHERE ({' + '.join(_crossing(a, b) for a, b in zip(_RING, _RING[1:]))}) % 2 = 1")
+def cube_polygon_mask(spark, sf_dir):
+    ring = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in _RING))
+    return rounded(cube.within_polygon(raster(spark, sf_dir).select("y", "x", "i"), ring), "i")
+
+
+@query(f"""WITH r AS ({_R}), t AS (SELECT y, x, unnest(range(CAST(greatest(floor((y - 5) / 50.0), 0) AS BIGINT), CAST(floor((y + 5) / 50.0) AS BIGINT) + 1)) AS ty FROM r),
+u AS (SELECT y, x, ty, unnest(range(CAST(greatest(floor((x - 5) / 16.0), 0) AS BIGINT), CAST(floor((x + 5) / 16.0) AS BIGINT) + 1)) AS tx FROM t) SELECT ty, tx, count(*) AS n, min(y) AS y0, max(x) AS x1 FROM u GROUP BY 1, 2""")
+def tile_halo(spark, sf_dir):
+    t = cube.tiled(raster(spark, sf_dir).select("y", "x"), 50, 16, 5)
+    return t.groupBy("ty", "tx").agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("x").alias("x1"))

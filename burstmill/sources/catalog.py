@@ -48,3 +48,12 @@ def read_burst_map(spark: SparkSession, path: str) -> DataFrame:
     schema = f"features array<struct<properties:{properties},geometry:struct<type:string,coordinates:array<array<array<array<double>>>>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     return rows.select("f.properties.*", F.col("f.geometry.coordinates").alias("polygons"))
+
+
+def jobs_after(jobs: DataFrame, created: str) -> DataFrame:
+    """Rows of a job log (id, created, status) that were created after a time."""
+    return jobs.filter(F.col("created") > F.lit(created))
+
+
+def all_finished(jobs: DataFrame) -> DataFrame:
+    return jobs.agg(F.bool_and(F.col("status") == "finished").alias("all_finished"))
