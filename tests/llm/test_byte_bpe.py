@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import struct
@@ -6,16 +7,23 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from burstmill.llm import byte_bpe as B
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
 
-@pytest.fixture(scope="module")
-def both():
+@functools.cache
+def encoders():
     own = B.encoder(PATH, P.PATTERN)
     return own, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(own.tokens)}, special_tokens={})
 
 
+@pytest.fixture
+def both():
+    return encoders()
+
+
 def ids_of(encoder, text):
     raw = encoder.encode(text)
     return list(struct.unpack(f"<{len(raw) // 4}I", raw))
@@ -40,6 +48,14 @@ def test_random_texts(both):
     assert own.decode(own.encode(long)) == long.encode()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"])))
+def test_any_text(text):
+    own, other = encoders()
+    assert ids_of(own, text) == other.encode_ordinary(text)
+    assert own.decode(own.encode(text)) == text.encode()
+
+
 def test_memo_turns_over(both, monkeypatch):
     monkeypatch.setattr(B, "MEMO", 5)
     own, text = B.Encoder(both[0].tokens, P.PATTERN), "one two three four five six seven eight nine zzyzx one two qqqq one"
