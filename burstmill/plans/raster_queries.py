@@ -26,19 +26,26 @@ def query(sql: str | None = None):
     return add
 
 
+def _samples(lines: DataFrame, *names: str) -> DataFrame:
+    """lines (y, label, one array for each name) as cells: name 1 gives i1 and q1, and so on."""
+    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.floor(F.size(names[0]) / 2).cast("int") - 1)))
+    parts = [F.get(n, 2 * F.col("x") + k).cast("double").alias(f"{c}{n}") for n in names for k, c in enumerate("iq")]
+    return cells.select("label", "y", F.col("x").cast("long").alias("x"), *parts)
+
+
 def raster(spark, sf_dir) -> DataFrame:
     """(label, y, x, i, q)"""
-    e = table(spark, sf_dir, "embeddings")
-    cells = e.select("label", F.col("vec_id").alias("y"), "embedding", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1)).alias("x"))
-    at = lambda k: F.get("embedding", 2 * F.col("x") + k).cast("double")
-    return cells.select("label", "y", F.col("x").cast("long").alias("x"), at(0).alias("i"), at(1).alias("q"))
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("1"))
+    return _samples(e, "1").withColumnsRenamed({"i1": "i", "q1": "q"})
 
 
 def pair(spark, sf_dir) -> DataFrame:
-    """(y, x, i1, q1, i2, q2): each line with the next one."""
-    r = raster(spark, sf_dir)
-    second = r.select((F.col("y") - 1).alias("y"), "x", F.col("i").alias("i2"), F.col("q").alias("q2"))
-    return r.select("y", "x", F.col("i").alias("i1"), F.col("q").alias("q1")).join(second, ["y", "x"])
+    """(y, x, i1, q1, i2, q2): each line with the next one. Whole lines are joined, so windows along a line need no
+    further shuffle."""
+    e = table(spark, sf_dir, "embeddings")
+    first = e.select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("1"))
+    second = e.select((F.col("vec_id") - 1).alias("y"), F.col("embedding").alias("2"))
+    return _samples(first.join(second, "y"), "1", "2").drop("label")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
