@@ -1,9 +1,6 @@
 """All queries of the package outside the llm subpackage, by name."""
 
-from burstmill.plans.catalog_queries import ORACLES as _CATALOG_SQL
-from burstmill.plans.catalog_queries import QUERIES as _CATALOG
-from burstmill.plans.raster_queries import ORACLES as _RASTER_SQL
-from burstmill.plans.raster_queries import QUERIES as _RASTER
+from burstmill.plans import catalog_queries, product_queries, raster_queries
 
-QUERIES = _CATALOG | _RASTER
-ORACLES = _CATALOG_SQL | _RASTER_SQL
+QUERIES = catalog_queries.QUERIES | raster_queries.QUERIES | product_queries.QUERIES
+ORACLES = catalog_queries.ORACLES | raster_queries.ORACLES | product_queries.ORACLES
