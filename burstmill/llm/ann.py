@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 from burstmill.shared import discard, materialize, ship_package
 
 NEIGHBOURS = 24
-#: Nodes of a random block at the start, blocks that each node is dealt to, and nodes of a part later on.
+#: Nodes of a random block at the start, and blocks that each node is dealt to.
 BLOCK = 512
 BLOCKINGS = 2
+#: Lists that are compared in one group. It is small, so that a part's vectors take little memory and the number of
+#: copies of a vector (as many as there are lists that mention it, at most) hardly depends on the number of nodes.
+LISTS = 256
+#: Nodes of a group when edges are merged and distances measured.
 PART = 8192
-ITERATIONS = 8
+ITERATIONS = 7
 #: Descent ends early if an iteration replaces less than this share of the edges.
 SETTLED = 0.02
 #: Better neighbours of a node that one part reports in one iteration; it reports others in the next.
@@ -60,8 +64,17 @@ def nodes_of(vectors: DataFrame, members: int) -> DataFrame:
     return first.groupBy("v").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("members"))
 
 
-def _half(v: str) -> Column:
-    return F.transform(F.col(v), lambda x: x.cast("float"))
+def _light(nodes: DataFrame) -> DataFrame:
+    """(node, w, s): the vectors in 8 bits a component, times a scale of their own (1/127 for the largest component of
+    all); enough to choose edges by."""
+    tops = nodes.select("node", "v", F.array_max(F.transform("v", lambda x: F.abs(x))).alias("top"))
+    largest = tops.agg(F.max("top")).first()[0] or 1.0
+    w = F.transform("v", lambda x: F.round(x / F.col("top") * 127).cast("tinyint"))
+    return tops.select("node", w.alias("w"), (F.col("top") / largest / 127).cast("float").alias("s"))
+
+
+def _vectors(rows: pa.Table) -> np.ndarray:
+    return _matrix(rows["w"]).astype(np.float32) * rows["s"].to_numpy()[:, None]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -90,7 +103,7 @@ def _edge_table(u: np.ndarray, v: np.ndarray, d: np.ndarray, old: np.ndarray) ->
 
 def _in_block(rows: pa.Table) -> pa.Table:
     """Each node's nearest in its block, by all distances inside a block of bounded size."""
-    ids, x = rows["node"].to_numpy(), _matrix(rows["w"])
+    ids, x = rows["node"].to_numpy(), _vectors(rows)
     norms = (x * x).sum(1)
     out = [[], [], []]
     for s in range(0, len(ids), BLOCK):
@@ -115,7 +128,7 @@ def _join_locally(lists: pa.Table, vectors: pa.Table) -> pa.Table:
         return _edge_table(*(np.zeros(0),) * 3, np.zeros(0, bool))
     ids = vectors["node"].to_numpy()
     order = np.argsort(ids)
-    ids, x, worst = ids[order], _matrix(vectors["w"])[order], vectors["worst"].to_numpy()[order]
+    ids, x, worst = ids[order], _vectors(vectors)[order], vectors["worst"].to_numpy()[order]
     norms = (x * x).sum(1)
     col = lists["members"].combine_chunks()
     at, flat = col.offsets.to_numpy(), np.searchsorted(ids, col.values.to_numpy())
@@ -146,32 +159,32 @@ def _parts(key: str, n: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int")
 
 
-def _both_ways(edges: DataFrame, seed: int) -> DataFrame:
+def _both_ways(edges: DataFrame) -> DataFrame:
     """(m, x): each node's neighbours, and of the nodes that have it as neighbour as many, drawn by hash."""
-    drawn = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(seed), "u", "v"), "u"))
+    drawn = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(SEED), "u", "v"), "u"))
     back = edges.select("u", "v").withColumn("rank", drawn).filter(F.col("rank") <= NEIGHBOURS)
     return edges.select(F.col("u").alias("m"), F.col("v").alias("x")).union(back.select(F.col("v").alias("m"), F.col("u").alias("x")))
 
 
-def _lists(edges: DataFrame, seed: int) -> DataFrame:
+def _lists(edges: DataFrame) -> DataFrame:
     """(m, members): at most twice NEIGHBOURS members."""
-    return _both_ways(edges, seed).groupBy("m").agg(F.collect_set("x").alias("members"))
+    return _both_ways(edges).groupBy("m").agg(F.collect_set("x").alias("members"))
 
 
 def build_graph(nodes: DataFrame) -> DataFrame:
     """(u, v, d, old): the NN-descent graph over nodes (node, v)."""
     ship_package(nodes.sparkSession)
     n = nodes.count()
-    blocks, parts = max(1, n // BLOCK), max(1, -(-n // PART))
-    light = nodes.select("node", _half("v").alias("w"))
+    blocks, parts, groups = max(1, n // BLOCK), max(1, -(-n // PART)), max(1, -(-n // LISTS))
+    light = materialize(_light(nodes), "ann-light")
     dealt = light.withColumn("block", F.explode(F.array(*(_parts("node", blocks, SEED + t) + t * blocks for t in range(BLOCKINGS)))))
     first = dealt.groupBy("block").applyInArrow(lambda rows: _in_block(rows), _EDGES)
     edges = materialize(first.groupBy(_parts("u", parts, SEED)).applyInArrow(lambda rows: _merge(rows), _EDGES), "ann-graph")
-    for step in range(ITERATIONS):
-        lists = materialize(_lists(edges, SEED + step).withColumn("part", _parts("m", parts, SEED)), "ann-lists")
+    for _ in range(ITERATIONS):
+        lists = materialize(_lists(edges).withColumn("part", _parts("m", groups, SEED)), "ann-lists")
         worst = edges.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
         wanted = lists.select(F.col("part").alias("to"), F.explode("members").alias("node")).distinct()
-        sent = wanted.join(light.join(worst, F.col("node") == F.col("u"), "left").select("node", "w", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst")), "node")
+        sent = wanted.join(light.join(worst, F.col("node") == F.col("u"), "left").select("node", "w", "s", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst")), "node")
         met = lists.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: _join_locally(a, b), _EDGES)
         merged = edges.withColumn("old", F.lit(True)).union(met).groupBy(_parts("u", parts, SEED)).applyInArrow(lambda rows: _merge(rows), _EDGES)
         before, edges = edges, materialize(merged, "ann-graph")
@@ -210,7 +223,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ship_package(nodes.sparkSession)
     parts = max(1, -(-nodes.count() // PART))
-    around = materialize(_lists(edges, SEED).select(F.col("m").alias("node"), F.col("members").alias("near")), "ann-adjacency")
+    around = materialize(_lists(edges).select(F.col("m").alias("node"), F.col("members").alias("near")), "ann-adjacency")
     vectors = materialize(nodes.select("node", "v", _parts("node", parts, SEED).alias("home")), "ann-vectors")
     entry = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64(F.lit(SEED), "node")).limit(ENTRIES).collect()]
     empty = F.array().cast("array<struct<d:double,node:bigint>>")
