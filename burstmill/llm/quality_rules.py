@@ -50,7 +50,6 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "bracket", "con
 _JUDGED = [k for k, c in enumerate(CLASSES) if c != "digit"]
 _WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
 _WORD_AT = {w.encode(): i for i, w in enumerate(_WORD_LIST)}
-_STRIP = bytes.maketrans(b"", b"")
 _EDGE_MARKS = b".,;:!?\"()"
 
 
@@ -115,7 +114,7 @@ def describe(text: str | None) -> tuple:
     lines = [x for x in raw.split(b"\n") if x.strip()] if b"\n" in raw else []
     classes = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=10)[:9]
     common = np.zeros(len(_WORD_LIST), np.int32)
-    tokens = Counter(raw.lower().translate(_STRIP, _EDGE_MARKS).split())
+    tokens = Counter(raw.lower().translate(None, _EDGE_MARKS).split())
     for w, i in _WORD_AT.items():
         if w in tokens:
             common[i] = tokens[w]
