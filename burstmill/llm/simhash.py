@@ -179,6 +179,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     found = classes(marked, name, key).select(F.col("f").alias(name), "root")
     narrow = marked.select(F.col(key).alias("k"), F.col(row).alias("r"), name).join(found, name)
     first = F.min(F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("r").alias("r")))
-    stays = narrow.groupBy("root").agg(first.alias("best"), F.count("*").alias("n"))
-    groups = materialize(narrow.join(stays.filter("n > 1").select("root", F.col("best.r").alias("best")), "root").filter("r <> best").select("r"), "simhash-copies")
-    return marked.join(groups.withColumnRenamed("r", row), row, "left_anti").select(*columns)
+    groups = narrow.groupBy("root").agg(first.alias("best"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("best.r").alias("best"))
+    # written first, so that the join below has plain shuffles on both sides and adaptive execution can split a large group
+    groups = materialize(groups, "simhash-groups")
+    copies = materialize(narrow.join(groups, "root").filter("r <> best").select(F.col("r").alias(row)), "simhash-copies")
+    return marked.join(copies, row, "left_anti").select(*columns)
