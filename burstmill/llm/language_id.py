@@ -25,6 +25,7 @@ from burstmill.shared import fresh, ship_package, with_field
 
 SAMPLE_PER_LANGUAGE = 256
 SAMPLE_ROWS = 2048
+MARGIN = 16
 #: Languages at most: the most frequent ones.
 MAX_LANGUAGES = 64
 LANDMARKS = 128
@@ -69,15 +70,20 @@ def _recode(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, usable: Column) -> DataFrame:
-    """(lang, h, g, text) of the bounded fitting sample. The first pass finds the smallest hashes of each language and
-    shuffles those alone, the second reads the texts that belong to them; at most SAMPLE_ROWS rows are broadcast."""
+    """(lang, h, g, text) of the bounded fitting sample. One pass counts the languages, one finds the smallest hashes of
+    each and shuffles only candidates for them, one reads the texts that belong to them; at most SAMPLE_ROWS rows are broadcast."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(text)).alias("g"), F.col(text).alias("text"))
     top = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = [r["lang"] for r in top.collect()]
-    most = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(languages)))
+    counts = {r["lang"]: r["count"] for r in top.collect()}
+    most = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(counts)))
+    # hashes are uniform: those below this bound are some MARGIN times as many as wanted, however many rows there are
+    bounds = {k: min((1 << 63) - 1, -(1 << 63) + (MARGIN * most << 64) // n) for k, n in counts.items()}
+    near = F.lit(False)
+    for k, bound in bounds.items():
+        near |= (F.col("lang") == k) & (F.col("h") <= F.lit(bound))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))
-    drawn = rows.filter(F.col("lang").isin(languages)).select("lang", "h", "g").withColumn("rank", rank).filter(F.col("rank") <= most)
+    drawn = rows.filter(near).select("lang", "h", "g").withColumn("rank", rank).filter(F.col("rank") <= most)
     keys = docs.sparkSession.createDataFrame(drawn.select("lang", "h", "g").collect(), "lang string, h bigint, g bigint").distinct()
     return rows.join(F.broadcast(keys), ["lang", "h", "g"]).dropDuplicates(["lang", "h", "g"])
 
