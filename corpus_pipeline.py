@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstmill.llm import byte_bpe, language_id, mixing, quality_rules, simhash
+from burstmill.llm import byte_bpe, language_id, mixing, near_copies, quality_rules
 from burstmill.shared import materialize
 
 #: Language scores (0 to 1) below which a document is rejected, besides those without a letter.
@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies, the one with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies (5-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    return near_copies.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
