@@ -43,14 +43,18 @@ _COH = f"""h AS (SELECT prm_date, sec_date, y, x, {_ONE} FROM p), v AS (SELECT p
 c AS (SELECT prm_date, sec_date, y, x, sqrt(pow(re / sqrt(p1 * p2 + 1e-12), 2) + pow(im / sqrt(p1 * p2 + 1e-12), 2)) AS coh FROM v)"""
 
 
-def _job(**more):
-    return job({"burst_id": 7, "polarization": "vv", "temporal_extent": ["2024-01-01", "2034-01-01"], "temporal_baseline": 12} | more)
+def _job(images: DataFrame | None = None, **more):
+    """A job over the extent that `more` names, or else over the images' own, from the first date to the last."""
+    if images is not None:
+        first, last = images.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+        more["temporal_extent"] = [first or "2024-01-01", last or "2024-01-01"]
+    return job({"burst_id": 7, "polarization": "vv", "temporal_baseline": 12} | more)
 
 
 @query(f"WITH {_P}, {_COH} SELECT prm_date, sec_date, y, x, round(coh, 6) AS coh FROM c")
 def product_coherence(spark, sf_dir):
     images = stack(spark, sf_dir)
-    return rounded(workflows.sar_coherence(acquisitions(images), images, _job()), "coh")
+    return rounded(workflows.sar_coherence(acquisitions(images), images, _job(images)), "coh")
 
 
 @query(f"""WITH {_P}, {_COH}, l AS (SELECT prm_date, sec_date, y, x // 4 AS x, atan2(avg(im), avg(re)) AS phase FROM p GROUP BY 1, 2, 3, 4), k AS (SELECT prm_date, sec_date, y, x // 4 AS x, avg(coh) AS coh FROM c GROUP BY 1, 2, 3, 4),
@@ -59,7 +63,7 @@ u AS (SELECT prm_date, sec_date, y, x, phase, sum(s) OVER (PARTITION BY prm_date
 SELECT u.prm_date, u.sec_date, u.y, u.x, round(phase, 5) + 0.0 AS phase, round(unw, 5) + 0.0 AS unw_phase, round(coh, 6) AS coh FROM u JOIN k ON u.prm_date = k.prm_date AND u.y = k.y AND u.x = k.x""")
 def product_interferogram(spark, sf_dir):
     images = stack(spark, sf_dir)
-    out = workflows.sar_interferogram(acquisitions(images), images, _job())
+    out = workflows.sar_interferogram(acquisitions(images), images, _job(images))
     return rounded(out, "coh").withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("phase", "unw_phase")})
 
 
