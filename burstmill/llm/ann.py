@@ -33,8 +33,8 @@ BLOCKINGS = 2
 LISTS = 256
 #: Nodes of a group when edges are merged and distances measured.
 PART = 8192
-ITERATIONS = 7
-#: Descent ends early if an iteration replaces less than this share of the edges.
+#: Descent ends when an iteration replaces at most SETTLED of the edges; it is an error if none of so many does.
+MAX_ITERATIONS = 60
 SETTLED = 0.02
 #: Better neighbours of a node that one part reports in one iteration; it reports others in the next.
 REPORTED = 10
@@ -65,16 +65,15 @@ def nodes_of(vectors: DataFrame, members: int) -> DataFrame:
 
 
 def _light(nodes: DataFrame) -> DataFrame:
-    """(node, w, s): the vectors in 8 bits a component, times a scale of their own (1/127 for the largest component of
-    all); enough to choose edges by."""
-    tops = nodes.select("node", "v", F.array_max(F.transform("v", lambda x: F.abs(x))).alias("top"))
-    largest = tops.agg(F.max("top")).first()[0] or 1.0
-    w = F.transform("v", lambda x: F.round(x / F.col("top") * 127).cast("tinyint"))
-    return tops.select("node", w.alias("w"), (F.col("top") / largest / 127).cast("float").alias("s"))
+    """(node, w): the vectors as floats if that loses nothing, or else as doubles."""
+    rounds = F.exists("v", lambda x: x.cast("float").cast("double") != x)
+    kind = "double" if nodes.agg(F.bool_or(rounds)).first()[0] else "float"
+    return nodes.select("node", F.col("v").cast(f"array<{kind}>").alias("w"))
 
 
 def _vectors(rows: pa.Table) -> np.ndarray:
-    return _matrix(rows["w"]).astype(np.float32) * rows["s"].to_numpy()[:, None]
+    """As doubles: distances come from norms and products, which cancel among near copies."""
+    return _matrix(rows["w"]).astype(np.float64)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -180,11 +179,11 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     dealt = light.withColumn("block", F.explode(F.array(*(_parts("node", blocks, SEED + t) + t * blocks for t in range(BLOCKINGS)))))
     first = dealt.groupBy("block").applyInArrow(lambda rows: _in_block(rows), _EDGES)
     edges = materialize(first.groupBy(_parts("u", parts, SEED)).applyInArrow(lambda rows: _merge(rows), _EDGES), "ann-graph")
-    for _ in range(ITERATIONS):
+    for _ in range(MAX_ITERATIONS):
         lists = materialize(_lists(edges).withColumn("part", _parts("m", groups, SEED)), "ann-lists")
         worst = edges.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
         wanted = lists.select(F.col("part").alias("to"), F.explode("members").alias("node")).distinct()
-        sent = wanted.join(light.join(worst, F.col("node") == F.col("u"), "left").select("node", "w", "s", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst")), "node")
+        sent = wanted.join(light.join(worst, F.col("node") == F.col("u"), "left").select("node", "w", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst")), "node")
         met = lists.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: _join_locally(a, b), _EDGES)
         merged = edges.withColumn("old", F.lit(True)).union(met).groupBy(_parts("u", parts, SEED)).applyInArrow(lambda rows: _merge(rows), _EDGES)
         before, edges = edges, materialize(merged, "ann-graph")
@@ -192,8 +191,8 @@ def build_graph(nodes: DataFrame) -> DataFrame:
         discard(before)
         discard(lists)
         if new <= SETTLED * total:
-            break
-    return edges
+            return edges
+    raise RuntimeError(f"the graph did not settle in {MAX_ITERATIONS} iterations")
 
 
 def _measure(asked: pa.Table, vectors: pa.Table) -> pa.Table:
