@@ -1,20 +1,24 @@
 """Language identification with a blended-spectrum presence kernel.
 
-Texts are lower-cased and mapped to an alphabet learned from the fitting sample (at most 126 letters; any other letter
-is one class, all that is no letter is another). The kernel of two texts is the number of distinct 1-, 2- and 3-grams
-they share, divided by the geometric mean of their own numbers. Nyström landmarks, drawn in equal numbers for each
-language, turn it into features; one-versus-rest ridge regression on them gives a score for each language. Documents
-are scored in batches: presence matrix times landmark matrix times weights.
-
-The model is fitted on a bounded sample: for each language the SAMPLE_PER_LANGUAGE labelled texts with the smallest
-hashed ids, at most SAMPLE_ROWS in all. Whole texts are read in fitting and scoring. Null texts and texts without a
-letter get `und` and score 0. Without any labelled row every document is `und`. An empty table gives an empty result.
+Texts are lower-cased; what is no letter is a gap. The kernel of two texts is the number of distinct 1-, 2- and 3-grams
+they share, divided by the geometric mean of their own numbers. N-grams of any script are hashed to CODE_BITS bits (two
+of them may fall together: for 50,000 n-grams one unseen n-gram in 80 is taken for a known one). Nyström landmarks, drawn
+in equal numbers for each language, turn the kernel into features; the n-grams of all landmarks count, any other n-gram
+is in no kernel. One-versus-rest ridge regression on the features gives a score for each language. Documents are
+scored in batches: presence matrix times landmark matrix times weights.
+
+The model is fitted on a bounded sample of the rows that may be used: for each of their languages the SAMPLE_PER_LANGUAGE
+rows with the smallest hash of id and text (fewer, if all would be more than SAMPLE_ROWS, but at least LEAST_PER_LANGUAGE).
+Every label is learned; rows that are equal in id and text count once. Whole texts are read in fitting and scoring. Null
+texts and texts without a letter get `und` and score 0. Without any row to learn from every document is `und`. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +29,17 @@ from burstmill.shared import fresh, ship_package, with_field
 
 SAMPLE_PER_LANGUAGE = 256
 SAMPLE_ROWS = 2048
+LEAST_PER_LANGUAGE = 8
 MARGIN = 16
-#: Languages at most: the most frequent ones.
-MAX_LANGUAGES = 64
+#: Landmarks of all languages together; one for each language, if there are more languages.
 LANDMARKS = 128
-FEATURES = 12_288
+CODE_BITS = 22
 RIDGE = 1e-3
 UNDETERMINED = "und"
 
-_OTHER_LETTER = 127
-_MASK = (1 << 21) - 1
+#: Odd factors of the hash, one for each place of an n-gram.
+_FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+_MIX = 0x27D4EB2F
 #: Characters and rows of a scoring batch at most (a longer text is a batch of its own).
 _BATCH_CHARS = 262_144
 _BATCH_ROWS = 64
@@ -43,49 +48,62 @@ _BATCH_ROWS = 64
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # class number of each code point
     grams: np.ndarray  # codes of the n-grams that are features, sorted
     landmarks: np.ndarray  # presence of each feature in each landmark, features x landmarks, scaled by the landmark's norm
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
 def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Code points plus 1 of the lower-cased letters, 0 for anything else."""
+    found = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters()[found], found + np.uint32(1), np.uint32(0))
 
 
-def exact_grams(text: str) -> np.ndarray:
-    """The text's distinct 1- to 3-grams of letters and gaps as integers that hold 21 bits of each code point plus 1."""
-    kept = "".join(c if c.isalpha() else "\x00" for c in text.lower())
-    a = np.frombuffer(f"\x00\x00{kept}\x00\x00".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
-    return np.unique(np.concatenate([a, a[:-1] << 21 | a[1:], a[:-2] << 42 | a[1:-1] << 21 | a[2:]]))
+def _codes(a: np.ndarray) -> list[np.ndarray]:
+    """Codes of the 1-, 2- and 3-grams that start at each point of a, the last two points left out."""
+    first, second, third = (a[k : len(a) - 2 + k] * np.uint32(f) for k, f in enumerate(_FACTORS))
+    two = first ^ (second + np.uint32(1))
+    return [(h * np.uint32(_MIX)) >> np.uint32(32 - CODE_BITS) for h in (first, two ^ (two >> np.uint32(15)), (two ^ (third + np.uint32(2))) * np.uint32(_FACTORS[0]) ^ two >> np.uint32(13))]
 
 
-def _recode(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """Codes of 7 bits a letter from those of exact_grams; the length is told by bits 21 and 22."""
-    parts = [grams >> 42, grams >> 21 & _MASK, grams & _MASK]
-    lengths = (parts[0] > 0).astype(np.int64) + (parts[1] > 0) + (parts[2] > 0)
-    classes = [np.where(p > 0, alphabet[np.maximum(p - 1, 0)], 0).astype(np.int64) for p in parts]
-    return np.unique(lengths - 1 << 21 | classes[0] << 14 | classes[1] << 7 | classes[2])
+def text_codes(text: str) -> np.ndarray:
+    """The text's distinct n-grams, with a gap before and after it, as codes."""
+    gap = np.zeros(2, np.uint32)
+    return np.unique(np.concatenate(_codes(np.concatenate([gap, _points(text), gap])))).astype(np.int32)
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, usable: Column) -> DataFrame:
-    """(lang, h, g, text) of the bounded fitting sample. One pass counts the languages, one finds the smallest hashes of
-    each and shuffles only candidates for them, one reads the texts that belong to them; at most SAMPLE_ROWS rows are broadcast."""
+    """(lang, h, text) of the bounded fitting sample.
+
+    One pass counts the usable rows of each language, one finds their smallest hashes and shuffles only candidates for
+    them, one reads the texts that belong to them. Where so many rows repeat that too few candidates are found, the
+    language is searched once more among all its rows.
+    """
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(text)).alias("g"), F.col(text).alias("text"))
-    top = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in top.collect()}
-    most = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(counts)))
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = min(SAMPLE_PER_LANGUAGE, max(LEAST_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(counts))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     # hashes are uniform: those below this bound are some MARGIN times as many as wanted, however many rows there are
     bounds = {k: min((1 << 63) - 1, -(1 << 63) + (MARGIN * most << 64) // n) for k, n in counts.items()}
-    near = F.lit(False)
-    for k, bound in bounds.items():
-        near |= (F.col("lang") == k) & (F.col("h") <= F.lit(bound))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))
-    drawn = rows.filter(near).select("lang", "h", "g").withColumn("rank", rank).filter(F.col("rank") <= most)
-    keys = docs.sparkSession.createDataFrame(drawn.select("lang", "h", "g").collect(), "lang string, h bigint, g bigint").distinct()
-    return rows.join(F.broadcast(keys), ["lang", "h", "g"]).dropDuplicates(["lang", "h", "g"])
+    found: dict[str, list[int]] = {}
+    while bounds:
+        few = docs.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound bigint")  # a row for each label
+        near = rows.select("lang", "h").join(F.broadcast(few), "lang").filter("h <= bound").select("lang", "h").distinct()
+        drawn: dict[str, list[int]] = {}
+        for r in near.withColumn("rank", rank).filter(F.col("rank") <= most).collect():
+            drawn.setdefault(r["lang"], []).append(r["h"])
+        found |= drawn
+        bounds = {k: (1 << 63) - 1 for k, b in bounds.items() if b < (1 << 63) - 1 and len(drawn.get(k, ())) < most}
+    keys = docs.sparkSession.createDataFrame([(k, h) for k, hs in found.items() for h in hs], "lang string, h bigint")
+    return rows.join(F.broadcast(keys), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", usable: Column | None = None) -> Model | None:
@@ -94,30 +112,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([exact_grams(x.as_py()) for x in b.column(3)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], found], names=["lang", "h", "g", "grams"])
+            found = pa.array([text_codes(x.as_py()) for x in b.column(2)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], found], names=["lang", "h", "grams"])
 
-    drawn = sample(docs, text, lang, key, F.lit(True) if usable is None else usable).mapInArrow(grams, "lang string, h bigint, g bigint, grams array<bigint>").toArrow()
+    drawn = sample(docs, text, lang, key, F.lit(True) if usable is None else usable).mapInArrow(grams, "lang string, h bigint, grams array<int>").toArrow()
     if not drawn.num_rows:
         return None
-    drawn = drawn.sort_by([("lang", "ascending"), ("h", "ascending"), ("g", "ascending")])
+    drawn = drawn.sort_by([("lang", "ascending"), ("h", "ascending")])
     labels = drawn["lang"].to_pylist()
     ranks = [i - labels.index(k) + 1 for i, k in enumerate(labels)]
     return _train([x.values.to_numpy() for x in drawn["grams"]], labels, ranks)
 
 
-def _train(grams: list[np.ndarray], labels: list[str], ranks: list[int]) -> Model:
+def _train(coded: list[np.ndarray], labels: list[str], ranks: list[int]) -> Model:
     languages = sorted(set(labels))
-    letters, counts = np.unique(np.concatenate([g[g <= _MASK] for g in grams]), return_counts=True)
-    letters, counts = letters[letters > 1] - 1, counts[letters > 1]
-    letters = np.sort(letters[np.argsort(-counts, kind="stable")][: _OTHER_LETTER - 1])
-    alphabet = np.array([_OTHER_LETTER if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint8)
-    alphabet[letters] = np.arange(1, len(letters) + 1)
-    coded = [_recode(g, alphabet) for g in grams]
-    codes, counts = np.unique(np.concatenate(coded), return_counts=True)
-    chosen = np.sort(codes[np.argsort(-counts, kind="stable")][:FEATURES])
     each = max(1, LANDMARKS // len(languages))
     marks = [i for i, r in enumerate(ranks) if r <= each]
+    chosen = np.unique(np.concatenate([coded[i] for i in marks]))
 
     def present(i: int) -> np.ndarray:
         row = np.zeros(len(chosen), np.float32)
@@ -139,7 +150,7 @@ def _train(grams: list[np.ndarray], labels: list[str], ranks: list[int]) -> Mode
     share /= share.sum()
     mx, my = share @ x, share @ y
     w = np.linalg.solve((x - mx).T @ ((x - mx) * share[:, None]) + RIDGE * np.eye(x.shape[1]), (x - mx).T @ ((y - my) * share[:, None]))
-    return Model(languages, alphabet, chosen, np.ascontiguousarray(land.T), (root @ w).astype(np.float32), (my - mx @ w).astype(np.float32))
+    return Model(languages, chosen, np.ascontiguousarray(land.T), (root @ w).astype(np.float32), (my - mx @ w).astype(np.float32))
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
@@ -158,22 +169,22 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.at = np.full(3 << 21, -1, np.int32)
+        self.at = np.full(1 << CODE_BITS, -1, np.int32)
         self.at[model.grams] = np.arange(len(model.grams))
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """One row for each text: 1 where it holds the n-gram."""
         points = [_points(t) for t in texts]
-        gap = np.zeros(2, np.uint8)
-        classes = [gap]
+        gap = np.zeros(2, np.uint32)
+        parts = [gap]
         for p in points:
-            classes += [self.m.alphabet[p], gap]
-        a = np.concatenate(classes).astype(np.int32)
+            parts += [p, gap]
+        a = np.concatenate(parts)
+        # an n-gram belongs to the text in which it starts, or whose gap before it starts there
         row = np.repeat(np.arange(len(texts)), [len(p) + 2 for p in points]) * len(self.m.grams)
         out = np.zeros(len(texts) * len(self.m.grams), np.float32)
-        n = len(row)
-        for codes in (a[2:], 1 << 21 | a[1:-1] << 7 | a[2:], 2 << 21 | a[:-2] << 14 | a[1:-1] << 7 | a[2:]):
-            feature = self.at[codes[:n]]
+        for codes in _codes(a):
+            feature = self.at[codes]
             seen = feature >= 0
             out[row[seen] + feature[seen]] = 1
         return out.reshape(len(texts), -1)

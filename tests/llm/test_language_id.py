@@ -15,7 +15,7 @@ def test_scores_are_the_kernel_regression():
     """Every n-gram a feature and every text a landmark: the features' products are the kernel itself."""
     texts = ["der hund und die katze", "the dog and the cat", "el perro y el gato", "das haus ist alt", "the house is old"]
     labels = ["de", "en", "es", "de", "en"]
-    model = L._train([L.exact_grams(t) for t in texts], labels, [1, 1, 1, 2, 2])
+    model = L._train([L.text_codes(t) for t in texts], labels, [1, 1, 1, 2, 2])
     x = L.Scorer(model).presence(texts)
     land = x / np.sqrt(x.sum(1, keepdims=True))
     slow = np.array([[kernel(a.replace(" ", "\0"), b.replace(" ", "\0")) for b in texts] for a in texts])
@@ -45,3 +45,42 @@ def test_odd_and_empty(odd_docs, no_docs, spark):
     assert L.fit(no_docs) is None
     assert L.predict(no_docs, None).collect() == []
     assert {r.language.lang_pred for r in L.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), None).collect()} == {"und"}
+
+
+SCHEMA = "doc_id long, text string, lang string"
+WORDS = {"en": "the cat and dog sat on this mat with that house", "fr": "le chat et les chiens sont dans une maison avec des amis", "el": "ο σκύλος και η γάτα είναι στο σπίτι με τους φίλους"}
+
+
+def spoken(rng, lang, n):
+    words = WORDS[lang].split()
+    return [" ".join(rng.choice(words, 12)) for _ in range(n)]
+
+
+def test_held_out_labels_change_nothing(spark):
+    """Whatever labels the held-out rows carry, the model and its predictions are the same."""
+    rng = np.random.default_rng(2)
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k in ("en", "fr") for t in spoken(rng, k, 300))]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    other = [(i, t, f"made up {i}" if held(i) else k) for i, t, k in rows]
+    found = []
+    for some in (rows, other):
+        docs = spark.createDataFrame(some, SCHEMA)
+        model = L.fit(docs, usable=~L.held_out())
+        found.append((model.languages, sorted((r.doc_id, r.language) for r in L.predict(docs, model, keep=["doc_id"]).collect())))
+    assert found[0] == found[1] and found[0][0] == ["en", "fr"]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Distinct ids, null ids, one repeated id with different texts, and one row repeated over and over; more than 64 labels."""
+    monkeypatch.setattr(L, "SAMPLE_PER_LANGUAGE", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, t, "en") for i, t in enumerate(spoken(rng, "en", 3000))]
+    rows += [(None, t, "fr") for t in spoken(rng, "fr", 3000)]
+    rows += [(5, "ο σκύλος και η γάτα", "el")] * 3000
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = L.fit(docs)
+    assert model.languages == ["el", "en", "fr"]
+    found = L.predict(docs, model)
+    assert found.filter("lang <> language.lang_pred").count() < 10
+    many = spark.createDataFrame([(i, " ".join(rng.choice(list(f"{k:03d}".translate(str.maketrans("0123456789", "abcdefghij")) + "xyz"), 30)), f"l{k:03d}") for i, k in enumerate(np.repeat(np.arange(150), 4).tolist())], SCHEMA)
+    assert len(L.fit(many).languages) == 150
