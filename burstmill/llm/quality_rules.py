@@ -1,19 +1,30 @@
 """Quality rules by distribution divergence.
 
-Each document gets counts (words, symbols, repeated lines and windows), a histogram of character classes and, for
-every language that has a list of common words, a histogram of those words. The histograms summed over all documents
-of a language make a first reference; summed over those that it keeps, they make the final one. A document is
-rejected if even the nearest reference is too far away in Jensen-Shannon distance; texts below the length guards are
-not judged by that histogram. Digits are left out of the character histogram: numbers and identifiers are no junk.
+Each document gets counts (words, symbols, repeated lines and windows), a histogram of character classes, and counts of
+the common words of every labelled language. These words are learned from the corpus: a language's common words are
+those that make at least LEAST_SHARE of the words of all documents with its label. Tasks keep bounded counts that lose
+no such word, and their candidates are then counted exactly. Every label has a character reference, and one of its
+common words if it has any (languages that write no spaces have none).
+
+The histograms summed over all documents of a language make a first reference; summed over those that it keeps, they
+make the final one. A document is rejected if even the nearest reference is too far away in Jensen-Shannon distance.
+Common words are not judged where the language of the nearest character reference has no reference of words; texts below
+the length guards are not judged by that histogram. A text in a language that no document is labelled with lies far from
+all word references and is rejected as junk is, unless its letters are of a kind of their own. Digits are left out of the
+character histogram: numbers and identifiers are no junk.
 
 Words are runs of bytes other than space and U+0009 to U+000D. Null texts count as empty. An empty table gives an
-empty result. Without any labelled document there is no reference, and only the base rules decide.
+empty result. Without any labelled document there is no reference, and only the base rules decide. References grow with
+the number of labels, not with documents.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import cache
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +33,13 @@ from pyspark.sql import functions as F
 
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
-# Frequent function words of the languages that have a word reference.
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "en": "the of and to in a is that for it as was with be by on not he are this at from or have an they which you had were".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la mais avec ou".split(),
-    "it": "di e il la che in a per è un del non una le con si da i dei nel al come più alla delle sono ha gli anche lo".split(),
-    "nl": "de van het een en in is dat op te zijn met voor niet die aan er om ook als bij door naar maar dan nog uit was hij".split(),
-    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à".split(),
-}
-#: Reference languages at most, the most frequent first; it bounds what goes to the tasks.
-MAX_LANGUAGES = 32
+#: Share of a language's words that a common word has.
+LEAST_SHARE = 0.01
+#: Words that a task keeps counts of for each language; what it drops makes less than 2 / HELD of the task's words.
+HELD = 100_000
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
-MAX_CHAR_DISTANCE = 0.18
-MAX_WORD_DISTANCE = 0.28
+MAX_CHAR_DISTANCE = 0.15
+MAX_WORD_DISTANCE = 0.24
 #: Characters and words from which on the histograms are judged.
 MIN_CHARS = 200
 MIN_WORDS = 100
@@ -44,42 +47,32 @@ MIN_BASE_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: From this number of words on, repeated windows are found by sorting instead of hashing.
 SORTED_FROM = 200_000
+#: Numbers of a dense block of documents x common words at most.
+_BLOCK = 4_000_000
 
 SYMBOLS = "#*$%&|<>"
-CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "bracket", "control", "beyond_ascii")
+CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "bracket", "control", "cased_beyond_ascii", "caseless")
 _JUDGED = [k for k, c in enumerate(CLASSES) if c != "digit"]
-_WORD_LIST = sorted({w for words in COMMON_WORDS.values() for w in words})
-_WORD_AT = {w.encode(): i for i, w in enumerate(_WORD_LIST)}
 _EDGE_MARKS = b".,;:!?\"()"
 
 
-def _class_of_byte() -> np.ndarray:
-    """Class numbers of single bytes; bytes that continue a character count nowhere (the last number)."""
-    out = np.full(256, 7, np.int64)
-    for b in range(256):
-        c = chr(b)
-        if 0x80 <= b < 0xC0:
-            out[b] = 9
-        elif b >= 0xC0:
-            out[b] = 8
-        elif c.islower():
-            out[b] = 0
-        elif c.isupper():
-            out[b] = 1
-        elif c.isdigit():
-            out[b] = 2
-        elif c in " \t\n\r\x0b\x0c":
-            out[b] = 3
-        elif c in ".,;:!?'\"-":
-            out[b] = 4
-        elif c in "()[]{}/\\":
-            out[b] = 6
-        elif b > 32 and b < 127:
-            out[b] = 5
-    return out
-
-
-_CLASS = _class_of_byte()
+def _class_of(c: str) -> int:
+    """The character's class by its Unicode category; space is what words are cut at."""
+    if c in " \t\n\r\x0b\x0c":
+        return 3
+    kind = unicodedata.category(c)
+    if kind in ("Ps", "Pe", "Pi", "Pf") or c in "/\\":
+        return 6 if c.isascii() else 4
+    if c.isascii():
+        return {"Ll": 0, "Lu": 1, "Nd": 2, "Cc": 7}.get(kind, 4 if c in ".,;:!?'\"-" else 5)
+    if kind in ("Ll", "Lu", "Lt"):
+        return 8
+    return {"L": 9, "M": 9, "N": 2, "P": 4, "Z": 4, "S": 5, "C": 7}[kind[0]]
+
+
+@cache
+def _classes_of_points() -> np.ndarray:
+    return np.array([_class_of(chr(c)) for c in range(0x110000)], np.uint8)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -106,66 +99,128 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def describe(text: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, class counts, word counts)."""
+def tokens(text: str) -> list[bytes]:
+    """Lower-case words without marks at their ends, as common words are compared."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _EDGE_MARKS).split()
+
+
+def describe(text: str | None, common: Mapping[bytes, int] = MappingProxyType({})) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, class counts, {common word's number: count})."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()] if b"\n" in raw else []
-    classes = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=10)[:9]
-    common = np.zeros(len(_WORD_LIST), np.int32)
-    tokens = Counter(raw.lower().translate(None, _EDGE_MARKS).split())
-    for w, i in _WORD_AT.items():
-        if w in tokens:
-            common[i] = tokens[w]
-    n = len(words)
-    return (n, len(text) - int(classes[3]), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(text), classes, common)
+    points = np.frombuffer(raw, np.uint8) if len(raw) == len(text) else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = np.bincount(_classes_of_points()[points], minlength=len(CLASSES))
+    found: Counter[int] = Counter()
+    for w, n in Counter(tokens(text)).items():
+        if w in common:
+            found[common[w]] = n
+    return (len(words), len(text) - int(classes[3]), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(text), classes, found)
+
+
+def common_words(docs: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
+    """For each label the words (with a letter) that make LEAST_SHARE of its words or more, and some that come close to it.
+
+    A task's counts may lose words of a share below 2 / HELD. It passes on those of at least a quarter of LEAST_SHARE;
+    what it withholds of a common word is less than that, so of the sums those of three quarters hold all common words.
+    So the driver gets at most 4 / (3 LEAST_SHARE) words for each label.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        totals: Counter[str] = Counter()
+        for b in batches:
+            for x, k in zip(b.column(0), b.column(1).to_pylist()):
+                found = tokens(x.as_py() or "")
+                totals[k] += len(found)
+                own = held.setdefault(k, Counter())
+                own.update(found)
+                if len(own) > HELD:
+                    less = sorted(own.values())[-HELD // 2]
+                    held[k] = Counter({w: n - less for w, n in own.items() if n > less})
+        rows = [(k, None, n) for k, n in totals.items()]
+        rows += [(k, w.decode("utf-8", "replace"), n) for k, own in held.items() for w, n in own.items() if n >= totals[k] * LEAST_SHARE / 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("k"))
+    sums = labelled.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "quality-words")
+    totals = sums.filter("word IS NULL").select("lang", F.col("n").alias("total"))
+    rows = sums.filter(F.col("word").rlike(r"\p{L}")).join(totals, "lang").filter(F.col("n") >= F.col("total") * (0.75 * LEAST_SHARE)).select("lang", "word").collect()
+    found = {r["lang"]: [] for r in totals.select("lang").collect()}
+    for r in rows:
+        found[r["lang"]].append(r["word"])
+    return {k: sorted(words) for k, words in found.items()}
 
 
 _INTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
-_FEATURES = "struct<" + ",".join(f"{n}:bigint" for n in _INTS) + ",classes:array<bigint>,words:array<int>>"
-_ARROW = pa.struct([*((n, pa.int64()) for n in _INTS), ("classes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
+_FEATURES = "struct<" + ",".join(f"{n}:bigint" for n in _INTS) + ",classes:array<bigint>,words:array<struct<word:int,n:int>>>"
+_WORDS = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32())]))
+_ARROW = pa.struct([*((n, pa.int64()) for n in _INTS), ("classes", pa.list_(pa.int64())), ("words", _WORDS)])
 
 
-def with_features(docs: DataFrame, text: str, keep: list[str], name: str) -> DataFrame:
-    """The kept columns and, as struct `name`, what describe() finds in the whole text."""
-    ship_package(docs.sparkSession)
+def with_features(docs: DataFrame, text: str, keep: list[str], name: str, vocabulary: list[str]) -> DataFrame:
+    """The kept columns and, as struct `name`, what describe() finds in the whole text; words by number in the vocabulary."""
     at = fresh(docs, "text_read")
     table = docs.select(*keep, F.col(text).alias(at))
     schema = with_field(docs.select(*keep).schema, name, _FEATURES)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(shared.value)}
         for batch in batches:
-            rows = [describe(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            rows = [describe(x.as_py(), common) for x in batch.column(batch.num_columns - 1)]
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)]
-            offsets = np.arange(len(rows) + 1, dtype=np.int32)
-            for k, kind, width in ((6, pa.int64(), 9), (7, pa.int32(), len(_WORD_LIST))):
-                flat = np.concatenate([r[k] for r in rows]) if rows else np.zeros(0)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets * width), pa.array(flat, kind)))
+            flat = np.concatenate([r[6] for r in rows]) if rows else np.zeros(0, np.int64)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(CLASSES)), pa.array(flat, pa.int64())))
+            ends = np.cumsum([0, *(len(r[7]) for r in rows)], dtype=np.int32)
+            pairs = [pa.array([x for r in rows for x in side(r[7])], pa.int32()) for side in (dict.keys, dict.values)]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(pairs, names=["word", "n"])))
             made = pa.StructArray.from_arrays(columns, fields=list(_ARROW))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], name])
 
     return table.mapInArrow(run, schema)
 
 
-def references(described: DataFrame, lang: str, name: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms summed over all documents of each language: at most MAX_LANGUAGES rows of fixed width."""
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def references(described: DataFrame, lang: str, name: str, numbers: dict[str, list[int]]) -> dict[str, Reference]:
+    """For each label (class counts, numbers of its common words, their counts and that of all other words), summed over
+    all its documents. A task passes on one row for each label and class or common word of it."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(CLASSES) + 1
+        sums: dict[str, np.ndarray] = {}
+        place = {k: {i: width + j for j, i in enumerate(own)} for k, own in numbers.items()}
+        for b in batches:
+            n_words, classes, words = b.column(1).to_numpy(), b.column(2), b.column(3)
+            flat = classes.flatten().to_numpy().reshape(-1, len(CLASSES))
+            at, which, n = words.offsets.to_numpy(), *(words.values.field(k).to_numpy() for k in (0, 1))
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if k not in sums:
+                    sums[k] = np.zeros(width + len(numbers.get(k, ())), np.int64)
+                own, mine = sums[k], place.get(k, {})
+                own[: len(CLASSES)] += flat[i]
+                own[len(CLASSES)] += n_words[i]
+                for w, c in zip(which[at[i] : at[i + 1]].tolist(), n[at[i] : at[i + 1]].tolist()):
+                    if w in mine:
+                        own[mine[w]] += c
+        rows = [(k, j, int(x)) for k, own in sums.items() for j, x in enumerate(own)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "place", "n"])
+
     f = F.col(name)
-    sums = [F.sum(f["classes"][k]).alias(f"c{k}") for k in range(len(CLASSES))]
-    sums += [F.sum(f["words"][k]).alias(f"w{k}") for k in range(len(_WORD_LIST))]
-    top = (
-        described.filter(F.col(lang).isNotNull())
-        .groupBy(F.col(lang).alias("lang"))
-        .agg(F.count("*").alias("n"), F.sum(f["n_words"]).alias("n_words"), *sums)
-        .orderBy(F.desc("n"), "lang")
-        .limit(MAX_LANGUAGES)
-    )
-    found = {}
-    for r in top.collect():
-        classes = np.array([r[f"c{k}"] for k in range(len(CLASSES))], float)
-        words = np.array([r[f"w{k}"] for k in range(len(_WORD_LIST))], float)
-        if classes.sum():
-            found[r["lang"]] = (classes, np.append(words, max(0.0, r["n_words"] - words.sum())))
+    labelled = described.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("k"), f["n_words"].alias("n"), f["classes"].alias("c"), f["words"].alias("w"))
+    found: dict[str, Reference] = {}
+    width = len(CLASSES) + 1
+    sums = {k: np.zeros(width + len(own)) for k, own in numbers.items()}
+    for r in labelled.mapInArrow(add, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect():
+        sums[r["lang"]][r["place"]] = r["n"]
+    for k, own in sums.items():
+        if own[: len(CLASSES)].sum():
+            words = own[width:]
+            found[k] = (own[: len(CLASSES)], np.array(numbers[k], int), np.append(words, max(0.0, own[width - 1] - words.sum())))
     return found
 
 
@@ -183,34 +238,49 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _VERDICT = "struct<base_failed:boolean,kept:boolean,char_distance:double,word_distance:double>"
 
 
-def judge(described: DataFrame, refs: dict, name: str, verdict: str, keep: list[str]) -> DataFrame:
-    """The kept columns and the struct `verdict`; distances are null where a guard or a missing reference rules them out."""
-    order = sorted(refs)
-    chars = [refs[k][0][_JUDGED] for k in order]
-    words = []
-    for k in order:
-        mask = np.array([w in COMMON_WORDS.get(k, ()) for w in _WORD_LIST] + [False])
-        words.append((mask, refs[k][1]) if mask.any() else None)
+def judge(described: DataFrame, refs: dict[str, Reference], name: str, verdict: str, keep: list[str], words: int) -> DataFrame:
+    """The kept columns and the struct `verdict`; distances are null where a guard or a missing reference rules them out.
+
+    words: the number of words in the vocabulary.
+    """
+    order = [refs[k] for k in sorted(refs)]
+    spoken = np.array([len(r[1]) > 0 for r in order])
     f = F.col(name)
     table = described.select(*keep, *(f[n].alias(f"_{n}") for n in _INTS), f["classes"].alias("_classes"), f["words"].alias("_words"))
     schema = with_field(described.select(*keep).schema, verdict, _VERDICT)
     n_keep = len(keep)
+    shared = described.sparkSession.sparkContext.broadcast(order)
+
+    def far_from(order: list[Reference], n_words: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Distances of characters and words to the nearest reference (2 x documents)."""
+        far = np.full((2, len(n_words)), np.nan)
+        if not order:
+            return far
+        by_chars = np.array([distance(classes[:, _JUDGED], r[0][_JUDGED]) for r in order])
+        far[0] = by_chars.min(0)
+        for _, own, ref in filter(lambda r: len(r[1]), order):
+            mine = np.column_stack([counts[:, own], np.maximum(n_words - counts[:, own].sum(1), 0)])
+            far[1] = np.fmin(far[1], distance(mine, ref))
+        far[1][~spoken[by_chars.argmin(0)]] = np.nan
+        return far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _BLOCK // max(1, words))
         for batch in batches:
             if not batch.num_rows:
                 continue
             n_words, repeats, n_chars = (batch.column(n_keep + k).to_numpy(zero_copy_only=False) for k in (0, 4, 5))
             classes = batch.column(n_keep + 6).flatten().to_numpy().reshape(-1, len(CLASSES)).astype(float)
-            counts = batch.column(n_keep + 7).flatten().to_numpy().reshape(-1, len(_WORD_LIST)).astype(float)
+            listed = batch.column(n_keep + 7)
+            at, which, n = listed.offsets.to_numpy(), *(listed.values.field(k).to_numpy() for k in (0, 1))
             base = (n_words < MIN_BASE_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
             far = np.full((2, len(base)), np.nan)
-            for ref in chars:
-                far[0] = np.fmin(far[0], distance(classes[:, _JUDGED], ref))
-            for found in filter(None, words):
-                mask, ref = found
-                own = np.column_stack([counts[:, mask[:-1]], n_words - counts[:, mask[:-1]].sum(1)])
-                far[1] = np.fmin(far[1], distance(np.maximum(own, 0), np.append(ref[mask], ref.sum() - ref[mask].sum())))
+            for s in range(0, len(base), step):
+                e = min(len(base), s + step)
+                counts = np.zeros((e - s, words))
+                inner = slice(at[s], at[e])
+                counts[np.repeat(np.arange(e - s), np.diff(at[s : e + 1])), which[inner]] = n[inner]
+                far[:, s:e] = far_from(shared.value, n_words[s:e], classes[s:e], counts)
             far[0][n_chars < MIN_CHARS] = np.nan
             far[1][n_words < MIN_WORDS] = np.nan
             kept = ~base & ~(far[0] > MAX_CHAR_DISTANCE) & ~(far[1] > MAX_WORD_DISTANCE)
@@ -228,9 +298,14 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[
 
     The features are written once to the shared folder: the references need them all before the first verdict.
     """
+    ship_package(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     name, verdict, lang_at = fresh(docs, "features"), fresh(docs, "verdict"), fresh(docs, "lang_read")
-    described = materialize(with_features(docs.withColumn(lang_at, F.col(lang)), text, [*keep, lang_at], name), "quality")
-    first = judge(described, references(described, lang_at, name), name, verdict, [lang_at, name])
-    refs = references(first.filter(F.col(verdict)["kept"]), lang_at, name)
-    return judge(described, refs, name, verdict, [*keep, name])
+    words = common_words(docs, text, lang)
+    vocabulary = sorted({w for own in words.values() for w in own})
+    at = {w: i for i, w in enumerate(vocabulary)}
+    numbers = {k: [at[w] for w in own] for k, own in words.items()}
+    described = materialize(with_features(docs.withColumn(lang_at, F.col(lang)), text, [*keep, lang_at], name, vocabulary), "quality")
+    first = judge(described, references(described, lang_at, name, numbers), name, verdict, [lang_at, name], len(vocabulary))
+    refs = references(first.filter(F.col(verdict)["kept"]), lang_at, name, numbers)
+    return judge(described, refs, name, verdict, [*keep, name], len(vocabulary))

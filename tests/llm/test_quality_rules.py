@@ -44,15 +44,70 @@ def test_sorted_windows_agree(monkeypatch):
 
 
 def test_labels(spark):
-    """Junk goes, clean documents stay."""
+    """Junk goes, clean documents stay; the limits were chosen on even ids and are held against odd ones."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("doc_id % 2 = 1")
     found = Q.quality(docs, keep=["doc_id"]).select("doc_id", "verdict.*").join(labels, "doc_id")
     by = {r.quality: r for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept"), F.avg((F.col("kept") | F.col("base_failed")).cast("double")).alias("clean")).collect()}
     assert by[0].kept < 0.05
     assert by[1].clean > 0.995
 
 
+# Function words and stems of languages that no list names.
+FIFTH = {
+    "pl": ("nie to się na w z do że jest i", "dom kot pies woda drzewo szkoła książka miasto rzeka góra człowiek praca słońce księżyc żółw łódź"),
+    "el": ("και το να είναι στο με για που δεν τα", "σπίτι γάτα σκύλος νερό δέντρο σχολείο βιβλίο πόλη ποτάμι βουνό άνθρωπος δουλειά ήλιος φεγγάρι"),
+    "ja": ("", "日本語の文章は言葉の間に空白を入れないので一つの文が一つの語になります 東京は大きな街です 猫は水が好きではありません"),
+}
+
+
+def made_up(rng, lang):
+    common, stems = (x.split() for x in FIFTH[lang])
+    if not common:
+        return "。\n".join("".join(rng.choice(list("".join(stems)), 30)) for _ in range(30))
+    words = [rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(stems, rng.integers(1, 3))) for _ in range(200)]
+    return ". ".join(" ".join(words[k : k + 9]).capitalize() for k in range(0, 200, 9)) + "."
+
+
+def test_any_labelled_language_stays(spark):
+    """Languages that nothing here knows are kept as soon as documents are labelled with them; junk goes all the same."""
+    rng = np.random.default_rng(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = [(10_000 + 1000 * k + i, made_up(rng, lang), lang) for k, lang in enumerate(FIFTH) for i in range(300)]
+    more += [(20_000 + i, " ".join("".join(rng.choice(list("#*$%&|<>@^~=+_"), 6)) for _ in range(150)), "pl") for i in range(10)]
+    found = Q.quality(docs.union(spark.createDataFrame(more, docs.schema)), keep=["doc_id", "lang"]).select("doc_id", "lang", "verdict.*").filter("doc_id >= 10000 AND NOT base_failed").collect()
+    for lang in FIFTH:
+        kept = [r.kept for r in found if r.lang == lang and r.doc_id < 20_000]
+        assert len(kept) == 300 and np.mean(kept) >= 0.98, (lang, np.mean(kept))
+    assert not any(r.kept for r in found if r.doc_id >= 20_000)
+
+
+def test_more_labels_than_any_cap(spark):
+    """Each of sixty labels has its own reference."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(60):
+        stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(40)]
+        for i in range(20):
+            rows.append((100 * k + i, " ".join(rng.choice(stems[:8]) if rng.random() < 0.5 else "".join(rng.choice(stems, 3)) for _ in range(150)), f"l{k}"))
+    found = Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("verdict.*").collect()
+    assert len(found) == 1200 and np.mean([r.kept for r in found]) >= 0.98
+
+
+def test_common_words_by_brute_force(spark, monkeypatch):
+    """Also with tasks that may hold few words: every word of the share is found, and no label's list is long."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    for held in (Q.HELD, 3000):
+        monkeypatch.setattr(Q, "HELD", held)
+        found = Q.common_words(docs, "text", "lang")
+        for lang in {r.lang for r in rows}:
+            words = [w.decode() for r in rows if r.lang == lang for w in Q.tokens(r.text)]
+            counts = {w: words.count(w) for w in set(words[:2000])}
+            assert {w for w, n in counts.items() if n >= Q.LEAST_SHARE * len(words) and re.search(r"[^\W\d_]", w)} <= set(found[lang])
+            assert len(found[lang]) <= 4 / (3 * Q.LEAST_SHARE)
+
+
 def test_odd_and_empty(odd_docs, no_docs):
     out = Q.quality(odd_docs)
     assert out.columns[: len(odd_docs.columns)] == odd_docs.columns and len(set(map(str.lower, out.columns))) == len(out.columns)
