@@ -55,16 +55,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: a directory for each source, in it one for every hundred ids."""
+    """The documents as files. A source is a directory; every four hundred ids have one in it, and every two thousand one
+    around these. Of a source's documents every fifth is its directory's license file, every twenty-fifth that of the
+    directory around it, so that what these hold is inherited by those beside and below them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    number = lambda n: F.floor(F.col("doc_id") / n)
+    outer, inner = number(2000).cast("string"), number(400).cast("string")
+    name = F.concat(F.when(number(20) % 5 == 0, "LICENSE.").otherwise("text."), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), outer, F.when(number(20) % 25 != 0, inner), name)
     found = licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id"])
     return found.withColumn("score", F.round("score", 9))
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return quotations.link(talk).drop("own")
+    """Conversations in reply order: position and own text of every message."""
+    return quotations.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from burstmill.llm import licenses as S
+from burstmill.llm import queries
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, text string"
@@ -17,7 +18,7 @@ def slow_best(passage, texts):
     vec = lambda t: {w: c * idf(w) for w, c in Counter(S.words_of(t)).items()}
     dot = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items())
     p = vec(passage)
-    return max((dot(p, q) / math.sqrt(dot(p, p) * dot(q, q)), k) for k, ts in S.TEMPLATES.items() for q in map(vec, ts))
+    return max((dot(p, q) / math.sqrt(dot(p, p) * dot(q, q)), k) for k, ts in S.TEMPLATES.items() for q in map(vec, [*ts, "\n".join(ts)]))
 
 
 def test_scores(spark):
@@ -52,3 +53,33 @@ def test_odd_and_empty(odd_docs, no_docs):
     with_path = odd_docs.withColumn("path", F.when(F.col("doc_id") != 3, F.concat_ws("/", "source", "doc_id"))).withColumn("own", F.lit(1)).withColumn("given", F.lit(1))
     assert S.scan(with_path, keep=["doc_id"]).count() == odd_docs.count()
     assert S.scan(no_docs.withColumn("path", F.col("source"))).collect() == []
+
+
+def slow_inherited(rows):
+    """{path: (license, from)} of rows (path, own license): the nearest directory at or above that has a license file."""
+    out = {}
+    for path, own in rows:
+        out[path] = (own, None)
+        parts = path.split("/")[:-1]
+        for n in range(len(parts), -1, -1) if own is None else ():
+            here = "/".join(parts[:n])
+            given = sorted((p, k) for p, k in rows if k and p.rpartition("/")[0] == here and p.rpartition("/")[2].lower().partition(".")[0] in S.FILE_NAMES)
+            if given:
+                out[path] = (given[0][1], given[0][0])
+                break
+    return out
+
+
+def test_query_inherits_as_brute_force_does(spark):
+    found = queries.QUERIES["op8_license_scan"](spark, "/root/testdata/sf0.1").collect()
+    slow = slow_inherited([(r.path, r.own_license) for r in found])
+    assert all((r.license, r.inherited_from) == slow[r.path] for r in found)
+    assert sum(r.inherited_from is not None for r in found) > 100 and len({r.path for r in found}) == len(found)
+
+
+def test_whole_texts_and_ties(spark):
+    texts = {name: "\n\n".join(S.TEMPLATES[name]) for name in ("MIT", "BSD-3-Clause", "ISC")}
+    rows = [(f"{name}/LICENSE", f"Copyright (c) 2020 The Authors\n\n{t}") for name, t in texts.items()] + [("both/x", "Released under the MIT License.\nReleased under CC0 1.0.")]
+    found = {r.path: r for r in S.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[f"{name}/LICENSE"].own_license == name for name in texts)
+    assert found["both/x"].score == pytest.approx(1) and found["both/x"].own_license in ("MIT", "CC0-1.0")
