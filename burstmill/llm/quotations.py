@@ -3,14 +3,20 @@
 A line's quote level is the number of `>` at its start, spaces between them allowed. Lines of level 0 are the message's own
 text; a line that announces a quote (it ends in a colon and says who wrote) is left out of it. A passage is a run of
 lines of one level, up to an empty line. It is normalised (lower case, single spaces also for line ends, no mark at the
-ends) and hashed, and so is each of its lines, as quotes may be partial; what has fewer than MIN_CHARS characters is not.
-Own passages are hashed in the same way. A quoted hash belongs to the earliest message of its conversation, before the
-quoting one, that has it as its own. A message answers the one to which most of its level-1 hashes belong (ties: the
-latest turn); nested levels link to earlier ones likewise.
-
-A message that quotes nothing has no parent but the turn before it. As a parent is always an earlier turn, the order of
-turns is a reply order. Rows with null conversation or turn are kept and link to nothing; repeated rows link alike; a
-null text is empty. An empty table gives an empty result.
+ends) and hashed, and so is each of its lines of MIN_CHARS characters or more, as quotes may be partial. Own passages are
+hashed in the same way. A quoted hash belongs to the earliest message of its conversation, before the quoting one, that
+has it as its own. A message answers the one to which most of its level-1 hashes belong (ties: the latest turn); nested
+levels link to earlier ones likewise. A message that links to nothing at level 1 answers the turn before it.
+
+Conversations are built in reply order: a message is followed by the replies to it, the earliest turn first, each with
+its own replies after it. Where nobody answers anything but the turn before, that is the order of turns. Where some
+message has several replies, each message names the next one (its first reply, else the next reply of the nearest
+message above it that has one), and positions follow from these links by doubling: in as many rounds of joins as the
+length of the longest such conversation has binary digits. No conversation is collected: turns are numbered in stretches
+of STRETCH turns, and rows that share a turn have one position.
+
+Rows with null conversation or turn are kept, link to nothing and have no position; repeated rows link alike; a null text
+is empty. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +27,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstmill.shared import fresh, materialize, ship_package, with_field
+from burstmill.shared import discard, fresh, materialize, ship_package, with_field
 
 MIN_CHARS = 12
+#: Turns of a conversation that are numbered in one window.
+STRETCH = 4096
 _MARKS = re.compile(r"^(?:[ \t]*>)+")
 _INTRO = re.compile(r"(?:wrote|writes|schrieb|a écrit|escribió)\b.*:\s*$", re.I)
 
@@ -67,13 +75,9 @@ def passages(text: str | None) -> list[tuple[int, list[str]]]:
 
 
 def hashes(lines: list[str]) -> set[int]:
-    """Those of a passage and of its lines."""
-    return {h for x in (" ".join(lines), *lines) if (h := _hash(x)) is not None}
-
-
-def _hash(line: str) -> int | None:
-    kept = normalise(line)
-    return xxhash.xxh3_64_intdigest(kept) - (1 << 63) if len(kept) >= MIN_CHARS else None
+    """Those of a passage, however short, and of its longer lines."""
+    kept = [normalise(" ".join(lines)), *(x for line in lines if len(x := normalise(line)) >= MIN_CHARS)]
+    return {xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in kept if x}
 
 
 _PARSED = "struct<own:string,own_sha256:string,levels:int,quoted_lines:int,lines:array<bigint>,quotes:array<struct<level:int,line:bigint>>>"
@@ -108,13 +112,62 @@ def with_quotes(messages: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return messages.select(*keep, F.col(text).alias(fresh(messages, "text_read"))).mapInArrow(run, with_field(messages.select(*keep).schema, name, _PARSED))
 
 
+def with_turn_before(turns: DataFrame) -> DataFrame:
+    """turns (c, t), distinct, with `before`, the turn before in the conversation, and `number`, from 0.
+
+    Windows hold STRETCH turns; those of whole conversations hold one row for each stretch.
+    """
+    stretch = F.floor(F.col("t") / STRETCH)
+    sums = turns.groupBy("c", stretch.alias("s")).agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    whole = Window.partitionBy("c").orderBy("s")
+    offsets = sums.select("c", "s", F.sum("n").over(whole).alias("upto"), "n", F.lag("last").over(whole).alias("last"))
+    inside = Window.partitionBy("c", "s").orderBy("t")
+    own = turns.withColumn("s", stretch).withColumns({"place": F.row_number().over(inside), "lag": F.lag("t").over(inside)})
+    joined = own.join(offsets, ["c", "s"])
+    return joined.select("c", "t", F.coalesce("lag", "last").alias("before"), (F.col("upto") - F.col("n") + F.col("place") - 1).alias("number"))
+
+
+def reply_order(replies: DataFrame) -> DataFrame:
+    """(c, t, position) of (c, t, parent, number): the order in which a message's replies follow it."""
+    several = replies.filter("parent IS NOT NULL").groupBy("c", "parent").count().filter("count > 1").select("c").distinct()
+    several = materialize(several, "quotes-branched")
+    plain = replies.join(several, "c", "left_anti").select("c", "t", F.col("number").alias("position"))
+    if several.isEmpty():
+        return plain
+    tree = materialize(replies.join(several, "c", "left_semi").select("c", "t", "parent"), "quotes-tree")
+    # the roots of a conversation are siblings under turn null; a lead over siblings is over the replies to one message
+    first = tree.filter("parent IS NOT NULL").groupBy("c", F.col("parent").alias("t")).agg(F.min("t").alias("first"))
+    sibling = F.lead("t").over(Window.partitionBy("c", "parent").orderBy("t"))
+    up = materialize(tree.withColumn("sibling", sibling).withColumn("stop", F.col("sibling").isNotNull() | F.col("parent").isNull()), "quotes-up")
+    while True:
+        # who has no next sibling looks at the message above: `parent` moves up, twice as far in each round
+        above = up.select("c", F.col("t").alias("parent"), F.col("sibling").alias("s2"), F.col("parent").alias("p2"), F.col("stop").alias("stop2"))
+        moved = up.join(above, ["c", "parent"], "left")
+        climbs = ~F.col("stop")
+        moved = moved.select("c", "t", F.when(climbs, F.col("p2")).otherwise(F.col("parent")).alias("parent"), F.when(climbs, F.col("s2")).otherwise(F.col("sibling")).alias("sibling"), (F.col("stop") | F.col("stop2")).alias("stop"))
+        before, up = up, materialize(moved, "quotes-up")
+        discard(before)
+        if up.filter(~F.col("stop")).isEmpty():
+            break
+    follows = up.join(first, ["c", "t"], "left").select("c", "t", F.coalesce("first", "sibling").alias("next"))
+    rank = materialize(follows.withColumn("behind", F.col("next").isNotNull().cast("long")), "quotes-rank")
+    while not rank.filter("next IS NOT NULL").isEmpty():
+        ahead = rank.select("c", F.col("t").alias("next"), F.col("next").alias("n2"), F.col("behind").alias("b2"))
+        doubled = rank.join(ahead, ["c", "next"], "left").select("c", "t", F.col("n2").alias("next"), (F.col("behind") + F.coalesce("b2", F.lit(0))).alias("behind"))
+        before, rank = rank, materialize(doubled, "quotes-rank")
+        discard(before)
+    sizes = tree.groupBy("c").agg(F.count("*").alias("size"))
+    return plain.unionByName(rank.join(sizes, "c").select("c", "t", (F.col("size") - 1 - F.col("behind")).alias("position")))
+
+
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conversation, turn, role, own, own_sha256, levels, quoted_lines, linked_hashes, parent_turn, origins) for every message.
+    """(conversation, turn, role, own, own_sha256, levels, quoted_lines, linked_hashes, parent_turn, position, origins) of every message.
 
-    own is the text without quotes; origins lists (level, turn) of the messages that its quotes come from.
+    own is the text without quotes; position is the message's place in the conversation's reply order, from 0; origins
+    lists (level, turn) of the messages that its quotes come from.
     """
     parsed = with_quotes(messages, text, [conversation, turn, role])
-    parsed = materialize(parsed.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), f"{parsed.columns[-1]}.*"), "quotes-parsed")
+    parsed = materialize(parsed.select(F.col(conversation).alias("c"), F.col(turn).cast("long").alias("t"), F.col(turn).alias("t_given"), F.col(role).alias("r"), f"{parsed.columns[-1]}.*"), "quotes-parsed")
     asked = parsed.select("c", "t", F.explode("quotes").alias("q")).select("c", "t", "q.level", "q.line").filter("c IS NOT NULL AND t IS NOT NULL")
     asked = materialize(asked.groupBy("c", "t", "level", "line").agg(F.count("*").alias("times")), "quotes-asked")
     # only hashes that someone quotes are looked up; the earliest message of a conversation that has one stands for it
@@ -125,9 +178,13 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     best = met.groupBy("c", "t", "level").agg(F.max(F.struct("times", "origin")).alias("best"), F.sum("times").alias("linked"))
     found = best.groupBy("c", "t").agg(
         F.sum("linked").alias("linked_hashes"),
-        F.max(F.when(F.col("level") == 1, F.col("best.origin"))).alias("parent"),
+        F.max(F.when(F.col("level") == 1, F.col("best.origin"))).alias("quoted"),
         F.sort_array(F.collect_list(F.struct("level", F.col("best.origin").alias("turn")))).alias("origins"),
     )
-    out = parsed.join(found, ["c", "t"], "left")
-    columns = [F.col("c").alias(conversation), F.col("t").alias(turn), F.col("r").alias(role)]
-    return out.select(*columns, "own", "own_sha256", "levels", "quoted_lines", F.coalesce("linked_hashes", F.lit(0)).alias("linked_hashes"), F.col("parent").alias("parent_turn"), "origins")
+    turns = with_turn_before(parsed.filter("c IS NOT NULL AND t IS NOT NULL").select("c", "t").distinct())
+    replies = turns.join(found, ["c", "t"], "left").withColumn("parent", F.coalesce("quoted", "before"))
+    replies = materialize(replies.select("c", "t", "parent", "number", "linked_hashes", "origins"), "quotes-replies")
+    ordered = replies.join(reply_order(replies), ["c", "t"]).drop("number")
+    out = parsed.join(ordered, ["c", "t"], "left")
+    columns = [F.col("c").alias(conversation), F.col("t_given").alias(turn), F.col("r").alias(role)]
+    return out.select(*columns, "own", "own_sha256", "levels", "quoted_lines", F.coalesce("linked_hashes", F.lit(0)).alias("linked_hashes"), F.col("parent").alias("parent_turn"), "position", "origins")

@@ -1,3 +1,5 @@
+import random
+
 from burstmill.llm import quotations as T
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -41,8 +43,10 @@ def test_links(spark):
     by = {(r.conv_id, r.turn): r for r in found}
     assert by[1, 1].parent_turn == 0 and by[1, 1].linked_hashes == 2 and by[1, 1].own == "It is rather sunny outside.\nRain will come in the evening."
     assert by[1, 2].parent_turn == 1 and [(o.level, o.turn) for o in by[1, 2].origins] == [(1, 1), (2, 0)] and by[1, 2].levels == 2
-    assert all(by[k].parent_turn is None for k in [(1, 0), (1, 3), (2, 0), (2, 1), (2, 2), (None, 0), (1, None)])
-    assert sum(r.parent_turn == 1 for r in found) == 2
+    assert all(by[k].parent_turn is None for k in [(1, 0), (2, 0), (None, 0), (1, None)])
+    assert (by[1, 3].parent_turn, by[2, 1].parent_turn, by[2, 2].parent_turn) == (2, 0, 1)  # who links to nothing answers the turn before
+    assert [by[1, t].position for t in range(4)] == [0, 1, 2, 3] and by[None, 0].position is None
+    assert sum(r.parent_turn == 1 for r in found) == 3
 
 
 def test_table_and_empty(spark):
@@ -57,3 +61,66 @@ def test_one_conversation_of_many_turns(spark):
     rows = [(1, i, "user", (f"> this is line number {i - 1}\n" if i else "") + f"this is line number {i}\nthe line that everyone writes") for i in range(300)]
     found = T.link(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.parent_turn == (r.turn - 1 if r.turn else None) for r in found)
+
+
+def slow_conversations(rows):
+    """{(conversation, turn): (parent, position)} by plain loops: hashed passages are texts, replies follow by recursion."""
+    out = {}
+    for conv in {c for c, *_ in rows}:
+        texts = {}
+        for c, t, _, text in sorted(rows, key=lambda r: r[1]):
+            if c == conv:
+                texts.setdefault(t, text)
+        said = {}
+        for t, text in texts.items():
+            for level, lines in T.passages(text):
+                if not level:
+                    whole = T.normalise(" ".join(lines))
+                    for x in {whole, *(y for y in map(T.normalise, lines) if len(y) >= T.MIN_CHARS)}:
+                        said.setdefault(x, t)
+        parents = {}
+        for k, (t, text) in enumerate(texts.items()):
+            votes = {}
+            for level, lines in T.passages(text):
+                if level == 1:
+                    for x in {T.normalise(" ".join(lines)), *(y for y in map(T.normalise, lines) if len(y) >= T.MIN_CHARS)}:
+                        if x and said.get(x, t) < t:
+                            votes[said[x]] = votes.get(said[x], 0) + 1
+            parents[t] = max(votes, key=lambda v: (votes[v], v)) if votes else (list(texts)[k - 1] if k else None)
+        order = []
+
+        def follow(t):
+            order.append(t)
+            for u in texts:
+                if parents[u] == t:
+                    follow(u)
+
+        follow(next(iter(texts)))
+        out |= {(conv, t): (parents[t], order.index(t)) for t in texts}
+    return out
+
+
+def test_conversations_by_brute_force(spark, monkeypatch):
+    """Messages that quote random earlier ones, short passages and partial lines too; windows of a few turns."""
+    monkeypatch.setattr(T, "STRETCH", 4)
+    rng = random.Random(8)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in sorted(rng.sample(range(60), rng.randrange(1, 40))):
+            text = ""
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if said:
+                    text += f"> {rng.choice(said)}\n\n"
+            own = [rng.choice(["yes", "no", f"a line of its own, number {rng.random()}", f"ok {turn}"]) for _ in range(rng.randrange(1, 4))]
+            said += own
+            rows.append((conv, turn, "user", text + "\n\n".join(own)))
+    found = {(r.conv_id, r.turn): (r.parent_turn, r.position) for r in T.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == slow_conversations(rows)
+    assert any(p != t for (c, t), (p, _) in found.items()) and len({c for (c, t), (_, k) in found.items() if k != sorted(u for d, u in found if d == c).index(t)}) > 3
+
+
+def test_long_quotes(spark):
+    text = "word " * 50_000 + "end"
+    rows = [(1, 0, "user", text), (1, 1, "user", "unrelated"), (1, 2, "user", "> " + text + "\nanswer")]
+    assert {r.turn: (r.parent_turn, r.own[:9]) for r in T.link(spark.createDataFrame(rows, SCHEMA)).collect()} == {0: (None, text[:9]), 1: (0, "unrelated"), 2: (0, "answer")}
