@@ -1,9 +1,11 @@
 """Sharding by a two-pass external shuffle.
 
 First pass: a seeded hash of the id deals each row to a shard, and a seeded hash of id and text to one of the shard's
-buckets, as many as keep a bucket near BUCKET_BYTES. Second pass: each bucket, which fits in memory, is put in a fixed
-order, shuffled by Fisher and Yates with a seed of its own, and written. A row's slot is its bucket's offset in the
-shard plus its place in the bucket.
+buckets, as many as the shard's counted bytes need at BUCKET_BYTES each. Rows that repeat id and text until they make
+half a bucket or more are interchangeable; of these the row's number among its input's rows is hashed too, so that they
+are dealt to all buckets of their shard. Second pass: each bucket, which fits in memory, is put in a fixed order, shuffled
+by Fisher and Yates with a seed of its own, and written. A row's slot is its bucket's offset in the shard plus its place
+in the bucket.
 
 The law is `key`: the shard is the one whose seeded hash of the id is the largest (highest random weight). It depends
 on nothing but id and number of shards, and one more shard takes rows only into itself. Equal texts with different
@@ -18,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstmill.shared import fresh, new_path, ship_package, with_field
+from burstmill.shared import fresh, materialize, maybe_broadcast, new_path, ship_package, with_field
 
 SEED = 7
 BUCKET_BYTES = 32 << 20
 ROW_BYTES = 16
+#: Tasks of the second pass at most; beyond it a task takes several buckets one after the other.
+MAX_TASKS = 100_000
 
 
 def shard_of(key: str, shards: int, seed: int = SEED) -> Column:
@@ -44,11 +48,17 @@ def shuffle_into_shards(docs: DataFrame, shards: int, text: str = "text", key: s
     spark = docs.sparkSession
     ship_package(spark)
     path = path or new_path(spark, "shards")
-    total = docs.agg(F.sum(size_of(text))).first()[0] or 0
-    buckets = max(1, -(-total // (shards * BUCKET_BYTES)))
     shard, bucket, place = fresh(docs, "shard"), fresh(docs, "bucket"), fresh(docs, "place")
-    dealt = docs.withColumn(shard, shard_of(key, shards, seed))
-    dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(buckets)).cast("int"))
+    content, row, many = (fresh(docs, c) for c in ("content_hash", "row_number", "repeats"))
+    at = shard_of(key, shards, seed)
+    repeated = docs.groupBy(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)).alias(content)).agg(F.sum(size_of(text)).alias("bytes"), F.count("*").alias("n"))
+    repeated = materialize(repeated.filter((F.col("n") > 1) & (2 * F.col("bytes") >= BUCKET_BYTES)).select(content, F.lit(True).alias(many)), "shards-repeated")
+    found = {r["s"]: max(1, -(-r["bytes"] // BUCKET_BYTES)) for r in docs.groupBy(at.alias("s")).agg(F.sum(size_of(text)).alias("bytes")).collect()}
+    buckets = F.element_at(F.array(*(F.lit(found.get(s, 1)) for s in range(shards))), F.col(shard) + 1)
+    dealt = docs.withColumn(shard, at).withColumn(content, F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)))
+    dealt = dealt.withColumn(row, F.monotonically_increasing_id()).join(maybe_broadcast(repeated), content, "left")
+    dealt = dealt.withColumn(bucket, F.pmod(F.when(F.col(many), F.xxhash64(content, row)).otherwise(F.col(content)), buckets).cast("int"))
+    dealt = dealt.select(*docs.columns, shard, bucket).repartition(min(MAX_TASKS, sum(found.values())) or 1, shard, bucket)
     schema = with_field(dealt.schema, place, "bigint")
 
     def shuffled(keys: tuple, rows: pa.Table) -> pa.Table:
