@@ -5,14 +5,15 @@ pre-token that is a token itself. Any other pre-token is merged: its bytes form
 neighbouring pairs that are tokens, lowest rank first, leftmost first among equals. Results of both tiers stay in a
 bounded memo on each worker, as natural text repeats its pre-tokens. Decoding concatenates the tokens' bytes.
 
-Null texts count as empty: no ids. Special tokens are not looked for. An empty table gives an empty result. Lone
-surrogates, which UTF-8 lacks, are read as U+FFFD.
+Null texts count as empty: no ids. Special tokens are not looked for. An empty table gives an empty result. A lone
+surrogate, which UTF-8 lacks, becomes a question mark.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from burstmill.shared import fresh, ship_package, with_field
 
 #: Pre-tokens that one generation of the memo holds; there are two generations.
 MEMO = 300_000
+#: Characters of a pre-token that the memo holds at most, so that it is bounded in bytes too.
+MEMO_CHARS = 64
 #: Keys for each bucket of the perfect hash, on average.
 _BUCKET = 2
 
@@ -133,6 +137,8 @@ class Encoder(dict):
             raw = piece.encode("utf-8", "replace")
             rank = self.hash.rank(raw)
             found = rank.to_bytes(4, "little") if rank >= 0 else self.merge(raw)
+            if len(piece) > MEMO_CHARS:
+                return found
         if len(self) >= MEMO:
             self.old = self.copy()
             self.clear()
@@ -191,9 +197,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     """docs' kept columns (all, if not given) and, as the last column, a struct of the encoding.
 
     It holds n_tokens and, unless digests is set, ids and decoded (the bytes that the ids decode to); with digests the
-    SHA-256 of either, in lower-case hexadecimal digits. path must lead to the rank file on every worker.
+    SHA-256 of either, in lower-case hexadecimal digits. path leads to the rank file on the driver; Spark ships it.
     """
     ship_package(docs.sparkSession)
+    docs.sparkSession.sparkContext.addFile(path)
+    file = os.path.basename(path)
     keep = docs.columns if keep is None else keep
     name, at = fresh(docs, "encoding"), fresh(docs, "text_read")
     fields = "ids_sha256:string,decoded_sha256:string" if digests else "ids:array<int>,decoded:binary"
@@ -201,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from burstmill.llm.byte_bpe import encoder as of_worker  # the module's own memo, not a copy of this closure
 
-        e = of_worker(path, pattern)
+        e = of_worker(SparkFiles.get(file), pattern)
         for b in batches:
             counts, first, second = [], [], []
             for x in b.column(b.num_columns - 1):

@@ -4,8 +4,9 @@ A document's size is its number of words (runs of characters other than space an
 share BUDGET times the total size by weight; a source takes at most MAX_EPOCHS times its own size, and what it leaves
 is shared among the others by weight until none is above. A source first takes its whole documents as many complete
 times as its target holds. Of the rest each document gets an exponential key, -ln(u) / w, with u from a seeded hash of
-its id and w its quality weight; documents are taken in the order of keys as long as their prefix sum stays within the
-rest, and one more may follow: the one whose size comes nearest to the gap, if taking it lessens the gap.
+its id (of its text, if the id is null) and w its quality weight; documents are taken in the order of keys as long as
+their prefix sum stays within the rest, and one more may follow: the one whose size comes nearest to the gap, if taking
+it lessens the gap.
 
 Prefix sums are two-level: sums over BUCKETS key ranges of each source, then a window inside the one range where the
 budget ends. So no task holds a source. Rows with the same source, id, key and size stand together: all of them are
@@ -40,9 +41,9 @@ def quality_weight(text: str) -> Column:
     return F.coalesce(1 / (1 + F.least(F.lit(3.0), 10 * symbols / F.greatest(F.length(F.col(text)), F.lit(1)))), F.lit(1.0))
 
 
-def exponential_key(key: str, weight: Column) -> Column:
-    """-ln(u) / w with u in (0, 1) from the hashed id."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+def exponential_key(key: str, text: str, weight: Column) -> Column:
+    """-ln(u) / w with u in (0, 1) from the hashed id; of rows without one from the hashed text, so that each has its own."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key), F.when(F.col(key).isNull(), F.col(text))), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return -F.ln(u) / weight
 
 
@@ -78,7 +79,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame, text: str, source: str, key: str, weight: Column | None, name: str) -> DataFrame:
     """docs and the struct `name` of source, size, id and key."""
-    e = exponential_key(key, quality_weight(text) if weight is None else weight)
+    e = exponential_key(key, text, quality_weight(text) if weight is None else weight)
     return docs.withColumn(name, F.struct(F.col(source).alias("source"), size_of(text).alias("size"), F.col(key).alias("id"), e.alias("e")))
 
 

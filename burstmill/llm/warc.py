@@ -31,6 +31,7 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 512 << 20
 #: Records of one stretch of a file are read by one task; reads bridge gaps and end at these sizes.
 STRETCH = 32 << 20
+MAX_TASKS = 100_000
 GAP = 64 << 10
 READ = 8 << 20
 LEVEL = 4
@@ -135,7 +136,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that the index rows name, and with payloads their payload (null for revisits)."""
     ship_package(index.sparkSession)
     stretch = F.floor(F.col("offset") / STRETCH)
-    chosen = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # by the archives' bytes: the index, which is what the shuffle sees, is a small part of them
+    tasks = min(MAX_TASKS, -(-(index.agg(F.sum("length")).first()[0] or 1) // STRETCH))
+    chosen = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     schema = _FIELDS + (", payload binary" if payloads else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,3 +78,12 @@ def test_odd_and_empty(odd_docs, no_docs):
     assert M.mixture(odd_docs).columns == odd_docs.columns
     M.mixture(odd_docs).collect()
     assert M.mix(no_docs).collect() == [] and M.mixture(no_docs).collect() == []
+
+
+def test_null_ids_are_not_one_document(spark):
+    """Rows without an id have keys of their own, so a source of them meets its target too."""
+    docs = spark.range(400).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('some words and the number ', id) AS text", "if(id < 40, 'a', 'b') AS source")
+    rows = M.mix(docs).collect()
+    for size in {r.source_size for r in rows}:
+        own = [r for r in rows if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 6

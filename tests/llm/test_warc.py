@@ -54,3 +54,14 @@ def test_archives_are_gzip_members_at_their_offsets(spark):
         text = gzip.decompress(data[r.offset : r.offset + r.length])
         assert text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n") and W.parse(text)["page_id"] == r.page_id
     assert b"".join([gzip.decompress(data)]).count(b"WARC-Type: ") == 2
+
+
+def test_reading_is_dealt_by_bytes(spark, monkeypatch):
+    """The index is small, the archives are not: the number of reading tasks follows the archives."""
+    monkeypatch.setattr(W, "STRETCH", 20_000)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    index = W.write_archives(pages)
+    total = index.agg(F.sum("length")).first()[0]
+    plan = W.read_records(index)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"RepartitionByExpression" in plan and f", {-(-total // 20_000)}" in plan
+    assert W.read_records(index).count() == pages.count()
