@@ -5,10 +5,14 @@ too) has one empty shingle. Groups are the components of links. Texts with the s
 
 At 0.8 two SimHash fingerprints differ in some 10 of 64 bits, far beyond what Golay keys reach, so candidates come from
 three sources: Golay keys (fingerprints at most 2 bits apart), equal fingerprints, and BANDS min-wise hashes of ROWS rows
-each, which miss a pair of similarity 0.8 with probability (1 - 0.8^4)^20 = 3e-5. Every candidate is verified by its
-sets. Up to MAX_BUCKET nodes that share a key are all paired; of more, each is paired with REPS members drawn by hash.
-So in a crowded bucket a pair can be missed if neither of the two resembles a drawn member of any bucket that they
-share; groups of copies of a common text are connected through the members drawn.
+each, which miss a pair of similarity 0.8 with probability (1 - 0.8^4)^20 = 3e-5. Candidates are verified by their sets.
+
+Nodes that share a key are all compared, but pairs are not written out where more than MAX_BUCKET do. Such a bucket is
+first compared with REPS of its members, in the first bands alone. What then lies in one component needs no more
+comparison; in a bucket of several components the members outside the largest are compared with all others. This goes in
+blocks of bounded size, whose counts of common shingles are matrix products, and a block passes on a link from each
+node to the smallest one that it leads to, not its pairs. So no link between components is lost, and the work grows with
+the square of a group only where its members share keys and are no near copies.
 """
 
 from __future__ import annotations
@@ -23,16 +27,23 @@ from pyspark.sql import functions as F
 
 from burstmill.llm import simhash
 from burstmill.operators.components import connected_components
-from burstmill.shared import fresh, materialize, ship_package
+from burstmill.shared import fresh, materialize, ship_package, with_field
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 MAX_BUCKET = 16
 REPS = 4
+#: Bands whose crowded buckets are compared with REPS of their members.
+STAR_BANDS = 4
+#: Nodes and shingles that one side of a block has, on average, at most.
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1_000_000
 SEED = 42
-_BLOCK = 4096
+#: Shingles that are mixed at once; shingles that are columns of a dense product at once.
+_BLOCK = 512
+_COLUMNS = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Each product of a hash and a factor gives two 32-bit hashes.
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -54,12 +65,11 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 def band_keys(found: np.ndarray) -> np.ndarray:
     """One key for each band, of ROWS smallest hashes each."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for s in range(0, len(found), _BLOCK):
-        mixed = found[s : s + _BLOCK, None] * _FACTORS
-        least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(0))
+        least = np.minimum(least, (found[s : s + _BLOCK, None] * _FACTORS).view(np.uint32).min(0))
     key = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
+    for row in least.reshape(BANDS, ROWS).T.astype(np.uint64):
         key = (key ^ row) * _ODD
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
@@ -71,7 +81,7 @@ def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str, str]:
     print_ = found.columns[-1]
     same, bands, row = fresh(found, "same_words"), fresh(found, "bands"), fresh(found, "row_number")
     at = found.columns.index(text)
-    schema = found.withColumn(same, F.lit("").cast("string")).withColumn(bands, F.array().cast("array<bigint>")).schema
+    schema = with_field(with_field(found.schema, same, "string"), bands, "array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,31 +93,39 @@ def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str, str]:
     return found.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), print_, same, bands, row
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: pairs of nodes (node, f, bands) to be verified."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n) of the nodes (node, f, bands) that share a key with others, n nodes in all."""
     keys = nodes.select("node", F.posexplode(F.concat(F.array("f"), "bands")).alias("band", "key"))
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(SEED + k), "node").alias("h"), "node"))["node"] for k in range(REPS)]
-    counts = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*drawn)).alias("reps")).filter("n > 1")
-    met = materialize(keys.join(materialize(counts, "near-copies-buckets"), ["band", "key"]), "near-copies-met")
+    counts = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    return keys.join(materialize(counts, "near-copies-buckets"), ["band", "key"])
+
+
+def candidates(nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: the pairs of buckets that are not crowded, and those that Golay keys find."""
     # at most MAX_BUCKET nodes share a key here
     lists = met.filter(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.collect_list("node").alias("all"))
     few = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    many = met.filter(F.col("n") > MAX_BUCKET).select(F.col("node").alias("x"), F.explode("reps").alias("y"))
     prints = nodes.groupBy("f").agg(F.min("node").alias("node"))
     near = simhash.links(prints.select("f"))
     of = lambda side: prints.select(F.col("f").alias(side), F.col("node").alias("x" if side == "a" else "y"))
     golay = near.join(of("a"), "a").join(of("b"), "b").select("x", "y")
-    return few.union(many).union(golay).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return few.union(golay).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are similar enough."""
+def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, found): the shingles of the wanted nodes; texts: (node, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = pa.array([shingles(_words(x.as_py())).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=["node", "found"])
 
+    return texts.join(wanted, "node").select("node", "text").mapInArrow(sets, "node bigint, found array<bigint>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
@@ -117,12 +135,95 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = materialize(texts.join(wanted, "node").select("node", "text").mapInArrow(sets, "node bigint, found array<bigint>"), "near-copies-sets")
-    one, two = (found.select(F.col("node").alias(k), F.col("found").alias(k + "_set")) for k in ("a", "b"))
+    one, two = (sets.select(F.col("node").alias(k), F.col("found").alias(k + "_set")) for k in ("a", "b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set").mapInArrow(keep, "a bigint, b bigint")
 
 
+def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """How many shingles each row of one side shares with each of the other; sides: (row, shingle) of all shingles."""
+    shared = np.intersect1d(one[1], two[1])
+    out = np.zeros(shape, np.float32)
+    sides = []
+    for row, what in (one, two):
+        at = np.searchsorted(shared, what)
+        met = shared[np.minimum(at, len(shared) - 1)] == what if len(shared) else np.zeros(len(what), bool)
+        row, at = row[met], at[met]
+        order = np.argsort(at, kind="stable")
+        sides.append((row[order], at[order]))
+    for s in range(0, len(shared), _COLUMNS):
+        dense = []
+        for (row, at), n in zip(sides, shape):
+            cut = slice(np.searchsorted(at, s), np.searchsorted(at, s + _COLUMNS))
+            part = np.zeros((n, min(_COLUMNS, len(shared) - s)), np.float32)
+            part[row[cut], at[cut] - s] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _linked_in_block(rows: pa.Table) -> pa.Table:
+    """(a, b): links from each node to the smallest one that links lead to, between the two sides of a block."""
+    nothing = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    sides = []
+    for k in (0, 1):
+        part = rows.filter(pa.array(rows["side"].to_numpy() == k))
+        if not part.num_rows:
+            return nothing
+        found = part["found"].combine_chunks()
+        sizes = np.diff(found.offsets.to_numpy())
+        sides.append((part["node"].to_numpy(), sizes, (np.repeat(np.arange(len(sizes)), sizes), found.values.to_numpy()[found.offsets[0].as_py() : found.offsets[-1].as_py()])))
+    (u, nu, one), (v, nv, two) = sides
+    both = _common(one, two, (len(u), len(v)))
+    near = 5 * both >= 4 * (nu[:, None] + nv[None, :] - both)
+    least_u, least_v = u.copy(), v.copy()
+    far = np.iinfo(np.int64).max
+    while True:
+        new_v = np.minimum(least_v, np.where(near, least_u[:, None], far).min(0))
+        new_u = np.minimum(least_u, np.where(near, new_v[None, :], far).min(1))
+        if (new_u == least_u).all() and (new_v == least_v).all():
+            break
+        least_u, least_v = new_u, new_v
+    a, b = np.concatenate([u, v]), np.concatenate([least_u, least_v])
+    return pa.table({"a": a[a != b], "b": b[a != b]})
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between the members (band, key, node, size, chosen) of a bucket that are chosen and all of it."""
+    counted = members.groupBy("band", "key").agg(F.count_if("chosen").alias("n0"), F.sum(F.when(F.col("chosen"), F.col("size"))).alias("s0"), F.count("*").alias("n1"), F.sum("size").alias("s1"))
+    parts = lambda k: F.greatest(F.ceil(F.col(f"n{k}") / BLOCK_NODES), F.ceil(F.col(f"s{k}") / BLOCK_SHINGLES)).alias(f"p{k}")
+    counted = materialize(counted.filter("n0 > 0").select("band", "key", parts(0), parts(1)), "near-copies-parts")
+    dealt = members.join(counted, ["band", "key"])
+    mine = lambda k: F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col(f"p{k}"))
+    other = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"p{k}") - 1))
+    one = dealt.filter("chosen").select("band", "key", "node", F.lit(0).alias("side"), mine(0).alias("block0"), other(1).alias("block1"))
+    two = dealt.select("band", "key", "node", F.lit(1).alias("side"), mine(1).alias("block1"), other(0).alias("block0"))
+    rows = one.unionByName(two).join(sets, "node").select("band", "key", "block0", "block1", "side", "node", "found")
+    return rows.groupBy("band", "key", "block0", "block1").applyInArrow(_linked_in_block, "a bigint, b bigint").distinct()
+
+
+def groups_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of all nodes (node, f, bands, size) that are linked to others; size: the number of words."""
+    met = materialize(buckets(nodes), "near-copies-met")
+    pairs = materialize(candidates(nodes, met), "near-copies-pairs")
+    crowded = materialize(met.filter(F.col("n") > MAX_BUCKET).join(nodes.select("node", "size"), "node"), "near-copies-crowded")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node")).distinct()
+    sets = materialize(sets_of(wanted, texts), "near-copies-sets")
+    star = crowded.filter(F.col("band") <= STAR_BANDS)
+    # the members with the smallest hashes, one of each of REPS parts of all hashes
+    h = F.xxhash64(F.lit(SEED), "node", "key")
+    first = F.array(*(F.min(F.when(F.pmod(h, F.lit(REPS)) == k, F.struct(h.alias("h"), "node")))["node"] for k in range(REPS)))
+    reps = materialize(star.groupBy("band", "key").agg(first.alias("reps")), "near-copies-reps")
+    star = star.join(reps, ["band", "key"]).withColumn("chosen", F.array_contains("reps", F.col("node")))
+    links = materialize(verified(pairs, sets).union(block_links(star, sets)), "near-copies-links")
+    root = materialize(connected_components(links), "near-copies-root")
+    at = materialize(crowded.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-copies-at")
+    counts = at.groupBy("band", "key", "root").agg(F.count("*").alias("held"))
+    largest = counts.groupBy("band", "key").agg(F.max(F.struct("held", "root"))["root"].alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
+    rest = at.join(materialize(largest, "near-copies-open"), ["band", "key"]).withColumn("chosen", F.col("root") != F.col("largest"))
+    more = materialize(block_links(rest, sets), "near-copies-more")
+    return root if more.isEmpty() else connected_components(links.union(more))
+
+
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest key.
 
@@ -131,10 +232,10 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     ship_package(docs.sparkSession)
     marked, print_, same, bands, row = _marked(docs, text)
     marked = materialize(marked, "near-copies-docs")  # from here on the row numbers stand
-    nodes = marked.groupBy(F.col(same).alias("same")).agg(F.min(row).alias("node"), F.min(print_).alias("f"), F.min(bands).alias("bands"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
+    nodes = marked.groupBy(F.col(same).alias("same")).agg(F.min(row).alias("node"), F.min(print_).alias("f"), F.min(bands).alias("bands"), F.max(size).alias("size"))
     nodes = materialize(nodes, "near-copies-nodes")
-    pairs = materialize(candidates(nodes), "near-copies-pairs")
-    root = connected_components(verified(pairs, marked.select(F.col(row).alias("node"), F.col(text).alias("text"))))
+    root = groups_of(nodes, marked.select(F.col(row).alias("node"), F.col(text).alias("text")))
     found = nodes.select("same", "node").join(root, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     narrow = marked.select(F.col(key).alias("k"), F.col(row).alias("r"), F.col(same).alias("same")).join(materialize(found, "near-copies-roots"), "same")
     first = F.min(F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("r").alias("r")))

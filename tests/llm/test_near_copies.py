@@ -61,3 +61,27 @@ def test_odd_and_empty(spark, odd_docs, no_docs):
     assert N.deduplicate(no_docs).collect() == []
     found = N.deduplicate(odd_docs)
     assert found.columns == odd_docs.columns and sorted(r.doc_id for r in found.collect()) == [1, 2, 4, 5, 6, 8]
+
+
+def families(rng):
+    """A text and copies with one or two words exchanged, which are linked to the text and hardly to each other; a family
+    that is linked throughout; texts that share a passage of half their length; blocks of few nodes."""
+    hub = [f"h{rng.randrange(5000)}" for _ in range(60)]
+    texts = [hub] + [changed(rng, hub, rng.choice([1, 1, 2])) for _ in range(150)]
+    base = [f"b{rng.randrange(5000)}" for _ in range(120)]
+    texts += [base] + [changed(rng, base, 1) for _ in range(100)]
+    passage = [f"p{rng.randrange(5000)}" for _ in range(60)]
+    texts += [passage + [f"q{rng.random()}" for _ in range(rng.randrange(5, 60))] for _ in range(150)]
+    return texts
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_NODES", 40)
+    monkeypatch.setattr(N, "_COLUMNS", 50)
+    rng = random.Random(11)
+    texts = families(rng)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r.doc_id for r in N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    slow = slow_kept(rows)
+    assert found == slow and len(slow) < 400

@@ -4,7 +4,7 @@ import public_tokenizers as P
 import tiktoken
 from burstmill.llm import byte_bpe, language_id, quality_rules
 from test_mixing import slow_targets
-from test_simhash import slow_components, slow_print
+from test_near_copies import slow_kept
 
 
 def test_against_brute_force(spark):
@@ -24,8 +24,7 @@ def test_against_brute_force(spark):
     assert good <= base_ok and len(good) > 0.8 * len(base_ok)
     spoken = {r.doc_id for r in language}
     assert spoken <= good and len(spoken) >= 0.99 * len(good)
-    pairs = [(k, slow_print(rows[k].text)) for k in sorted(spoken)]
-    assert {r.doc_id for r in near} == set(slow_components(pairs).values())
+    assert {r.doc_id for r in near} == slow_kept([(k, rows[k].text) for k in sorted(spoken)])
     size = {r.doc_id: described[r.doc_id][0] for r in near}
     sources, taken = {}, {}
     for r in near:
