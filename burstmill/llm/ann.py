@@ -1,13 +1,19 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
-Building: nodes are dealt to random blocks, which give each node its first NEIGHBOURS neighbours. Then, iteration by
-iteration, the neighbours of a node (with as many of those that have it as neighbour) are compared with each other,
-and each keeps the nearest it has met. The comparison is a Spark cogroup: parts of the node lists with the vectors
-that they mention, each vector once for a part.
+Numbering: random planes, set at the medians of a bounded sample (SAMPLE vectors), cut space into cells; a cell of many
+nodes is cut further by hash. A node's number holds its part, so near nodes lie together, and joining lists with the
+vectors that they mention sends few copies.
+
+Building: the cells of BLOCKINGS sets of planes give each node its first NEIGHBOURS neighbours. Then, iteration by
+iteration, neighbours of a node (with as many of those that have it as neighbour) are compared with each other, if one of
+the two became a neighbour in the iteration before, and each keeps the nearest it has met. The comparison is a Spark
+cogroup: parts of the node lists with the vectors that they mention, each vector once for a part. It ends when an
+iteration replaces at most SETTLED of all edges.
 
 Searching: all queries go on together. In each round every query opens the nearest EXPAND nodes of its pool that it
 has not opened yet, joins their edges, drops the nodes it has seen, computes exact distances where the vectors lie,
-and keeps the POOL nearest. It ends when all of every pool is open. Queries start at their own node and a few entries.
+and keeps the POOL nearest. It ends when all of every pool is open; it is an error if that takes MAX_ROUNDS rounds.
+Queries start at their own node and a few entries.
 
 Rows whose vector is null, zero, or holds null or non-finite components take no part, nor do null ids and vectors of
 another length than the most frequent one (the longer among equally frequent). Rows that share an id count once, with
@@ -22,26 +28,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstmill.shared import discard, materialize, ship_package
-
-NEIGHBOURS = 24
-#: Nodes of a random block at the start, and blocks that each node is dealt to.
-BLOCK = 512
-BLOCKINGS = 2
-#: Lists that are compared in one group. It is small, so that a part's vectors take little memory and the number of
-#: copies of a vector (as many as there are lists that mention it, at most) hardly depends on the number of nodes.
-LISTS = 256
-#: Nodes of a group when edges are merged and distances measured.
-PART = 8192
+from burstmill.shared import discard, materialize, maybe_broadcast, ship_package
+
+NEIGHBOURS = 36
+#: Vectors that the planes are set by.
+SAMPLE = 4096
+#: Nodes of a cell on average, and at most before it is cut by hash; sets of planes.
+CELL, BLOCK = 256, 512
+BLOCKINGS = 3
+#: Bits of a node's number below its part.
+_PLACE = 20
 #: Descent ends when an iteration replaces at most SETTLED of the edges; it is an error if none of so many does.
 MAX_ITERATIONS = 60
 SETTLED = 0.02
-#: Better neighbours of a node that one part reports in one iteration; it reports others in the next.
-REPORTED = 10
-POOL = 600
-EXPAND = 256
+#: Better neighbours of a node that one part reports in one iteration: all that can become its neighbours.
+REPORTED = 36
+POOL = 130
+EXPAND = 32
 ENTRIES = 8
-MAX_ROUNDS = 40
+MAX_ROUNDS = 400
 SEED = 13
 
 
@@ -64,11 +69,45 @@ def nodes_of(vectors: DataFrame, members: int) -> DataFrame:
     return first.groupBy("v").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("members"))
 
 
-def _light(nodes: DataFrame) -> DataFrame:
-    """(node, w): the vectors as floats if that loses nothing, or else as doubles."""
+def _planes(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Directions (BLOCKINGS x planes x dimensions), their medians over a sample of at most SAMPLE nodes, and the number of nodes."""
+    n = nodes.count()
+    drawn = nodes.filter(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(1 << 40)) < F.lit(int((2 * SAMPLE << 40) // max(1, n)))).limit(SAMPLE)
+    x = np.array([r["v"] for r in drawn.select("v").collect()] or [[0.0]])
+    bits = max(0, n // CELL).bit_length()
+    planes = np.random.default_rng(SEED).standard_normal((BLOCKINGS, bits, x.shape[1]))
+    return planes, np.median(np.einsum("tbd,nd->tbn", planes, x), 2), n
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """nodes (node, v, ...) with `number`, whose upper bits are a part of at most some BLOCK near nodes, w and blocks:
+    the vector as floats, if that loses nothing, and the node's block in each set of planes."""
+    ship_package(nodes.sparkSession)
+    planes, medians, _ = _planes(nodes)
     rounds = F.exists("v", lambda x: x.cast("float").cast("double") != x)
     kind = "double" if nodes.agg(F.bool_or(rounds)).first()[0] else "float"
-    return nodes.select("node", F.col("v").cast(f"array<{kind}>").alias("w"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(planes.shape[1], dtype=np.int64)
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            codes = np.stack([((x @ p.T > m) @ weights) * BLOCKINGS + t for t, (p, m) in enumerate(zip(planes, medians))], 1)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BLOCKINGS), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), cells], names=["node", "cells"])
+
+    cells = materialize(nodes.select("node", "v").mapInArrow(cut, "node bigint, cells array<bigint>"), "ann-cells")
+    each = cells.select("node", F.explode("cells").alias("cell"))
+    # cells are as many as blocks, so their counts are a small part of the nodes
+    sizes = materialize(each.groupBy("cell").agg(F.count("*").alias("n")), "ann-cell-sizes")
+    piece = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.ceil(F.col("n") / BLOCK))
+    dealt = each.join(maybe_broadcast(sizes), "cell").select("node", "cell", F.xxhash64("cell", piece).alias("block"))
+    first = dealt.filter(F.col("cell") % BLOCKINGS == 0)
+    place = F.row_number().over(Window.partitionBy("block").orderBy("node"))
+    # two blocks that share the upper bits make one part of twice the size, whose places are counted together
+    number = first.select("node", F.shiftrightunsigned("block", _PLACE + 1).alias("block")).withColumn("number", F.shiftleft("block", _PLACE).bitwiseOR(place))
+    blocks = dealt.groupBy("node").agg(F.collect_list("block").alias("blocks"))
+    found = nodes.withColumn("w", F.col("v").cast(f"array<{kind}>")).join(number.select("node", "number"), "node").join(blocks, "node")
+    return materialize(found, "ann-numbered")
 
 
 def _vectors(rows: pa.Table) -> np.ndarray:
@@ -102,7 +141,7 @@ def _edge_table(u: np.ndarray, v: np.ndarray, d: np.ndarray, old: np.ndarray) ->
 
 def _in_block(rows: pa.Table) -> pa.Table:
     """Each node's nearest in its block, by all distances inside a block of bounded size."""
-    ids, x = rows["node"].to_numpy(), _vectors(rows)
+    ids, x = rows["number"].to_numpy(), _vectors(rows)
     norms = (x * x).sum(1)
     out = [[], [], []]
     for s in range(0, len(ids), BLOCK):
@@ -122,15 +161,15 @@ def _merge(rows: pa.Table) -> pa.Table:
 
 
 def _join_locally(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-    """The members of each list, compared with each other; what improves on a member's worst neighbour."""
+    """The members of each list, compared with each other where one of two is new; what improves on a member's worst neighbour."""
     if not lists.num_rows or not vectors.num_rows:
         return _edge_table(*(np.zeros(0),) * 3, np.zeros(0, bool))
-    ids = vectors["node"].to_numpy()
+    ids = vectors["number"].to_numpy()
     order = np.argsort(ids)
     ids, x, worst = ids[order], _vectors(vectors)[order], vectors["worst"].to_numpy()[order]
     norms = (x * x).sum(1)
     col = lists["members"].combine_chunks()
-    at, flat = col.offsets.to_numpy(), np.searchsorted(ids, col.values.to_numpy())
+    at, flat, new = col.offsets.to_numpy(), np.searchsorted(ids, col.values.field(0).to_numpy()), col.values.field(1).to_numpy(zero_copy_only=False)
     found = [[], [], []]
 
     def settle() -> None:
@@ -140,12 +179,12 @@ def _join_locally(lists: pa.Table, vectors: pa.Table) -> pa.Table:
 
     held = 0
     for k in range(len(col)):
-        m = flat[at[k] : at[k + 1]]
+        m, fresh = flat[at[k] : at[k + 1]], new[at[k] : at[k + 1]]
         far = norms[m][:, None] + norms[m][None, :] - 2 * x[m] @ x[m].T
         np.fill_diagonal(far, np.inf)
-        i, j = np.nonzero(far < worst[m][:, None])
-        for part, new in zip(found, (m[i], m[j], far[i, j])):
-            part.append(new)
+        i, j = np.nonzero((far < worst[m][:, None]) & (fresh[:, None] | fresh[None, :]))
+        for part, met in zip(found, (m[i], m[j], far[i, j])):
+            part.append(met)
         held += len(i)
         if held > 2_000_000:
             settle()
@@ -154,38 +193,31 @@ def _join_locally(lists: pa.Table, vectors: pa.Table) -> pa.Table:
     return _edge_table(ids[found[0][0]], ids[found[1][0]], found[2][0], np.zeros(len(found[0][0]), bool))
 
 
-def _parts(key: str, n: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int")
+def _part(number: str) -> Column:
+    return F.shiftright(number, _PLACE)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(m, x): each node's neighbours, and of the nodes that have it as neighbour as many, drawn by hash."""
-    drawn = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64(F.lit(SEED), "u", "v"), "u"))
-    back = edges.select("u", "v").withColumn("rank", drawn).filter(F.col("rank") <= NEIGHBOURS)
-    return edges.select(F.col("u").alias("m"), F.col("v").alias("x")).union(back.select(F.col("v").alias("m"), F.col("u").alias("x")))
-
-
-def _lists(edges: DataFrame) -> DataFrame:
-    """(m, members): at most twice NEIGHBOURS members."""
-    return _both_ways(edges).groupBy("m").agg(F.collect_set("x").alias("members"))
+    """(m, x, new): each node's neighbours, and of the nodes that have it as neighbour as many, new ones first, drawn by hash."""
+    drawn = F.row_number().over(Window.partitionBy("v").orderBy("old", F.xxhash64(F.lit(SEED), "u", "v"), "u"))
+    back = edges.select("u", "v", "old").withColumn("rank", drawn).filter(F.col("rank") <= NEIGHBOURS)
+    return edges.select(F.col("u").alias("m"), F.col("v").alias("x"), ~F.col("old")).union(back.select(F.col("v").alias("m"), F.col("u").alias("x"), ~F.col("old"))).toDF("m", "x", "new")
 
 
 def build_graph(nodes: DataFrame) -> DataFrame:
-    """(u, v, d, old): the NN-descent graph over nodes (node, v)."""
+    """(u, v, d, old): the NN-descent graph over numbered nodes; u and v are numbers."""
     ship_package(nodes.sparkSession)
-    n = nodes.count()
-    blocks, parts, groups = max(1, n // BLOCK), max(1, -(-n // PART)), max(1, -(-n // LISTS))
-    light = materialize(_light(nodes), "ann-light")
-    dealt = light.withColumn("block", F.explode(F.array(*(_parts("node", blocks, SEED + t) + t * blocks for t in range(BLOCKINGS)))))
+    dealt = nodes.select("number", "w", F.explode("blocks").alias("block"))
     first = dealt.groupBy("block").applyInArrow(lambda rows: _in_block(rows), _EDGES)
-    edges = materialize(first.groupBy(_parts("u", parts, SEED)).applyInArrow(lambda rows: _merge(rows), _EDGES), "ann-graph")
+    edges = materialize(first.groupBy(_part("u")).applyInArrow(lambda rows: _merge(rows), _EDGES), "ann-graph")
     for _ in range(MAX_ITERATIONS):
-        lists = materialize(_lists(edges).withColumn("part", _parts("m", groups, SEED)), "ann-lists")
+        lists = _both_ways(edges).groupBy("m", "x").agg(F.bool_or("new").alias("new")).groupBy("m").agg(F.collect_list(F.struct("x", "new")).alias("members"))
+        lists = materialize(lists.filter(F.exists("members", lambda x: x["new"])).withColumn("part", _part("m")), "ann-lists")
         worst = edges.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        wanted = lists.select(F.col("part").alias("to"), F.explode("members").alias("node")).distinct()
-        sent = wanted.join(light.join(worst, F.col("node") == F.col("u"), "left").select("node", "w", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst")), "node")
-        met = lists.groupBy("part").cogroup(sent.groupBy("to")).applyInArrow(lambda a, b: _join_locally(a, b), _EDGES)
-        merged = edges.withColumn("old", F.lit(True)).union(met).groupBy(_parts("u", parts, SEED)).applyInArrow(lambda rows: _merge(rows), _EDGES)
+        wanted = lists.select(F.col("part").alias("to"), F.explode("members.x").alias("number")).distinct()
+        light = nodes.select("number", "w").join(worst, F.col("number") == F.col("u"), "left").select("number", "w", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+        met = lists.groupBy("part").cogroup(wanted.join(light, "number").groupBy("to")).applyInArrow(lambda a, b: _join_locally(a, b), _EDGES)
+        merged = edges.withColumn("old", F.lit(True)).union(met).groupBy(_part("u")).applyInArrow(lambda rows: _merge(rows), _EDGES)
         before, edges = edges, materialize(merged, "ann-graph")
         total, new = edges.agg(F.count("*"), F.count_if(~F.col("old"))).first()
         discard(before)
@@ -200,7 +232,7 @@ def _measure(asked: pa.Table, vectors: pa.Table) -> pa.Table:
     names = {"q": pa.int64(), "found": pa.list_(pa.struct([("d", pa.float64()), ("node", pa.int64())]))}
     if not asked.num_rows or not vectors.num_rows:
         return pa.table({k: pa.array([], t) for k, t in names.items()})
-    ids = vectors["node"].to_numpy()
+    ids = vectors["number"].to_numpy()
     order = np.argsort(ids)
     ids, x, y = ids[order], _matrix(vectors["v"])[order], _matrix(asked["v"])
     col = asked["cands"].combine_chunks()
@@ -216,15 +248,13 @@ def _measure(asked: pa.Table, vectors: pa.Table) -> pa.Table:
 
 
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(q, pool): for each query (q, v, start) the nearest nodes found, as an array of (d, node), nearest first.
-
-    start: a node where the search begins, or null.
+    """(q, pool, measured): for each query (q, v, start) the nearest nodes found, as an array of (d, number), nearest
+    first, and how many nodes its distance was computed to. Nodes are numbered; start: the number of a node, or null.
     """
     ship_package(nodes.sparkSession)
-    parts = max(1, -(-nodes.count() // PART))
-    around = materialize(_lists(edges).select(F.col("m").alias("node"), F.col("members").alias("near")), "ann-adjacency")
-    vectors = materialize(nodes.select("node", "v", _parts("node", parts, SEED).alias("home")), "ann-vectors")
-    entry = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64(F.lit(SEED), "node")).limit(ENTRIES).collect()]
+    around = materialize(_both_ways(edges).groupBy(F.col("m").alias("node")).agg(F.collect_set("x").alias("near")), "ann-adjacency")
+    vectors = materialize(nodes.select("number", "v", _part("number").alias("home")), "ann-vectors")
+    entry = [r["number"] for r in nodes.select("number").orderBy(F.xxhash64(F.lit(SEED), "number")).limit(ENTRIES).collect()]
     empty = F.array().cast("array<struct<d:double,node:bigint>>")
     ids = F.array().cast("array<bigint>")
     begin = F.array_distinct(F.array_compact(F.concat(F.array("start"), F.array(*map(F.lit, entry)).cast("array<bigint>"))))
@@ -232,7 +262,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     state = queries.select("q", empty.alias("pool"), ids.alias("seen"), ids.alias("open"), begin.alias("cands"))
     state = materialize(state, "ann-search")
     for _ in range(MAX_ROUNDS):
-        each = state.select("q", F.explode("cands").alias("node")).withColumn("part", _parts("node", parts, SEED))
+        each = state.select("q", F.explode("cands").alias("node")).withColumn("part", _part("node"))
         sent = each.groupBy("q", "part").agg(F.collect_list("node").alias("cands")).join(asked, "q")
         found = sent.groupBy("part").cogroup(vectors.groupBy("home")).applyInArrow(lambda a, b: _measure(a, b), "q bigint, found array<struct<d:double,node:bigint>>")
         found = found.groupBy("q").agg(F.flatten(F.collect_list("found")).alias("found"))
@@ -240,26 +270,27 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = now.withColumn("next", F.slice(F.array_except(F.transform("pool", lambda p: p["node"]), "open"), 1, EXPAND))
         now = materialize(now.select("q", "pool", F.concat("seen", "cands").alias("seen"), F.concat("open", "next").alias("open"), "next"), "ann-opened")
         if now.filter(F.size("next") > 0).isEmpty():
-            return now.select("q", "pool")
+            return now.select("q", "pool", F.size("seen").cast("long").alias("measured"))
         near = now.select("q", F.explode("next").alias("node")).join(around, "node").groupBy("q").agg(F.flatten(F.collect_list("near")).alias("near"))
         after = now.join(near, "q", "left").withColumn("cands", F.array_except(F.coalesce("near", ids), "seen"))
         before, state = state, materialize(after.select("q", "pool", "seen", "open", "cands"), "ann-search")
         discard(before)
         discard(now)
-    return state.select("q", "pool")
+    raise RuntimeError(f"searches did not end in {MAX_ROUNDS} rounds")
 
 
 def nearest(table: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of the table for which `asked` (over `id`) holds."""
+    """(query_id, rank, vec_id, score, measured): the k nearest found of each row of the table for which `asked` (over
+    `id`) holds, and how many distinct vectors were measured for it."""
     vectors = materialize(usable_vectors(table, key, vector), "ann-input")
-    nodes = materialize(nodes_of(vectors, k + 1), "ann-nodes")
+    nodes = numbered(nodes_of(vectors, k + 1))
     edges = build_graph(nodes)
-    rows = materialize(vectors.filter(asked).join(nodes.select("v", "node"), "v").select(F.col("id").alias("query_id"), "node"), "ann-asked")
-    own = rows.select("node").distinct().join(nodes.select("node", "v"), "node").select(F.col("node").alias("q"), "v", F.col("node").alias("start"))
-    pools = search(own, nodes, edges).select("q", F.explode(F.slice("pool", 1, k + 1)).alias("p")).select("q", "p.d", "p.node")
-    ids = pools.join(nodes.select("node", "members"), "node").select("q", "d", F.explode("members").alias("id"))
+    rows = materialize(vectors.filter(asked).join(nodes.select("v", "number"), "v").select(F.col("id").alias("query_id"), "number"), "ann-asked")
+    own = rows.select("number").distinct().join(nodes.select("number", "v"), "number").select(F.col("number").alias("q"), "v", F.col("number").alias("start"))
+    pools = search(own, nodes, edges).select("q", "measured", F.explode(F.slice("pool", 1, k + 1)).alias("p")).select("q", "measured", "p.d", F.col("p.node").alias("number"))
+    ids = pools.join(nodes.select("number", "members"), "number").select("q", "measured", "d", F.explode("members").alias("id"))
     rank = Window.partitionBy("q").orderBy("d", "id")
     ids = materialize(ids.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k + 1), "ann-found")
-    pairs = rows.join(ids, F.col("node") == F.col("q")).filter("id <> query_id")
+    pairs = rows.join(ids, F.col("number") == F.col("q")).filter("id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
-    return pairs.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"))
+    return pairs.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"), "measured")

@@ -8,7 +8,11 @@ def test_edges_among_near_copies(spark):
     x = rng.standard_normal((2700, 16)).astype(np.float32)
     x[:900] = x[0] + 0.001 * rng.standard_normal((900, 16))
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
-    edges = A.build_graph(spark.createDataFrame(rows, "node long, v array<double>")).toPandas()
+    nodes = A.numbered(spark.createDataFrame(rows, "node long, v array<double>"))
+    node = {r.number: r.node for r in nodes.select("number", "node").collect()}
+    edges = A.build_graph(nodes).toPandas()
+    assert len(node) == len(rows)
+    edges["u"], edges["v"] = edges.u.map(node), edges.v.map(node)
     x = x[:900].astype(float)
     hits = []
     for u, of in edges[edges.u < 900].groupby("u"):
