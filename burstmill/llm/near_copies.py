@@ -7,7 +7,8 @@ At 0.8 two SimHash fingerprints differ in some 10 of 64 bits, far beyond what Go
 three sources: Golay keys (fingerprints at most 2 bits apart), equal fingerprints, and BANDS min-wise hashes of ROWS rows
 each, which miss a pair of similarity 0.8 with probability (1 - 0.8^4)^20 = 3e-5. Candidates are verified by their sets.
 
-Nodes that share a key are all compared, but pairs are not written out where more than MAX_BUCKET do. Such a bucket is
+Of the nodes that share a key, those whose shingles are mostly in no other node are left out, which no near copy is. The
+rest are all compared, but pairs are not written out where more than MAX_BUCKET do. Such a bucket is
 first compared with REPS of its members, in the first bands alone. What then lies in one component needs no more
 comparison; in a bucket of several components the members outside the largest are compared with all others. This goes in
 blocks of bounded size, whose counts of common shingles are matrix products, and a block passes on a link from each
@@ -85,10 +86,12 @@ def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [_words(x.as_py()) for x in b.column(at)]
-            digests = pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words], pa.string())
-            keys = pa.array([band_keys(shingles(w)) for w in words], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, digests, keys], names=[*b.schema.names, same, bands])
+            digests, keys = [], []
+            for x in b.column(at):  # the words of one text at a time: those of a batch take much more memory than its texts
+                words = _words(x.as_py())
+                digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                keys.append(band_keys(shingles(words)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=[*b.schema.names, same, bands])
 
     return found.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), print_, same, bands, row
 
@@ -100,16 +103,23 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return keys.join(materialize(counts, "near-copies-buckets"), ["band", "key"])
 
 
-def candidates(nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: the pairs of buckets that are not crowded, and those that Golay keys find."""
-    # at most MAX_BUCKET nodes share a key here
-    lists = met.filter(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.collect_list("node").alias("all"))
-    few = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """(x, y): nodes whose fingerprints lie within the reach of Golay keys, one node for each fingerprint."""
     prints = nodes.groupBy("f").agg(F.min("node").alias("node"))
     near = simhash.links(prints.select("f"))
     of = lambda side: prints.select(F.col("f").alias(side), F.col("node").alias("x" if side == "a" else "y"))
-    golay = near.join(of("a"), "a").join(of("b"), "b").select("x", "y")
-    return few.union(golay).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return near.join(of("a"), "a").join(of("b"), "b").select("x", "y")
+
+
+def partnered(sets: DataFrame) -> DataFrame:
+    """(node): those that can have a near copy among the nodes of sets.
+
+    Of a near copy's shingles four fifths are in its partner, so no more than one fifth may be in no other node. Shingles
+    are told apart by half of their hash; two that fall together count as shared, which keeps a node and loses none.
+    """
+    each = sets.select("node", F.explode("found").alias("x")).select("node", F.shiftright("x", 32).cast("int").alias("x"))
+    alone = each.groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.select("node", F.size("found").alias("n")).join(alone, "node", "left").filter(5 * F.coalesce("alone", F.lit(0)) <= F.col("n")).select("node")
 
 
 def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -203,11 +213,16 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def groups_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of all nodes (node, f, bands, size) that are linked to others; size: the number of words."""
-    met = materialize(buckets(nodes), "near-copies-met")
-    pairs = materialize(candidates(nodes, met), "near-copies-pairs")
-    crowded = materialize(met.filter(F.col("n") > MAX_BUCKET).join(nodes.select("node", "size"), "node"), "near-copies-crowded")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node")).distinct()
+    golay = materialize(golay_pairs(nodes), "near-copies-golay")
+    wanted = buckets(nodes).select("node").union(golay.select(F.explode(F.array("x", "y")))).distinct()
     sets = materialize(sets_of(wanted, texts), "near-copies-sets")
+    known = materialize(partnered(sets), "near-copies-partnered")
+    met = materialize(buckets(nodes.join(known, "node", "left_semi")), "near-copies-met")
+    # at most MAX_BUCKET nodes share a key here
+    lists = met.filter(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.collect_list("node").alias("all"))
+    few = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    pairs = few.union(golay).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    crowded = materialize(met.filter(F.col("n") > MAX_BUCKET).join(nodes.select("node", "size"), "node"), "near-copies-crowded")
     star = crowded.filter(F.col("band") <= STAR_BANDS)
     # the members with the smallest hashes, one of each of REPS parts of all hashes
     h = F.xxhash64(F.lit(SEED), "node", "key")

@@ -36,7 +36,7 @@ from burstmill.shared import fresh, materialize, ship_package, with_field
 #: Share of a language's words that a common word has.
 LEAST_SHARE = 0.01
 #: Words that a task keeps counts of for each language; what it drops makes less than 2 / HELD of the task's words.
-HELD = 100_000
+HELD = 20_000
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
 MAX_CHAR_DISTANCE = 0.15
 MAX_WORD_DISTANCE = 0.24
