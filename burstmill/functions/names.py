@@ -14,10 +14,14 @@ PATTERNS = {
 
 
 def band_name(tag: Column) -> Column:
-    """i_IW2_VV_mst_09Aug2024 -> i_VV, Unw_Phase_ifg_09Aug2024 -> Unw_Phase_ifg, lat_band -> grid_lat."""
-    short = F.regexp_replace(tag, r"^(.+?)_IW\d_(V[VH]).*$", "$1_$2")
-    short = F.regexp_replace(short, r"_\d{2}[A-Z][a-z]{2}\d{4}", "")
-    return F.regexp_replace(short, r"^(.+)_band$", "grid_$1")
+    """i_IW2_VV_mst_09Aug2024 -> i_VV, Unw_Phase_ifg_09Aug2024 -> Unw_Phase_ifg, lat_band -> grid_lat.
+
+    Sub-swath, role and dates go if the name ends in one or two dates; a name without a date keeps its sub-swath.
+    """
+    day = r"_\d{2}[A-Z][a-z]{2}\d{4}"
+    short = F.regexp_replace(tag, rf"_IW\d_([A-Z]{{2}})(?:_\w{{3,4}})?{day}(?:{day})?$", "_$1")
+    short = F.regexp_replace(short, day, "")
+    return F.regexp_replace(short, r"^(\w+)_band$", "grid_$1")
 
 
 def described_band(name: Column, description: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGE = 1000
@@ -60,9 +60,15 @@ def month_maps(days: DataFrame) -> DataFrame:
     return days.groupBy("year", "month").agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("last_track_of"))
 
 
-def split_number(bursts: DataFrame, product: list[str], burst: str = "burst_id") -> Column:
-    """1 for the smallest burst of a product, swath and polarization, and so on."""
-    return F.col(burst) - F.min(burst).over(Window.partitionBy(*product)) + 1
+def with_split_number(bursts: DataFrame, product: list[str], burst: str = "burst_id", name: str = "split") -> DataFrame:
+    """bursts and a number: 1 for the smallest burst of a product, swath and polarization, and so on.
+
+    The smallest ones are aggregated first, so that no product's rows meet in one task.
+    """
+    least = bursts.groupBy(*product).agg(F.min(burst).alias("_least"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in product]
+    joined = bursts.join(least.withColumnsRenamed({c: f"_{c}" for c in product}), same)
+    return joined.withColumn(name, F.col(burst) - F.col("_least") + 1).drop("_least", *(f"_{c}" for c in product))
 
 
 def with_outside_primary(inside: DataFrame, catalogue: DataFrame, primary: str, start: str, end: str) -> DataFrame:
@@ -72,21 +78,24 @@ def with_outside_primary(inside: DataFrame, catalogue: DataFrame, primary: str,
     return inside.unionByName(catalogue.filter(F.to_date("start") == F.lit(primary).cast("date")))
 
 
-def primary_and_secondaries(rows: DataFrame, primary: str, date: str = "date") -> DataFrame:
-    """rows with role: prm, sec_first (the earliest secondary) or sec. One primary must exist."""
+def primary_and_secondaries(rows: DataFrame, primary: str, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with role: prm, sec_first (the earliest secondary, of each `by`) or sec. One primary must exist."""
     d = F.to_date(F.col(date))
     if rows.filter(d == F.lit(primary).cast("date")).isEmpty():
         raise ValueError(f"no acquisition on the primary date {primary}")
-    first = rows.filter(d != F.lit(primary).cast("date")).agg(F.min(d).alias("first_sec"))
+    first = rows.filter(d != F.lit(primary).cast("date")).groupBy(*by).agg(F.min(d).alias("first_sec"))
     role = F.when(d == F.lit(primary).cast("date"), "prm").when(d == F.col("first_sec"), "sec_first").otherwise("sec")
-    return rows.crossJoin(F.broadcast(first)).withColumn("role", role).drop("first_sec")
+    # without `by` there is one row to join
+    joined = rows.join(first, list(by), "left") if by else rows.crossJoin(F.broadcast(first))
+    return joined.withColumn("role", role).drop("first_sec")
 
 
 def covering(bursts: DataFrame, lon: float, lat: float, footprint: str = "footprint") -> DataFrame:
-    """Bursts whose footprint holds a point."""
+    """Bursts whose footprint holds a point: an odd number of its rings does, so that holes are left out."""
     from burstmill.functions.geometry import inside
 
-    return bursts.filter(inside(F.col(footprint)[0], F.lit(lon), F.lit(lat)))
+    rings = F.filter(F.col(footprint), lambda ring: inside(ring, F.lit(lon), F.lit(lat)))
+    return bursts.filter(F.size(rings) % 2 == 1)
 
 
 def metadata_products(bursts: DataFrame, swath: str, burst_id: int) -> DataFrame:

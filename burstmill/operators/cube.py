@@ -71,24 +71,37 @@ def _reach(n: int) -> tuple[int, int]:
 
 
 def densified(cube: DataFrame, bands: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """Every cell of each image's bounding box; missing ones are 0, as a border is."""
-    box = cube.groupBy(*by).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    """Every cell of each image's bounding box; missing ones are 0, as a border is. Images without gaps are passed on as they are."""
+    box = cube.groupBy(*by).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"))
+    if by:
+        box = box.filter(F.col("n") < (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1))
     rows = box.select(*by, F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
     cells = rows.select(*by, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    return cells.join(cube, [*by, "y", "x"], "left").na.fill(0.0, bands)
+    filled = cells.join(cube, [*by, "y", "x"], "left").na.fill(0.0, bands)
+    return filled.unionByName(cube.join(box.select(*by), list(by), "left_anti").select(filled.columns)) if by else filled
+
+
+#: Lines that one window of the second pass holds, besides those that its kernel reaches beyond them.
+STRIPE = 4096
 
 
 def boxcar(cube: DataFrame, bands: list[str], width: int, height: int, by: tuple[str, ...] = (), factor: float | None = None) -> DataFrame:
     """Sums over width samples (x) and height lines (y), times factor (1 / (width * height), if not given).
 
     Two one-dimensional passes. The windows are by value, so the grid must be dense in the second pass; cells outside
-    count as 0, and the factor does not change at the border.
+    count as 0, and the factor does not change at the border. The second pass works on stripes of STRIPE lines; a line
+    near an edge is also dealt to the stripe that its kernel reaches into, so a task's rows do not grow with the image.
     """
+    before, behind = _reach(height)
     along = Window.partitionBy(*by, "y").orderBy("x").rangeBetween(*_reach(width))
-    across = Window.partitionBy(*by, "x").orderBy("y").rangeBetween(*_reach(height))
+    across = Window.partitionBy(*by, "x", "_stripe").orderBy("y").rangeBetween(before, behind)
     scale = 1 / (width * height) if factor is None else factor
     once = cube.select(*by, "y", "x", *(F.sum(b).over(along).alias(b) for b in bands))
-    return once.select(*by, "y", "x", *((F.sum(b).over(across) * scale).alias(b) for b in bands))
+    # line y adds to the lines from y - behind to y - before
+    stripes = F.sequence(F.floor((F.col("y") - behind) / STRIPE), F.floor((F.col("y") - before) / STRIPE))
+    dealt = once.withColumn("_stripe", F.explode(stripes))
+    twice = dealt.select(*by, "y", "x", "_stripe", *((F.sum(b).over(across) * scale).alias(b) for b in bands))
+    return twice.filter(F.col("_stripe") == F.floor(F.col("y") / STRIPE)).drop("_stripe")
 
 
 def coherence(pairs: DataFrame, width: int, height: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -165,9 +178,11 @@ def health(cube: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def mismatch(a: DataFrame, b: DataFrame, band: str, tolerance: float = 1e-6, most: float = 0.01) -> DataFrame:
-    """(n, ratio, accepted): cells that differ by more than tolerance, no data equal to no data."""
-    both = a.select("y", "x", F.col(band).alias("a")).join(b.select("y", "x", F.col(band).alias("b")), ["y", "x"])
+    """(n, ratio, accepted): cells that differ by more than tolerance; no data equals no data and a missing cell nothing."""
+    one, two = (t.select("y", "x", F.col(band).alias(k), F.lit(True).alias(f"in_{k}")) for t, k in ((a, "a"), (b, "b")))
+    both = one.join(two, ["y", "x"], "full")
     differs = F.coalesce(F.abs(F.col("a") - F.col("b")) > tolerance, F.col("a").isNull() != F.col("b").isNull())
+    differs |= F.col("in_a").isNull() | F.col("in_b").isNull()
     return both.agg(F.count("*").alias("n"), F.avg(differs.cast("double")).alias("ratio")).withColumn("accepted", F.col("ratio") <= most)
 
 

@@ -35,8 +35,8 @@ def residues(image: DataFrame, phase: str = "phase", by: tuple[str, ...] = ()) -
     return loops.groupBy(*by).agg(F.count_if(F.abs(around) > math.pi).alias("residues"))
 
 
-def goldstein(image: DataFrame, alpha: float = 0.5, patch: int = 64, window: int = 3) -> DataFrame:
-    """(y, x, re, im) filtered after Goldstein and Werner 1998.
+def goldstein(image: DataFrame, alpha: float = 0.5, patch: int = 64, window: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, y, x, re, im) filtered after Goldstein and Werner 1998, each image by itself.
 
     Pixels are dealt to patches that overlap by half; each patch's spectrum is weighted by its smoothed magnitude to
     the power alpha, and patches are blended with triangular weights. A patch is a group of bounded size.
@@ -44,10 +44,12 @@ def goldstein(image: DataFrame, alpha: float = 0.5, patch: int = 64, window: int
     ship_package(image.sparkSession)
     half = patch // 2
     starts = lambda c: F.array(F.floor(F.col(c) / half) - 1, F.floor(F.col(c) / half))
-    dealt = image.select("y", "x", "re", "im", F.explode(starts("y")).alias("py")).select("*", F.explode(starts("x")).alias("px"))
+    dealt = image.select(*by, "y", "x", "re", "im", F.explode(starts("y")).alias("py")).select("*", F.explode(starts("x")).alias("px"))
+    n = len(by)
+    schema = StructType([*image.select(*by).schema.fields, *StructType.fromDDL("y bigint, x bigint, re double, im double, w double").fields])
 
     def filtered(key: tuple, rows: pa.Table) -> pa.Table:
-        py, px = key[0].as_py() * half, key[1].as_py() * half
+        py, px = key[n].as_py() * half, key[n + 1].as_py() * half
         y, x = rows["y"].to_numpy() - py, rows["x"].to_numpy() - px
         tile = np.zeros((patch, patch), complex)
         tile[y, x] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
@@ -57,11 +59,11 @@ def goldstein(image: DataFrame, alpha: float = 0.5, patch: int = 64, window: int
         out = np.fft.ifft2(spectrum * (smooth / smooth.max() if smooth.max() else smooth) ** alpha)
         ramp = 1 - np.abs((np.arange(patch) + 0.5) / half - 1)
         w = ramp[y] * ramp[x]
-        return pa.table({"y": rows["y"], "x": rows["x"], "re": out.real[y, x] * w, "im": out.imag[y, x] * w, "w": w})
+        return pa.table({**{c: rows[c] for c in by}, "y": rows["y"], "x": rows["x"], "re": out.real[y, x] * w, "im": out.imag[y, x] * w, "w": w})
 
-    parts = dealt.groupBy("py", "px").applyInArrow(filtered, "y bigint, x bigint, re double, im double, w double")
+    parts = dealt.groupBy(*by, "py", "px").applyInArrow(filtered, schema)
     total = F.sum("w")
-    return parts.groupBy("y", "x").agg((F.sum("re") / total).alias("re"), (F.sum("im") / total).alias("im"))
+    return parts.groupBy(*by, "y", "x").agg((F.sum("re") / total).alias("re"), (F.sum("im") / total).alias("im"))
 
 
 def _groups(table: pa.Table, keys: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Acquisition pairs: constant offset, small baseline, one reference; and what is missing.
 
-Temporal rules are written as equi-joins on days, also the bands (each day is dealt to all days of its band), so no
-pair rule plans as a product of two tables.
+Temporal rules are written as equi-joins: offsets on days, bands on bins as wide as the band, so that a row is dealt to
+its own bin and the next one (or both next ones) and no pair rule plans as a product of two tables.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstmill.shared import maybe_broadcast
+from burstmill.shared import fresh, maybe_broadcast
 
+# Fixed value: a sentence of the error that users look for.
 MIDNIGHT_HINT = "Is the end time intentionally put in the very beginning of that day?"
 
 
@@ -72,12 +73,25 @@ def baselines(acquisitions: DataFrame, by: tuple[str, ...] = (), date: str = "da
     return both.select(*by, "master_date", "slave_date", (F.col("p2") - F.col("p1")).alias("perp_baseline"), F.datediff("master_date", "slave_date").alias("temp_baseline"))
 
 
+def within_days(a: DataFrame, b: DataFrame, first: str, second: str, least: int, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """a and b joined on `by` where the day `second` of b is least to most days after the day `first` of a.
+
+    Days are cut into bins as wide as the larger bound; rows of a go to two bins (three, if least is negative).
+    """
+    width = max(abs(least), abs(most), 1)
+    number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / width)
+    bin_ = fresh(a.join(b, F.lit(False)), "bin")
+    steps = F.array(*(F.lit(k) for k in range(-1 if least < 0 else 0, 2 if most > 0 else 1)))
+    dealt = a.withColumn(bin_, F.explode(F.transform(steps, lambda k: number(first) + k)))
+    near = dealt.join(b.withColumn(bin_, number(second)), [*by, bin_]).drop(bin_)
+    return near.filter(F.datediff(second, first).between(least, most))
+
+
 def small_baseline_pairs(acquisitions: DataFrame, max_days: int, max_perp: float, min_days: int = 1, by: tuple[str, ...] = (), date: str = "date", perp: str = "perp") -> DataFrame:
     """(by, prm_date, sec_date, perp_baseline) with sec - prm in min_days..max_days and |perp| at most max_perp."""
     a = acquisitions.select(*by, F.to_date(F.col(date)).alias("prm_date"), F.col(perp).alias("p1"))
     b = acquisitions.select(*by, F.to_date(F.col(date)).alias("sec_date"), F.col(perp).alias("p2"))
-    dealt = a.withColumn("sec_date", F.explode(F.transform(F.sequence(F.lit(min_days), F.lit(max_days)), lambda n: F.date_add(F.col("prm_date"), n))))
-    near = dealt.join(b, [*by, "sec_date"]).withColumn("perp_baseline", F.col("p2") - F.col("p1"))
+    near = within_days(a, b, "prm_date", "sec_date", min_days, max_days, by).withColumn("perp_baseline", F.col("p2") - F.col("p1"))
     return near.filter(F.abs("perp_baseline") <= max_perp).select(*by, "prm_date", "sec_date", "perp_baseline")
 
 
@@ -100,7 +114,10 @@ def modelled_coherence(perp: Column, days: Column, max_perp: float, max_days: fl
 
 
 def optimal_reference(acquisitions: DataFrame, by: tuple[str, ...], max_perp: float, max_days: float, date: str = "date", perp: str = "perp") -> DataFrame:
-    """(by, ref_date, score): the date with the largest sum of modelled coherence (ties: the earliest)."""
+    """(by, ref_date, score): the date with the largest sum of modelled coherence (ties: the earliest).
+
+    It compares all dates of a group with each other: a burst has some hundreds.
+    """
     table = baselines(acquisitions, by, date, perp)
     score = F.round(F.sum(modelled_coherence(F.col("perp_baseline"), F.col("temp_baseline"), max_perp, max_days)), 6)
     each = table.groupBy(*by, "master_date").agg(score.alias("score"))

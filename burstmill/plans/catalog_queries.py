@@ -164,7 +164,7 @@ def track_burst_tree(spark, sf_dir):
 @query("SELECT event_id AS abs_id, CAST(user_id - min(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE)) + 1 AS BIGINT) AS split FROM events")
 def tops_split_number(spark, sf_dir):
     c = catalogue(spark, sf_dir).withColumn("day", F.to_date("start"))
-    return c.select("abs_id", bursts.split_number(c, ["swath", "day"]).alias("split"))
+    return bursts.with_split_number(c, ["swath", "day"]).select("abs_id", "split")
 
 
 @query("""SELECT event_id AS abs_id, ts AS start FROM events WHERE user_id = 17 AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 23:59:59'
@@ -182,19 +182,24 @@ def primary_secondary_split(spark, sf_dir):
     return bursts.primary_and_secondaries(c, primary or "1970-01-01") if primary else c.withColumn("role", F.lit(None).cast("string"))
 
 
-_TAGS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'i_IW' || (1 + event_id % 3) || '_VV_mst_' || strftime(ts, '%d%b%Y')
-WHEN 1 THEN 'coh_IW2_VH_' || strftime(ts, '%d%b%Y') || '_' || strftime(ts + INTERVAL 12 DAY, '%d%b%Y') WHEN 2 THEN 'Unw_Phase_ifg_' || strftime(ts, '%d%b%Y') ELSE 'lat_band' END AS tag FROM events"""
+_TAGS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'i_IW' || (1 + event_id % 3) || '_VV_mst_' || strftime(ts, '%d%b%Y')
+WHEN 1 THEN 'coh_IW2_VH_' || strftime(ts, '%d%b%Y') || '_' || strftime(ts + INTERVAL 12 DAY, '%d%b%Y') WHEN 2 THEN 'Unw_Phase_ifg_' || strftime(ts, '%d%b%Y')
+WHEN 3 THEN 'q_IW1_HH_slv1_' || strftime(ts, '%d%b%Y') WHEN 4 THEN 'i_IW3_HV_mst' ELSE 'lat_band' END AS tag FROM events"""
 
 
-@query(f"""WITH t AS ({_TAGS}), a AS (SELECT *, regexp_replace(tag, '^(.+?)_IW[0-9]_(V[VH]).*$', '\\1_\\2') AS s FROM t),
-b AS (SELECT *, regexp_replace(s, '_[0-9]{{2}}[A-Z][a-z]{{2}}[0-9]{{4}}', '', 'g') AS u FROM a) SELECT event_id, tag, regexp_replace(u, '^(.+)_band$', 'grid_\\1') AS band FROM b""")
+@query(f"""WITH t AS ({_TAGS}), k AS (SELECT event_id, tag, string_split(tag, '_') AS w FROM t)
+SELECT event_id, tag, CASE event_id % 6 WHEN 0 THEN w[1] || '_' || w[3] WHEN 1 THEN w[1] || '_' || w[3] WHEN 2 THEN w[1] || '_' || w[2] || '_' || w[3] WHEN 3 THEN w[1] || '_' || w[3] WHEN 4 THEN tag ELSE 'grid_' || w[1] END AS band FROM k""")
 def band_name_normalise(spark, sf_dir):
+    """The SQL says by hand what each kind of name becomes: a sub-swath goes with the date that ends the name, not without one."""
     e = table(spark, sf_dir, "events")
     d, later = dates.band_date(F.col("ts")), dates.band_date(F.col("ts") + F.expr("INTERVAL 12 DAYS"))
+    kind = F.col("event_id") % 6
     tag = (
-        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("i_IW"), (1 + F.col("event_id") % 3).cast("string"), F.lit("_VV_mst_"), d))
-        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("coh_IW2_VH_"), d, F.lit("_"), later))
-        .when(F.col("event_id") % 4 == 2, F.concat(F.lit("Unw_Phase_ifg_"), d))
+        F.when(kind == 0, F.concat(F.lit("i_IW"), (1 + F.col("event_id") % 3).cast("string"), F.lit("_VV_mst_"), d))
+        .when(kind == 1, F.concat(F.lit("coh_IW2_VH_"), d, F.lit("_"), later))
+        .when(kind == 2, F.concat(F.lit("Unw_Phase_ifg_"), d))
+        .when(kind == 3, F.concat(F.lit("q_IW1_HH_slv1_"), d))
+        .when(kind == 4, F.lit("i_IW3_HV_mst"))
         .otherwise("lat_band")
     )
     return e.select("event_id", tag.alias("tag")).withColumn("band", names.band_name(F.col("tag")))

@@ -1,4 +1,7 @@
-"""The three products over a stack of images made of the embeddings: fifty lines an image, an image every twelve days."""
+"""The three products over a stack of images made of the embeddings: fifty lines an image, an image every twelve days.
+
+The stack holds three bursts in two sub-swaths and two polarizations of each, all different; products run over all at once.
+"""
 
 from __future__ import annotations
 
@@ -21,26 +24,33 @@ def query(sql: str):
     return add
 
 
+#: (burst, sub-swath, polarization, added to i, factor of q) of each image of the stack.
+IMAGES = [(7 + k, f"IW{2 + k % 2}", pol, 0.02 * k, 1.0 if pol == "VV" else 0.5) for k in range(3) for pol in ("VV", "VH")]
+
+
 def stack(spark, sf_dir) -> DataFrame:
     """(burst_id, swath, pol, date, y, x, i, q)"""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (12 * F.floor(F.col("y") / _LINES)).cast("int"))
-    fixed = (F.lit(7).cast("long").alias("burst_id"), F.lit("IW2").alias("swath"), F.lit("VV").alias("pol"))
-    return raster(spark, sf_dir).select(*fixed, day.alias("date"), (F.col("y") % _LINES).alias("y"), "x", "i", "q")
+    kinds = F.array(*(F.struct(F.lit(b).cast("long").alias("burst_id"), F.lit(s).alias("swath"), F.lit(p).alias("pol"), F.lit(a).alias("a"), F.lit(f).alias("f")) for b, s, p, a, f in IMAGES))
+    rows = raster(spark, sf_dir).select(day.alias("date"), (F.col("y") % _LINES).alias("y"), "x", "i", "q", F.explode(kinds).alias("k"))
+    return rows.select("k.burst_id", "k.swath", "k.pol", "date", "y", "x", (F.col("i") + F.col("k.a")).alias("i"), (F.col("q") * F.col("k.f")).alias("q"))
 
 
 def acquisitions(images: DataFrame) -> DataFrame:
     """The catalogue of the stack's images."""
     days = images.select("burst_id", "swath", "pol", "date").distinct()
-    return days.select(F.datediff("date", F.lit("2024-01-01")).cast("long").alias("abs_id"), "burst_id", "swath", "pol", F.to_timestamp_ntz(F.col("date").cast("string")).alias("start"))
+    return days.select(F.datediff("date", F.lit("2024-01-01")).cast("long").alias("abs_id"), "burst_id", "swath", "pol", F.to_timestamp_ntz(F.col("date").cast("string")).alias("start"), F.expr("array(array(array(0D, 0D), array(1D, 1D), array(0D, 1D), array(0D, 0D)))").alias("footprint"))
 
 
-_S = f"""SELECT DATE '2024-01-01' + CAST(12 * (y // {_LINES}) AS INT) AS date, y % {_LINES} AS y, x, i, q FROM ({_R})"""
-_P = f"""s AS ({_S}), p AS (SELECT a.date AS prm_date, b.date AS sec_date, a.y, a.x, a.i * b.i + a.q * b.q AS re, a.q * b.i - a.i * b.q AS im, a.i * a.i + a.q * a.q AS p1, b.i * b.i + b.q * b.q AS p2
-FROM s a JOIN s b ON b.date = a.date + 12 AND a.y = b.y AND a.x = b.x)"""
-_ONE = ", ".join(f"sum({c}) OVER (PARTITION BY prm_date, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 5 FOLLOWING) AS {c}" for c in ("re", "im", "p1", "p2"))
-_TWO = ", ".join(f"sum({c}) OVER (PARTITION BY prm_date, x ORDER BY y RANGE BETWEEN 0 PRECEDING AND 1 FOLLOWING) / 20.0 AS {c}" for c in ("re", "im", "p1", "p2"))
-_COH = f"""h AS (SELECT prm_date, sec_date, y, x, {_ONE} FROM p), v AS (SELECT prm_date, sec_date, y, x, {_TWO} FROM h),
-c AS (SELECT prm_date, sec_date, y, x, sqrt(pow(re / sqrt(p1 * p2 + 1e-12), 2) + pow(im / sqrt(p1 * p2 + 1e-12), 2)) AS coh FROM v)"""
+_S = f"""SELECT k.burst_id, k.swath, k.pol, DATE '2024-01-01' + CAST(12 * (y // {_LINES}) AS INT) AS date, y % {_LINES} AS y, x, i + k.a AS i, q * k.f AS q
+FROM ({_R}), (VALUES {', '.join(f"(CAST({b} AS BIGINT), '{s}', '{p}', CAST({a} AS DOUBLE), CAST({f} AS DOUBLE))" for b, s, p, a, f in IMAGES)}) k(burst_id, swath, pol, a, f)"""
+_B = "burst_id, swath, pol"
+_P = f"""s AS ({_S}), p AS (SELECT a.burst_id, a.swath, a.pol, a.date AS prm_date, b.date AS sec_date, a.y, a.x, a.i * b.i + a.q * b.q AS re, a.q * b.i - a.i * b.q AS im, a.i * a.i + a.q * a.q AS p1, b.i * b.i + b.q * b.q AS p2
+FROM s a JOIN s b ON a.burst_id = b.burst_id AND a.swath = b.swath AND a.pol = b.pol AND b.date = a.date + 12 AND a.y = b.y AND a.x = b.x)"""
+_ONE = ", ".join(f"sum({c}) OVER (PARTITION BY {_B}, prm_date, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 5 FOLLOWING) AS {c}" for c in ("re", "im", "p1", "p2"))
+_TWO = ", ".join(f"sum({c}) OVER (PARTITION BY {_B}, prm_date, x ORDER BY y RANGE BETWEEN 0 PRECEDING AND 1 FOLLOWING) / 20.0 AS {c}" for c in ("re", "im", "p1", "p2"))
+_COH = f"""h AS (SELECT {_B}, prm_date, sec_date, y, x, {_ONE} FROM p), v AS (SELECT {_B}, prm_date, sec_date, y, x, {_TWO} FROM h),
+c AS (SELECT {_B}, prm_date, sec_date, y, x, sqrt(pow(re / sqrt(p1 * p2 + 1e-12), 2) + pow(im / sqrt(p1 * p2 + 1e-12), 2)) AS coh FROM v)"""
 
 
 def _job(images: DataFrame | None = None, **more):
@@ -48,27 +58,31 @@ def _job(images: DataFrame | None = None, **more):
     if images is not None:
         first, last = images.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
         more["temporal_extent"] = [first or "2024-01-01", last or "2024-01-01"]
-    return job({"burst_id": 7, "polarization": "vv", "temporal_baseline": 12} | more)
+    box = {"west": 0, "south": 0, "east": 1, "north": 1}
+    return job({"spatial_extent": box, "polarization": ["vv", "vh"], "temporal_baseline": 12} | more)
 
 
-@query(f"WITH {_P}, {_COH} SELECT prm_date, sec_date, y, x, round(coh, 6) AS coh FROM c")
+@query(f"WITH {_P}, {_COH} SELECT {_B}, prm_date, sec_date, y, x, round(coh, 6) AS coh FROM c")
 def product_coherence(spark, sf_dir):
     images = stack(spark, sf_dir)
-    return rounded(workflows.sar_coherence(acquisitions(images), images, _job(images)), "coh")
+    return rounded(workflows.sar_coherence(acquisitions(images), images, _job(images), every_burst=True), "coh")
 
 
-@query(f"""WITH {_P}, {_COH}, l AS (SELECT prm_date, sec_date, y, x // 4 AS x, atan2(avg(im), avg(re)) AS phase FROM p GROUP BY 1, 2, 3, 4), k AS (SELECT prm_date, sec_date, y, x // 4 AS x, avg(coh) AS coh FROM c GROUP BY 1, 2, 3, 4),
-d AS (SELECT *, phase - lag(phase) OVER (PARTITION BY prm_date, y ORDER BY x) AS s FROM l), w AS (SELECT prm_date, sec_date, y, x, phase, CASE WHEN s IS NULL THEN phase ELSE atan2(sin(s), cos(s)) END AS s FROM d),
-u AS (SELECT prm_date, sec_date, y, x, phase, sum(s) OVER (PARTITION BY prm_date, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS unw FROM w)
-SELECT u.prm_date, u.sec_date, u.y, u.x, round(phase, 5) + 0.0 AS phase, round(unw, 5) + 0.0 AS unw_phase, round(coh, 6) AS coh FROM u JOIN k ON u.prm_date = k.prm_date AND u.y = k.y AND u.x = k.x""")
+@query(f"""WITH {_P}, {_COH}, l AS (SELECT {_B}, prm_date, sec_date, y, x // 4 AS x, atan2(avg(im), avg(re)) AS phase FROM p GROUP BY ALL), k AS (SELECT {_B}, prm_date, sec_date, y, x // 4 AS x, avg(coh) AS coh FROM c GROUP BY ALL),
+d AS (SELECT *, phase - lag(phase) OVER (PARTITION BY {_B}, prm_date, y ORDER BY x) AS s FROM l), w AS (SELECT * EXCLUDE (s), CASE WHEN s IS NULL THEN phase ELSE atan2(sin(s), cos(s)) END AS s FROM d),
+u AS (SELECT *, sum(s) OVER (PARTITION BY {_B}, prm_date, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS unw FROM w)
+SELECT {_B}, prm_date, sec_date, y, x, round(phase, 5) + 0.0 AS phase, round(unw, 5) + 0.0 AS unw_phase, round(coh, 6) AS coh FROM u JOIN k USING ({_B}, prm_date, sec_date, y, x)""")
 def product_interferogram(spark, sf_dir):
     images = stack(spark, sf_dir)
-    out = workflows.sar_interferogram(acquisitions(images), images, _job(images))
+    out = workflows.sar_interferogram(acquisitions(images), images, _job(images), every_burst=True)
     return rounded(out, "coh").withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("phase", "unw_phase")})
 
 
-@query(f"WITH s AS ({_S}) SELECT 'VV' AS pol, date, CASE WHEN date = DATE '2024-02-06' THEN 'prm' WHEN date = DATE '2024-01-01' THEN 'sec_first' ELSE 'sec' END AS role, y, x, round(sqrt(i * i + q * q), 6) AS amplitude FROM s WHERE date <= DATE '2024-01-25' OR date = DATE '2024-02-06'")
+@query(f"""WITH s AS ({_S}), d AS (SELECT max(date) AS prm FROM s), f AS (SELECT min(date) AS first FROM s, d WHERE date <> prm)
+SELECT {_B}, date, CASE WHEN date = prm THEN 'prm' WHEN date = first THEN 'sec_first' ELSE 'sec' END AS role, y, x, round(sqrt(i * i + q * q), 6) AS amplitude FROM s, d, f""")
 def product_slc(spark, sf_dir):
+    """All images; the last date is the primary."""
     images = stack(spark, sf_dir)
-    out = workflows.sar_slc_preprocessing(acquisitions(images), images, _job(temporal_extent=["2024-01-01", "2024-01-25"], primary_date="2024-02-06"))
-    return rounded(out.select("pol", "date", "role", "y", "x", "amplitude"), "amplitude")
+    whole = _job(images)
+    out = workflows.sar_slc_preprocessing(acquisitions(images), images, _job(images, primary_date=whole.temporal_extent[1]), every_burst=True)
+    return rounded(out.select("burst_id", "swath", "pol", "date", "role", "y", "x", "amplitude"), "amplitude")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from burstmill.functions import phasors
 from burstmill.operators import cube, kernels
+from burstmill.operators.pairs import within_days
 from burstmill.plans.catalog_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -189,7 +190,7 @@ def _network(spark, sf_dir) -> DataFrame:
     s = series(spark, sf_dir).groupBy("y", "t").agg(F.sum("value").alias("v"))
     a = s.select("y", F.col("t").alias("prm_date"), F.col("v").alias("v1"))
     b = s.select("y", F.col("t").alias("sec_date"), F.col("v").alias("v2"))
-    return a.join(b, "y").filter("sec_date > prm_date AND datediff(sec_date, prm_date) <= 200").select("y", "prm_date", "sec_date", (F.col("v2") - F.col("v1")).alias("phase"))
+    return within_days(a, b, "prm_date", "sec_date", 1, 200, ("y",)).select("y", "prm_date", "sec_date", (F.col("v2") - F.col("v1")).alias("phase"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT y, t, sum(value) AS v, row_number() OVER (PARTITION BY y ORDER BY t) AS k FROM ({_SERIES}) GROUP BY 1, 2),

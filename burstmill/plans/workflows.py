@@ -1,24 +1,39 @@
-"""The three products, each one lazy plan over all bursts and pairs at once, and their older names."""
+"""The three products, each one lazy plan over all bursts, polarizations and pairs of a job, and their older names.
+
+Burst, sub-swath and polarization are keys of every join and window, so the images of one never meet those of another.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import amplitude, phase
 from burstmill.operators import bursts, cube, kernels, pairs
+from burstmill.shared import materialize, maybe_broadcast
 from burstmill.sources.parameters import Job
 
+BURST = ("burst_id", "swath", "pol")
+PAIR = ("prm_date", "sec_date")
+KEY = BURST + PAIR
+
 
-def select_bursts(catalogue: DataFrame, job: Job, pol: str | None = None) -> DataFrame:
-    """The acquisitions of the one burst that the job names or that its box finds first."""
+def select_bursts(catalogue: DataFrame, job: Job, every_burst: bool = False) -> DataFrame:
+    """The acquisitions of the job's polarizations: those of the burst that it names or that its box finds first, or with
+    every_burst those of all bursts that it finds."""
     start, end = job.temporal_extent or (None, None)
-    found = bursts.matching(catalogue, start, end, pol=pol or job.polarization[0], burst_id=job.burst_id, swath=job.sub_swath)
+    found = bursts.matching(catalogue, start, end, burst_id=job.burst_id, swath=job.sub_swath)
+    found = found.filter(F.col("pol").isin([p.upper() for p in job.polarization]))
     if job.spatial_extent:
         from burstmill.functions.geometry import box_of, boxes_meet
 
         e = job.spatial_extent
-        found = found.filter(boxes_meet(box_of(F.col("footprint")[0]), e["west"], e["south"], e["east"], e["north"]))
+        found = found.filter(F.exists("footprint", lambda ring: boxes_meet(box_of(ring), e["west"], e["south"], e["east"], e["north"])))
+    if every_burst:
+        return found
     found = bursts.lowest_burst(found)
     if job.sub_swath is None:
         first = bursts.first_swath(found)
@@ -26,69 +41,88 @@ def select_bursts(catalogue: DataFrame, job: Job, pol: str | None = None) -> Dat
     return found
 
 
-def job_pairs(catalogue: DataFrame, job: Job) -> DataFrame:
-    """(prm_date, sec_date): the job's own pairs, or those one temporal baseline apart."""
-    spark = catalogue.sparkSession
+def job_pairs(catalogue: DataFrame, job: Job, every_burst: bool = False) -> DataFrame:
+    """(burst_id, swath, pol, prm_date, sec_date): the job's own pairs for each burst and polarization that it finds, or
+    those one temporal baseline apart."""
+    found = select_bursts(catalogue, job, every_burst)
     if job.InSAR_pairs:
         from burstmill.functions.dates import parse_date
 
-        rows = spark.createDataFrame([tuple(p) for p in job.InSAR_pairs], "a string, b string")
-        return rows.select(F.to_date(parse_date(F.col("a"))).alias("prm_date"), F.to_date(parse_date(F.col("b"))).alias("sec_date"))
-    found = pairs.offset_pairs(select_bursts(catalogue, job), job.temporal_baseline, "start")
-    return pairs.require_pairs(found, job.temporal_extent[1])
+        day = lambda p: F.to_date(parse_date(F.lit(p)))
+        own = F.array(*(F.struct(day(a).alias("prm_date"), day(b).alias("sec_date")) for a, b in job.InSAR_pairs))
+        return found.select(*BURST).distinct().withColumn("p", F.explode(own)).select(*BURST, "p.*")
+    return pairs.require_pairs(pairs.offset_pairs(found, job.temporal_baseline, "start", BURST), job.temporal_extent[1])
 
 
-def pair_document(found: DataFrame, swath: str) -> DataFrame:
-    """The pairs as the JSON text of a job document."""
-    row = F.sort_array(F.collect_list(F.array(F.col("prm_date").cast("string"), F.col("sec_date").cast("string"))))
-    return found.agg(F.to_json(F.struct(row.alias("InSAR_pairs"), F.lit(swath).alias("sub_swath_id"))).alias("value"))
+def _value(name: str, value: object) -> Column:
+    text = F.lit(json.dumps({name: value}))
+    return F.from_json(text, F.schema_of_json(text))[name].alias(name)
 
 
-def paired_samples(slc: DataFrame, found: DataFrame) -> DataFrame:
-    """(prm_date, sec_date, y, x, i1, q1, i2, q2): co-registered samples of each pair.
+def pair_document(found: DataFrame, swath: str, job: Job | None = None) -> DataFrame:
+    """The pairs as the JSON text of a job document, with the parameters of the job that they were found for."""
+    row = F.sort_array(F.collect_set(F.array(F.col("prm_date").cast("string"), F.col("sec_date").cast("string"))))
+    given = {} if job is None else {k: v for k, v in asdict(job).items() if v is not None and k not in ("InSAR_pairs", "sub_swath")}
+    return found.agg(F.to_json(F.struct(*(_value(k, v) for k, v in given.items()), row.alias("InSAR_pairs"), F.lit(swath).alias("sub_swath_id"))).alias("value"))
 
-    slc must lie on a common grid; geometric co-registration needs orbits and elevation and is not modelled.
-    """
-    a = slc.select(F.col("date").alias("prm_date"), "y", "x", F.col("i").alias("i1"), F.col("q").alias("q1"))
-    b = slc.select(F.col("date").alias("sec_date"), "y", "x", F.col("i").alias("i2"), F.col("q").alias("q2"))
-    return a.join(found.distinct(), "prm_date").join(b, ["sec_date", "y", "x"])
 
+def job_samples(slc: DataFrame, job: Job) -> DataFrame:
+    """The samples of the job's burst, sub-swath and polarizations, as far as it names them: folders of the table."""
+    if job.burst_id is not None:
+        slc = slc.filter(F.col("burst_id") == job.burst_id)
+    if job.sub_swath is not None:
+        slc = slc.filter(F.col("swath") == job.sub_swath.upper())
+    return slc.filter(F.col("pol").isin([p.upper() for p in job.polarization]))
 
-PAIR = ("prm_date", "sec_date")
 
+def paired_samples(slc: DataFrame, found: DataFrame) -> DataFrame:
+    """(burst_id, swath, pol, prm_date, sec_date, y, x, i1, q1, i2, q2): co-registered samples of each pair.
+
+    slc must lie on a common grid for each burst; geometric co-registration needs orbits and elevation and is not modelled.
+    """
+    a = slc.select(*BURST, F.col("date").alias("prm_date"), "y", "x", F.col("i").alias("i1"), F.col("q").alias("q1"))
+    b = slc.select(*BURST, F.col("date").alias("sec_date"), "y", "x", F.col("i").alias("i2"), F.col("q").alias("q2"))
+    few = maybe_broadcast(found.distinct())
+    return a.join(few, [*BURST, "prm_date"]).join(b, [*BURST, "sec_date", "y", "x"])
 
-def sar_coherence(catalogue: DataFrame, slc: DataFrame, job: Job) -> DataFrame:
-    """(prm_date, sec_date, y, x, coh). Among pairs that the job gives itself each primary may occur once."""
-    found = job_pairs(catalogue, job)
-    if job.InSAR_pairs and not pairs.repeated_primaries(found).isEmpty():
+
+def sar_coherence(catalogue: DataFrame, slc: DataFrame, job: Job, every_burst: bool = False) -> DataFrame:
+    """(burst_id, swath, pol, prm_date, sec_date, y, x, coh). Among pairs that the job gives itself each primary may occur once."""
+    found = job_pairs(catalogue, job, every_burst)
+    if job.InSAR_pairs and not pairs.repeated_primaries(found, BURST).isEmpty():
         raise ValueError("a primary date is given twice")
-    samples = paired_samples(slc, found)
-    parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], PAIR)
-    return cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, PAIR)
+    samples = materialize(paired_samples(job_samples(slc, job), found), "samples")
+    parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], KEY)
+    return cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, KEY)
+
 
+def sar_interferogram(catalogue: DataFrame, slc: DataFrame, job: Job, unwrap: bool = True, every_burst: bool = False, filtered: bool = False, reference_phase: str | None = None) -> DataFrame:
+    """(burst_id, swath, pol, prm_date, sec_date, y, x, phase, unw_phase, coh) after multilooking.
 
-def sar_interferogram(catalogue: DataFrame, slc: DataFrame, job: Job, unwrap: bool = True) -> DataFrame:
-    """(prm_date, sec_date, y, x, phase, unw_phase, coh) after multilooking."""
-    found = job_pairs(catalogue, job)
-    samples = paired_samples(slc, found)
+    reference_phase: an expression over samples of a pair (y, x, ...) that is taken off, as flat earth and topography are;
+    filtered: whether Goldstein's filter follows multilooking, pair by pair.
+    """
+    found = job_pairs(catalogue, job, every_burst)
+    samples = materialize(paired_samples(job_samples(slc, job), found), "samples")
     looks = (job.n_rg_looks, job.n_az_looks)
-    ifg = cube.multilook(cube.interferogram(samples, PAIR), ["re", "im"], *looks, PAIR)
-    parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], PAIR)
-    coh = cube.multilook(cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, PAIR), ["coh"], *looks, PAIR)
-    out = ifg.select(*PAIR, "y", "x", phase(F.col("re"), F.col("im")).alias("phase")).join(coh, [*PAIR, "y", "x"])
-    return kernels.unwrap_rows(out, "phase", PAIR).select(*PAIR, "y", "x", "phase", "unw_phase", "coh") if unwrap else out
-
-
-def sar_slc_preprocessing(catalogue: DataFrame, slc: DataFrame, job: Job) -> DataFrame:
-    """(pol, date, role, y, x, i, q, amplitude) of all polarizations; role tells primary from secondaries."""
-    out = None
-    for pol in job.polarization:
-        found = select_bursts(catalogue, job, pol)
-        found = bursts.with_outside_primary(found, catalogue.filter(F.col("pol") == pol), job.primary_date, *(t[:10] for t in job.temporal_extent))
-        roles = bursts.primary_and_secondaries(found.select(F.to_date("start").alias("date")).distinct(), job.primary_date)
-        rows = slc.filter(F.col("pol") == pol).join(F.broadcast(roles), "date").select("pol", "date", "role", "y", "x", "i", "q", amplitude(F.col("i"), F.col("q")).alias("amplitude"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    turned = samples if reference_phase is None else samples.withColumn("_reference", F.expr(reference_phase))
+    ifg = cube.multilook(cube.interferogram(turned, KEY, None if reference_phase is None else "_reference"), ["re", "im"], *looks, KEY)
+    if filtered:
+        ifg = kernels.goldstein(ifg, by=KEY)
+    parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], KEY)
+    coh = cube.multilook(cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, KEY), ["coh"], *looks, KEY)
+    out = ifg.select(*KEY, "y", "x", phase(F.col("re"), F.col("im")).alias("phase")).join(coh, [*KEY, "y", "x"])
+    return kernels.unwrap_rows(out, "phase", KEY).select(*KEY, "y", "x", "phase", "unw_phase", "coh") if unwrap else out
+
+
+def sar_slc_preprocessing(catalogue: DataFrame, slc: DataFrame, job: Job, every_burst: bool = False) -> DataFrame:
+    """(burst_id, swath, pol, date, role, y, x, i, q, amplitude) of all polarizations; role tells primary from secondaries."""
+    found = select_bursts(catalogue, job, every_burst)
+    same = catalogue.join(maybe_broadcast(found.select(*BURST).distinct()), list(BURST), "left_semi")
+    found = bursts.with_outside_primary(found, same.select(*found.columns), job.primary_date, *(t[:10] for t in job.temporal_extent))
+    roles = bursts.primary_and_secondaries(found.select(*BURST, F.to_date("start").alias("date")).distinct(), job.primary_date, by=BURST)
+    rows = job_samples(slc, job).join(maybe_broadcast(roles), [*BURST, "date"])
+    return rows.select(*BURST, "date", "role", "y", "x", "i", "q", amplitude(F.col("i"), F.col("q")).alias("amplitude"))
 
 
 #: Older names of the three processes.

@@ -17,10 +17,14 @@ def write_slc(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("burst_id", "date").parquet(path)
 
 
+_FOLDERS = ("burst_id", "swath", "pol", "prm_date", "sec_date")
+
+
 def write_product(rows: DataFrame, path: str) -> None:
-    """A product of pairs, in folders by pair; float32 values."""
+    """A product of pairs, in folders by burst, polarization and pair (as far as rows has them); float32 values."""
     kept = rows.select(*(F.col(c).cast("float") if t == "double" else F.col(c) for c, t in rows.dtypes))
-    kept.repartition("prm_date", "sec_date").write.mode("append").partitionBy("prm_date", "sec_date").parquet(path)
+    folders = [c for c in _FOLDERS if c in rows.columns]
+    kept.repartition(*folders).write.mode("append").partitionBy(*folders).parquet(path)
 
 
 def pairs_to_do(pairs: DataFrame, path: str) -> DataFrame:
@@ -29,8 +33,10 @@ def pairs_to_do(pairs: DataFrame, path: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return pairs
-    done = spark.read.parquet(path).select(F.col("prm_date").cast("date").alias("prm_date"), F.col("sec_date").cast("date").alias("sec_date")).distinct()
-    return pairs.join(done, ["prm_date", "sec_date"], "left_anti")
+    kinds = dict(pairs.dtypes)
+    done = spark.read.parquet(path)
+    keys = [c for c in _FOLDERS if c in kinds and c in done.columns]
+    return pairs.join(done.select(*(F.col(c).cast(kinds[c]).alias(c) for c in keys)).distinct(), keys, "left_anti")
 
 
 def write_bands(cube: DataFrame, bands: list[str], keys: list[str], path: str) -> None:
@@ -39,8 +45,15 @@ def write_bands(cube: DataFrame, bands: list[str], keys: list[str], path: str) -
 
 
 def band_names(xml: Column) -> Column:
-    """The BAND_NAME elements of a raster's metadata text, in order."""
-    return F.regexp_extract_all(xml, F.lit("<BAND_NAME>(.*?)</BAND_NAME>"), F.lit(1))
+    """The BAND_NAME elements of a raster's metadata text, in the order of the BAND_INDEX beside them, which is a number.
+
+    Names without an index come last, in document order.
+    """
+    blocks = F.regexp_extract_all(xml, F.lit(r"(?s)<Spectral_Band_Info>(.*?)</Spectral_Band_Info>"), F.lit(1))
+    blocks = F.when(F.size(blocks) > 0, blocks).otherwise(F.regexp_extract_all(xml, F.lit(r"(<BAND_NAME>.*?</BAND_NAME>)"), F.lit(1)))
+    index = lambda b: F.coalesce(F.nullif(F.regexp_extract(b, r"<BAND_INDEX>\s*(\d+)\s*<", 1), F.lit("")).cast("int"), F.lit(2**31 - 1))
+    each = F.transform(blocks, lambda b, i: F.struct(index(b).alias("index"), i.alias("place"), F.regexp_extract(b, "<BAND_NAME>(.*?)</BAND_NAME>", 1).alias("name")))
+    return F.transform(F.array_sort(each), lambda b: b["name"])
 
 
 def raster_info(text: Column) -> Column:

@@ -94,7 +94,7 @@ def test_catalogue_rules(spark):
     assert [r["product"] for r in bursts.metadata_products(c, "iw1", 10).orderBy("ord").collect()] == ["P1", "P2"]
     assert bursts.merged(c, c).count() == 8 and c.count() == 4
     assert bursts.track_centres(c).filter("track = 95").first()[1:] == (46.5, 10.5)
-    split = c.select("abs_id", bursts.split_number(c, ["product"]).alias("n")).collect()
+    split = bursts.with_split_number(c, ["product"], name="n").select("abs_id", "n").collect()
     assert {r.abs_id: r.n for r in split} == {3: 11, 1: 1, 2: 1, 4: 1}
 
 

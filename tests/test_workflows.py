@@ -54,9 +54,11 @@ def test_products(spark, tmp_path):
     assert sorted(r.prm_date for r in rasters.pairs_to_do(todo, path).collect()) == days[1:3]
     own = parameters.job({"burst_id": 10, "InSAR_pairs": [["2024-01-01", "20240113"]], "temporal_extent": ["2024-01-01", "2024-02-28"]})
     ifg = workflows.sar_interferogram(cat, vv, own)
-    assert ifg.columns == ["prm_date", "sec_date", "y", "x", "phase", "unw_phase", "coh"] and ifg.count() == 8 * 3
+    assert ifg.columns == [*workflows.BURST, "prm_date", "sec_date", "y", "x", "phase", "unw_phase", "coh"] and ifg.count() == 8 * 3
     doc = json.loads(workflows.pair_document(todo, "IW2").first()["value"])
     assert doc["InSAR_pairs"][0] == ["2024-01-01", "2024-01-13"] and doc["sub_swath_id"] == "IW2"
+    kept = json.loads(workflows.pair_document(todo, "IW2", job).first()["value"])
+    assert kept["burst_id"] == 10 and kept["temporal_extent"] == ["2024-01-01", "2024-02-28"] and kept["coherence_window_rg"] == 3 and kept["InSAR_pairs"] == doc["InSAR_pairs"]
     twice = parameters.job({"burst_id": 10, "InSAR_pairs": [["2024-01-01", "2024-01-13"], ["20240101", "2024-1-13"]]})
     with pytest.raises(ValueError, match="twice"):
         workflows.sar_coherence(cat, vv, twice)
@@ -127,3 +129,30 @@ def test_stream_of_pairs(spark, tmp_path):
     first = stream.new_days(arrivals.withColumn("track", F.lit(1))).writeStream.format("memory").queryName("stream_days").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     first.awaitTermination(60)
     assert spark.table("stream_days").count() == 5
+
+
+def test_other_bursts_change_nothing(spark):
+    """A second burst, sub-swath and polarization of the same dates in both tables leave the first one's cells as they are."""
+    cat, slc, days = world(spark)
+    more_cat = cat.union(cat.selectExpr("abs_id + 100", "11L", "'IW1'", "pol", "track", "product", "path", "start", "footprint"))
+    more = slc.union(slc.selectExpr("11L", "'IW1'", "pol", "date", "y", "x", "CAST(i + 3 AS float)", "CAST(q * 2 AS float)"))
+    job = parameters.job({"burst_id": 10, "polarization": "vv", "temporal_extent": ["2024-01-01", "2024-02-28"], "temporal_baseline": 12, "primary_date": str(days[1])})
+    both = parameters.job({"spatial_extent": {"west": 10, "south": 46, "east": 11, "north": 47}, "polarization": ["vv", "vh"], "temporal_extent": ["2024-01-01", "2024-02-28"], "temporal_baseline": 12, "primary_date": str(days[1])})
+    for product in (workflows.sar_coherence, workflows.sar_interferogram, workflows.sar_slc_preprocessing):
+        rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+        alone = rows(product(cat, slc.filter("pol = 'VV'"), job))
+        assert rows(product(more_cat, more, job)) == alone and alone
+        every = product(more_cat, more, both, every_burst=True)
+        assert rows(every.filter("burst_id = 10 AND pol = 'VV'")) == alone and every.select("burst_id", "pol").distinct().count() == 4
+
+
+def test_filtered_interferogram(spark):
+    """Goldstein's filter runs pair by pair, and a reference phase is taken off."""
+    cat, slc, days = world(spark)
+    job = parameters.job({"burst_id": 10, "polarization": "vv", "temporal_extent": ["2024-01-01", "2024-02-28"], "temporal_baseline": 12, "n_rg_looks": 1, "n_az_looks": 1})
+    plain = workflows.sar_interferogram(cat, slc, job, unwrap=False)
+    own = plain.filter(F.col("prm_date") == days[0]).select("y", "x", F.col("phase").alias("p"))
+    turned = workflows.sar_interferogram(cat, slc, job, unwrap=False, reference_phase="0.25").filter(F.col("prm_date") == days[0]).join(own, ["y", "x"])
+    assert turned.filter(F.abs(F.sin((F.col("p") - F.col("phase") - 0.25) / 2)) > 1e-6).isEmpty() and turned.count() == 96
+    filtered = workflows.sar_interferogram(cat, slc, job, unwrap=False, filtered=True)
+    assert filtered.groupBy("prm_date").count().count() == 3 and filtered.count() == plain.count()
