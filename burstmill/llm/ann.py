@@ -103,7 +103,7 @@ def numbered(nodes: DataFrame) -> DataFrame:
     dealt = each.join(maybe_broadcast(sizes), "cell").select("node", "cell", F.xxhash64("cell", piece).alias("block"))
     first = dealt.filter(F.col("cell") % BLOCKINGS == 0)
     place = F.row_number().over(Window.partitionBy("block").orderBy("node"))
-    # two blocks that share the upper bits make one part of twice the size, whose places are counted together
+    # two blocks that share the upper bits make one part of twice the size; the places of both are then counted together
     number = first.select("node", F.shiftrightunsigned("block", _PLACE + 1).alias("block")).withColumn("number", F.shiftleft("block", _PLACE).bitwiseOR(place))
     blocks = dealt.groupBy("node").agg(F.collect_list("block").alias("blocks"))
     found = nodes.withColumn("w", F.col("v").cast(f"array<{kind}>")).join(number.select("node", "number"), "node").join(blocks, "node")

