@@ -167,17 +167,17 @@ def tops_split_number(spark, sf_dir):
     return bursts.with_split_number(c, ["swath", "day"]).select("abs_id", "split")
 
 
-@query("""SELECT event_id AS abs_id, ts AS start FROM events WHERE user_id = 17 AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 23:59:59'
-UNION ALL SELECT event_id, ts FROM events WHERE user_id = 17 AND CAST(ts AS DATE) = DATE '2024-01-20'""")
+@query("""SELECT event_id AS abs_id, ts AS start FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 23:59:59'
+UNION ALL SELECT event_id, ts FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-20'""")
 def primary_outside_extent_union(spark, sf_dir):
-    c = catalogue(spark, sf_dir).filter("burst_id = 17").select("abs_id", "start")
+    c = catalogue(spark, sf_dir).select("abs_id", "start")
     return bursts.with_outside_primary(bursts.matching(c, "2024-01-10", "2024-01-12"), c, "2024-01-20", "2024-01-10", "2024-01-12")
 
 
-@query("""WITH a AS (SELECT event_id AS abs_id, CAST(ts AS DATE) AS date FROM events WHERE user_id = 17)
+@query("""WITH a AS (SELECT event_id AS abs_id, CAST(ts AS DATE) AS date FROM events)
 SELECT abs_id, date, CASE WHEN date = (SELECT max(date) FROM a) THEN 'prm' WHEN date = (SELECT min(date) FROM a WHERE date <> (SELECT max(date) FROM a)) THEN 'sec_first' ELSE 'sec' END AS role FROM a""")
 def primary_secondary_split(spark, sf_dir):
-    c = catalogue(spark, sf_dir).filter("burst_id = 17").select("abs_id", F.to_date("start").alias("date"))
+    c = catalogue(spark, sf_dir).select("abs_id", F.to_date("start").alias("date"))
     primary = c.agg(F.max("date").cast("string").alias("d")).first()["d"]
     return bursts.primary_and_secondaries(c, primary or "1970-01-01") if primary else c.withColumn("role", F.lit(None).cast("string"))
 
@@ -250,9 +250,9 @@ def stac_bands(spark, sf_dir):
     return stac.bands_in_order(_files(spark, sf_dir))
 
 
-@query(f"""WITH f AS ({_FILES}) SELECT count(DISTINCT epsg) AS n_crs, CASE WHEN count(DISTINCT epsg) = 1 THEN min(epsg) END AS epsg FROM f WHERE user_id % 4 < 2""")
+@query(f"""WITH f AS ({_FILES}) SELECT count(DISTINCT epsg) AS n_crs, CASE WHEN count(DISTINCT epsg) = 1 THEN min(epsg) END AS epsg FROM f""")
 def stac_crs_singleton(spark, sf_dir):
-    return stac.single_crs(_files(spark, sf_dir).filter("user_id % 4 < 2"))
+    return stac.single_crs(_files(spark, sf_dir))
 
 
 @query("""WITH f AS (SELECT o_orderkey, 'S1_' || o_orderkey || '.tif' AS n, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS d1, strftime(o_orderdate + INTERVAL 12 DAY, '%Y-%m-%dT%H:%M:%SZ') AS d2, o_orderkey % 90 AS x, o_custkey % 45 AS y FROM orders)
@@ -271,12 +271,13 @@ def band_routing(spark, sf_dir):
     return band_name_normalise(spark, sf_dir).select("event_id", names.band_kind(F.col("tag")).alias("kind"))
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE user_id = 17), p AS (SELECT a.d AS x, b.d AS y FROM d a JOIN d b ON b.d = a.d + 12)
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), p AS (SELECT a.d AS x, b.d AS y FROM d a JOIN d b ON b.d = a.d + 12)
 SELECT '{"InSAR_pairs":[' || coalesce(string_agg('["' || x || '","' || y || '"]', ',' ORDER BY x), '') || '],"sub_swath_id":"IW2"}' AS value FROM p""")
 def pair_document(spark, sf_dir):
     from burstmill.plans.workflows import pair_document as document
 
-    c = catalogue(spark, sf_dir).filter("burst_id = 17")
+    # days first: the pairs of a document are those of its dates, not of each image
+    c = catalogue(spark, sf_dir).select(F.to_date("start").alias("start")).distinct()
     return document(pairs.offset_pairs(c, 12, "start").distinct(), "IW2")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from burstmill.operators import bursts, cube, kernels, pairs
 from burstmill.operators.components import connected_components
+from burstmill.sources import stac
 from pyspark.sql import functions as F
 
 D = dt.date
@@ -225,3 +226,8 @@ def test_components_of_a_long_chain(spark):
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize(("codes", "found"), [([32631, 32631], (1, 32631)), ([32631, 32632], (2, None)), ([None, 32632], (1, 32632)), ([], (0, None))])
+def test_single_crs(spark, codes, found):
+    assert tuple(stac.single_crs(spark.createDataFrame([(c,) for c in codes], "epsg int")).first()) == found
