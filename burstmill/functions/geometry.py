@@ -32,6 +32,34 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return (n > 3) & (F.size(hits) % 2 == 1)
 
 
+def _cross(o: Column, p: Column, q: Column) -> Column:
+    return (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+
+
+def _edges_meet(s: Column, t: Column) -> Column:
+    """Whether two edges, each struct(p, q), share a point: each one's ends lie on both sides of the other, and their boxes meet."""
+    sides = lambda a, b: F.signum(_cross(a["p"], a["q"], b["p"])) * F.signum(_cross(a["p"], a["q"], b["q"])) <= 0
+    over = lambda k: (F.least(s["p"][k], s["q"][k]) <= F.greatest(t["p"][k], t["q"][k])) & (F.greatest(s["p"][k], s["q"][k]) >= F.least(t["p"][k], t["q"][k]))
+    return sides(s, t) & sides(t, s) & over(0) & over(1)
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether the areas of two closed rings touch or overlap (planar); false for rings of fewer than four points."""
+
+    def edges(ring: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    crossing = F.exists(edges(a), lambda s: F.exists(edges(b), lambda t: _edges_meet(s, t)))
+    within = inside(b, a[0][0], a[0][1]) | inside(a, b[0][0], b[0][1])
+    return F.coalesce((F.size(a) > 3) & (F.size(b) > 3) & (crossing | within), F.lit(False))
+
+
+def box_ring(west: float, south: float, east: float, north: float) -> Column:
+    """A box as a closed ring."""
+    return F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((west, south), (east, south), (east, north), (west, north), (west, south))))
+
+
 def flipped(ring: Column) -> Column:
     """[lon, lat] to [lat, lon]."""
     return F.transform(ring, lambda p: F.array(p[1], p[0]))
@@ -52,8 +80,22 @@ def box_wkt(west: Column, south: Column, east: Column, north: Column) -> Column:
 _A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 
 
-def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
-    """Easting and northing in a northern UTM zone by the transverse Mercator series to the fourth order of n."""
+def utm_zone(lon: float) -> int:
+    return int((lon + 180) // 6) % 60 + 1
+
+
+def projected(x: Column, y: Column, epsg: int, target: int) -> tuple[Column, Column]:
+    """(x, y) in the target's reference system: as they are where both agree, else from degrees (4326) to a UTM zone of
+    WGS84, 326 and the zone in the north, 327 and the zone in the south."""
+    if epsg == target:
+        return x, y
+    if epsg != 4326 or target // 100 not in (326, 327) or not 1 <= target % 100 <= 60:
+        raise ValueError(f"no rule from EPSG {epsg} to {target}")
+    return utm(x, y, target % 100, target // 100 == 327)
+
+
+def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing in a UTM zone by the transverse Mercator series to the fourth order of n."""
     n = _F / (2 - _F)
     radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
@@ -66,4 +108,4 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     for j, a in enumerate(alpha, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500_000 + _K0 * radius * east, _K0 * radius * north
+    return 500_000 + _K0 * radius * east, (10_000_000 if south else 0) + _K0 * radius * north

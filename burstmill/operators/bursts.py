@@ -104,6 +104,12 @@ def metadata_products(bursts: DataFrame, swath: str, burst_id: int) -> DataFrame
     return own.groupBy("product").agg(F.min("abs_id").alias("ord"), F.min_by("path", "abs_id").alias("path"))
 
 
+def metadata_files(files: DataFrame, swath: str, pol: str, key: str = "key") -> DataFrame:
+    """The files of a product that belong to the sub-swath and polarization, and its manifest."""
+    k = F.col(key)
+    return files.filter((k.contains(swath.lower()) & k.contains(pol)) | k.contains("manifest.safe"))
+
+
 def merged(*found: DataFrame) -> DataFrame:
     """Everything that the searches found, repeats included; none of them changes."""
     out = found[0]

@@ -148,6 +148,51 @@ def resample_spatial(cube: DataFrame, bands: list[str], lon: str, lat: str, reso
     return cells.agg(*(F.avg(phasors.no_nan(F.col(b))).alias(b) for b in bands), F.count("*").alias("n"))
 
 
+def geocoded(cube: DataFrame, bands: list[str], lon: str, lat: str, resolution: float, epsg: int = 4326, by: tuple[str, ...] = (), angles: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, bands) on the aligned grid of a reference system, bilinear between samples; lon and lat are columns of the cube.
+
+    A node is the centre of a cell, (col + 0.5, row + 0.5) times the resolution. It lies in a quadrilateral of four adjacent
+    samples, at fractions u along the line and v across lines that solve a + u (b - a) + v (d - a) + u v (a - b + c - d) = node.
+    Quadrilaterals without one of their samples hold no node; a band without data at a corner is null. Nodes of several
+    quadrilaterals (common edges, layover) take the mean. Bands in `angles` are interpolated on the circle. A
+    quadrilateral is dealt to the nodes of its own box only, so rows grow with the grid.
+    """
+    from burstmill.functions.geometry import projected
+
+    east, north = projected(F.col(lon), F.col(lat), 4326, epsg)
+    parts = {b: phasors.no_nan(F.col(b).cast("double")) for b in bands if b not in angles}
+    parts |= {f"{f.__name__}_{b}": f(phasors.no_nan(F.col(b).cast("double"))) for b in angles for f in (F.cos, F.sin)}
+    at = cube.select(*by, "y", "x", F.struct(phasors.no_nan(east).alias("e"), phasors.no_nan(north).alias("n"), *(c.alias(k) for k, c in parts.items())).alias("_a"))
+    line = Window.partitionBy(*by, "y").orderBy("x")
+    edge = at.filter("_a.e IS NOT NULL AND _a.n IS NOT NULL").withColumns({"_next": F.lead("x").over(line), "_b": F.lead("_a").over(line)}).filter("_next = x + 1").drop("_next")
+    under = edge.select(*by, (F.col("y") - 1).alias("y"), "x", F.col("_a").alias("_d"), F.col("_b").alias("_c"))
+    ends = {}
+    for name, f in (("col", "e"), ("row", "n")):
+        corners = [F.col(f"_{k}.{f}") / resolution - 0.5 for k in "abcd"]
+        ends |= {f"_{name}0": F.ceil(F.least(*corners) - 1e-9), f"_{name}1": F.floor(F.greatest(*corners) + 1e-9)}
+    quads = edge.join(under, [*by, "y", "x"]).withColumns(ends).filter("_row0 <= _row1 AND _col0 <= _col1")
+    nodes = quads.withColumn("row", F.explode(F.sequence("_row0", "_row1"))).withColumn("col", F.explode(F.sequence("_col0", "_col1")))
+
+    c = F.col
+    side = lambda p, q: (c(f"_{p}.e") - c(f"_{q}.e"), c(f"_{p}.n") - c(f"_{q}.n"))
+    cross = lambda p, q: p[0] * q[1] - p[1] * q[0]
+    along, across = side("b", "a"), side("d", "a")
+    twist = tuple(r - s for r, s in zip(side("c", "d"), along))
+    to = ((c("col") + 0.5) * resolution - c("_a.e"), (c("row") + 0.5) * resolution - c("_a.n"))
+    k0, k1, k2 = cross(to, along), cross(to, twist) + cross(along, across), cross(twist, across)
+    solved = nodes.withColumns({"_k0": k0, "_k1": k1, "_k2": k2})
+    half = -(c("_k1") + F.when(c("_k1") < 0, -1.0).otherwise(1.0) * F.sqrt(c("_k1") * c("_k1") - 4 * c("_k0") * c("_k2"))) / 2
+    fits = lambda v: v.between(-1e-9, 1 + 1e-9)
+    solved = solved.withColumn("_half", half).withColumn("_v", F.explode(F.array_distinct(F.filter(F.array(F.try_divide("_k0", "_half"), F.try_divide("_half", "_k2")), fits))))
+    step = tuple(r + c("_v") * s for r, s in zip(along, twist))
+    u = [F.try_divide(to[k] - c("_v") * across[k], step[k]) for k in (0, 1)]
+    solved = solved.withColumn("_u", F.when(F.abs(step[0]) >= F.abs(step[1]), u[0]).otherwise(u[1])).filter(fits(c("_u")))
+    weights = {"a": (1 - c("_u")) * (1 - c("_v")), "b": c("_u") * (1 - c("_v")), "c": c("_u") * c("_v"), "d": (1 - c("_u")) * c("_v")}
+    value = lambda b: F.avg(sum((w * c(f"_{k}.{b}") for k, w in weights.items()), F.lit(0.0))).alias(b)
+    found = solved.groupBy(*by, "row", "col").agg(*(value(b) for b in parts))
+    return found.select(*by, "row", "col", *(F.atan2(f"sin_{b}", f"cos_{b}").alias(b) if b in angles else b for b in bands))
+
+
 def with_elevation(cube: DataFrame, dem: DataFrame, lon: str, lat: str, step: float) -> DataFrame:
     """cube and elevation, bilinear between the four nodes of a regular grid dem(col, row, height); null outside."""
     fx, fy = F.col(lon) / step, F.col(lat) / step

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from burstmill.functions import dates, names
 from burstmill.operators import bursts, pairs
-from burstmill.sources import stac
+from burstmill.sources import rasters, stac
 
 QUERIES, ORACLES = {}, {}
 
@@ -266,6 +266,63 @@ def stac_item_json(spark, sf_dir):
     return o.select("o_orderkey", stac.item(name, dates.iso_z(F.col("o_orderdate")), dates.iso_z(later), [x, y, x + 1, y + 1]).alias("item"))
 
 
+def _documented(spark, sf_dir) -> DataFrame:
+    """Files of whole-number boxes with one band each; an item holds four."""
+    e = table(spark, sf_dir, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    return e.select(
+        k.alias("ordinal"), F.concat(F.lit("S1_"), dates.file_time(F.col("ts")).substr(1, 8)).alias("day"), F.concat(F.lit("S1_"), F.floor(k / 4).cast("string")).alias("id"), F.concat(k.cast("string"), F.lit(".tif")).alias("file"),
+        dates.iso_z(F.col("ts")).alias("date1"), dates.iso_z(F.col("ts") + F.expr("INTERVAL 12 DAYS")).alias("date2"), (k % 90).alias("west"), (u % 45).alias("south"), (k % 90 + 1).alias("east"), (u % 45 + 1).alias("north"),
+        (300000 + 20 * (k % 1000)).alias("x0"), (5000000 + 20 * (u % 500)).alias("y0"), (302000 + 20 * (k % 1000)).alias("x1"), (5001000 + 20 * (u % 500)).alias("y1"),
+        F.col("event_type").alias("band"), F.array("event_type").alias("bands"), F.array((100 + k % 7).cast("int"), F.lit(200)).alias("shape"), F.lit(32632).alias("epsg"),
+    )
+
+
+_DOCUMENTED = """SELECT event_id AS k, 'S1_' || (event_id // 4) AS id, strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS d1, strftime(ts + INTERVAL 12 DAY, '%Y-%m-%dT%H:%M:%SZ') AS d2, event_id % 90 AS w, user_id % 45 AS s,
+300000 + 20 * (event_id % 1000) AS x, 5000000 + 20 * (user_id % 500) AS y, event_type AS band FROM events"""
+
+
+@query(f"""WITH f AS ({_DOCUMENTED}), g AS (SELECT id, arg_min(d1, k) AS d1, arg_max(d2, k) AS d2, arg_max(w, k) AS w, arg_max(s, k) AS s,
+string_agg('"' || k || '.tif":{{"href":"./' || k || '.tif","eo:bands":[{{"name":"' || band || '"}}],"proj:shape":[' || (100 + k % 7) || ',200]}}', ',' ORDER BY k || '.tif') AS files FROM f GROUP BY 1)
+SELECT id, '{{"type":"Feature","stac_version":"1.0.0","id":"' || id || '","geometry":{{"type":"Polygon","coordinates":[[[' || w || ',' || s || '],[' || (w + 1) || ',' || s || '],[' || (w + 1) || ',' || (s + 1) || '],[' || w || ',' || (s + 1) || '],[' || w || ',' || s
+|| ']]]}},"bbox":[' || w || ',' || s || ',' || (w + 1) || ',' || (s + 1) || '],"properties":{{"datetime":"' || d1 || '","sar:datetime_secondary":"' || d2 || '"}},"links":[],"assets":{{' || files || '}}}}' AS item FROM g""")
+def stac_item_documents(spark, sf_dir):
+    return stac.item_documents(_documented(spark, sf_dir))
+
+
+@query(f"""WITH f AS ({_DOCUMENTED}), b AS (SELECT band, min(k) AS first FROM f GROUP BY 1), l AS (SELECT DISTINCT day FROM f), x AS (SELECT min(d1) AS start, max(d2) AS stop, min(w) AS w, min(s) AS s, max(w) + 1 AS e, max(s) + 1 AS n, min(x) AS x0, max(x) + 2000 AS x1, min(y) AS y0, max(y) + 1000 AS y1 FROM f)
+SELECT '{{"type":"Collection","stac_version":"1.0.0","id":"S1_collection","description":"Radar products by pair and date","license":"unknown","stac_extensions":["https://stac-extensions.github.io/datacube/v2.2.0/schema.json"],"cube:dimensions":{{"x":{{"axis":"x","type":"spatial","extent":['
+|| x0 || ',' || x1 || '],"reference_system":32632}},"y":{{"axis":"y","type":"spatial","extent":[' || y0 || ',' || y1 || '],"reference_system":32632}},"t":{{"type":"temporal","extent":["' || start || '","' || stop || '"]}},"bands":{{"type":"bands","values":['
+|| (SELECT string_agg('"' || band || '"', ',' ORDER BY first) FROM b) || ']}}}},"links":[' || (SELECT string_agg('{{"href":"./S1_' || day || '.json","rel":"item","type":"application/geo+json"}}', ',' ORDER BY day) FROM l)
+|| '],"extent":{{"spatial":{{"bbox":[[' || w || ',' || s || ',' || e || ',' || n || ']]}},"temporal":{{"interval":[["' || start || '","' || stop || '"]]}}}},"proj:epsg":32632}}' AS value FROM x""")
+def stac_collection_json(spark, sf_dir):
+    """One item a day."""
+    return stac.collection(_documented(spark, sf_dir).withColumn("id", F.col("day")), "S1_collection.json")
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 7 AS kind, 1 + event_id % 3 AS swath, CASE WHEN user_id % 2 = 0 THEN 'vv' ELSE 'vh' END AS pol FROM events)
+SELECT event_id, CASE WHEN kind = 0 THEN event_id || '/manifest.safe' ELSE event_id || '/s1a-iw' || swath || '-slc-' || pol || '.xml' END AS key FROM e WHERE kind = 0 OR (swath = 2 AND pol = 'vv')""")
+def metadata_files(spark, sf_dir):
+    """The files of sub-swath IW2 in VV, and all manifests."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id").cast("string")
+    own = F.concat(k, F.lit("/s1a-iw"), (1 + F.col("event_id") % 3).cast("string"), F.lit("-slc-"), F.when(F.col("user_id") % 2 == 0, "vv").otherwise("vh"), F.lit(".xml"))
+    files = e.select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(k, F.lit("/manifest.safe"))).otherwise(own).alias("key"))
+    return bursts.metadata_files(files, "IW2", "vv")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events), p AS (SELECT min(date) AS prm FROM d)
+SELECT date, CASE WHEN date = prm THEN 'prm_vv_i,prm_vv_q,prm_vh_i,prm_vh_q,prm_vh_grid_lat,prm_vh_grid_lon' ELSE 'sec_vv_i,sec_vv_q,sec_vh_i,sec_vh_q,prm_vh_grid_lat,prm_vh_grid_lon' END AS files FROM d, p""")
+def slc_files_by_date(spark, sf_dir):
+    """The first day is the primary; it alone has grids, in both polarizations."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct()
+    primary = str(days.agg(F.min("date")).first()[0])
+    names_of = lambda role, bands: [f"{role}_{p}_{b}" for p in ("vv", "vh") for b in bands]
+    listed = F.when(F.col("date") == primary, F.array(*map(F.lit, names_of("prm", ("i", "q", "grid_lat", "grid_lon"))))).otherwise(F.array(*map(F.lit, names_of("sec", ("i", "q")))))
+    files = days.select("date", F.posexplode(listed).alias("ordinal", "file"))
+    return rasters.files_by_date(files, primary, ["VV", "VH"]).withColumn("files", F.array_join("files", ","))
+
+
 @query(f"""WITH t AS ({_TAGS}) SELECT event_id, CASE WHEN starts_with(tag, 'Phase') THEN 'wrapped' WHEN starts_with(tag, 'Unw') THEN 'unwrapped' WHEN starts_with(tag, 'coh') THEN 'coherence' WHEN starts_with(tag, 'elevation') THEN 'elevation' END AS kind FROM t""")
 def band_routing(spark, sf_dir):
     return band_name_normalise(spark, sf_dir).select("event_id", names.band_kind(F.col("tag")).alias("kind"))

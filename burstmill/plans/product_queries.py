@@ -78,6 +78,31 @@ def product_interferogram(spark, sf_dir):
     return rounded(out, "coh").withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("phase", "unw_phase")})
 
 
+_STEP = 0.004
+
+
+def geometry(images: DataFrame) -> DataFrame:
+    """Coordinates of the stack's samples: a sheared grid for each burst, side by side."""
+    lon = 10 + 0.05 * (F.col("burst_id") - 7) + 0.01 * F.col("x") - 0.0003 * F.col("y")
+    lat = 46 + 0.001 * F.col("y") + 0.0002 * F.col("x")
+    return images.groupBy("burst_id", "swath", "y", "x").agg(F.lit(True)).select("burst_id", "swath", "y", "x", lon.alias("lon"), lat.alias("lat"))
+
+
+@query(f"""WITH {_P}, {_COH}, g AS (SELECT b.burst_id, n.r AS row, m.c AS col, (m.c + 0.5) * {_STEP} - 10 - 0.05 * (b.burst_id - 7) AS dx, (n.r + 0.5) * {_STEP} - 46 AS dy
+FROM (VALUES (7), (8), (9)) b(burst_id), (SELECT unnest(range(11495, 11520)) AS r) n, (SELECT unnest(range(2490, 2615)) AS c) m),
+f AS (SELECT burst_id, row, col, (0.001 * dx + 0.0003 * dy) / 1.006e-5 AS fx, (0.01 * dy - 0.0002 * dx) / 1.006e-5 AS fy FROM g),
+w AS (SELECT burst_id, row, col, CAST(floor(fx) AS BIGINT) AS x, CAST(floor(fy) AS BIGINT) AS y, fx - floor(fx) AS u, fy - floor(fy) AS v FROM f)
+SELECT c.burst_id, c.swath, c.pol, c.prm_date, c.sec_date, w.row, w.col, round((1 - u) * (1 - v) * c.coh + u * (1 - v) * k.coh + (1 - u) * v * l.coh + u * v * m.coh, 6) AS coh FROM w JOIN c ON c.burst_id = w.burst_id AND c.y = w.y AND c.x = w.x
+JOIN c k ON k.burst_id = c.burst_id AND k.pol = c.pol AND k.prm_date = c.prm_date AND k.y = c.y AND k.x = c.x + 1
+JOIN c l ON l.burst_id = c.burst_id AND l.pol = c.pol AND l.prm_date = c.prm_date AND l.y = c.y + 1 AND l.x = c.x
+JOIN c m ON m.burst_id = c.burst_id AND m.pol = c.pol AND m.prm_date = c.prm_date AND m.y = c.y + 1 AND m.x = c.x + 1""")
+def product_coherence_geocoded(spark, sf_dir):
+    """Coherence on an aligned grid in degrees. The SQL turns the sheared grid back by its inverse matrix instead of solving quadrilaterals."""
+    images = stack(spark, sf_dir)
+    out = workflows.sar_coherence(acquisitions(images), images, _job(images), every_burst=True)
+    return rounded(workflows.geocoded(out, geometry(images), _STEP, 4326), "coh")
+
+
 @query(f"""WITH s AS ({_S}), d AS (SELECT max(date) AS prm FROM s), f AS (SELECT min(date) AS first FROM s, d WHERE date <> prm)
 SELECT {_B}, date, CASE WHEN date = prm THEN 'prm' WHEN date = first THEN 'sec_first' ELSE 'sec' END AS role, y, x, round(sqrt(i * i + q * q), 6) AS amplitude FROM s, d, f""")
 def product_slc(spark, sf_dir):

@@ -60,12 +60,12 @@ _PAIR = f"""r AS ({_R}), s AS (SELECT a.y, a.x, a.i AS i1, a.q AS q1, b.i AS i2,
 parts AS (SELECT y, x, i1 * i2 + q1 * q2 AS re, q1 * i2 - i1 * q2 AS im, i1 * i1 + q1 * q1 AS p1, i2 * i2 + q2 * q2 AS p2 FROM s)"""
 
 
-def _coherence_sql(wx: tuple[int, int], wy: tuple[int, int]) -> str:
+def _coherence_sql(wx: tuple[int, int], wy: tuple[int, int], digits: int = 6) -> str:
     n = (wx[0] + wx[1] + 1) * (wy[0] + wy[1] + 1)
     one = ", ".join(f"sum({c}) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN {wx[0]} PRECEDING AND {wx[1]} FOLLOWING) AS {c}" for c in ("re", "im", "p1", "p2"))
     two = ", ".join(f"sum({c}) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN {wy[0]} PRECEDING AND {wy[1]} FOLLOWING) / {n}.0 AS {c}" for c in ("re", "im", "p1", "p2"))
     return f"""WITH {_PAIR}, h AS (SELECT y, x, {one} FROM parts), v AS (SELECT y, x, {two} FROM h)
-SELECT y, x, round(sqrt(pow(re / sqrt(p1 * p2 + 1e-12), 2) + pow(im / sqrt(p1 * p2 + 1e-12), 2)), 6) AS coh FROM v"""
+SELECT y, x, round(sqrt(pow(re / sqrt(p1 * p2 + 1e-12), 2) + pow(im / sqrt(p1 * p2 + 1e-12), 2)), {digits}) AS coh FROM v"""
 
 
 @query(_coherence_sql((2, 2), (1, 1)))
@@ -208,8 +208,21 @@ def sbas_inversion(spark, sf_dir):
     return found.select("y", "date", (F.round("displacement", 4) + F.lit(0.0)).alias("displacement"))
 
 
-@query()
+def _turn(at: str, by: str, sign: int, source: str, group: str) -> str:
+    """One direction of a discrete Fourier transform of 32 points, from index `by` to index `at`."""
+    c, s = f"cos(pi() * k.n * {by} / 16)", f"{sign} * sin(pi() * k.n * {by} / 16)"
+    return f"SELECT {group}, k.n AS {at}, sum(re * {c} - im * {s}) AS re, sum(re * {s} + im * {c}) AS im FROM {source}, k GROUP BY ALL"
+
+
+@query(f"""WITH {_PAIR}, k AS (SELECT unnest(range(0, 32)) AS n), t AS (SELECT y // 16 - a.n AS py, x // 16 - b.n AS px, y - 16 * (y // 16 - a.n) AS r, x - 16 * (x // 16 - b.n) AS c, y, x, re, im FROM parts, k a, k b WHERE a.n < 2 AND b.n < 2),
+f AS ({_turn("h", "c", -1, "t", "py, px, r")}), z AS ({_turn("w", "r", -1, "f", "py, px, h")}),
+m AS (SELECT py, px, (h + a.n - 1 + 32) % 32 AS h, (w + b.n - 1 + 32) % 32 AS w, sum(sqrt(re * re + im * im)) / 9 AS size FROM z, k a, k b WHERE a.n < 3 AND b.n < 3 GROUP BY ALL),
+e AS (SELECT py, px, h, w, re * sqrt(size / top) AS re, im * sqrt(size / top) AS im FROM z JOIN m USING (py, px, h, w) JOIN (SELECT py, px, max(size) AS top FROM m GROUP BY ALL) USING (py, px) WHERE top > 0),
+g AS ({_turn("c", "h", 1, "e", "py, px, w")}), o AS ({_turn("r", "w", 1, "g", "py, px, c")}),
+b AS (SELECT t.y, t.x, coalesce(o.re, 0) / 1024 AS re, coalesce(o.im, 0) / 1024 AS im, (1 - abs((r + 0.5) / 16 - 1)) * (1 - abs((c + 0.5) / 16 - 1)) AS q FROM t LEFT JOIN o USING (py, px, r, c))
+SELECT y, x, round(sum(re * q) / sum(q), 6) + 0.0 AS re, round(sum(im * q) / sum(q), 6) + 0.0 AS im FROM b GROUP BY ALL""")
 def goldstein_filter(spark, sf_dir):
+    """The SQL writes the transforms out as sums."""
     p = cube.interferogram(pair(spark, sf_dir)).select("y", "x", "re", "im")
     return rounded(kernels.goldstein(p, patch=32), "re", "im")
 
@@ -220,9 +233,12 @@ def phase_residues(spark, sf_dir):
     return kernels.residues(p)
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT y, x, y * 2147483648 + x AS cell FROM ({_coherence_sql((2, 2), (1, 1), 12)}) WHERE coh < 0.35),
+e AS (SELECT a.cell AS a, b.cell AS b FROM n a JOIN n b ON b.y = a.y AND b.x = a.x + 1 UNION ALL SELECT a.cell, b.cell FROM n a JOIN n b ON b.y = a.y + 1 AND b.x = a.x), d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT cell, cell AS root FROM n UNION SELECT d.b, reach.root FROM reach JOIN d ON d.a = reach.cell WHERE reach.root < d.b), c AS (SELECT cell, min(root) AS component FROM reach GROUP BY 1)
+SELECT component, count(*) AS cells, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM n JOIN c USING (cell) GROUP BY 1""")
 def connected_components(spark, sf_dir):
-    """Areas of low coherence; tests hold them against a flood fill."""
+    """Areas of low coherence; a test holds them against a flood fill, too."""
     low = cube.below(cube.coherence(pair(spark, sf_dir), 5, 3), "coh", 0.35)
     return kernels.raster_components(low, "class")
 

@@ -28,10 +28,10 @@ def select_bursts(catalogue: DataFrame, job: Job, every_burst: bool = False) ->
     found = bursts.matching(catalogue, start, end, burst_id=job.burst_id, swath=job.sub_swath)
     found = found.filter(F.col("pol").isin([p.upper() for p in job.polarization]))
     if job.spatial_extent:
-        from burstmill.functions.geometry import box_of, boxes_meet
+        from burstmill.functions.geometry import box_of, box_ring, boxes_meet, rings_meet
 
-        e = job.spatial_extent
-        found = found.filter(F.exists("footprint", lambda ring: boxes_meet(box_of(ring), e["west"], e["south"], e["east"], e["north"])))
+        e = [job.spatial_extent[k] for k in ("west", "south", "east", "north")]
+        found = found.filter(F.exists("footprint", lambda ring: boxes_meet(box_of(ring), *e) & rings_meet(ring, box_ring(*e))))
     if every_burst:
         return found
     found = bursts.lowest_burst(found)
@@ -125,6 +125,25 @@ def sar_slc_preprocessing(catalogue: DataFrame, slc: DataFrame, job: Job, every_
     return rows.select(*BURST, "date", "role", "y", "x", "i", "q", amplitude(F.col("i"), F.col("q")).alias("amplitude"))
 
 
+def geocoded(product: DataFrame, geometry: DataFrame, resolution: float, epsg: int | None = None, looks: tuple[int, int] = (1, 1)) -> DataFrame:
+    """A product on the aligned grid of a reference system: its keys, row, col and bands; wrapped phases on the circle.
+
+    geometry: (burst_id, swath, y, x, lon, lat) of the samples, which polarizations and dates share; looks: the range and
+    azimuth looks that the product has and the geometry has not. Without epsg it is the UTM zone of the middle of all.
+    """
+    site = ["burst_id", "swath"]
+    if epsg is None:
+        from burstmill.functions.geometry import utm_zone
+
+        lon, lat = geometry.agg((F.min("lon") + F.max("lon")) / 2, (F.min("lat") + F.max("lat")) / 2).first()
+        epsg = (32700 if (lat or 0) < 0 else 32600) + utm_zone(lon or 0)
+    places = geometry if looks == (1, 1) else cube.multilook(geometry, ["lon", "lat"], *looks, site)
+    keys = [k for k in (*KEY, "date", "role") if k in product.columns]
+    bands = [c for c in product.columns if c not in (*keys, "y", "x")]
+    placed = product.join(places.select(*site, "y", "x", "lon", "lat"), [*site, "y", "x"])
+    return cube.geocoded(placed, bands, "lon", "lat", resolution, epsg, tuple(keys), tuple(b for b in bands if b == "phase"))
+
+
 #: Older names of the three processes.
 ALIASES = {
     "insar_coherence": sar_coherence,

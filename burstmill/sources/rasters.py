@@ -39,6 +39,22 @@ def pairs_to_do(pairs: DataFrame, path: str) -> DataFrame:
     return pairs.join(done.select(*(F.col(c).cast(kinds[c]).alias(c) for c in keys)).distinct(), keys, "left_anti")
 
 
+def files_by_date(files: DataFrame, primary: str, polarizations: list[str]) -> DataFrame:
+    """(date, files) from (date, ordinal, file): the files of each date in order, latitude and longitude grids at every date.
+
+    Of several polarizations the first one's grids of the primary date are left out. What grids the primary has left, two
+    files, are added after the other dates' own. A date's list is bounded by its polarizations and bands.
+    """
+    day = F.lit(primary).cast("date")
+    if len(polarizations) > 1:
+        files = files.filter(~((F.col("date") == day) & F.col("file").contains(f"_{polarizations[0].lower()}_grid_")))
+    grids = [r.file for r in files.filter((F.col("date") == day) & F.col("file").contains("_grid_")).orderBy("ordinal").limit(3).collect()]
+    if len(grids) != 2:
+        raise ValueError(f"the primary date {primary} must have two grid files, found {grids}")
+    own = files.groupBy("date").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "file"))), lambda f: f["file"]).alias("files"))
+    return own.withColumn("files", F.when(F.col("date") == day, F.col("files")).otherwise(F.concat("files", F.array(*map(F.lit, grids)))))
+
+
 def write_bands(cube: DataFrame, bands: list[str], keys: list[str], path: str) -> None:
     """One folder for each band."""
     cube.unpivot(keys, bands, "band", "value").write.mode("append").partitionBy("band").parquet(path)

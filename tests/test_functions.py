@@ -89,3 +89,33 @@ def test_raster_metadata(spark):
         new=rasters.projected_shape(F.array(F.lit(1), F.lit(2)), F.lit("2024-06-01").cast("date")), info=rasters.raster_info(F.lit('{"size": [5, 7], "stac": {"proj:epsg": 32632}}')),
     )
     assert r.b == ["i_VV", "q_VV"] and r.old == [2, 1] and r.new == [1, 2] and r.info.size == [5, 7] and r.info.stac["proj:epsg"] == 32632
+
+
+@pytest.mark.parametrize(
+    ("other", "meet"),
+    [
+        ([(1, 1), (2, 1), (2, 2), (1, 1)], True),  # inside
+        ([(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9)], True),  # around
+        ([(3, -1), (3, 5), (3.5, 2), (3, -1)], True),  # across, with no corner inside
+        ([(4, 4), (5, 4), (5, 5), (4, 4)], True),  # touches a corner
+        ([(4, 1), (6, 1), (6, 3), (4, 1)], True),  # touches an edge
+        ([(5, 3), (5, 5), (3.2, 5), (5, 3)], False),  # boxes overlap, areas do not
+        ([(5, 5), (6, 5), (6, 6), (5, 5)], False),
+        ([(1, 1), (2, 2)], False),  # no area
+    ],
+)
+def test_rings_meet(spark, other, meet):
+    ring = F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in other))
+    box = geometry.box_ring(0, 0, 4, 4)
+    assert tuple(one(spark, a=geometry.rings_meet(box, ring), b=geometry.rings_meet(ring, box))) == (meet, meet)
+
+
+def test_projected(spark):
+    lon, lat = F.lit(11.0), F.lit(46.0)
+    north, south = geometry.projected(lon, lat, 4326, 32632), geometry.projected(lon, -lat, 4326, 32732)
+    r = one(spark, e=north[0], n=north[1], f=south[0], s=south[1])
+    assert r.e == pytest.approx(r.f) and r.s == pytest.approx(10_000_000 - r.n)
+    assert geometry.projected(lon, lat, 32632, 32632) == (lon, lat)
+    with pytest.raises(ValueError, match="no rule"):
+        geometry.projected(lon, lat, 32633, 32632)
+    assert [geometry.utm_zone(x) for x in (-180, 11, 12, 179.9)] == [1, 32, 33, 60]

@@ -167,6 +167,33 @@ def test_elevation_is_bilinear(spark):
     assert {r.x: r.elevation for r in cube.with_elevation(c, dem, "lon", "lat", 1.0).collect()} == {0: pytest.approx(6.25), 1: None}
 
 
+def test_geocoding_on_a_curved_grid(spark):
+    """A band linear in the coordinates comes back exactly, at just the nodes that a search over all quadrilaterals finds."""
+    lon = lambda y, x: 10 + 0.01 * x + 0.002 * y + 0.0004 * x * y + 0.0003 * y * y
+    lat = lambda y, x: 46 + 0.012 * y - 0.001 * x + 0.0002 * x * x
+    rows = [(1, y, x, lon(y, x), lat(y, x), 3 * lon(y, x) - 2 * lat(y, x), math.pi + 0.01 * x if x % 2 else -math.pi + 0.01 * x) for y in range(8) for x in range(9) if (y, x) != (3, 4)]
+    df = spark.createDataFrame([*rows, (1, 30, 30, None, 46.0, 1.0, 1.0)], "b long, y long, x long, lon double, lat double, v double, p double")
+    step = 0.003
+    found = {(r.row, r.col): (r.v, r.p) for r in cube.geocoded(df, ["v", "p"], "lon", "lat", step, by=("b",), angles=("p",)).collect()}
+    at = {(y, x): (e, n) for _, y, x, e, n, _, _ in rows}
+    expected = set()
+    for y in range(7):
+        for x in range(8):
+            ring = [at.get(k) for k in ((y, x), (y, x + 1), (y + 1, x + 1), (y + 1, x))]
+            if None in ring:
+                continue
+            for row in range(int(min(n for _, n in ring) / step) - 1, int(max(n for _, n in ring) / step) + 1):
+                for col in range(int(min(e for e, _ in ring) / step) - 1, int(max(e for e, _ in ring) / step) + 1):
+                    e, n = (col + 0.5) * step, (row + 0.5) * step
+                    turns = [(b[0] - a[0]) * (n - a[1]) - (b[1] - a[1]) * (e - a[0]) for a, b in zip(ring, ring[1:] + ring[:1])]
+                    if all(s >= 0 for s in turns) or all(s <= 0 for s in turns):
+                        expected.add((row, col))
+    assert found.keys() == expected and len(expected) > 300
+    for (row, col), (v, p) in found.items():
+        assert v == pytest.approx(3 * (col + 0.5) * step - 2 * (row + 0.5) * step, abs=1e-8)
+        assert math.cos(p) < -0.98  # phases to both sides of the cut do not meet at zero
+
+
 def test_unwrapping_a_ramp(spark):
     ramp = np.array([[0.7 * x + 0.2 * y for x in range(30)] for y in range(4)])
     wrapped = np.arctan2(np.sin(ramp), np.cos(ramp))

@@ -156,3 +156,26 @@ def test_filtered_interferogram(spark):
     assert turned.filter(F.abs(F.sin((F.col("p") - F.col("phase") - 0.25) / 2)) > 1e-6).isEmpty() and turned.count() == 96
     filtered = workflows.sar_interferogram(cat, slc, job, unwrap=False, filtered=True)
     assert filtered.groupBy("prm_date").count().count() == 3 and filtered.count() == plain.count()
+
+
+def test_geocoded_products(spark):
+    """Each burst, polarization and pair lies on the grid by itself; the geometry takes the looks of the product."""
+    cat, slc, _ = world(spark)
+    job = parameters.job({"burst_id": 10, "polarization": "vv", "temporal_extent": ["2024-01-01", "2024-02-28"], "temporal_baseline": 12, "n_rg_looks": 2, "n_az_looks": 1})
+    places = slc.select("burst_id", "swath", "y", "x", (11 + F.col("x") * 0.001).alias("lon"), (46 + F.col("y") * 0.001).alias("lat")).distinct()
+    out = workflows.geocoded(workflows.sar_interferogram(cat, slc, job), places, 20.0, looks=(2, 1))
+    assert out.columns == ["burst_id", "swath", "pol", "prm_date", "sec_date", "row", "col", "phase", "unw_phase", "coh"]
+    counts = out.groupBy("prm_date").count().collect()
+    assert len(counts) == 3 and len({r["count"] for r in counts}) == 1
+    box = out.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col"), F.min("coh"), F.max("coh")).first()
+    assert 5_090_000 < box[0] * 20 < box[1] * 20 < 5_110_000 and 640_000 < box[2] * 20 < box[3] * 20 < 660_000 and 0 <= box[4] <= box[5] <= 1 + 1e-9
+
+
+def test_lists_by_date(spark):
+    rows = [("2024-01-01", 0, "prm_vv_i"), ("2024-01-01", 1, "prm_vv_grid_lat"), ("2024-01-13", 0, "sec_vv_i")]
+    files = spark.createDataFrame(rows, "date string, ordinal int, file string").withColumn("date", F.to_date("date"))
+    with pytest.raises(ValueError, match="two grid files"):
+        rasters.files_by_date(files, "2024-01-01", ["VV"])
+    whole = files.union(spark.sql("SELECT DATE '2024-01-01', 2, 'prm_vv_grid_lon'"))
+    found = {str(r.date): r.files for r in rasters.files_by_date(whole, "2024-01-01", ["VV"]).collect()}
+    assert found == {"2024-01-01": ["prm_vv_i", "prm_vv_grid_lat", "prm_vv_grid_lon"], "2024-01-13": ["sec_vv_i", "prm_vv_grid_lat", "prm_vv_grid_lon"]}
