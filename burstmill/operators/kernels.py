@@ -130,16 +130,27 @@ def invert_network(pairs: DataFrame, key: list[str], value: str = "phase", weigh
     return table.repartition(*key).sortWithinPartitions(*key, "_a", "_b").mapInArrow(run, schema)
 
 
-def raster_components(image: DataFrame, flag: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, component, cells, y0, y1, x0, x1): 4-connected areas of the cells whose flag is set, with their boxes.
+def labelled_cells(image: DataFrame, flag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, y, x, component) of the cells whose flag is set: 4-connected areas, those of one image never with another's.
 
     A component is named by its smallest cell number, y * 2^31 + x within one image.
     """
-    if by:
-        raise ValueError("one image at a time")
-    cells = image.filter(F.col(flag)).select("y", "x", (F.col("y").cast("long") * (1 << 31) + F.col("x")).alias("cell"))
-    right = cells.select("y", (F.col("x") + 1).alias("x"), F.col("cell").alias("a")).join(cells.withColumnRenamed("cell", "b"), ["y", "x"])
-    down = cells.select((F.col("y") + 1).alias("y"), "x", F.col("cell").alias("a")).join(cells.withColumnRenamed("cell", "b"), ["y", "x"])
-    found = connected_components(right.select("a", "b").union(down.select("a", "b")))
-    named = cells.join(found.withColumnRenamed("node", "cell"), "cell", "left").withColumn("component", F.coalesce("root", "cell"))
-    return named.groupBy("component").agg(F.count("*").alias("cells"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    cells = image.filter(F.col(flag)).select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    cells = cells.withColumn("cell", F.col("y") * F.lit(1 << 31) + F.col("x"))
+    node = F.struct(*by, "cell") if by else F.col("cell")
+    at = cells.select(*by, "y", "x", node.alias("node"))
+    links = None
+    for c in ("x", "y"):
+        before = at.select(*by, *((F.col(k) + 1).alias(k) if k == c else k for k in ("y", "x")), F.col("node").alias("a"))
+        more = before.join(at.withColumnRenamed("node", "b"), [*by, "y", "x"]).select("a", "b")
+        links = more if links is None else links.union(more)
+    found = connected_components(links)
+    cell = lambda c: F.col(c)["cell"] if by else F.col(c)
+    roots = found.select(*(F.col("node")[c].alias(c) for c in by), cell("node").alias("cell"), cell("root").alias("root"))
+    return cells.join(roots, [*by, "cell"], "left").select(*by, "y", "x", F.coalesce("root", "cell").alias("component"))
+
+
+def raster_components(image: DataFrame, flag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, component, cells, y0, y1, x0, x1): 4-connected areas of the cells whose flag is set, with their boxes."""
+    named = labelled_cells(image, flag, by)
+    return named.groupBy(*by, "component").agg(F.count("*").alias("cells"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))

@@ -52,6 +52,8 @@ _TWO = ", ".join(f"sum({c}) OVER (PARTITION BY {_B}, prm_date, x ORDER BY y RANG
 _COH = f"""h AS (SELECT {_B}, prm_date, sec_date, y, x, {_ONE} FROM p), v AS (SELECT {_B}, prm_date, sec_date, y, x, {_TWO} FROM h),
 c AS (SELECT {_B}, prm_date, sec_date, y, x, sqrt(pow(re / sqrt(p1 * p2 + 1e-12), 2) + pow(im / sqrt(p1 * p2 + 1e-12), 2)) AS coh FROM v)"""
 
+_COH_ONCE = _COH.replace("c AS (", "c AS MATERIALIZED (")
+
 
 def _job(images: DataFrame | None = None, **more):
     """A job over the extent that `more` names, or else over the images' own, from the first date to the last."""
@@ -88,10 +90,10 @@ def geometry(images: DataFrame) -> DataFrame:
     return images.groupBy("burst_id", "swath", "y", "x").agg(F.lit(True)).select("burst_id", "swath", "y", "x", lon.alias("lon"), lat.alias("lat"))
 
 
-@query(f"""WITH {_P}, {_COH}, g AS (SELECT b.burst_id, n.r AS row, m.c AS col, (m.c + 0.5) * {_STEP} - 10 - 0.05 * (b.burst_id - 7) AS dx, (n.r + 0.5) * {_STEP} - 46 AS dy
+@query(f"""WITH {_P}, {_COH_ONCE}, g AS (SELECT b.burst_id, n.r AS row, m.c AS col, (m.c + 0.5) * {_STEP} - 10 - 0.05 * (b.burst_id - 7) AS dx, (n.r + 0.5) * {_STEP} - 46 AS dy
 FROM (VALUES (7), (8), (9)) b(burst_id), (SELECT unnest(range(11495, 11520)) AS r) n, (SELECT unnest(range(2490, 2615)) AS c) m),
-f AS (SELECT burst_id, row, col, (0.001 * dx + 0.0003 * dy) / 1.006e-5 AS fx, (0.01 * dy - 0.0002 * dx) / 1.006e-5 AS fy FROM g),
-w AS (SELECT burst_id, row, col, CAST(floor(fx) AS BIGINT) AS x, CAST(floor(fy) AS BIGINT) AS y, fx - floor(fx) AS u, fy - floor(fy) AS v FROM f)
+f AS MATERIALIZED (SELECT burst_id, row, col, (0.001 * dx + 0.0003 * dy) / 1.006e-5 AS fx, (0.01 * dy - 0.0002 * dx) / 1.006e-5 AS fy FROM g),
+w AS MATERIALIZED (SELECT burst_id, row, col, CAST(floor(fx) AS BIGINT) AS x, CAST(floor(fy) AS BIGINT) AS y, fx - floor(fx) AS u, fy - floor(fy) AS v FROM f)
 SELECT c.burst_id, c.swath, c.pol, c.prm_date, c.sec_date, w.row, w.col, round((1 - u) * (1 - v) * c.coh + u * (1 - v) * k.coh + (1 - u) * v * l.coh + u * v * m.coh, 6) AS coh FROM w JOIN c ON c.burst_id = w.burst_id AND c.y = w.y AND c.x = w.x
 JOIN c k ON k.burst_id = c.burst_id AND k.pol = c.pol AND k.prm_date = c.prm_date AND k.y = c.y AND k.x = c.x + 1
 JOIN c l ON l.burst_id = c.burst_id AND l.pol = c.pol AND l.prm_date = c.prm_date AND l.y = c.y + 1 AND l.x = c.x
