@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import wrapped
-from burstmill.operators import cube, polygons, unwrapping
+from burstmill.operators import cube, mosaics, polygons, unwrapping
 from burstmill.plans.raster_queries import _R, _coherence_sql, pair, raster
 
 QUERIES, ORACLES = {}, {}
@@ -53,3 +53,23 @@ def area_polygons(spark, sf_dir):
     low = cube.below(cube.coherence(pair(spark, sf_dir), 5, 3), "coh", 0.35)
     rings = polygons.measured(polygons.rings(low, "class"))
     return rings.groupBy("component").agg(F.sum("area").alias("area"), F.sum("length").alias("length"), F.count_if(~F.col("outer")).alias("holes"))
+
+
+#: Lines of a burst and lines that it shares with the next one; samples of a sub-swath and those that it shares.
+_LINES, _SHARED, _WIDE, _NEAR = 50, 9, 32, 5
+
+
+@query(f"""WITH r AS ({_R}), s AS (SELECT k.swath, y // {_LINES} AS burst, y % {_LINES} AS line, x, i FROM r, (VALUES (0), (1)) k(swath)),
+p AS (SELECT swath, burst, line + burst * {_LINES - _SHARED} + 3 * swath AS y, x + swath * {_WIDE - _NEAR} AS x, line, x AS col, i FROM s)
+SELECT CAST(swath AS BIGINT) AS swath, burst, y, x, round(i, 6) + 0.0 AS i FROM p, (SELECT max(burst) AS last FROM s)
+WHERE (burst = 0 OR line >= {_SHARED // 2}) AND (burst = last OR line < {_LINES - _SHARED + _SHARED // 2}) AND (swath = 0 OR col >= {_NEAR // 2}) AND (swath = 1 OR col < {_WIDE - _NEAR + _NEAR // 2})""")
+def deburst_merge(spark, sf_dir):
+    """Bursts of fifty lines, nine of which the next one has too, in two sub-swaths that share five samples and of which the
+    second begins three lines later: one grid, each line and sample once."""
+    r = raster(spark, sf_dir)
+    number = F.floor(F.col("y") / _LINES)
+    samples = r.select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("swath"), number.alias("burst_id"), (F.col("y") % _LINES).alias("y"), "x", "i")
+    bursts = samples.select("swath", "burst_id").distinct().select("swath", "burst_id", (0.002 * (_LINES - _SHARED) * F.col("burst_id") + 0.006 * F.col("swath")).alias("start"), F.lit(_LINES).cast("long").alias("lines"))
+    swaths = bursts.groupBy("swath").agg(F.min("start").alias("start")).select("swath", "start", (5e-3 + 1e-6 * (_WIDE - _NEAR) * F.col("swath")).alias("near"), F.lit(_WIDE).cast("long").alias("samples"))
+    found = mosaics.merged(mosaics.deburst(samples, bursts, 0.002, ("swath",)), swaths, 0.002, 1e-6, ())
+    return found.select("swath", F.col("burst_id").alias("burst"), "y", "x", (F.round("i", 6) + F.lit(0.0)).alias("i"))
