@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstmill.functions import phasors
-from burstmill.shared import BROADCAST_ROWS
 
 
 def filter_temporal(cube: DataFrame, start: str, end: str, t: str = "t") -> DataFrame:
@@ -193,19 +192,11 @@ def geocoded(cube: DataFrame, bands: list[str], lon: str, lat: str, resolution:
     return found.select(*by, "row", "col", *(F.atan2(f"sin_{b}", f"cos_{b}").alias(b) if b in angles else b for b in bands))
 
 
-def with_elevation(cube: DataFrame, dem: DataFrame, lon: str, lat: str, step: float) -> DataFrame:
-    """cube and elevation, bilinear between the four nodes of a regular grid dem(col, row, height); null outside."""
-    fx, fy = F.col(lon) / step, F.col(lat) / step
-    at = cube.withColumns({"_c": F.floor(fx), "_r": F.floor(fy), "_u": fx - F.floor(fx), "_v": fy - F.floor(fy)})
-    keys = cube.columns
-    near = at.withColumn("_o", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))))
-    near = near.withColumns({"col": F.col("_c") + F.col("_o.a"), "row": F.col("_r") + F.col("_o.b")})
-    weight = F.when(F.col("_o.a") == 1, F.col("_u")).otherwise(1 - F.col("_u")) * F.when(F.col("_o.b") == 1, F.col("_v")).otherwise(1 - F.col("_v"))
-    grid = dem.select("col", "row", "height")
-    grid = F.broadcast(grid) if grid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else grid
-    joined = near.join(grid, ["col", "row"], "left").withColumn("_w", weight)
-    full = F.when(F.count("height") == 4, F.sum(F.col("_w") * F.col("height")))
-    return joined.groupBy(*keys).agg(full.alias("elevation"))
+def with_elevation(cube: DataFrame, dem: DataFrame, lon: str, lat: str, step: float, kernel: str = "bilinear") -> DataFrame:
+    """cube and elevation from a regular grid dem(col, row, height), see resampling.with_elevation."""
+    from burstmill.operators import resampling
+
+    return resampling.with_elevation(cube, dem, lon, lat, step, kernel)
 
 
 def unpivoted(cube: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:

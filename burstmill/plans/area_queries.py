@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import wrapped
-from burstmill.operators import cube, mosaics, polygons, unwrapping
+from burstmill.operators import cube, mosaics, polygons, resampling, unwrapping
+from burstmill.plans.catalog_queries import table
 from burstmill.plans.raster_queries import _R, _coherence_sql, pair, raster
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +74,32 @@ def deburst_merge(spark, sf_dir):
     swaths = bursts.groupBy("swath").agg(F.min("start").alias("start")).select("swath", "start", (5e-3 + 1e-6 * (_WIDE - _NEAR) * F.col("swath")).alias("near"), F.lit(_WIDE).cast("long").alias("samples"))
     found = mosaics.merged(mosaics.deburst(samples, bursts, 0.002, ("swath",)), swaths, 0.002, 1e-6, ())
     return found.select("swath", F.col("burst_id").alias("burst"), "y", "x", (F.round("i", 6) + F.lit(0.0)).alias("i"))
+
+
+def _taps_sql(points: str, grid: str, values: list[str], digits: int) -> str:
+    """Bicubic values of grid (gy, gx, values) at points (py, px, ...), null without all samples beside the place."""
+    w = lambda d: f"CASE WHEN abs({d}) <= 1 THEN (1.5 * abs({d}) - 2.5) * {d} * {d} + 1 ELSE ((-0.5 * abs({d}) + 2.5) * abs({d}) - 4) * abs({d}) + 2 END"
+    core = "greatest(0, 1 - abs(py - gy)) * greatest(0, 1 - abs(px - gx))"
+    out = ", ".join(f"CASE WHEN sum(c) > 1 - 1e-9 THEN round(sum(w * {v}) / sum(w), {digits}) + 0.0 END AS {v}" for v in values)
+    return f"""p AS ({points}), n AS (SELECT id, py, px, CAST(floor(py) AS BIGINT) + a.n AS gy, CAST(floor(px) AS BIGINT) + b.n AS gx FROM p, (SELECT unnest(range(-1, 3)) AS n) a, (SELECT unnest(range(-1, 3)) AS n) b),
+g AS ({grid}), m AS (SELECT id, ({w("(py - gy)")}) * ({w("(px - gx)")}) AS w, {core} AS c, {", ".join(values)} FROM n JOIN g USING (gy, gx)), v AS (SELECT id, {out} FROM m GROUP BY 1)"""
+
+
+@query(f"""WITH r AS ({_R}), {_taps_sql("SELECT y * 32 + x AS id, y, x, y + 0.6 - 0.01 * x AS py, x - 0.4 + 0.3 * i AS px FROM r", "SELECT y AS gy, x AS gx, i, q FROM r", ["i", "q"], 6)}
+SELECT y, x, v.i, v.q FROM p LEFT JOIN v USING (id)""")
+def resample_bicubic(spark, sf_dir):
+    """Complex samples at places off the grid, which differ from line to line and sample to sample."""
+    r = raster(spark, sf_dir).select("y", "x", "i", "q")
+    places = r.select("y", "x", (F.col("y") + 0.6 - 0.01 * F.col("x")).alias("at_y"), (F.col("x") - 0.4 + 0.3 * F.col("i")).alias("at_x"))
+    found = resampling.resampled_complex(r, places, "bicubic", tile=64)
+    return found.select("y", "x", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in "iq"))
+
+
+@query(f"""WITH {_taps_sql("SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, 0.013 * (l_partkey % 4000) AS py, 0.17 * (l_suppkey % 190) AS px FROM lineitem", f"SELECT y AS gy, x AS gx, 100 * i AS elevation FROM ({_R})", ["elevation"], 5)}
+SELECT l_orderkey, l_linenumber, elevation FROM p LEFT JOIN v USING (id)""")
+def elevation_bicubic(spark, sf_dir):
+    """The elevation of places of which many repeat, from a grid of heights."""
+    dem = raster(spark, sf_dir).select(F.col("x").alias("col"), F.col("y").alias("row"), (100 * F.col("i")).alias("height"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (0.013 * (F.col("l_partkey") % 4000)).alias("lat"), (0.17 * (F.col("l_suppkey") % 190)).alias("lon"))
+    found = cube.with_elevation(items, dem, "lon", "lat", 1.0, "bicubic")
+    return found.select("l_orderkey", "l_linenumber", (F.round("elevation", 5) + F.lit(0.0)).alias("elevation"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import amplitude, phase
-from burstmill.operators import bursts, cube, kernels, pairs
+from burstmill.operators import bursts, cube, kernels, pairs, resampling, unwrapping
 from burstmill.shared import materialize, maybe_broadcast
 from burstmill.sources.parameters import Job
 
@@ -75,44 +75,68 @@ def job_samples(slc: DataFrame, job: Job) -> DataFrame:
     return slc.filter(F.col("pol").isin([p.upper() for p in job.polarization]))
 
 
-def paired_samples(slc: DataFrame, found: DataFrame) -> DataFrame:
+def paired_samples(slc: DataFrame, found: DataFrame, offsets: DataFrame | None = None, kernel: str = "sinc", carrier: str | None = None) -> DataFrame:
     """(burst_id, swath, pol, prm_date, sec_date, y, x, i1, q1, i2, q2): co-registered samples of each pair.
 
-    slc must lie on a common grid for each burst; geometric co-registration needs orbits and elevation and is not modelled.
+    Without offsets slc must lie on a common grid for each burst. With offsets (burst_id, swath, pol, prm_date, sec_date, y, x,
+    dy, dx) the secondary's sample is the one at (y + dy, x + dx) of its own grid, resampled by the kernel; carrier: an
+    expression of y and x for the phase to take off meanwhile.
     """
     a = slc.select(*BURST, F.col("date").alias("prm_date"), "y", "x", F.col("i").alias("i1"), F.col("q").alias("q1"))
     b = slc.select(*BURST, F.col("date").alias("sec_date"), "y", "x", F.col("i").alias("i2"), F.col("q").alias("q2"))
     few = maybe_broadcast(found.distinct())
-    return a.join(few, [*BURST, "prm_date"]).join(b, [*BURST, "sec_date", "y", "x"])
+    if offsets is None:
+        return a.join(few, [*BURST, "prm_date"]).join(b, [*BURST, "sec_date", "y", "x"])
+    places = offsets.join(few, list(KEY), "left_semi").select(*KEY, "y", "x", (F.col("y") + F.col("dy")).alias("at_y"), (F.col("x") + F.col("dx")).alias("at_x"))
+    moved = resampling.resampled_complex(b.withColumnsRenamed({"i2": "i", "q2": "q"}), places, kernel, (*BURST, "sec_date"), carrier)
+    moved = moved.filter("i IS NOT NULL AND q IS NOT NULL").select(*KEY, "y", "x", F.col("i").alias("i2"), F.col("q").alias("q2"))
+    return a.join(moved, [*BURST, "prm_date", "y", "x"])
 
 
-def sar_coherence(catalogue: DataFrame, slc: DataFrame, job: Job, every_burst: bool = False) -> DataFrame:
-    """(burst_id, swath, pol, prm_date, sec_date, y, x, coh). Among pairs that the job gives itself each primary may occur once."""
+def sar_coherence(catalogue: DataFrame, slc: DataFrame, job: Job, every_burst: bool = False, offsets: DataFrame | None = None) -> DataFrame:
+    """(burst_id, swath, pol, prm_date, sec_date, y, x, coh); offsets: see paired_samples. Among pairs that the job gives itself each primary may occur once."""
     found = job_pairs(catalogue, job, every_burst)
     if job.InSAR_pairs and not pairs.repeated_primaries(found, BURST).isEmpty():
         raise ValueError("a primary date is given twice")
-    samples = materialize(paired_samples(job_samples(slc, job), found), "samples")
+    samples = materialize(paired_samples(job_samples(slc, job), found, offsets), "samples")
     parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], KEY)
     return cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, KEY)
 
 
-def sar_interferogram(catalogue: DataFrame, slc: DataFrame, job: Job, unwrap: bool = True, every_burst: bool = False, filtered: bool = False, reference_phase: str | None = None) -> DataFrame:
+def sar_interferogram(
+    catalogue: DataFrame,
+    slc: DataFrame,
+    job: Job,
+    unwrap: bool = True,
+    every_burst: bool = False,
+    filtered: bool = False,
+    reference_phase: str | None = None,
+    offsets: DataFrame | None = None,
+    patch: int = 64,
+    tile: tuple[int, int] | None = None,
+) -> DataFrame:
     """(burst_id, swath, pol, prm_date, sec_date, y, x, phase, unw_phase, coh) after multilooking.
 
     reference_phase: an expression over samples of a pair (y, x, ...) that is taken off, as flat earth and topography are;
-    filtered: whether Goldstein's filter follows multilooking, pair by pair.
+    filtered: whether Goldstein's filter follows multilooking, pair by pair, in patches of `patch` samples; offsets: see
+    paired_samples; tile: unwrap in two dimensions by coherence, in tiles of so many lines and samples, instead of line by line.
     """
     found = job_pairs(catalogue, job, every_burst)
-    samples = materialize(paired_samples(job_samples(slc, job), found), "samples")
+    samples = materialize(paired_samples(job_samples(slc, job), found, offsets), "samples")
     looks = (job.n_rg_looks, job.n_az_looks)
     turned = samples if reference_phase is None else samples.withColumn("_reference", F.expr(reference_phase))
     ifg = cube.multilook(cube.interferogram(turned, KEY, None if reference_phase is None else "_reference"), ["re", "im"], *looks, KEY)
     if filtered:
-        ifg = kernels.goldstein(ifg, by=KEY)
+        ifg = kernels.goldstein(ifg, patch=patch, by=KEY)
     parts = cube.densified(samples, ["i1", "q1", "i2", "q2"], KEY)
     coh = cube.multilook(cube.coherence(parts, job.coherence_window_rg, job.coherence_window_az, KEY), ["coh"], *looks, KEY)
     out = ifg.select(*KEY, "y", "x", phase(F.col("re"), F.col("im")).alias("phase")).join(coh, [*KEY, "y", "x"])
-    return kernels.unwrap_rows(out, "phase", KEY).select(*KEY, "y", "x", "phase", "unw_phase", "coh") if unwrap else out
+    if not unwrap:
+        return out
+    if tile is None:
+        return kernels.unwrap_rows(out, "phase", KEY).select(*KEY, "y", "x", "phase", "unw_phase", "coh")
+    out = materialize(out, "interferogram")
+    return out.join(unwrapping.unwrap(out, "phase", "coh", KEY, tile), [*KEY, "y", "x"]).select(*KEY, "y", "x", "phase", "unw_phase", "coh")
 
 
 def sar_slc_preprocessing(catalogue: DataFrame, slc: DataFrame, job: Job, every_burst: bool = False) -> DataFrame:
