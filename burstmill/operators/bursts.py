@@ -23,6 +23,11 @@ def matching(bursts: DataFrame, start: str | None = None, end: str | None = None
     return bursts
 
 
+def of_product(bursts: DataFrame, product: str, start: str = "start") -> DataFrame:
+    """The bursts that come from a product, by their start; its name may end in .SAFE or not."""
+    return bursts.filter(F.regexp_replace("product", r"\.SAFE$", "") == F.lit(product.removesuffix(".SAFE"))).orderBy(start)
+
+
 def guarded(rows: DataFrame, order: list[str], page: int = PAGE, fail: bool = True) -> DataFrame:
     """The first page in a total order. A full page is an error, as rows may be missing; with fail=False it is cut silently."""
     found = rows.orderBy(*order).limit(page)

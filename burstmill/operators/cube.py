@@ -147,21 +147,18 @@ def resample_spatial(cube: DataFrame, bands: list[str], lon: str, lat: str, reso
     return cells.agg(*(F.avg(phasors.no_nan(F.col(b))).alias(b) for b in bands), F.count("*").alias("n"))
 
 
-def geocoded(cube: DataFrame, bands: list[str], lon: str, lat: str, resolution: float, epsg: int = 4326, by: tuple[str, ...] = (), angles: tuple[str, ...] = ()) -> DataFrame:
-    """(by, row, col, bands) on the aligned grid of a reference system, bilinear between samples; lon and lat are columns of the cube.
+def grid_nodes(places: DataFrame, lon: str, lat: str, resolution: float, epsg: int = 4326, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, y0, x0, y, x, weight): the samples around each node of the aligned grid and their bilinear weights.
 
-    A node is the centre of a cell, (col + 0.5, row + 0.5) times the resolution. It lies in a quadrilateral of four adjacent
-    samples, at fractions u along the line and v across lines that solve a + u (b - a) + v (d - a) + u v (a - b + c - d) = node.
-    Quadrilaterals without one of their samples hold no node; a band without data at a corner is null. Nodes of several
-    quadrilaterals (common edges, layover) take the mean. Bands in `angles` are interpolated on the circle. A
-    quadrilateral is dealt to the nodes of its own box only, so rows grow with the grid.
+    places: (by, y, x, lon, lat). A node is the centre of a cell, (col + 0.5, row + 0.5) times the resolution. It lies in a
+    quadrilateral of four adjacent samples, of which (y0, x0) is the first, at fractions u along the line and v across lines
+    that solve a + u (b - a) + v (d - a) + u v (a - b + c - d) = node. Quadrilaterals without one of their samples hold no node.
+    A quadrilateral is dealt to the nodes of its own box only, so rows grow with the grid.
     """
     from burstmill.functions.geometry import projected
 
     east, north = projected(F.col(lon), F.col(lat), 4326, epsg)
-    parts = {b: phasors.no_nan(F.col(b).cast("double")) for b in bands if b not in angles}
-    parts |= {f"{f.__name__}_{b}": f(phasors.no_nan(F.col(b).cast("double"))) for b in angles for f in (F.cos, F.sin)}
-    at = cube.select(*by, "y", "x", F.struct(phasors.no_nan(east).alias("e"), phasors.no_nan(north).alias("n"), *(c.alias(k) for k, c in parts.items())).alias("_a"))
+    at = places.select(*by, "y", "x", F.struct(phasors.no_nan(east).alias("e"), phasors.no_nan(north).alias("n")).alias("_a"))
     line = Window.partitionBy(*by, "y").orderBy("x")
     edge = at.filter("_a.e IS NOT NULL AND _a.n IS NOT NULL").withColumns({"_next": F.lead("x").over(line), "_b": F.lead("_a").over(line)}).filter("_next = x + 1").drop("_next")
     under = edge.select(*by, (F.col("y") - 1).alias("y"), "x", F.col("_a").alias("_d"), F.col("_b").alias("_c"))
@@ -186,12 +183,31 @@ def geocoded(cube: DataFrame, bands: list[str], lon: str, lat: str, resolution:
     step = tuple(r + c("_v") * s for r, s in zip(along, twist))
     u = [F.try_divide(to[k] - c("_v") * across[k], step[k]) for k in (0, 1)]
     solved = solved.withColumn("_u", F.when(F.abs(step[0]) >= F.abs(step[1]), u[0]).otherwise(u[1])).filter(fits(c("_u")))
-    weights = {"a": (1 - c("_u")) * (1 - c("_v")), "b": c("_u") * (1 - c("_v")), "c": c("_u") * c("_v"), "d": (1 - c("_u")) * c("_v")}
-    value = lambda b: F.avg(sum((w * c(f"_{k}.{b}") for k, w in weights.items()), F.lit(0.0))).alias(b)
-    found = solved.groupBy(*by, "row", "col").agg(*(value(b) for b in parts))
+    around = F.array(*(F.struct((c("y") + dy).alias("y"), (c("x") + dx).alias("x"), ((c("_u") if dx else 1 - c("_u")) * (c("_v") if dy else 1 - c("_v"))).alias("weight")) for dy in (0, 1) for dx in (0, 1)))
+    return solved.select(*by, "row", "col", c("y").alias("y0"), c("x").alias("x0"), c("_v").alias("v0"), F.explode(around).alias("_s")).select(*by, "row", "col", "y0", "x0", "v0", "_s.*")
+
+
+def at_nodes(cube: DataFrame, nodes: DataFrame, bands: list[str], by: tuple[str, ...], site: tuple[str, ...] = (), angles: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, bands) of images whose samples share nodes (site, row, col, ...) of grid_nodes; site: some of by.
+
+    A band without data at a corner is null. Nodes of several quadrilaterals (common edges, layover) take the mean of those
+    that hold all four samples. Bands in `angles` are interpolated on the circle.
+    """
+    parts = {b: phasors.no_nan(F.col(b).cast("double")) for b in bands if b not in angles}
+    parts |= {f"{f.__name__}_{b}": f(phasors.no_nan(F.col(b).cast("double"))) for b in angles for f in (F.cos, F.sin)}
+    values = cube.select(*by, "y", "x", *(c.alias(f"_{k}") for k, c in parts.items()))
+    met = values.join(nodes, [*site, "y", "x"])
+    quad = met.groupBy(*by, "row", "col", "y0", "x0", "v0").agg(F.count("*").alias("_n"), *(F.when(F.count(f"_{k}") == 4, F.sum(F.col("weight") * F.col(f"_{k}"))).alias(f"_{k}") for k in parts))
+    found = quad.filter("_n = 4").groupBy(*by, "row", "col").agg(*(F.avg(f"_{k}").alias(k) for k in parts))
     return found.select(*by, "row", "col", *(F.atan2(f"sin_{b}", f"cos_{b}").alias(b) if b in angles else b for b in bands))
 
 
+def geocoded(cube: DataFrame, bands: list[str], lon: str, lat: str, resolution: float, epsg: int = 4326, by: tuple[str, ...] = (), angles: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, bands) on the aligned grid of a reference system, bilinear between samples; lon and lat are columns of
+    the cube. Images that share their places are better served by one grid_nodes for all."""
+    return at_nodes(cube, grid_nodes(cube, lon, lat, resolution, epsg, by), bands, by, by, angles)
+
+
 def with_elevation(cube: DataFrame, dem: DataFrame, lon: str, lat: str, step: float, kernel: str = "bilinear") -> DataFrame:
     """cube and elevation from a regular grid dem(col, row, height), see resampling.with_elevation."""
     from burstmill.operators import resampling

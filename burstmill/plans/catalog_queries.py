@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstmill.functions import dates, names
-from burstmill.operators import bursts, pairs
+from burstmill.operators import areas, bursts, pairs
 from burstmill.sources import rasters, stac
 
 QUERIES, ORACLES = {}, {}
@@ -338,6 +338,41 @@ def pair_document(spark, sf_dir):
     return document(pairs.offset_pairs(c, 12, "start").distinct(), "IW2")
 
 
+@query("""WITH f AS (SELECT event_id, value AS west, value + 0.625 AS east, CAST(props->>'k' AS INT) AS south, CAST(props->>'k' AS INT) + 0.375 AS north FROM events),
+a AS (SELECT p_partkey, p_size * 2 - 5.0 AS ax, p_partkey % 101 - 0.25 AS ay, p_size * 2 - 2.0 AS bx, p_partkey % 101 + 0.5 AS by_, p_size * 2 - 4.5 AS cx, p_partkey % 101 + 2.75 AS cy FROM part),
+e AS (SELECT p_partkey, unnest([[ax, ay, bx, by_], [bx, by_, cx, cy], [cx, cy, ax, ay]]) AS t FROM a),
+n AS (SELECT event_id, f.west, f.east, f.south, f.north, a.* FROM f JOIN a ON f.west <= greatest(ax, bx, cx) AND f.east >= least(ax, bx, cx) AND f.south <= greatest(ay, by_, cy) AND f.north >= least(ay, by_, cy)),
+s AS (SELECT event_id, p_partkey, bool_and((t[3] - t[1]) * (y - t[2]) - (t[4] - t[2]) * (x - t[1]) < 0) OVER (PARTITION BY event_id, p_partkey, k) AS beyond
+FROM (SELECT n.event_id, n.p_partkey, e.t, [e.t[1], e.t[3]] AS k, unnest([west, east, east, west]) AS x, unnest([south, south, north, north]) AS y FROM n JOIN e ON e.p_partkey = n.p_partkey))
+SELECT event_id, p_partkey FROM s GROUP BY 1, 2 HAVING NOT bool_or(beyond)""")
+def areas_meet_footprints(spark, sf_dir):
+    """Triangles against the catalogue's footprints, with steps that doubles hold exactly. The SQL uses that both are convex: they meet unless a side of one parts them."""
+    ring = lambda *points: F.array(*(F.array(x.cast("double"), y.cast("double")) for x, y in (*points, points[0])))
+    x, y = F.col("value"), F.get_json_object("props", "$.k").cast("int")
+    footprints = catalogue(spark, sf_dir).select("abs_id", ring((x, y), (x + 0.625, y), (x + 0.625, y + 0.375), (x, y + 0.375)).alias("ring"))
+    u, v = F.col("p_size") * 2, F.col("p_partkey") % 101
+    wanted = table(spark, sf_dir, "part").select("p_partkey", ring((u - 5, v - 0.25), (u - 2, v + 0.5), (u - 4.5, v + 2.75)).alias("ring"))
+    return areas.meeting(footprints, wanted).select(F.col("a.abs_id").alias("event_id"), "b.p_partkey")
+
+
+@query("""SELECT l_orderkey % 500 AS product, l_partkey AS burst, l_shipdate AS start, l_linenumber AS k FROM lineitem WHERE l_orderkey % 500 = 123""")
+def catalog_by_product(spark, sf_dir):
+    """The bursts of one product in the order of their start, whatever else they are."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).cast("string").alias("product"), F.col("l_partkey").alias("burst"), F.col("l_shipdate").alias("start"), F.col("l_linenumber").alias("k"))
+    return bursts.of_product(rows, "123").select(F.col("product").cast("long").alias("product"), "burst", "start", "k")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), p AS (SELECT a.d AS x, b.d AS y FROM d a JOIN d b ON b.d = a.d + 12)
+SELECT '{"burst_id": 7, "sub_swath": "iw2", "temporal_baseline": 12, "InSAR_pairs":[' || coalesce(string_agg('["' || x || '","' || y || '"]', ',' ORDER BY x), '') || '],"sub_swath_id":"IW2"}' AS value FROM p""")
+def pair_document_of_job(spark, sf_dir):
+    """The document of a job with the pairs found for it: its own keys stay as they were given."""
+    from burstmill.plans.workflows import pair_document as document
+
+    given = {"burst_id": 7, "sub_swath": "iw2", "temporal_baseline": 12}
+    c = catalogue(spark, sf_dir).select(F.to_date("start").alias("start")).distinct()
+    return document(pairs.offset_pairs(c, given["temporal_baseline"], "start").distinct(), "IW2", given)
+
+
 @query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type AS track FROM events), m AS (SELECT year(d) AS y, month(d) AS m, day(d) AS day, max(track) AS track FROM d GROUP BY 1, 2, 3)
 SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, string_agg(day || '=' || track, ',' ORDER BY day) AS days FROM m GROUP BY 1, 2""")
 def calendar_month_maps(spark, sf_dir):

@@ -105,6 +105,54 @@ def product_coherence_geocoded(spark, sf_dir):
     return rounded(workflows.geocoded(out, geometry(images), _STEP, 4326), "coh")
 
 
+def _turn(at: str, by: str, sign: int, source: str, group: str) -> str:
+    """One direction of a discrete Fourier transform of 16 points, from index `by` to index `at`."""
+    c, s = f"cos(pi() * k.n * {by} / 8)", f"{sign} * sin(pi() * k.n * {by} / 8)"
+    return f"SELECT {group}, k.n AS {at}, sum(re * {c} - im * {s}) AS re, sum(re * {s} + im * {c}) AS im FROM {source}, k GROUP BY ALL"
+
+
+_REFERENCE = "0.05 * x - 0.02 * y"
+_IMAGE = f"{_B}, prm_date, sec_date"
+
+
+@query(f"""WITH {_P}, {_COH_ONCE}, i AS (SELECT *, {_REFERENCE} AS ph FROM p), k AS (SELECT unnest(range(0, 16)) AS n),
+l AS (SELECT {_IMAGE}, y, x // 4 AS x, avg(re * cos(ph) + im * sin(ph)) AS re, avg(im * cos(ph) - re * sin(ph)) AS im FROM i GROUP BY ALL),
+g AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY {_IMAGE}) AS g FROM l),
+t AS MATERIALIZED (SELECT g, y // 8 - a.n AS py, x // 8 - b.n AS px, y - 8 * (y // 8 - a.n) AS r, x - 8 * (x // 8 - b.n) AS c, y, x, re, im FROM g, k a, k b WHERE a.n < 2 AND b.n < 2),
+f AS ({_turn("h", "c", -1, "t", "g, py, px, r")}), z AS MATERIALIZED ({_turn("w", "r", -1, "f", "g, py, px, h")}),
+m AS MATERIALIZED (SELECT g, py, px, (h + a.n - 1 + 16) % 16 AS h, (w + b.n - 1 + 16) % 16 AS w, sum(sqrt(re * re + im * im)) / 9 AS size FROM z, k a, k b WHERE a.n < 3 AND b.n < 3 GROUP BY ALL),
+e AS (SELECT g, py, px, h, w, re * sqrt(size / top) AS re, im * sqrt(size / top) AS im FROM z JOIN m USING (g, py, px, h, w) JOIN (SELECT g, py, px, max(size) AS top FROM m GROUP BY ALL) USING (g, py, px) WHERE top > 0),
+u AS ({_turn("c", "h", 1, "e", "g, py, px, w")}), o AS ({_turn("r", "w", 1, "u", "g, py, px, c")}),
+b AS (SELECT t.g, t.y, t.x, coalesce(o.re, 0) / 256 AS re, coalesce(o.im, 0) / 256 AS im, (1 - abs((r + 0.5) / 8 - 1)) * (1 - abs((c + 0.5) / 8 - 1)) AS q FROM t LEFT JOIN o USING (g, py, px, r, c)),
+vv AS (SELECT g, y, x, atan2(sum(im * q) / sum(q), sum(re * q) / sum(q)) AS phase FROM b GROUP BY ALL), n AS (SELECT {_IMAGE}, y, x // 4 AS x, avg(coh) AS coh FROM c GROUP BY ALL)
+SELECT {_IMAGE}, y, x, round(phase, 4) + 0.0 AS phase, round(coh, 6) AS coh, true AS wraps FROM vv JOIN g USING (g, y, x) JOIN n USING ({_IMAGE}, y, x)""")
+def product_interferogram_chain(spark, sf_dir):
+    """The whole chain: reference phase, multilooking, Goldstein's filter, coherence and unwrapping in two dimensions. wraps:
+    whether the unwrapped phase wraps to the filtered one."""
+    images = stack(spark, sf_dir)
+    out = workflows.sar_interferogram(acquisitions(images), images, _job(images), every_burst=True, filtered=True, reference_phase=_REFERENCE, patch=16, tile=(32, 16))
+    turns = (F.col("unw_phase") - F.col("phase")) / (2 * F.pi())
+    wraps = F.abs(turns - F.round(turns)) < 1e-9
+    return rounded(out, "coh").select(*workflows.KEY, "y", "x", (F.round("phase", 4) + F.lit(0.0)).alias("phase"), "coh", wraps.alias("wraps"))
+
+
+@query(f"""WITH {_P}, l AS MATERIALIZED (SELECT {_IMAGE}, y, x // 4 AS x, atan2(avg(im), avg(re)) AS phase FROM p GROUP BY ALL),
+g AS (SELECT b.burst_id, n.r AS row, m.c AS col, (m.c + 0.5) * {_STEP} - 10.015 - 0.05 * (b.burst_id - 7) AS dx, (n.r + 0.5) * {_STEP} - 46.0003 AS dy
+FROM (VALUES (7), (8), (9)) b(burst_id), (SELECT unnest(range(11495, 11520)) AS r) n, (SELECT unnest(range(2490, 2615)) AS c) m),
+f AS MATERIALIZED (SELECT burst_id, row, col, (0.001 * dx + 0.0003 * dy) / 4.024e-5 AS fx, (0.04 * dy - 0.0008 * dx) / 4.024e-5 AS fy FROM g),
+w AS MATERIALIZED (SELECT burst_id, row, col, CAST(floor(fx) AS BIGINT) AS x, CAST(floor(fy) AS BIGINT) AS y, fx - floor(fx) AS u, fy - floor(fy) AS v FROM f),
+ss AS (SELECT {", ".join("l." + c for c in _IMAGE.split(", "))}, row, col, count(*) AS n, sum(q * cos(phase)) AS re, sum(q * sin(phase)) AS im FROM (SELECT *, y + a AS gy, x + b AS gx, (CASE a WHEN 1 THEN v ELSE 1 - v END) * (CASE b WHEN 1 THEN u ELSE 1 - u END) AS q FROM w, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(a, b)) w
+JOIN l ON l.burst_id = w.burst_id AND l.y = w.gy AND l.x = w.gx GROUP BY ALL)
+SELECT {_IMAGE}, row, col, round(atan2(im, re), 4) + 0.0 AS phase FROM ss WHERE n = 4""")
+def product_phase_geocoded(spark, sf_dir):
+    """Multilooked phases on an aligned grid in degrees, interpolated on the circle."""
+    images = stack(spark, sf_dir)
+    whole = _job(images)
+    out = workflows.sar_interferogram(acquisitions(images), images, whole, unwrap=False, every_burst=True).drop("coh")
+    placed = workflows.geocoded(out, geometry(images), _STEP, 4326, (whole.n_rg_looks, whole.n_az_looks))
+    return placed.withColumn("phase", F.round("phase", 4) + F.lit(0.0))
+
+
 @query(f"""WITH s AS ({_S}), d AS (SELECT max(date) AS prm FROM s), f AS (SELECT min(date) AS first FROM s, d WHERE date <> prm)
 SELECT {_B}, date, CASE WHEN date = prm THEN 'prm' WHEN date = first THEN 'sec_first' ELSE 'sec' END AS role, y, x, round(sqrt(i * i + q * q), 6) AS amplitude FROM s, d, f""")
 def product_slc(spark, sf_dir):

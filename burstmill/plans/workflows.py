@@ -1,4 +1,5 @@
-"""The three products, each one lazy plan over all bursts, polarizations and pairs of a job, and their older names.
+"""The three products, each over all bursts, polarizations and pairs of a job at once, and their older names. Samples that
+are read several times are written to the shared folder first, so building a plan runs jobs.
 
 Burst, sub-swath and polarization are keys of every join and window, so the images of one never meet those of another.
 """
@@ -6,9 +7,8 @@ Burst, sub-swath and polarization are keys of every join and window, so the imag
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import amplitude, phase
@@ -54,16 +54,14 @@ def job_pairs(catalogue: DataFrame, job: Job, every_burst: bool = False) -> Data
     return pairs.require_pairs(pairs.offset_pairs(found, job.temporal_baseline, "start", BURST), job.temporal_extent[1])
 
 
-def _value(name: str, value: object) -> Column:
-    text = F.lit(json.dumps({name: value}))
-    return F.from_json(text, F.schema_of_json(text))[name].alias(name)
-
-
-def pair_document(found: DataFrame, swath: str, job: Job | None = None) -> DataFrame:
-    """The pairs as the JSON text of a job document, with the parameters of the job that they were found for."""
+def pair_document(found: DataFrame, swath: str, document: dict | None = None) -> DataFrame:
+    """The pairs as the JSON text of a job document: the document that they were found for, as it was given, and the keys
+    InSAR_pairs and sub_swath_id."""
     row = F.sort_array(F.collect_set(F.array(F.col("prm_date").cast("string"), F.col("sec_date").cast("string"))))
-    given = {} if job is None else {k: v for k, v in asdict(job).items() if v is not None and k not in ("InSAR_pairs", "sub_swath")}
-    return found.agg(F.to_json(F.struct(*(_value(k, v) for k, v in given.items()), row.alias("InSAR_pairs"), F.lit(swath).alias("sub_swath_id"))).alias("value"))
+    own = json.dumps({k: v for k, v in (document or {}).items() if k not in ("InSAR_pairs", "sub_swath_id")}, ensure_ascii=False)
+    head = F.lit("{" if own == "{}" else own[:-1] + ", ")
+    added = F.to_json(F.struct(row.alias("InSAR_pairs"), F.lit(swath).alias("sub_swath_id")))
+    return found.agg(F.concat(head, F.substr(added, F.lit(2))).alias("value"))
 
 
 def job_samples(slc: DataFrame, job: Job) -> DataFrame:
@@ -164,8 +162,9 @@ def geocoded(product: DataFrame, geometry: DataFrame, resolution: float, epsg: i
     places = geometry if looks == (1, 1) else cube.multilook(geometry, ["lon", "lat"], *looks, site)
     keys = [k for k in (*KEY, "date", "role") if k in product.columns]
     bands = [c for c in product.columns if c not in (*keys, "y", "x")]
-    placed = product.join(places.select(*site, "y", "x", "lon", "lat"), [*site, "y", "x"])
-    return cube.geocoded(placed, bands, "lon", "lat", resolution, epsg, tuple(keys), tuple(b for b in bands if b == "phase"))
+    # the geometry is solved once for each burst, whatever the number of dates, pairs and polarizations
+    nodes = materialize(cube.grid_nodes(places, "lon", "lat", resolution, epsg, tuple(site)), "nodes")
+    return cube.at_nodes(product, nodes, bands, tuple(keys), tuple(site), tuple(b for b in bands if b == "phase"))
 
 
 #: Older names of the three processes.

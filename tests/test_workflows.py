@@ -57,8 +57,9 @@ def test_products(spark, tmp_path):
     assert ifg.columns == [*workflows.BURST, "prm_date", "sec_date", "y", "x", "phase", "unw_phase", "coh"] and ifg.count() == 8 * 3
     doc = json.loads(workflows.pair_document(todo, "IW2").first()["value"])
     assert doc["InSAR_pairs"][0] == ["2024-01-01", "2024-01-13"] and doc["sub_swath_id"] == "IW2"
-    kept = json.loads(workflows.pair_document(todo, "IW2", job).first()["value"])
-    assert kept["burst_id"] == 10 and kept["temporal_extent"] == ["2024-01-01", "2024-02-28"] and kept["coherence_window_rg"] == 3 and kept["InSAR_pairs"] == doc["InSAR_pairs"]
+    given = {"burst_id": 10, "sub_swath": "iw2", "temporal_extent": ["2024-01-01", "2024-02-28"], "note": "é", "InSAR_pairs": []}
+    kept = json.loads(workflows.pair_document(todo, "IW2", given).first()["value"])
+    assert kept == {**given, "InSAR_pairs": doc["InSAR_pairs"], "sub_swath_id": "IW2"}  # as given: nothing dropped, no defaults
     twice = parameters.job({"burst_id": 10, "InSAR_pairs": [["2024-01-01", "2024-01-13"], ["20240101", "2024-1-13"]]})
     with pytest.raises(ValueError, match="twice"):
         workflows.sar_coherence(cat, vv, twice)
