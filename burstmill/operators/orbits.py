@@ -1,8 +1,8 @@
 """State vectors of an orbit at any time, baselines of pairs from them, and the places of ground points in an image.
 
 A line's position is interpolated between the state vectors around it: an as-of join finds the last vector at or before its
-time, which carries along the vectors beside it, and Lagrange's polynomial through `POINTS` of them gives position and, by its
-derivative, velocity. Vectors are few for each orbit and are windowed by themselves; lines are dealt to buckets of the vectors'
+time, which carries along the vectors beside it, and the cubic through `POINTS` of them (in Newton's form) gives position and, by
+its derivative, velocity. Vectors are few for each orbit and are windowed by themselves; lines are dealt to buckets of the vectors'
 largest spacing, so that the as-of join is an equi-join on (orbit, bucket) and no line meets more than the vectors of its bucket.
 
 Lengths are metres, times seconds. Lines before the second vector or behind the last but one have no position (null), nor
@@ -31,33 +31,31 @@ HALVINGS = 40
 
 
 def spans(vectors: DataFrame, by: tuple[str, ...] = ("orbit",), time: str = "t") -> DataFrame:
-    """(by, begin, until, knots): the intervals between vectors (by, t, x, y, z), each with the POINTS vectors around it."""
+    """(by, begin, until, curve): the intervals between vectors (by, t, x, y, z), each with the cubic through the POINTS vectors
+    around it: t0, the first one's time; s1 and s2, those of the next two from t0 on; Newton's coefficients for each axis."""
     once = vectors.filter(F.col(time).isNotNull()).groupBy(*by, F.col(time).cast("double").alias("t")).agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in AXES))).alias("p"))
     line = Window.partitionBy(*by).orderBy("t")
     knot = F.struct("t", *(F.col(f"p.{c}").alias(c) for c in AXES))
-    beside = once.select(*by, F.col("t").alias("begin"), F.lead("t").over(line).alias("until"), F.array(F.lag(knot).over(line), knot, F.lead(knot).over(line), F.lead(knot, 2).over(line)).alias("knots"))
-    return beside.filter(F.forall("knots", lambda k: k.isNotNull()))
-
-
-def _lagrange(knots: Column, t: Column, axis: str) -> tuple[Column, Column]:
-    """Value and derivative at t of the polynomial through the knots. Times are taken from the first knot, to keep digits."""
-    k = [knots[i] for i in range(POINTS)]
-    at = [k[i]["t"] - k[0]["t"] for i in range(POINTS)]
-    s = t - k[0]["t"]
-    value, slope = F.lit(0.0), F.lit(0.0)
-    for i in range(POINTS):
-        others = [j for j in range(POINTS) if j != i]
-        below = reduce(lambda a, b: a * b, [at[i] - at[j] for j in others])
-        value = value + k[i][axis] * reduce(lambda a, b: a * b, [s - at[j] for j in others]) / below
-        for out in others:
-            slope = slope + k[i][axis] * reduce(lambda a, b: a * b, [s - at[j] for j in others if j != out]) / below
-    return value, slope
-
-
-def state(knots: Column, t: Column) -> tuple[Column, Column]:
+    beside = once.select(*by, F.lag(knot).over(line).alias("_0"), knot.alias("_1"), F.lead(knot).over(line).alias("_2"), F.lead(knot, 2).over(line).alias("_3"))
+    beside = beside.filter(" AND ".join(f"_{k} IS NOT NULL" for k in range(POINTS)))
+    f = lambda k, c: F.col(f"_{k}.{c}")
+    table = {}
+    for c in AXES:
+        table |= {f"_{c}{k}{k + 1}": (f(k + 1, c) - f(k, c)) / (f(k + 1, "t") - f(k, "t")) for k in range(3)}
+    beside = beside.withColumns(table)
+    beside = beside.withColumns({f"_{c}{k}{k + 2}": (F.col(f"_{c}{k + 1}{k + 2}") - F.col(f"_{c}{k}{k + 1}")) / (f(k + 2, "t") - f(k, "t")) for c in AXES for k in range(2)})
+    beside = beside.withColumns({f"_{c}03": (F.col(f"_{c}13") - F.col(f"_{c}02")) / (f(3, "t") - f(0, "t")) for c in AXES})
+    curves = [F.array(f(0, c), *(F.col(f"_{c}0{k}") for k in (1, 2, 3))).alias(c) for c in AXES]
+    curve = F.struct(f(0, "t").alias("t0"), (f(1, "t") - f(0, "t")).alias("s1"), (f(2, "t") - f(0, "t")).alias("s2"), *curves)
+    return beside.select(*by, f(1, "t").alias("begin"), f(2, "t").alias("until"), curve.alias("curve"))
+
+
+def state(curve: Column, t: Column) -> tuple[Column, Column]:
     """Structs of position and velocity at t."""
-    found = {c: _lagrange(knots, t, c) for c in AXES}
-    return tuple(F.struct(*(found[c][k].alias(c) for c in AXES)) for k in (0, 1))
+    s, s1, s2 = t - curve["t0"], t - curve["t0"] - curve["s1"], t - curve["t0"] - curve["s2"]
+    position = F.struct(*((curve[c][0] + s * (curve[c][1] + s1 * (curve[c][2] + s2 * curve[c][3]))).alias(c) for c in AXES))
+    velocity = F.struct(*((curve[c][1] + (s + s1) * curve[c][2] + (s * s1 + s * s2 + s1 * s2) * curve[c][3]).alias(c) for c in AXES))
+    return position, velocity
 
 
 def with_state(lines: DataFrame, vectors: DataFrame, time: str, by: tuple[str, ...] = ("orbit",)) -> DataFrame:
@@ -66,7 +64,7 @@ def with_state(lines: DataFrame, vectors: DataFrame, time: str, by: tuple[str, .
     wide = found.agg(F.max(F.col("until") - F.col("begin"))).first()[0] or 1.0
     bucket = lambda c: F.floor(c / F.lit(wide)).cast("long")
     # an interval is no wider than a bucket, so it lies in one or two of them
-    dealt = found.select(*by, "begin", "until", "knots", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("until")))).alias("_bucket"))
+    dealt = found.select(*by, "begin", "until", "curve", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("until")))).alias("_bucket"))
     keyed = lines.withColumn("_t", F.col(time).cast("double")).withColumn("_bucket", bucket(F.col("_t")))
     last = F.col("until") == F.max("until").over(Window.partitionBy(*by))
     ends = dealt.withColumn("_last", last)
@@ -74,8 +72,8 @@ def with_state(lines: DataFrame, vectors: DataFrame, time: str, by: tuple[str, .
     within = (F.col("a._t") >= F.col("b.begin")) & ((F.col("a._t") < F.col("b.until")) | (F.col("b._last") & (F.col("a._t") == F.col("b.until"))))
     on = reduce(lambda p, q: p & q, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "_bucket")]) & within
     met = a.join(b, on, "left")
-    position, velocity = state(F.col("b.knots"), F.col("a._t"))
-    there = F.col("b.knots").isNotNull()
+    position, velocity = state(F.col("b.curve"), F.col("a._t"))
+    there = F.col("b.curve").isNotNull()
     return met.select(*(F.col(f"a.{c}") for c in lines.columns), F.when(there, position).alias("position"), F.when(there, velocity).alias("velocity"))
 
 
@@ -133,7 +131,7 @@ def radar_places(points: DataFrame, vectors: DataFrame, image: dict[str, float],
     Points that no interval holds are dropped; one that several orbits' intervals hold comes once for each.
     """
     found = spans(vectors, by)
-    lag = lambda t: (lambda p, v: dot(minus(F.col(place), p), v))(*state(F.col("knots"), t))
+    lag = lambda t: (lambda p, v: dot(minus(F.col(place), p), v))(*state(F.col("curve"), t))
     met = points.join(found, list(by)).withColumns({"_lo": F.col("begin"), "_hi": F.col("until")})
     met = met.filter((lag(F.col("begin")) >= 0) & (lag(F.col("until")) < 0))
 
@@ -143,7 +141,7 @@ def radar_places(points: DataFrame, vectors: DataFrame, image: dict[str, float],
 
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.col("begin").alias("lo"), F.col("until").alias("hi")), halved)
     met = met.withColumn("_e", ends).withColumn("t", (F.col("_e.lo") + F.col("_e.hi")) / 2)
-    position, _ = state(F.col("knots"), F.col("t"))
+    position, _ = state(F.col("curve"), F.col("t"))
     slant = length(minus(F.col(place), position))
     line = (F.col("t") - F.lit(image["start"])) / F.lit(image["interval"])
     sample = (2 * slant / LIGHT - F.lit(image["near"])) / F.lit(image["spacing"])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import wrapped
-from burstmill.operators import cube, mosaics, polygons, resampling, unwrapping
+from burstmill.operators import cube, mosaics, orbits, polygons, resampling, unwrapping
 from burstmill.plans.catalog_queries import table
 from burstmill.plans.raster_queries import _R, _coherence_sql, pair, raster
 
@@ -103,3 +103,25 @@ def elevation_bicubic(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (0.013 * (F.col("l_partkey") % 4000)).alias("lat"), (0.17 * (F.col("l_suppkey") % 190)).alias("lon"))
     found = cube.with_elevation(items, dem, "lon", "lat", 1.0, "bicubic")
     return found.select("l_orderkey", "l_linenumber", (F.round("elevation", 5) + F.lit(0.0)).alias("elevation"))
+
+
+_POLY = "3 + 2 * u - u * u + 0.5 * u * u * u"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT o_custkey AS orbit, CAST(o_orderdate AS DATE) - DATE '1996-01-01' AS t FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL),
+n AS (SELECT orbit, t, row_number() OVER (PARTITION BY orbit ORDER BY t) AS k, count(*) OVER (PARTITION BY orbit) AS n FROM d),
+r AS (SELECT orbit, max(t) FILTER (WHERE k = 2) AS first, max(t) FILTER (WHERE k = n - 1) AS last FROM n WHERE n > 3 GROUP BY 1),
+l AS (SELECT l_orderkey, l_linenumber, o_custkey AS orbit, CAST(l_shipdate AS DATE) - DATE '1996-01-01' AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT l_orderkey, l_linenumber, CAST(t AS DOUBLE) / 997 AS u, t >= first AND t <= last AS held, l.orbit FROM l LEFT JOIN r ON r.orbit = l.orbit)
+SELECT l_orderkey, l_linenumber, CASE WHEN held THEN round({_POLY}, 6) + 0.0 END AS x, CASE WHEN held THEN round(u * l.orbit, 5) + 0.0 END AS y, CASE WHEN held THEN round((2 - 2 * u + 1.5 * u * u) / 997, 8) + 0.0 END AS vx FROM (SELECT l_orderkey, l_linenumber, u, held, orbit FROM s) l""")
+def orbit_states(spark, sf_dir):
+    """Positions and velocities of lines between the state vectors of their orbit, each customer's orders; along a cubic, so
+    that four vectors tell all."""
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1996-01-01")).cast("double")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("orbit"), day("o_orderdate").alias("t"))
+    u = F.col("t") / 997
+    vectors = o.withColumn("u", u).select("orbit", "t", F.expr(_POLY).alias("x"), (F.col("u") * F.col("orbit")).alias("y"), F.lit(7.0).alias("z"))
+    lines = table(spark, sf_dir, "lineitem").join(o.drop("t"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "orbit", day("l_shipdate").alias("t"))
+    found = orbits.with_state(lines, vectors, "t")
+    digits = {"x": ("position.x", 6), "y": ("position.y", 5), "vx": ("velocity.x", 8)}
+    return found.select("l_orderkey", "l_linenumber", *((F.round(c, n) + F.lit(0.0)).alias(k) for k, (c, n) in digits.items()))
