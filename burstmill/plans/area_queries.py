@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from burstmill.functions.phasors import wrapped
-from burstmill.operators import cube, mosaics, orbits, polygons, resampling, unwrapping
+from burstmill.operators import cube, mosaics, orbits, polygons, resampling, timeseries, unwrapping
 from burstmill.plans.catalog_queries import table
 from burstmill.plans.raster_queries import _R, _coherence_sql, pair, raster
 
@@ -125,3 +125,17 @@ def orbit_states(spark, sf_dir):
     found = orbits.with_state(lines, vectors, "t")
     digits = {"x": ("position.x", 6), "y": ("position.y", 5), "vx": ("velocity.x", 8)}
     return found.select("l_orderkey", "l_linenumber", *((F.round(c, n) + F.lit(0.0)).alias(k) for k, (c, n) in digits.items()))
+
+
+@query("""WITH s AS (SELECT l_partkey AS y, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS v FROM lineitem WHERE l_partkey IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT y, (d - DATE '2000-01-01') AS t, CASE WHEN d >= DATE '1995-06-17' THEN 1 ELSE 0 END AS j, v FROM s WHERE v IS NOT NULL),
+m AS (SELECT y, count(*) AS n, CAST(sum(t) AS HUGEINT) AS st, CAST(sum(t * t) AS HUGEINT) AS stt, CAST(sum(j) AS HUGEINT) AS sj, CAST(sum(t * j) AS HUGEINT) AS stj, CAST(sum(v) AS DOUBLE) AS sv, CAST(sum(v * t) AS DOUBLE) AS svt, CAST(sum(v * j) AS DOUBLE) AS svj FROM r GROUP BY 1),
+e AS (SELECT *, n * (stt * sj - stj * stj) - st * (st * sj - stj * sj) + sj * (st * stj - stt * sj) AS det FROM m)
+SELECT y, n, CASE WHEN det <> 0 THEN round(365.25 * (n * (svt * sj - stj * svj) - sv * (st * sj - stj * sj) + sj * (st * svj - svt * sj)) / det, 3) + 0.0 END AS velocity,
+CASE WHEN det <> 0 THEN round((n * (stt * svj - svt * stj) - st * (st * svj - svt * sj) + sv * (st * stj - stt * sj)) / det, 3) + 0.0 END AS step FROM e""")
+def timeseries_velocity(spark, sf_dir):
+    """Velocity and a step of each pixel's series. The SQL solves the normal equations by Cramer's rule, in whole numbers."""
+    i = table(spark, sf_dir, "lineitem").filter("l_partkey IS NOT NULL AND l_shipdate IS NOT NULL")
+    s = i.groupBy(F.col("l_partkey").alias("y"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("v"))
+    found = timeseries.velocity(s, "v", ("y",), steps=["1995-06-17"])
+    return found.select("y", "n", *((F.round(c, 3) + F.lit(0.0)).alias(k) for k, c in (("velocity", "velocity"), ("step", "step_1"))))
