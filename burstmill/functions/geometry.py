@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,28 +84,77 @@ def utm_zone(lon: float) -> int:
     return int((lon + 180) // 6) % 60 + 1
 
 
+def _zone_of(epsg: int) -> tuple[int, bool] | None:
+    """(zone, south) of a UTM system of WGS84 (326 and the zone in the north, 327 in the south), None for degrees (4326)."""
+    if epsg == 4326:
+        return None
+    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
+        raise ValueError(f"no rule for EPSG {epsg}")
+    return epsg % 100, epsg // 100 == 327
+
+
 def projected(x: Column, y: Column, epsg: int, target: int) -> tuple[Column, Column]:
-    """(x, y) in the target's reference system: as they are where both agree, else from degrees (4326) to a UTM zone of
-    WGS84, 326 and the zone in the north, 327 and the zone in the south."""
+    """(x, y) in the target's reference system: as they are where both agree, else from degrees to a UTM zone. From a UTM zone,
+    with_projected() goes by way of columns, as one expression would grow too large."""
+    source, aim = _zone_of(epsg), _zone_of(target)
     if epsg == target:
         return x, y
-    if epsg != 4326 or target // 100 not in (326, 327) or not 1 <= target % 100 <= 60:
-        raise ValueError(f"no rule from EPSG {epsg} to {target}")
-    return utm(x, y, target % 100, target // 100 == 327)
+    if source is not None or aim is None:
+        raise ValueError(f"no rule from EPSG {epsg} to {target} in one expression")
+    return utm(x, y, *aim)
+
+
+def with_projected(rows: DataFrame, x: Column, y: Column, epsg: int, target: int, names: tuple[str, str]) -> DataFrame:
+    """rows and the target's coordinates of (x, y) as columns `names`, between degrees (4326) and any UTM zones of WGS84."""
+    source, aim = _zone_of(epsg), _zone_of(target)
+    keep = [c for c in rows.columns if c not in names]
+    at = rows.withColumns({"_px": x, "_py": y})
+    if epsg != target and source is not None:
+        at = _with_degrees(at, *source)
+    if epsg != target and aim is not None:
+        # phi's conformal counterpart first: the series uses it many times
+        e = 2 * math.sqrt(_F / (2 - _F)) / (1 + _F / (2 - _F))
+        at = at.withColumns({"_s": F.sin(F.radians("_py")), "_lam": F.radians(F.col("_px") - (aim[0] * 6 - 183))})
+        at = at.withColumn("_t", F.sinh(F.atanh("_s") - e * F.atanh(e * F.col("_s"))))
+        at = at.withColumns({"_xi": F.atan2(F.col("_t"), F.cos("_lam")), "_eta": F.atanh(F.sin("_lam") / F.sqrt(1 + F.col("_t") * F.col("_t")))})
+        east, north = _series(F.col("_xi"), F.col("_eta"), aim[1])
+        at = at.withColumns({"_px": east, "_py": north})
+    return at.select(*keep, F.col("_px").alias(names[0]), F.col("_py").alias(names[1]))
 
 
 def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """Easting and northing in a UTM zone by the transverse Mercator series to the fourth order of n."""
     n = _F / (2 - _F)
-    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = 2 * math.sqrt(n) / (1 + n)
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     s = F.sin(phi)
     t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    return _series(F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t)), south)
+
+
+def _series(xi: Column, eta: Column, south: bool) -> tuple[Column, Column]:
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     east, north = eta, xi
     for j, a in enumerate(alpha, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500_000 + _K0 * radius * east, (10_000_000 if south else 0) + _K0 * radius * north
+
+
+def _with_degrees(rows: DataFrame, zone: int, south: bool) -> DataFrame:
+    """rows with _px and _py of a UTM zone as longitude and latitude: the inverse of utm(), to the third order of n (a millimetre)."""
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    at = rows.withColumns({"_xi": (F.col("_py") - (10_000_000 if south else 0)) / (_K0 * radius), "_eta": (F.col("_px") - 500_000) / (_K0 * radius)})
+    up, across, chi = F.col("_xi"), F.col("_eta"), F.col("_chi")
+    for j, b in enumerate(beta, 1):
+        up = up - b * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
+        across = across - b * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
+    at = at.withColumns({"_up": up, "_across": across})
+    at = at.withColumn("_chi", F.asin(F.sin("_up") / F.cosh("_across")))
+    lat = sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), chi)
+    return at.withColumns({"_px": zone * 6 - 183 + F.degrees(F.atan2(F.sinh("_across"), F.cos("_up"))), "_py": F.degrees(lat)})

@@ -127,6 +127,33 @@ def resampled_complex(image: DataFrame, places: DataFrame, kernel: str = "sinc",
     return there.select("_row.*", i.alias("i"), q.alias("q"))
 
 
+def warped(grid: DataFrame, bands: list[str], source: tuple[int, float], target: tuple[int, float], kernel: str = "bilinear", by: tuple[str, ...] = (), tile: int = 64) -> DataFrame:
+    """(by, row, col, bands) of an aligned grid (by, row, col, bands) on the aligned grid of another system or resolution.
+
+    source, target: EPSG code and resolution; a cell's value stands for its centre, (col + 0.5, row + 0.5) times the resolution. Every
+    target node is taken to the source's system and sampled there. Nodes are found tile by tile: a tile's outline, brought to the
+    target's system, bounds those that may lie in it, and of these the ones that do are kept, so none comes twice. Nodes
+    without all samples beside them are dropped. A band without data there is null.
+    """
+    (epsg, size), (aim, step) = source, target
+    down, across = F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)
+    tiles = grid.select(*by, down.alias("_ty"), across.alias("_tx")).distinct()
+    from burstmill.functions.geometry import with_projected
+
+    # a tile holds the places from its first centre to the next tile's; curved outlines bulge by less than a cell beyond the eight points
+    spots = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(3) if (i, j) != (1, 1)))
+    outline = tiles.withColumn("_s", F.explode(spots))
+    outline = with_projected(outline, *((F.col(c) * tile + F.col(f"_s.{k}") * tile / 2 + 0.5) * size for c, k in (("_tx", "i"), ("_ty", "j"))), epsg, aim, ("_x", "_y"))
+    ends = [e for c, k in (("col", "_x"), ("row", "_y")) for e in ((F.floor(F.min(F.col(k) / step - 0.5)) - 1).alias(f"_{c}0"), (F.ceil(F.max(F.col(k) / step - 0.5)) + 1).alias(f"_{c}1"))]
+    boxes = outline.groupBy(*by, "_ty", "_tx").agg(*ends)
+    nodes = boxes.withColumn("row", F.explode(F.sequence("_row0", "_row1"))).withColumn("col", F.explode(F.sequence("_col0", "_col1")))
+    nodes = with_projected(nodes, (F.col("col") + 0.5) * step, (F.col("row") + 0.5) * step, aim, epsg, ("_x", "_y"))
+    nodes = nodes.withColumns({"at_x": F.col("_x") / size - 0.5, "at_y": F.col("_y") / size - 0.5}).filter((F.floor(F.col("at_y") / tile) == F.col("_ty")) & (F.floor(F.col("at_x") / tile) == F.col("_tx")))
+    image = grid.select(*by, F.col("row").alias("y"), F.col("col").alias("x"), *bands)
+    found = resampled(image, nodes.select(*by, "row", "col", "at_y", "at_x"), bands, kernel, by)
+    return found.filter(" OR ".join(f"`{b}` IS NOT NULL" for b in bands)).select(*by, "row", "col", *bands)
+
+
 def with_elevation(cube: DataFrame, dem: DataFrame, lon: str, lat: str, step: float, kernel: str = "bilinear") -> DataFrame:
     """cube and elevation from a regular grid dem(col, row, height), node (col, row) at step times itself: bilinear or bicubic.
 

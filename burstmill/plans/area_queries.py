@@ -139,3 +139,15 @@ def timeseries_velocity(spark, sf_dir):
     s = i.groupBy(F.col("l_partkey").alias("y"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("v"))
     found = timeseries.velocity(s, "v", ("y",), steps=["1995-06-17"])
     return found.select("y", "n", *((F.round(c, 3) + F.lit(0.0)).alias(k) for k, c in (("velocity", "velocity"), ("step", "step_1"))))
+
+
+@query(f"""WITH r AS ({_R}), b AS (SELECT y AS gy, x AS gx, i FROM r), h AS (SELECT max(gy) AS top, max(gx) AS wide FROM b),
+n AS (SELECT unnest(range(0, CAST(floor((top + 1) * 20 / 12.0) AS BIGINT) + 1)) AS row FROM h), m AS (SELECT unnest(range(0, CAST(floor((wide + 1) * 20 / 12.0) AS BIGINT) + 1)) AS col FROM h),
+p AS (SELECT row, col, (row + 0.5) * 12 / 20 - 0.5 AS py, (col + 0.5) * 12 / 20 - 0.5 AS px FROM n, m),
+t AS (SELECT row, col, CAST(floor(py) AS BIGINT) + a.n AS gy, CAST(floor(px) AS BIGINT) + c.n AS gx, (CASE a.n WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) * (CASE c.n WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) AS w FROM p, (VALUES (0), (1)) a(n), (VALUES (0), (1)) c(n))
+SELECT row, col, round(sum(w * i) / sum(w), 6) + 0.0 AS i FROM t JOIN b USING (gy, gx) GROUP BY ALL HAVING sum(w) > 1 - 1e-9""")
+def warp_grid(spark, sf_dir):
+    """A grid of 20 m on one of 12 m in the same zone, bilinear."""
+    grid = raster(spark, sf_dir).select(F.col("y").alias("row"), F.col("x").alias("col"), "i")
+    found = resampling.warped(grid, ["i"], (32632, 20.0), (32632, 12.0))
+    return found.select("row", "col", (F.round("i", 6) + F.lit(0.0)).alias("i"))

@@ -103,3 +103,33 @@ def test_pairs_with_offsets(spark):
     offsets = grid.select("burst_id", "swath", "pol", F.lit(days[0]).alias("prm_date"), F.lit(days[1]).alias("sec_date"), "y", "x", F.lit(-0.4).alias("dy"), F.lit(0.7).alias("dx"))
     found = workflows.paired_samples(slc, pairs, offsets).collect()
     assert len(found) == 17 * 17 and max(abs(complex(p["i1"], p["q1"]) - complex(p["i2"], p["q2"])) for p in found) < 1e-3
+
+
+def test_degrees_and_metres_there_and_back(spark):
+    from burstmill.functions.geometry import with_projected
+
+    at = spark.createDataFrame([(9.3, 46.2), (5.9, -33.0), (11.99, 0.0), (8.0, 79.0)], "lon double, lat double")
+    for epsg in (32632, 32732):
+        there = with_projected(at, F.col("lon"), F.col("lat"), 4326, epsg, ("e", "n"))
+        for r in with_projected(there, F.col("e"), F.col("n"), epsg, 4326, ("x", "y")).collect():
+            assert (r["x"], r["y"]) == (pytest.approx(r["lon"], abs=1e-8), pytest.approx(r["lat"], abs=1e-8))
+    with pytest.raises(ValueError):
+        with_projected(at, F.col("lon"), F.col("lat"), 3035, 4326, ("x", "y"))
+
+
+@pytest.mark.parametrize("target", [(32633, 25.0), (4326, 0.0003), (32632, 13.0)])
+def test_warps_between_grids(spark, target):
+    """A smooth surface of the place on the ground, sampled on one grid, is that surface on the other."""
+    from burstmill.functions.geometry import with_projected
+
+    size, row0, col0 = 20.0, 5_100_000 // 20, 740_000 // 20
+    cells = spark.range(150 * 130).select((F.col("id") % 150 + row0).alias("row"), (F.floor(F.col("id") / 150) + col0).alias("col"))
+    value = lambda x, y: F.sin(x / 700) + F.cos(y / 900)
+    grid = cells.withColumn("v", value((F.col("col") + 0.5) * size, (F.col("row") + 0.5) * size))
+    found = resampling.warped(grid, ["v"], (32632, size), target, "bicubic")
+    found = with_projected(found, (F.col("col") + 0.5) * target[1], (F.col("row") + 0.5) * target[1], target[0], 32632, ("x", "y"))
+    rows = found.withColumn("truth", value(F.col("x"), F.col("y"))).collect()
+    area = 149 * 20 * 129 * 20 / (target[1] ** 2 if target[0] != 4326 else (target[1] * 111_000) ** 2 * np.cos(np.radians(46)))
+    assert len({(r["row"], r["col"]) for r in rows}) == len(rows) == pytest.approx(area, rel=0.03)
+    inner = [r for r in rows if col0 * 20 + 60 < r["x"] < (col0 + 127) * 20 and row0 * 20 + 60 < r["y"] < (row0 + 147) * 20]
+    assert len(inner) > 0.85 * len(rows) and max(abs(r["v"] - r["truth"]) for r in inner) < 1e-3
