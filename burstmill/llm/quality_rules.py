@@ -4,16 +4,19 @@ Each document gets counts (words, symbols, repeated lines and windows), a histog
 the common words of every labelled language. These words are learned from the corpus: a language's common words are
 those that make at least LEAST_SHARE of the words of all documents with its label. Tasks keep bounded counts that lose
 no such word, and their candidates are then counted exactly. Every label has a character reference, and one of its
-common words if it has any (languages that write no spaces have none).
+common words if it has any (languages that write no spaces have none) and at least LEAST_REFERENCE words in all.
 
 The histograms summed over all documents of a language make a first reference; summed over those that it keeps, they
 make the final one. A document is rejected if even the nearest reference is too far away in Jensen-Shannon distance.
-Common words are not judged where the language of the nearest character reference has no reference of words; texts below
-the length guards are not judged by that histogram. A text in a language that no document is labelled with lies far from
-all word references and is rejected as junk is, unless its letters are of a kind of their own. Digits are left out of the
-character histogram: numbers and identifiers are no junk.
-
-Words are runs of bytes other than space and U+0009 to U+000D. Null texts count as empty. An empty table gives an
+Common words judge only texts that speak one of the languages: whose words are common words of it at least LEAST_FLUENCY
+times as often as those of its reference. Any other text may be of a language that no document is labelled with, or of
+another script; it is judged by its characters alone, with small letters of all scripts as one class and without spaces.
+Texts whose nearest character reference has no reference of words are not judged by words either. Texts below
+the length guards are not judged by that histogram. Digits are left out of the character histogram: numbers and
+identifiers are no junk.
+
+Words are runs of bytes other than space and U+0009 to U+000D. Null texts count as empty, bytes that are not UTF-8 as
+U+FFFD. An empty table gives an
 empty result. Without any labelled document there is no reference, and only the base rules decide. References grow with
 the number of labels, not with documents.
 """
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstmill.llm.texts import decoded
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
 #: Share of a language's words that a common word has.
@@ -40,6 +44,10 @@ HELD = 20_000
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
 MAX_CHAR_DISTANCE = 0.15
 MAX_WORD_DISTANCE = 0.24
+#: Words that a language's reference is the sum of at least; with fewer its texts are judged by characters alone.
+LEAST_REFERENCE = 5_000
+#: A text speaks a language if the share of its common words among the text's words is at least this part of the reference's.
+LEAST_FLUENCY = 0.5
 #: Characters and words from which on the histograms are judged.
 MIN_CHARS = 200
 MIN_WORDS = 100
@@ -53,6 +61,10 @@ _BLOCK = 4_000_000
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "bracket", "control", "cased_beyond_ascii", "caseless")
 _JUDGED = [k for k, c in enumerate(CLASSES) if c != "digit"]
+#: How classes are judged whatever the script: letters in one class but for A to Z, spaces and digits left out.
+_ANY_SCRIPT = np.zeros((len(CLASSES), 6))
+for _at, _names in enumerate((("lower", "cased_beyond_ascii", "caseless"), ("upper",), ("mark",), ("symbol",), ("bracket",), ("control",))):
+    _ANY_SCRIPT[[CLASSES.index(c) for c in _names], _at] = 1
 _EDGE_MARKS = b".,;:!?\"()"
 
 
@@ -132,7 +144,7 @@ def common_words(docs: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
         totals: Counter[str] = Counter()
         for b in batches:
             for x, k in zip(b.column(0), b.column(1).to_pylist()):
-                found = tokens(x.as_py() or "")
+                found = tokens(decoded(x.as_py()))
                 totals[k] += len(found)
                 own = held.setdefault(k, Counter())
                 own.update(found)
@@ -143,7 +155,7 @@ def common_words(docs: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
         rows += [(k, w.decode("utf-8", "replace"), n) for k, own in held.items() for w, n in own.items() if n >= totals[k] * LEAST_SHARE / 4]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("k"))
+    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("k"))
     sums = labelled.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "quality-words")
     totals = sums.filter("word IS NULL").select("lang", F.col("n").alias("total"))
@@ -163,14 +175,14 @@ _ARROW = pa.struct([*((n, pa.int64()) for n in _INTS), ("classes", pa.list_(pa.i
 def with_features(docs: DataFrame, text: str, keep: list[str], name: str, vocabulary: list[str]) -> DataFrame:
     """The kept columns and, as struct `name`, what describe() finds in the whole text; words by number in the vocabulary."""
     at = fresh(docs, "text_read")
-    table = docs.select(*keep, F.col(text).alias(at))
+    table = docs.select(*keep, F.col(text).cast("binary").alias(at))
     schema = with_field(docs.select(*keep).schema, name, _FEATURES)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(shared.value)}
         for batch in batches:
-            rows = [describe(x.as_py(), common) for x in batch.column(batch.num_columns - 1)]
+            rows = [describe(decoded(x.as_py()), common) for x in batch.column(batch.num_columns - 1)]
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)]
             flat = np.concatenate([r[6] for r in rows]) if rows else np.zeros(0, np.int64)
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(CLASSES)), pa.array(flat, pa.int64())))
@@ -219,8 +231,9 @@ def references(described: DataFrame, lang: str, name: str, numbers: dict[str, li
         sums[r["lang"]][r["place"]] = r["n"]
     for k, own in sums.items():
         if own[: len(CLASSES)].sum():
-            words = own[width:]
-            found[k] = (own[: len(CLASSES)], np.array(numbers[k], int), np.append(words, max(0.0, own[width - 1] - words.sum())))
+            heard = slice(0, None if own[width - 1] >= LEAST_REFERENCE else 0)
+            words = own[width:][heard]
+            found[k] = (own[: len(CLASSES)], np.array(numbers[k][heard], int), np.append(words, max(0.0, own[width - 1] - words.sum())))
     return found
 
 
@@ -258,10 +271,14 @@ def judge(described: DataFrame, refs: dict[str, Reference], name: str, verdict:
             return far
         by_chars = np.array([distance(classes[:, _JUDGED], r[0][_JUDGED]) for r in order])
         far[0] = by_chars.min(0)
+        fluent = np.zeros(len(n_words), bool)
         for _, own, ref in filter(lambda r: len(r[1]), order):
-            mine = np.column_stack([counts[:, own], np.maximum(n_words - counts[:, own].sum(1), 0)])
-            far[1] = np.fmin(far[1], distance(mine, ref))
-        far[1][~spoken[by_chars.argmin(0)]] = np.nan
+            known = counts[:, own].sum(1)
+            far[1] = np.fmin(far[1], distance(np.column_stack([counts[:, own], np.maximum(n_words - known, 0)]), ref))
+            fluent |= known * ref.sum() >= LEAST_FLUENCY * n_words * ref[:-1].sum()
+        far[1][~(spoken[by_chars.argmin(0)] & fluent)] = np.nan
+        any_script = np.array([distance(classes @ _ANY_SCRIPT, r[0] @ _ANY_SCRIPT) for r in order]).min(0)
+        far[0] = np.where(fluent, far[0], np.fmin(far[0], any_script))
         return far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 
 def decoded(raw: bytes | None) -> str:
     """The text of a column cast to binary: null is empty, and bytes that are not UTF-8 become U+FFFD."""
     return raw.decode("utf-8", "replace") if raw else ""
+
+
+def text_of(value: pa.StringScalar) -> str:
+    """The same for a value of a string column, whose bytes nothing has checked."""
+    raw = value.as_buffer()
+    return decoded(raw.to_pybytes()) if raw else ""
