@@ -3,14 +3,14 @@
 Texts are lower-cased; what is no letter is a gap. The kernel of two texts is the number of distinct 1-, 2- and 3-grams
 they share, divided by the geometric mean of their own numbers. N-grams of any script are hashed to CODE_BITS bits (two
 of them may fall together: for 50,000 n-grams one unseen n-gram in 80 is taken for a known one). Nyström landmarks, drawn
-in equal numbers for each language, turn the kernel into features; the n-grams of all landmarks count, any other n-gram
-is in no kernel. One-versus-rest ridge regression on the features gives a score for each language. Documents are
+in equal numbers for each language, turn the kernel into features. An n-gram that no landmark has is shared with none, but
+counts in its text's own number, so that a few known words in a text of another script make no language. One-versus-rest ridge regression on the features gives a score for each language. Documents are
 scored in batches: presence matrix times landmark matrix times weights.
 
 The model is fitted on a bounded sample of the rows that may be used: for each of their languages the SAMPLE_PER_LANGUAGE
 rows with the smallest hash of id and text (fewer, if all would be more than SAMPLE_ROWS, but at least LEAST_PER_LANGUAGE).
 Every label is learned; rows that are equal in id and text count once. Whole texts are read in fitting and scoring. Null
-texts and texts without a letter get `und` and score 0. Without any row to learn from every document is `und`. An empty
+texts and texts without a letter get `und` and score 0; bytes that are not UTF-8 count as gaps. Without any row to learn from every document is `und`. An empty
 table gives an empty result.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstmill.llm.texts import decoded
 from burstmill.shared import fresh, ship_package, with_field
 
 SAMPLE_PER_LANGUAGE = 256
@@ -112,10 +113,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([text_codes(x.as_py()) for x in b.column(2)], pa.list_(pa.int32()))
+            found = pa.array([text_codes(decoded(x.as_py())) for x in b.column(2)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], found], names=["lang", "h", "grams"])
 
-    drawn = sample(docs, text, lang, key, F.lit(True) if usable is None else usable).mapInArrow(grams, "lang string, h bigint, grams array<int>").toArrow()
+    drawn = sample(docs, text, lang, key, F.lit(True) if usable is None else usable).withColumn("text", F.col("text").cast("binary")).mapInArrow(grams, "lang string, h bigint, grams array<int>").toArrow()
     if not drawn.num_rows:
         return None
     drawn = drawn.sort_by([("lang", "ascending"), ("h", "ascending")])
@@ -140,7 +141,7 @@ def _train(coded: list[np.ndarray], labels: list[str], ranks: list[int]) -> Mode
     kernel = np.empty((len(coded), len(marks)))
     for i in range(len(coded)):
         row = present(i)
-        kernel[i] = land @ row / np.sqrt(max(row.sum(), 1))
+        kernel[i] = land @ row / np.sqrt(len(coded[i]))
     values, vectors = np.linalg.eigh(land.astype(float) @ land.T.astype(float))
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -172,8 +173,8 @@ class Scorer:
         self.at = np.full(1 << CODE_BITS, -1, np.int32)
         self.at[model.grams] = np.arange(len(model.grams))
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """One row for each text: 1 where it holds the n-gram."""
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """One row for each text: 1 where it holds the n-gram; and each text's number of distinct n-grams, known or not."""
         points = [_points(t) for t in texts]
         gap = np.zeros(2, np.uint32)
         parts = [gap]
@@ -181,28 +182,35 @@ class Scorer:
             parts += [p, gap]
         a = np.concatenate(parts)
         # an n-gram belongs to the text in which it starts, or whose gap before it starts there
-        row = np.repeat(np.arange(len(texts)), [len(p) + 2 for p in points]) * len(self.m.grams)
+        owner = np.repeat(np.arange(len(texts)), [len(p) + 2 for p in points])
+        row = owner * len(self.m.grams)
         out = np.zeros(len(texts) * len(self.m.grams), np.float32)
+        other = []
         for codes in _codes(a):
             feature = self.at[codes]
             seen = feature >= 0
             out[row[seen] + feature[seen]] = 1
-        return out.reshape(len(texts), -1)
+            other.append(owner[~seen] << CODE_BITS | codes[~seen])
+        out = out.reshape(len(texts), -1)
+        unknown = np.bincount(np.unique(np.concatenate(other)) >> CODE_BITS, minlength=len(texts))
+        return out, out.sum(1) + unknown
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        x = self.presence(texts)
-        kernel = (x @ self.m.landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return kernel @ self.m.weights + self.m.bias
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Regression values (texts x languages), and the share of each text's n-grams that a landmark has."""
+        x, n = self.presence(texts)
+        kernel = (x @ self.m.landmarks) / np.sqrt(n)[:, None].astype(np.float32)
+        return kernel @ self.m.weights + self.m.bias, x.sum(1) / n
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' kept columns (all, if not given) and a struct of lang_pred and score as the last column.
 
-    The score is the best language's regression value (targets -1 and 1) brought to 0..1.
+    The score is the best language's regression value (targets -1 and 1) brought to 0..1, times the share of the text's
+    distinct n-grams that any landmark has.
     """
     keep = docs.columns if keep is None else keep
     name, at, letter = fresh(docs, "language"), fresh(docs, "text_read"), fresh(docs, "has_letter")
-    table = docs.select(*keep, F.col(text).alias(at), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
+    table = docs.select(*keep, F.col(text).cast("binary").alias(at), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = with_field(docs.select(*keep).schema, name, "struct<lang_pred:string,score:double>")
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,11 +223,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
             langs, scores = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
             usable = np.flatnonzero(b.column(n_keep + 1).to_numpy(zero_copy_only=False)) if scorer else []
             done = 0
-            for part in _batches([b.column(n_keep)[int(i)].as_py() for i in usable]):
-                f = scorer.scores(part)
-                best = f.argmax(1)
-                for i, k, v in zip(usable[done : done + len(part)], best, f.max(1)):
-                    langs[i], scores[i] = m.languages[k], min(1.0, max(0.0, (float(v) + 1) / 2))
+            for part in _batches([decoded(b.column(n_keep)[int(i)].as_py()) for i in usable]):
+                f, known = scorer.scores(part)
+                for i, k, v, share in zip(usable[done : done + len(part)], f.argmax(1), f.max(1), known):
+                    langs[i], scores[i] = m.languages[k], min(1.0, max(0.0, (float(v) + 1) / 2)) * float(share)
                 done += len(part)
             made = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], made], names=[*b.schema.names[:n_keep], name])

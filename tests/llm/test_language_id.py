@@ -16,11 +16,38 @@ def test_scores_are_the_kernel_regression():
     texts = ["der hund und die katze", "the dog and the cat", "el perro y el gato", "das haus ist alt", "the house is old"]
     labels = ["de", "en", "es", "de", "en"]
     model = L._train([L.text_codes(t) for t in texts], labels, [1, 1, 1, 2, 2])
-    x = L.Scorer(model).presence(texts)
+    x, n = L.Scorer(model).presence(texts)
+    assert (x.sum(1) == n).all()
     land = x / np.sqrt(x.sum(1, keepdims=True))
     slow = np.array([[kernel(a.replace(" ", "\0"), b.replace(" ", "\0")) for b in texts] for a in texts])
     assert np.allclose(land @ land.T, slow, atol=1e-6)
-    assert [model.languages[k] for k in L.Scorer(model).scores(texts).argmax(1)] == labels
+    assert [model.languages[k] for k in L.Scorer(model).scores(texts)[0].argmax(1)] == labels
+
+
+def test_unknown_grams_count_in_the_norm():
+    """The number of distinct n-grams is the text's own, with those that no landmark has, and texts of a batch keep apart."""
+    known = ["the dog and the cat", "der hund und die katze"]
+    model = L._train([L.text_codes(t) for t in known], ["en", "de"], [1, 1])
+    texts = ["the dog", "ο σκύλος και η γάτα and the dog", "the dog", ""]
+    x, n = L.Scorer(model).presence(texts)
+    assert n.tolist() == [len(L.text_codes(t)) for t in texts]
+    assert x.sum(1).tolist() == [len(np.intersect1d(L.text_codes(t), model.grams)) for t in texts]
+
+
+def test_other_script_is_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.fit(docs, usable=~L.held_out())
+    greek = "και το να είναι στο με για που δεν τα σπίτι γάτα σκύλος νερό δέντρο σχολείο βιβλίο πόλη ποτάμι βουνό " * 6
+    rows = spark.createDataFrame([(1, greek + "the end of that"), (2, "Обычный русский текст о погоде и людях")], "doc_id long, text string")
+    assert all(r.score < 0.2 for r in L.predict(rows, model).select("language.*").collect())
+    scores = [r.score for r in L.predict(docs, model, keep=["doc_id"]).select("language.*").collect()]
+    assert np.mean(np.array(scores) >= 0.4) > 0.99
+
+
+def test_bytes_that_are_not_utf8(spark):
+    rows = spark.range(1).selectExpr("id AS doc_id", "cast(concat(cast('the cat sat on the mat ' AS binary), X'FF', cast(' and the dog' AS binary)) AS string) AS text", "'en' AS lang")
+    found = L.predict(rows, L.fit(rows), keep=["doc_id"]).select("language.*").collect()
+    assert found[0].lang_pred == "en"
 
 
 def test_held_out_accuracy(spark):
