@@ -27,6 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstmill.llm.texts import text_of
 from burstmill.shared import fresh, ship_package, with_field
 
 #: Pre-tokens that one generation of the memo holds; there are two generations.
@@ -198,6 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 
     It holds n_tokens and, unless digests is set, ids and decoded (the bytes that the ids decode to); with digests the
     SHA-256 of either, in lower-case hexadecimal digits. path leads to the rank file on the driver; Spark ships it.
+    Bytes of a text that are not UTF-8 are encoded as U+FFFD.
     """
     ship_package(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(path)
@@ -213,11 +215,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
         for b in batches:
             counts, first, second = [], [], []
             for x in b.column(b.num_columns - 1):
-                ids = e.encode(x.as_py() or "")
-                decoded = e.decode(ids)
+                ids = e.encode(text_of(x))
+                back = e.decode(ids)
                 counts.append(len(ids) // 4)
                 first.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<i4"))
-                second.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
+                second.append(hashlib.sha256(back).hexdigest() if digests else back)
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
             made = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names=["n_tokens", *(f.split(":")[0] for f in fields.split(","))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], name])

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.llm import simhash
+from burstmill.llm.texts import text_of
 from burstmill.operators.components import connected_components
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
@@ -47,8 +48,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -88,7 +89,7 @@ def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str, str]:
         for b in batches:
             digests, keys = [], []
             for x in b.column(at):  # the words of one text at a time: those of a batch take much more memory than its texts
-                words = _words(x.as_py())
+                words = _words(text_of(x))
                 digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 keys.append(band_keys(shingles(words)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=[*b.schema.names, same, bands])
@@ -127,7 +128,7 @@ def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([shingles(_words(x.as_py())).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
+            found = pa.array([shingles(_words(text_of(x))).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=["node", "found"])
 
     return texts.join(wanted, "node").select("node", "text").mapInArrow(sets, "node bigint, found array<bigint>")

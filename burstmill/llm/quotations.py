@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstmill.llm.texts import text_of
 from burstmill.shared import discard, fresh, materialize, ship_package, with_field
 
 MIN_CHARS = 12
@@ -84,7 +85,7 @@ _PARSED = "struct<own:string,own_sha256:string,levels:int,quoted_lines:int,lines
 
 
 def with_quotes(messages: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns and the parsed message, a struct, as the last column."""
+    """The kept columns and the parsed message, a struct, as the last column; bytes that are not UTF-8 count as U+FFFD."""
     ship_package(messages.sparkSession)
     name = fresh(messages, "parsed")
 
@@ -95,8 +96,9 @@ def with_quotes(messages: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for b in batches:
             rows = []
             for x in b.column(b.num_columns - 1):
-                own, quoted = parse(x.as_py())
-                found = [(level, hashes(lines)) for level, lines in passages(x.as_py())]
+                message = text_of(x)
+                own, quoted = parse(message)
+                found = [(level, hashes(lines)) for level, lines in passages(message)]
                 rows.append(
                     {
                         "own": own,

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.operators.components import connected_components
+from burstmill.llm.texts import text_of
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
 SHINGLE = 3
@@ -61,14 +62,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' kept columns (all, if not given) and the fingerprint, a bigint with the same 64 bits, as the last column."""
+    """docs' kept columns (all, if not given) and the fingerprint, a bigint with the same 64 bits, as the last column.
+
+    Bytes that are not UTF-8 count as U+FFFD."""
     ship_package(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     name, at = fresh(docs, "fingerprint"), fresh(docs, "text_read")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(x.as_py()) for x in b.column(b.num_columns - 1)], np.uint64).view(np.int64)
+            found = np.array([fingerprint(text_of(x)) for x in b.column(b.num_columns - 1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], names=[*b.schema.names[:-1], name])
 
     return docs.select(*keep, F.col(text).alias(at)).mapInArrow(run, with_field(docs.select(*keep).schema, name, "bigint"))

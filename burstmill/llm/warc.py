@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstmill.llm.texts import decoded
 from burstmill.shared import materialize, maybe_broadcast, new_path, ship_package
 
 REVISIT_BYTES = 1000
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     ship_package(spark)
     path = path or new_path(spark, "warc")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("binary").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     long = rows.filter(F.octet_length("payload") >= REVISIT_BYTES)
     first = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     first = maybe_broadcast(materialize(first, "warc-repeated"))
@@ -111,6 +112,7 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
         for b in batches:
             for k in range(b.num_rows):
                 number, link, body, digest, refers_to = (c[k].as_py() for c in b.columns)
+                link = None if link is None else decoded(link)
                 if out is None:
                     store.create_dir(folder, recursive=True)
                     file, at, index = f"pages-{uuid.uuid4().hex}.warc.gz", 0, []
