@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from burstmill.plans import workflows
 from burstmill.plans.raster_queries import _R, raster, rounded
+from burstmill.shared import new_path
+from burstmill.sources import geotiff
 from burstmill.sources.parameters import job
 
 QUERIES, ORACLES = {}, {}
@@ -161,3 +163,28 @@ def product_slc(spark, sf_dir):
     whole = _job(images)
     out = workflows.sar_slc_preprocessing(acquisitions(images), images, _job(images, primary_date=whole.temporal_extent[1]), every_burst=True)
     return rounded(out.select("burst_id", "swath", "pol", "date", "role", "y", "x", "amplitude"), "amplitude")
+
+
+_STORED = f"""WITH s AS ({_S}) SELECT burst_id || '_' || swath || '_' || pol || '_' || strftime(date, '%Y%m%d') || '.tif' AS file, band, y, x, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) + 0.0 AS value
+FROM (UNPIVOT s ON i, q INTO NAME band VALUE value)"""
+
+
+def _stored(spark, sf_dir) -> str:
+    """A folder that holds each image of the stack as a GeoTIFF, in tiles of 16 by 16 cells."""
+    path = new_path(spark, "geotiff")
+    name = F.concat_ws("_", F.col("burst_id").cast("string"), "swath", "pol", F.date_format("date", "yyyyMMdd"))
+    cells = stack(spark, sf_dir).withColumn("file", F.concat(name, F.lit(".tif"))).unpivot(["file", "y", "x"], ["i", "q"], "band", "value")
+    geotiff.write_geotiff(cells, path, ["i", "q"], (16, 16))
+    return path
+
+
+@query(_STORED)
+def geotiff_round_trip(spark, sf_dir):
+    """All images written as GeoTIFFs and read back."""
+    return rounded(geotiff.read_geotiff(spark, _stored(spark, sf_dir)).filter("value IS NOT NULL"), "value")
+
+
+@query(_STORED + " WHERE y BETWEEN 20 AND 40 AND x BETWEEN 5 AND 9 AND band = 'q'")
+def geotiff_window(spark, sf_dir):
+    """A window of one band of all images; of each file's sixteen tiles the two or so that meet it are read."""
+    return rounded(geotiff.read_geotiff(spark, _stored(spark, sf_dir), (20, 5, 40, 9), ["q"]).filter("value IS NOT NULL"), "value")
