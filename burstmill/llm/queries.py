@@ -68,9 +68,23 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
+def quoting_messages(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) as replies: half of those that follow at least two others quote the one two turns
+    before, and half of these, below a second mark, the one three turns before. Quoted texts are whole."""
+    one = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    before = lambda n: one.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("said").alias(f"said{n}"))
+    draw = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    quote = lambda n, mark: F.concat(F.lit(mark), F.regexp_replace(f"said{n}", "\n", "\n" + mark), F.lit("\n\n"))
+    rows = messages.join(before(2), ["conv_id", "turn"], "left").join(before(3), ["conv_id", "turn"], "left")
+    nested = F.when(draw == 0, quote(3, "> > "))
+    text = F.concat(F.coalesce(nested, F.lit("")), quote(2, "> "), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", "role", F.when(F.col("said2").isNotNull() & (draw < 2), text).otherwise(F.col("text")).alias("text"))
+
+
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations in reply order: position and own text of every message."""
-    return quotations.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    """Conversations in reply order: position and own text of every message, and where its quotes come from. The table's
+    messages hold no quotes, so half of them get some from turns before."""
+    return quotations.link(quoting_messages(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

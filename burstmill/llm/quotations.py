@@ -12,8 +12,8 @@ Conversations are built in reply order: a message is followed by the replies to
 its own replies after it. Where nobody answers anything but the turn before, that is the order of turns. Where some
 message has several replies, each message names the next one (its first reply, else the next reply of the nearest
 message above it that has one), and positions follow from these links by doubling: in as many rounds of joins as the
-length of the longest such conversation has binary digits. No conversation is collected: turns are numbered in stretches
-of STRETCH turns, and rows that share a turn have one position.
+length of the longest such conversation has binary digits. No conversation is collected: turns and the replies to
+one message are numbered in stretches of STRETCH turns, and rows that share a turn have one position.
 
 Rows with null conversation or turn are kept, link to nothing and have no position; repeated rows link alike; a null text
 is empty. An empty table gives an empty result.
@@ -129,6 +129,18 @@ def with_turn_before(turns: DataFrame) -> DataFrame:
     return joined.select("c", "t", F.coalesce("lag", "last").alias("before"), (F.col("upto") - F.col("n") + F.col("place") - 1).alias("number"))
 
 
+def with_next_sibling(tree: DataFrame) -> DataFrame:
+    """tree (c, t, parent), distinct, with `sibling`, the next turn among those with the same parent (null: the roots).
+
+    As in with_turn_before, windows hold STRETCH turns; those of all replies to a message hold one row for each stretch."""
+    rows = tree.withColumns({"root": F.col("parent").isNull(), "p": F.coalesce("parent", F.lit(0)), "s": F.floor(F.col("t") / STRETCH)})
+    inside = Window.partitionBy("c", "root", "p", "s").orderBy("t")
+    starts = rows.groupBy("c", "root", "p", "s").agg(F.min("t").alias("start"))
+    after = starts.select("c", "root", "p", "s", F.lead("start").over(Window.partitionBy("c", "root", "p").orderBy("s")).alias("after"))
+    own = rows.withColumn("lead", F.lead("t").over(inside))
+    return own.join(after, ["c", "root", "p", "s"]).select("c", "t", "parent", F.coalesce("lead", "after").alias("sibling"))
+
+
 def reply_order(replies: DataFrame) -> DataFrame:
     """(c, t, position) of (c, t, parent, number): the order in which a message's replies follow it."""
     several = replies.filter("parent IS NOT NULL").groupBy("c", "parent").count().filter("count > 1").select("c").distinct()
@@ -137,17 +149,15 @@ def reply_order(replies: DataFrame) -> DataFrame:
     if several.isEmpty():
         return plain
     tree = materialize(replies.join(several, "c", "left_semi").select("c", "t", "parent"), "quotes-tree")
-    # the roots of a conversation are siblings under turn null; a lead over siblings is over the replies to one message
     first = tree.filter("parent IS NOT NULL").groupBy("c", F.col("parent").alias("t")).agg(F.min("t").alias("first"))
-    sibling = F.lead("t").over(Window.partitionBy("c", "parent").orderBy("t"))
-    up = materialize(tree.withColumn("sibling", sibling).withColumn("stop", F.col("sibling").isNotNull() | F.col("parent").isNull()), "quotes-up")
+    ordered = with_next_sibling(tree)
+    up = materialize(ordered.withColumn("stop", F.col("sibling").isNotNull() | F.col("parent").isNull()), "quotes-up")
     while True:
-        # who has no next sibling looks at the message above: `parent` moves up, twice as far in each round
+        # who has no next sibling looks at the message above: `parent` moves up, twice as far in each round. Only the last
+        # of a message's replies climbs, so no key of the join is crowded at first; the others pass by
         above = up.select("c", F.col("t").alias("parent"), F.col("sibling").alias("s2"), F.col("parent").alias("p2"), F.col("stop").alias("stop2"))
-        moved = up.join(above, ["c", "parent"], "left")
-        climbs = ~F.col("stop")
-        moved = moved.select("c", "t", F.when(climbs, F.col("p2")).otherwise(F.col("parent")).alias("parent"), F.when(climbs, F.col("s2")).otherwise(F.col("sibling")).alias("sibling"), (F.col("stop") | F.col("stop2")).alias("stop"))
-        before, up = up, materialize(moved, "quotes-up")
+        climbed = up.filter(~F.col("stop")).join(above, ["c", "parent"]).select("c", "t", F.col("p2").alias("parent"), F.col("s2").alias("sibling"), F.col("stop2").alias("stop"))
+        before, up = up, materialize(up.filter("stop").select("c", "t", "parent", "sibling", "stop").unionByName(climbed), "quotes-up")
         discard(before)
         if up.filter(~F.col("stop")).isEmpty():
             break
@@ -155,8 +165,8 @@ def reply_order(replies: DataFrame) -> DataFrame:
     rank = materialize(follows.withColumn("behind", F.col("next").isNotNull().cast("long")), "quotes-rank")
     while not rank.filter("next IS NOT NULL").isEmpty():
         ahead = rank.select("c", F.col("t").alias("next"), F.col("next").alias("n2"), F.col("behind").alias("b2"))
-        doubled = rank.join(ahead, ["c", "next"], "left").select("c", "t", F.col("n2").alias("next"), (F.col("behind") + F.coalesce("b2", F.lit(0))).alias("behind"))
-        before, rank = rank, materialize(doubled, "quotes-rank")
+        doubled = rank.filter("next IS NOT NULL").join(ahead, ["c", "next"]).select("c", "t", F.col("n2").alias("next"), (F.col("behind") + F.col("b2")).alias("behind"))
+        before, rank = rank, materialize(rank.filter("next IS NULL").select("c", "t", "next", "behind").unionByName(doubled), "quotes-rank")
         discard(before)
     sizes = tree.groupBy("c").agg(F.count("*").alias("size"))
     return plain.unionByName(rank.join(sizes, "c").select("c", "t", (F.col("size") - 1 - F.col("behind")).alias("position")))

@@ -1,5 +1,6 @@
 import random
 
+from burstmill.llm import queries
 from burstmill.llm import quotations as T
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -124,3 +125,28 @@ def test_long_quotes(spark):
     text = "word " * 50_000 + "end"
     rows = [(1, 0, "user", text), (1, 1, "user", "unrelated"), (1, 2, "user", "> " + text + "\nanswer")]
     assert {r.turn: (r.parent_turn, r.own[:9]) for r in T.link(spark.createDataFrame(rows, SCHEMA)).collect()} == {0: (None, text[:9]), 1: (0, "unrelated"), 2: (0, "answer")}
+
+
+def test_the_query_by_brute_force(spark):
+    """Its messages quote what was said two and three turns before, and most of them link there."""
+    talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = [tuple(r) for r in queries.quoting_messages(talk).collect()]
+    found = queries.op9_quotation_links(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.position) for r in found} == slow_conversations(rows)
+    quoting = [r for r in found if r.quoted_lines]
+    assert len(quoting) > len(rows) / 10 and any(r.levels == 2 for r in quoting)
+    assert sum(any((o.level, o.turn) == (1, r.turn - 2) for o in r.origins or []) and r.linked_hashes > 0 for r in quoting) > 0.9 * len(quoting)
+    assert any((o.level, o.turn) == (2, r.turn - 3) for r in quoting for o in r.origins or [])
+    said = {(r.conv_id, r.turn): (r.text or "").strip() for r in talk.collect()}
+    assert all(r.own.strip() == said[r.conv_id, r.turn] for r in found)
+
+
+def test_many_replies_to_one_message(spark, monkeypatch):
+    """Everybody answers the first message, and some are answered in turn; siblings lie in many stretches."""
+    monkeypatch.setattr(T, "STRETCH", 8)
+    rows = [(1, 0, "u", "the question that starts it all")]
+    for t in range(1, 120):
+        origin = "the question that starts it all" if t % 3 else f"answer of its own, number {t - 2}"
+        rows.append((1, t, "u", f"> {origin}\n\nanswer of its own, number {t}"))
+    found = {(r.conv_id, r.turn): (r.parent_turn, r.position) for r in T.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == slow_conversations(rows) and sum(p == 0 for p, _ in found.values()) > 70
