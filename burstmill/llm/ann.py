@@ -45,8 +45,12 @@ MAX_ITERATIONS = 60
 SETTLED = 0.02
 #: Better neighbours of a node that one part reports in one iteration: all that can become its neighbours.
 REPORTED = 36
+#: Nodes that a search holds, a parameter. Recall falls as a table grows: where it is short on a sample of queries held
+#: against all distances, double the pool; what is measured grows nearly as much.
 POOL = 130
 EXPAND = 32
+#: Candidates that one group measures on average, with their queries' vectors, before its queries are dealt to several.
+MEETING = 65_536
 ENTRIES = 8
 MAX_ROUNDS = 400
 SEED = 13
@@ -249,10 +253,19 @@ def _measure(asked: pa.Table, vectors: pa.Table) -> pa.Table:
     return pa.table({"q": asked["q"], "found": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs)})
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _pieces(each: DataFrame) -> DataFrame:
+    """(part, pieces) of the parts that more than MEETING of the candidates (q, node, part) lie in: their queries are dealt
+    to so many groups, each with a copy of the part's vectors. All queries start at the same entries, and many nodes have a
+    hub near them, so a part may be asked by any share of all queries."""
+    loads = each.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > MEETING)
+    return maybe_broadcast(materialize(loads.select("part", F.ceil(F.col("n") / MEETING).alias("pieces")), "ann-pieces"))
+
+
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, pool: int | None = None) -> DataFrame:
     """(q, pool, measured): for each query (q, v, start) the nearest nodes found, as an array of (d, number), nearest
     first, and how many nodes its distance was computed to. Nodes are numbered; start: the number of a node, or null.
     """
+    pool = pool or POOL
     ship_package(nodes.sparkSession)
     around = materialize(_both_ways(edges).groupBy(F.col("m").alias("node")).agg(F.collect_set("x").alias("near")), "ann-adjacency")
     vectors = materialize(nodes.select("number", "v", _part("number").alias("home")), "ann-vectors")
@@ -265,10 +278,13 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     state = materialize(state, "ann-search")
     for _ in range(MAX_ROUNDS):
         each = state.select("q", F.explode("cands").alias("node")).withColumn("part", _part("node"))
-        sent = each.groupBy("q", "part").agg(F.collect_list("node").alias("cands")).join(asked, "q")
-        found = sent.groupBy("part").cogroup(vectors.groupBy("home")).applyInArrow(lambda a, b: _measure(a, b), "q bigint, found array<struct<d:double,node:bigint>>")
+        pieces = _pieces(each)
+        sent = each.groupBy("q", "part").agg(F.collect_list("node").alias("cands")).join(pieces, "part", "left").join(asked, "q")
+        sent = sent.withColumn("piece", F.pmod(F.xxhash64(F.lit(SEED), "q"), F.coalesce("pieces", F.lit(1))))
+        copies = vectors.join(pieces, F.col("home") == F.col("part"), "left").select("number", "v", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)).alias("copy"))
+        found = sent.groupBy("part", "piece").cogroup(copies.groupBy("home", "copy")).applyInArrow(lambda a, b: _measure(a, b), "q bigint, found array<struct<d:double,node:bigint>>")
         found = found.groupBy("q").agg(F.flatten(F.collect_list("found")).alias("found"))
-        now = state.join(found, "q", "left").withColumn("pool", F.slice(F.array_sort(F.concat("pool", F.coalesce("found", empty))), 1, POOL))
+        now = state.join(found, "q", "left").withColumn("pool", F.slice(F.array_sort(F.concat("pool", F.coalesce("found", empty))), 1, pool))
         now = now.withColumn("next", F.slice(F.array_except(F.transform("pool", lambda p: p["node"]), "open"), 1, EXPAND))
         now = materialize(now.select("q", "pool", F.concat("seen", "cands").alias("seen"), F.concat("open", "next").alias("open"), "next"), "ann-opened")
         if now.filter(F.size("next") > 0).isEmpty():
@@ -281,7 +297,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"searches did not end in {MAX_ROUNDS} rounds")
 
 
-def nearest(table: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", pool: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score, measured): the k nearest found of each row of the table for which `asked` (over
     `id`) holds, and how many distinct vectors were measured for it."""
     vectors = materialize(usable_vectors(table, key, vector), "ann-input")
@@ -289,7 +305,7 @@ def nearest(table: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", v
     edges = build_graph(nodes)
     rows = materialize(vectors.filter(asked).join(nodes.select("v", "number"), "v").select(F.col("id").alias("query_id"), "number"), "ann-asked")
     own = rows.select("number").distinct().join(nodes.select("number", "v"), "number").select(F.col("number").alias("q"), "v", F.col("number").alias("start"))
-    pools = search(own, nodes, edges).select("q", "measured", F.explode(F.slice("pool", 1, k + 1)).alias("p")).select("q", "measured", "p.d", F.col("p.node").alias("number"))
+    pools = search(own, nodes, edges, max(pool or POOL, k + 1)).select("q", "measured", F.explode(F.slice("pool", 1, k + 1)).alias("p")).select("q", "measured", "p.d", F.col("p.node").alias("number"))
     ids = pools.join(nodes.select("number", "members"), "number").select("q", "measured", "d", F.explode("members").alias("id"))
     rank = Window.partitionBy("q").orderBy("d", "id")
     ids = materialize(ids.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k + 1), "ann-found")
