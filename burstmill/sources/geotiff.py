@@ -1,7 +1,7 @@
 """GeoTIFF files as a data source of Spark, read by tiles and written by tiles.
 
 Reading: `spark.read.format("geotiff")` gives (file, band, y, x, value), a row for each cell and band, no data as null. A
-file is split into stretches of its tiles by its size; a task reads the file's header, then only those of its tiles that
+large file is split into stretches of its tiles by its size, small files share a task; a task reads the file's header, then only those of its tiles that
 meet the window and the bands that were asked for, tiles that lie behind each other in one read. Window and bands are
 options (`window`: first row, first column, last row, last column; `bands`: names, one a line); with
 spark.sql.python.filterPushdown.enabled, filters on y, x, band and file find their way there too. Headers are never
@@ -40,8 +40,9 @@ from burstmill.shared import discard, materialize, ship_package
 
 CELLS = "file string, band string, y bigint, x bigint, value double"
 PACKED = "file string, tile bigint, top bigint, left bigint, data binary"
-#: Bytes of a file that one task reads.
+#: Bytes that one task reads: a part of a large file, or small files together, each of which counts OPENING bytes more.
 STRETCH = 64 << 20
+OPENING = 1 << 20
 #: Bytes of the first read of a header; most directories end before.
 HEAD = 64 << 10
 #: Largest read of tiles that lie behind each other.
@@ -155,9 +156,10 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((i.path, i.size) for i in infos if i.is_file and re.search(r"\.tiff?$", i.path, re.I) and not hidden(i.path))
 
 
-class _Stretch(InputPartition):
-    def __init__(self, file: str, part: int, parts: int):
-        self.file, self.part, self.parts = file, part, parts
+class _Share(InputPartition):
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        #: (file, part, parts)
+        self.pieces = pieces
 
 
 class Reader(DataSourceReader):
@@ -169,22 +171,29 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, folder = fs.FileSystem.from_uri(self.path)
-        found = []
+        shares, room = [], 0
         for file, size in _files(self.path):
             if self.names is None or _name(folder, file) in self.names:
                 parts = max(1, -(-size // STRETCH))
-                found += [_Stretch(file, k, parts) for k in range(parts)]
-        return found or [_Stretch("", 0, 1)]
-
-    def read(self, partition: _Stretch) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
+                for k in range(parts):
+                    if room < size // parts + OPENING:
+                        shares.append([])
+                        room = STRETCH + OPENING
+                    shares[-1].append((file, k, parts))
+                    room -= size // parts + OPENING
+        return [_Share(pieces) for pieces in shares or [[]]]
+
+    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
+        for file, part, parts in partition.pieces:
+            yield from self._read(file, part, parts)
+
+    def _read(self, file: str, part: int, parts: int) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(self.path)
         first, left, last, right = self.window
-        name = _name(folder, partition.file)
-        with store.open_input_file(partition.file) as f:
+        name = _name(folder, file)
+        with store.open_input_file(file) as f:
             head = Header(f, name)
-            todo = head.tiles(self.window, self.bands, partition.part, partition.parts)
+            todo = head.tiles(self.window, self.bands, part, parts)
             start = 0
             while start < len(todo):
                 begin, stop = todo[start][0], start + 1

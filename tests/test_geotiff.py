@@ -81,6 +81,17 @@ def test_parts_cover_each_tile_once(written):
     assert sorted(t for k in range(7) for t in head.tiles(whole, None, k, 7)) == head.tiles(whole, None)
 
 
+def test_large_files_are_dealt_and_small_ones_share(written, monkeypatch):
+    reader = geotiff.Reader({"path": written[0]})
+    assert [[p[1:] for p in share.pieces] for share in reader.partitions()] == [[(0, 1), (0, 1)]]
+    monkeypatch.setattr(geotiff, "STRETCH", 9000)
+    monkeypatch.setattr(geotiff, "OPENING", 10)
+    pieces = [p for share in reader.partitions() for p in share.pieces]
+    assert len(pieces) > 4 and sorted({(f.rpartition("/")[2], n) for f, _, n in pieces}) == [(f, sum(p[0].endswith(f) for p in pieces)) for f in ("a.tif", "b.tif")]
+    rows = [b.num_rows for f, k, n in pieces for b in reader.read(geotiff._Share([(f, k, n)]))]
+    assert sum(rows) == 2 * 2 * 70 * 40
+
+
 def classic(order, image, chunky, deflated, tags=()):
     """A classic TIFF in strips of two rows, made by hand from (bands, rows, columns) of 16-bit integers."""
     n, high, wide = image.shape
