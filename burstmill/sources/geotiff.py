@@ -1,8 +1,8 @@
 """GeoTIFF files as a data source of Spark, read by tiles and written by tiles.
 
 Reading: `spark.read.format("geotiff")` gives (file, band, y, x, value), a row for each cell and band, no data as null. A
-large file is split into stretches of its tiles by its size, small files share a task; a task reads the file's header, then only those of its tiles that
-meet the window and the bands that were asked for, tiles that lie behind each other in one read. Window and bands are
+large file is split into stretches of its tiles by its size, small files share a task; a task reads the file's header, then
+only those of its tiles that meet the window and the bands that were asked for, tiles that lie behind each other in one read. Window and bands are
 options (`window`: first row, first column, last row, last column; `bands`: names, one a line); with
 spark.sql.python.filterPushdown.enabled, filters on y, x, band and file find their way there too. Headers are never
 gathered: the driver lists files, as it does for Spark's own formats.
@@ -39,7 +39,6 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from burstmill.shared import discard, materialize, ship_package
 
 CELLS = "file string, band string, y bigint, x bigint, value double"
-PACKED = "file string, tile bigint, top bigint, left bigint, data binary"
 #: Bytes that one task reads: a part of a large file, or small files together, each of which counts OPENING bytes more.
 STRETCH = 64 << 20
 OPENING = 1 << 20
@@ -247,7 +246,7 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Takes packed tiles (PACKED and the image's width, height and stored bytes), those of a file together and in order."""
+    """Takes packed tiles (file, tile, width, height, stored, data), those of a file together and in order; stored: bytes of all the file's tiles."""
 
     def __init__(self, options: dict):
         self.path, self.bands = options["path"], options["bands"].split("\n")
@@ -378,7 +377,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _packed(cells: DataFrame, bands: list[str], tile: tuple[int, int]) -> DataFrame:
-    """PACKED tiles of cells (file, band, y, x, value): packed while sorted rows stream past."""
+    """Tiles (file, plane, down, across, bottom, right, data) of cells (file, band, y, x, value), packed while sorted rows stream past."""
     high, wide = tile
     place = F.array_position(F.array(*map(F.lit, bands)), F.col("band")) - 1
     down, across = F.floor(F.col("y") / high), F.floor(F.col("x") / wide)
