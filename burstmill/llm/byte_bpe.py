@@ -27,11 +27,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstmill.llm.texts import text_of
+from burstmill.llm.texts import pieces, text_of
 from burstmill.shared import fresh, ship_package, with_field
 
 #: Pre-tokens that one generation of the memo holds; there are two generations.
-MEMO = 300_000
+MEMO = 100_000
 #: Characters of a pre-token that the memo holds at most, so that it is bounded in bytes too.
 MEMO_CHARS = 64
 #: Keys for each bucket of the perfect hash, on average.
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
         from burstmill.llm.byte_bpe import encoder as of_worker  # the module's own memo, not a copy of this closure
 
         e = of_worker(SparkFiles.get(file), pattern)
-        for b in batches:
+        for b in pieces(batches):
             counts, first, second = [], [], []
             for x in b.column(b.num_columns - 1):
                 ids = e.encode(text_of(x))

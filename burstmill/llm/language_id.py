@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstmill.llm.texts import decoded
+from burstmill.llm.texts import decoded, pieces
 from burstmill.shared import fresh, ship_package, with_field
 
 SAMPLE_PER_LANGUAGE = 256
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = None if m is None else Scorer(m)
-        for b in batches:
+        for b in pieces(batches):
             langs, scores = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
             usable = np.flatnonzero(b.column(n_keep + 1).to_numpy(zero_copy_only=False)) if scorer else []
             done = 0

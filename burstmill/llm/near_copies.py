@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.llm import simhash
-from burstmill.llm.texts import text_of
+from burstmill.llm.texts import pieces, text_of
 from burstmill.operators.components import connected_components
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
@@ -42,7 +42,9 @@ BLOCK_NODES, BLOCK_SHINGLES = 2048, 1_000_000
 SEED = 42
 #: Shingles that are mixed at once; shingles that are columns of a dense product at once.
 _BLOCK = 512
-_COLUMNS = 2048
+_COLUMNS = 512
+#: Rows of a block whose shares are compared at once.
+_ROWS = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Each product of a hash and a factor gives two 32-bit hashes.
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,7 +88,7 @@ def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str, str]:
     schema = with_field(with_field(found.schema, same, "string"), bands, "array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             digests, keys = [], []
             for x in b.column(at):  # the words of one text at a time: those of a batch take much more memory than its texts
                 words = _words(text_of(x))
@@ -127,7 +129,7 @@ def sets_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, found): the shingles of the wanted nodes; texts: (node, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = pa.array([shingles(_words(text_of(x))).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=["node", "found"])
 
@@ -138,7 +140,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             good = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
@@ -185,12 +187,16 @@ def _linked_in_block(rows: pa.Table) -> pa.Table:
         sides.append((part["node"].to_numpy(), sizes, (np.repeat(np.arange(len(sizes)), sizes), found.values.to_numpy()[found.offsets[0].as_py() : found.offsets[-1].as_py()])))
     (u, nu, one), (v, nv, two) = sides
     both = _common(one, two, (len(u), len(v)))
-    near = 5 * both >= 4 * (nu[:, None] + nv[None, :] - both)
+    cuts = [slice(s, s + _ROWS) for s in range(0, len(u), _ROWS)]
+    near = [5 * both[c] >= 4 * (nu[c, None] + nv[None, :] - both[c]) for c in cuts]
+    del both
     least_u, least_v = u.copy(), v.copy()
     far = np.iinfo(np.int64).max
     while True:
-        new_v = np.minimum(least_v, np.where(near, least_u[:, None], far).min(0))
-        new_u = np.minimum(least_u, np.where(near, new_v[None, :], far).min(1))
+        new_v = least_v
+        for c, x in zip(cuts, near):
+            new_v = np.minimum(new_v, np.where(x, least_u[c, None], far).min(0))
+        new_u = np.concatenate([np.minimum(least_u[c], np.where(x, new_v[None, :], far).min(1)) for c, x in zip(cuts, near)])
         if (new_u == least_u).all() and (new_v == least_v).all():
             break
         least_u, least_v = new_u, new_v

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstmill.operators.components import connected_components
-from burstmill.llm.texts import text_of
+from burstmill.llm.texts import pieces, text_of
 from burstmill.shared import fresh, materialize, ship_package, with_field
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     name, at = fresh(docs, "fingerprint"), fresh(docs, "text_read")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = np.array([fingerprint(text_of(x)) for x in b.column(b.num_columns - 1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], names=[*b.schema.names[:-1], name])
 
