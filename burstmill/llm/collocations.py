@@ -24,7 +24,6 @@ smaller bytes. Repeated rows count as often as they stand there. Tables without
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,44 +38,60 @@ from burstmill.shared import materialize, ship_package
 UNDETERMINED = "und"
 #: Hashed buckets of word counts, and the sum at which a bucket stops counting.
 BUCKETS, MOST = 1 << 22, (1 << 32) - 1
-#: Words that a task holds before it passes its counts or fragments on, and occurrences that one part of a pivot takes.
-HELD, PART = 1_000_000, 1 << 20
+#: Words that a task takes at once, at BYTES bytes each, and occurrences that one part of a pivot takes.
+HELD, BYTES, PART = 1_000_000, 6, 1 << 20
 #: Stretches in which phrases are ranked first, so that no task ranks a whole language.
 STRETCHES = 64
 
 _BREAK, _PIVOT = b"\xff", b"\xfe"  # bytes that UTF-8 lacks
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """The words of a text in order, with a break wherever a piece ends."""
-    raw = decoded(text).encode("utf-8", "replace").translate(_LOWER)
-    return raw.replace(_BREAK, b" \xff ").split()
+def _binary(ends: np.ndarray, data: np.ndarray | pa.Buffer) -> pa.BinaryArray:
+    """Values that lie one after the other in data; ends holds where the first begins and where each ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def coded(texts: list[bytes | None]) -> tuple[np.ndarray, pa.BinaryArray]:
+    """The words of the texts in order, with a break wherever a piece ends, as places in the list of distinct ones."""
+    raw = _BREAK.join([*(decoded(x).encode("utf-8", "replace") for x in texts), b""]).translate(_LOWER)
+    data = np.frombuffer(raw, np.uint8)
+    held, alone = data != 32, data == _BREAK[0]
+    first = held.copy()
+    first[1:] &= ~held[:-1] | alone[:-1] | alone[1:]
+    data = data[held]
+    found = _binary(np.append(np.flatnonzero(first[held]), len(data)), data).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
 
 
 def _read(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNDETERMINED)).alias("lang"), F.col(text).cast("binary").alias("text"))
 
 
+def held_texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes | None]]]:
+    """(lang, texts) for stretches of a task's rows (lang, text) whose texts have few more than `most` bytes."""
+    held: dict[str, list[bytes | None]] = {}
+    size = 0
+    for b in batches:
+        for lang, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            text = raw.as_py()
+            held.setdefault(lang, []).append(text)
+            size += len(text or b"") + 1
+            if size > most:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
+
+
 def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, phrase, f): how often each word occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in found.items():
-                counts.pop(_BREAK, None)
-                if counts:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "f"])
-            found.clear()
-
-        for b in batches:
-            for lang, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                found.setdefault(lang, Counter()).update(words(raw.as_py()))
-            if sum(map(len, found.values())) > HELD // 4:
-                yield from out()
-        yield from out()
+        for lang, texts in held_texts(batches, 2 * HELD * BYTES):
+            ids, names = coded(texts)
+            f = pa.array(np.bincount(ids, minlength=len(names)))
+            found = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(names)), names, f], names=["lang", "phrase", "f"])
+            yield found.filter(pc.not_equal(names, pa.scalar(_BREAK, pa.binary())))
 
     parts = _read(docs, text, lang).mapInArrow(count, "lang string, phrase binary, f bigint")
     return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
@@ -110,10 +125,15 @@ class Vocabulary(dict):
         self.names, self.counts = [_BREAK], [0]
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self.names)
-        self.names.append(word)
-        self.counts.append(int(self.sums[zlib.crc32(word, self.lang) % len(self.sums)]))
-        return k
+        return int(self.learn([word])[0])
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words."""
+        new = [w for w in words if w not in self]
+        self.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+        self.names += new
+        self.counts += self.sums[np.array([zlib.crc32(w, self.lang) for w in new], np.int64) % len(self.sums)].tolist()
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def places(self, least: int) -> np.ndarray:
         """The place of each word from rare to frequent, -1 for words that are rarer than least."""
@@ -125,13 +145,14 @@ class Vocabulary(dict):
         return out
 
 
-def fragments_of(ids: np.ndarray, vocabulary: Vocabulary, least: int, longest: int) -> Iterator[tuple[int, bytes]]:
-    """(pivot, its fragments, one a line, the pivot's own place marked) for the words of a stretch of text."""
+def fragments(ids: np.ndarray, vocabulary: Vocabulary, least: int, longest: int) -> tuple[np.ndarray, pa.BinaryArray]:
+    """The pivots of a stretch of text and the fragments of each: a blank ends every word, a line end every fragment, and
+    a mark stands in the pivot's own place."""
     place = vocabulary.places(least)[ids]
     n = len(ids)
     reach = {}
     for side in (-1, 1):
-        far, go_on = np.zeros(n, np.int64), place >= 0
+        far, go_on = np.zeros(n, np.int32), place >= 0
         for k in range(1, min(longest, n)):
             beside = np.full(n, -1, np.int32)
             if side < 0:
@@ -144,18 +165,86 @@ def fragments_of(ids: np.ndarray, vocabulary: Vocabulary, least: int, longest: i
         reach[side] = far
     at = np.flatnonzero(reach[-1] + reach[1])
     at = at[np.argsort(ids[at], kind="stable")]
-    if not len(at):
-        return
     size = reach[-1][at] + reach[1][at] + 2  # a line's words and its end
-    ends = np.cumsum(size)
-    token = ids[np.minimum(np.repeat(at - reach[-1][at] - (ends - size), size) + np.arange(ends[-1]), n - 1)]
+    ends = np.cumsum(size, dtype=np.int64)
+    token = ids[np.minimum(np.repeat(at - reach[-1][at] - (ends - size), size) + np.arange(size.sum()), n - 1)]
     token[ends - 1] = len(vocabulary.names)
     token[ends - size + reach[-1][at]] = len(vocabulary.names) + 1
-    names = np.array([*vocabulary.names, b"\n", _PIVOT], object)[token]
+    names = pc.binary_join_element_wise(pa.array([*vocabulary.names, b"\n", _PIVOT], pa.binary()), b"", b" ")
+    lines = names.take(pa.array(token))
     pivots = ids[at]
-    first = np.flatnonzero(np.r_[True, pivots[1:] != pivots[:-1]])
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
-        yield int(pivots[a]), b" ".join(names[ends[a] - size[a] : ends[b - 1]])
+    first = np.flatnonzero(np.diff(pivots, prepend=-1))
+    bounds = np.frombuffer(lines.buffers()[1], np.int32)[np.append((ends - size)[first], len(token))] if len(at) else np.zeros(1)
+    return pivots[first], _binary(bounds, lines.buffers()[2] or b"")
+
+
+def fragments_of(ids: np.ndarray, vocabulary: Vocabulary, least: int, longest: int) -> Iterator[tuple[int, bytes]]:
+    """The same, one pivot after the other."""
+    pivots, lines = fragments(ids, vocabulary, least, longest)
+    yield from zip(pivots.tolist(), lines.to_pylist())
+
+
+def tallied(rows: pa.Table, least: int, longest: int, begun: bool, ends: bool) -> list[pa.RecordBatch]:
+    """(lang, phrase, f) of the phrases in rows (lang, pivot, parts, salt, lines), those of one part side by side.
+
+    Phrases that occur fewer than `least` times are dropped if these rows are all that there is of their pivot; the
+    first part may have begun in earlier rows, and the last one ends here or not.
+    """
+    rows = rows.combine_chunks()
+    lang, pivot, lines = (rows[c].chunk(0) for c in ("lang", "pivot", "lines"))
+    keys = [lang.dictionary_encode().indices.to_numpy(), pivot.dictionary_encode().indices.to_numpy(), rows["parts"].to_numpy(), rows["salt"].to_numpy()]
+    new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+    first = np.flatnonzero(new)
+    whole = keys[2][first] == 1
+    if begun:
+        whole[0] = False
+    if not ends:
+        whole[-1] = False
+    starts = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    data = np.frombuffer(lines.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+    blank = data == 32
+    stops = np.flatnonzero(blank)
+    tokens = _binary(np.r_[0, stops - np.arange(len(stops))], data[~blank])
+    coding = pa.concat_arrays([tokens, pivot.take(pa.array(first)), pa.array([b"\n", _PIVOT], pa.binary())]).dictionary_encode()
+    codes, names = coding.indices.to_numpy(), coding.dictionary
+    of_part, end, mark = codes[len(tokens) : -2], codes[-2], codes[-1]
+    codes = codes[: len(tokens)]
+    at, last = np.flatnonzero(codes == mark), np.flatnonzero(codes == end)
+    head = np.r_[0, last[:-1] + 1]
+    part = np.repeat(np.cumsum(new) - 1, np.diff(np.searchsorted(stops[last], starts - starts[0])))
+    out = []
+    for a in range(1 - longest, 1):
+        for b in range(max(1, a + 2), a + longest + 1):
+            here = np.flatnonzero((at + a >= head) & (at + b <= last))
+            which, *beside, f = distinct([(part[here], len(first)), *((codes[at[here] + k], len(names)) for k in range(a, b) if k)])
+            some = np.flatnonzero((f >= least) | ~whole[which])
+            which, beside = which[some], [x[some] for x in beside]
+            beside.insert(-a, of_part[which])
+            phrase = pc.binary_join_element_wise(*(names.take(pa.array(x)) for x in beside), b" ")
+            out.append(pa.RecordBatch.from_arrays([lang.take(pa.array(first[which])), phrase, pa.array(f[some])], names=["lang", "phrase", "f"]))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()
+
+
+def distinct(columns: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """The distinct rows of columns of whole numbers below the bound beside each, and how often each row occurs."""
+    (key, size), *more = columns
+    key, parts = key.astype(np.int64), []
+    for x, bound in more:
+        if size * bound >= 1 << 63:
+            values, key = np.unique(key, return_inverse=True)
+            size = len(values)
+            parts.append(values)
+        else:
+            parts.append(None)
+        key, size = key * bound + x, size * bound
+    key = np.sort(key)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    f, key = np.diff(np.append(first, len(key))), key[first]
+    out = [f]
+    for (_, bound), values in zip(reversed(more), reversed(parts)):
+        out.append(key % bound)
+        key = key // bound if values is None else values[key // bound]
+    return [key, *reversed(out)]
 
 
 def phrase_counts(docs: DataFrame, sums: np.ndarray, least: int, longest: int, part: int = PART, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -165,71 +254,35 @@ def phrase_counts(docs: DataFrame, sums: np.ndarray, least: int, longest: int, p
     shared = spark.sparkContext.broadcast(sums)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies: dict[str, Vocabulary] = {}
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for lang, v in vocabularies.items():
-                for pivot, lines in fragments_of(np.concatenate(held[lang]), v, least, longest):
-                    parts = 1 + v.counts[pivot] // part
-                    rows.append((lang, v.names[pivot], parts, zlib.crc32(lines) % parts, lines))
-            vocabularies.clear()
-            held.clear()
-            for k in range(0, len(rows), 10_000):
-                columns = zip(*rows[k : k + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["lang", "pivot", "parts", "salt", "lines"])
-
-        for b in batches:
-            for lang, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                if lang not in held:
-                    vocabularies[lang], held[lang] = Vocabulary(lang, shared.value), []
-                found = words(raw.as_py())
-                held[lang] += [np.fromiter(map(vocabularies[lang].__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
-                size += len(found) + 1
-                if size > HELD:
-                    yield from out()
-                    size = 0
-        yield from out()
+        for lang, texts in held_texts(batches, HELD * BYTES):
+            v = Vocabulary(lang, shared.value)
+            ids, names = coded(texts)
+            pivots, lines = fragments(v.learn(names.to_pylist())[ids], v, least, longest)
+            parts = 1 + np.array(v.counts, np.int64)[pivots] // part
+            salt = np.zeros(len(parts), np.int64)
+            for k in np.flatnonzero(parts > 1).tolist():
+                salt[k] = zlib.crc32(lines[k].as_buffer()) % parts[k]
+            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(parts)), pa.array(v.names, pa.binary()).take(pa.array(pivots)), pa.array(parts), pa.array(salt), lines]
+            rows = pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "parts", "salt", "lines"])
+            for k in range(0, len(parts), 10_000):
+                yield rows.slice(k, 10_000)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lines = None, Counter()
-        made: list[tuple[str, bytes, int]] = []
-
-        def close() -> None:
-            if key is None:
-                return
-            lang, pivot, parts, _ = key
-            found: Counter = Counter()
-            for line, times in lines.items():
-                tokens = line.split()
-                if not tokens:
-                    continue
-                at = tokens.index(_PIVOT)
-                tokens[at] = pivot
-                for a in range(max(0, at - longest + 1), at + 1):
-                    for b in range(max(at + 1, a + 2), min(len(tokens), a + longest) + 1):
-                        found[b" ".join(tokens[a:b])] += times
-            made.extend((lang, p, f) for p, f in found.items() if parts > 1 or f >= least)
-            lines.clear()
-
-        def out() -> pa.RecordBatch:
-            lang, phrase, f = zip(*made)
-            made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
-
+        held: list[pa.RecordBatch] = []
+        key, size = None, 0
+        names = ["lang", "pivot", "parts", "salt"]
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:4] != key:
-                    close()
-                    key = row[:4]
-                    if len(made) > 50_000:
-                        yield out()
-                lines.update(row[4].split(b"\n"))
-        close()
-        if made:
-            yield out()
+            if not b.num_rows:
+                continue
+            if size > HELD * BYTES:
+                following = b.slice(0, 1).select(names).to_pylist()
+                begins, ending = held[0].slice(0, 1).select(names).to_pylist(), held[-1].slice(held[-1].num_rows - 1).select(names).to_pylist()
+                yield from tallied(pa.Table.from_batches(held), least, longest, begins == key, ending != following)
+                key, held, size = ending, [], 0
+            held.append(b)
+            size += b.column(4).nbytes
+        if held:
+            yield from tallied(pa.Table.from_batches(held), least, longest, held[0].slice(0, 1).select(names).to_pylist() == key, True)
 
     routed = _read(docs, text, lang).mapInArrow(route, "lang string, pivot binary, parts bigint, salt bigint, lines binary")
     dealt = routed.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot", "parts", "salt")

@@ -108,3 +108,65 @@ def test_bytes_that_are_not_text(spark):
 def test_empty_tables(spark):
     assert rows_of(collocations.collocations(frame(spark, []))) == []
     assert rows_of(collocations.collocations(frame(spark, [(None, None), ("only one", "en")]))) == []
+
+
+def test_parts_that_go_on_in_further_rows(spark, monkeypatch):
+    rows = made(9)
+    want = rows_of(collocations.collocations(frame(spark, rows), 5, 3, 50, 40))
+    monkeypatch.setattr(collocations, "HELD", 20)  # many stretches: a part's rows come in several batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert rows_of(collocations.collocations(frame(spark, rows), 5, 3, 50, 40)) == want == slow(rows, 5, 3, 50, 40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_distinct_rows_of_wide_columns():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    columns = [(r.integers(0, 7, 5000), 1 << 30), (r.integers(0, 5, 5000), 1 << 31), (r.integers((1 << 31) - 5, 1 << 31, 5000), 1 << 31), (r.integers(0, 3, 5000), 1 << 20)]
+    for used in (columns, columns[:2], columns[:1]):
+        got = collocations.distinct(used)
+        assert Counter(dict(zip(zip(*(x.tolist() for x in got[:-1])), got[-1].tolist()))) == Counter(zip(*(x.tolist() for x, _ in used)))
+
+
+def test_mining_costs_little_more_than_counting_words():
+    """CPU time of fragments and their phrases, by that of splitting and counting the same words: 4.5 times when measured, 17.5 with fragments one by one."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    words = [f"w{k:x}" for k in range(60_000)]
+    texts = [" ".join(words[k] for k in np.minimum(r.zipf(1.15, 1000), 60_000) - 1).encode() for _ in range(400)]
+
+    def mined():
+        ids, names = collocations.coded(texts)
+        v = collocations.Vocabulary("en", np.full(collocations.BUCKETS, 50, np.uint32))
+        pivots, lines = collocations.fragments(v.learn(names.to_pylist())[ids], v, 10, 3)
+        n = len(pivots)
+        rows = pa.table({"lang": ["en"] * n, "pivot": pa.array([v.names[k] for k in pivots], pa.binary()), "parts": [1] * n, "salt": [0] * n, "lines": lines})
+        return collocations.tallied(rows, 10, 3, False, True)
+
+    def counted():
+        total = Counter()
+        for t in texts:
+            total.update(t.split())
+
+    def least(f):
+        spent = []
+        for _ in range(5):
+            t = time.process_time()
+            f()
+            spent.append(time.process_time() - t)
+        return min(spent)
+
+    truth = Counter()
+    for t in texts:
+        ws = t.split()
+        truth.update(b" ".join(ws[i : i + k]) for k in (2, 3) for i in range(len(ws) - k + 1))
+    got = {p: f for b in mined() for p, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
+    assert got == {p: f for p, f in truth.items() if f >= 10}
+    assert least(mined) < 9 * least(counted)
