@@ -3,7 +3,8 @@
 A text is cut into pre-tokens by a pattern. A minimal perfect hash over the vocabulary's byte strings resolves a
 pre-token that is a token itself. Any other pre-token is merged: its bytes form a linked list, and a heap holds the
 neighbouring pairs that are tokens, lowest rank first, leftmost first among equals. Results of both tiers stay in a
-bounded memo on each worker, as natural text repeats its pre-tokens. Decoding concatenates the tokens' bytes.
+bounded memo on each worker, as natural text repeats its pre-tokens, and merged short ones that have left it in a table
+of fixed size. Decoding concatenates the tokens' bytes.
 
 Null texts count as empty: no ids. Special tokens are not looked for. An empty table gives an empty result. A lone
 surrogate, which UTF-8 lacks, becomes a question mark.
@@ -34,6 +35,10 @@ from burstmill.shared import fresh, ship_package, with_field
 MEMO = 100_000
 #: Characters of a pre-token that the memo holds at most, so that it is bounded in bytes too.
 MEMO_CHARS = 64
+#: Rows of the table of merged pre-tokens; a row has a key, the number of its ids' bytes and the ids.
+SHELF = 1 << 19
+_KEY, _IDS = 15, 16
+_ROW = _KEY + 1 + _IDS
 #: Keys for each bucket of the perfect hash, on average.
 _BUCKET = 2
 
@@ -83,11 +88,12 @@ class PerfectHash:
     def _slot(self, h: int, d: int) -> int:
         return ((h >> 20) + d * (h & 0xFFFFF) + d * d * 7) % self.n
 
-    def rank(self, key: bytes) -> int:
-        """The rank of the key, or -1 if it is not one."""
+    def rank(self, key: bytes, h: int | None = None) -> int:
+        """The rank of the key, or -1 if it is not one; h is the key's hash, if known."""
         if not self.n:
             return -1
-        h = xxhash.xxh3_64_intdigest(key)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(key)
         d = self.shift[h % self.buckets]
         rank = self.rank_at[-d - 1 if d < 0 else self._slot(h, d)]
         return rank if self.keys[rank] == key else -1
@@ -127,6 +133,14 @@ class Encoder(dict):
         super().__init__()
         self.tokens, self.hash = tokens, PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}  # of pairs, while merging
+        self.ids = [i.to_bytes(4, "little") for i in range(len(tokens))]
+        self.of_byte = [self.ids[self.ranks[x]] if (x := bytes([b])) in self.ranks else None for b in range(256)]
+        self.of_two = [[0] * 256 for _ in range(256)]  # one more than the rank of two bytes, or 0 if they are no token
+        for t, i in self.ranks.items():
+            if len(t) == 2:
+                self.of_two[t[0]][t[1]] = i + 1
+        self.values = pa.array(tokens, pa.binary())
+        self.rows, self.shelf = SHELF, bytearray(SHELF * _ROW)
         self.any_text = regex.compile(pattern).findall
         latin = latin_pattern(pattern)
         self.latin_text = latin.findall if latin else None
@@ -136,8 +150,9 @@ class Encoder(dict):
         found = self.old.get(piece)
         if found is None:
             raw = piece.encode("utf-8", "replace")
-            rank = self.hash.rank(raw)
-            found = rank.to_bytes(4, "little") if rank >= 0 else self.merge(raw)
+            h = xxhash.xxh3_64_intdigest(raw)
+            rank = self.hash.rank(raw, h)
+            found = self.shelved(raw, h) if rank < 0 else self.ids[rank]
             if len(piece) > MEMO_CHARS:
                 return found
         if len(self) >= MEMO:
@@ -146,14 +161,34 @@ class Encoder(dict):
         self[piece] = found
         return found
 
+    def shelved(self, raw: bytes, h: int) -> bytes:
+        """The ids of raw, whose hash is h, from its row of the table or merged; what is new takes its row's place."""
+        if len(raw) > _KEY or not raw[-1]:  # keys are filled up with zeros
+            return self.merge(raw)
+        shelf, key = self.shelf, raw.ljust(_KEY, b"\0")
+        at = h % self.rows * _ROW
+        if shelf.startswith(key, at):
+            return bytes(shelf[at + _KEY + 1 : at + _KEY + 1 + shelf[at + _KEY]])
+        found = self.merge(raw)
+        if len(found) <= _IDS:
+            shelf[at : at + _ROW] = b"%b%c%b" % (key, len(found), found.ljust(_IDS, b"\0"))
+        return found
+
     def merge(self, raw: bytes) -> bytes:
         """The ids of raw. Bytes are linked by where each part ends and where the one before it starts; a heap entry
         packs rank, start and end of a pair, and one that no longer fits the links is passed over."""
-        n, rank = len(raw), self.ranks.get
-        wide = 20 if n < 1 << 20 else 40
-        low = (1 << wide) - 1
-        end, before = list(range(1, n + 1)), list(range(-1, n))
-        heap = [(r << wide | i) << wide | i + 2 for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        n, rank, of_two, ids = len(raw), self.ranks.get, self.of_two, self.ids
+        wide = 6 if n < 64 else 20 if n < 1 << 20 else 40  # entries of short ones stay small numbers
+        low, both, step = (1 << wide) - 1, 2 * wide, (1 << wide) + 1
+        end, before = [*range(1, n + 1)], [*range(-1, n)]
+        of_byte = self.of_byte
+        parts = [of_byte[b] for b in raw]
+        heap, place, a = [], 2, raw[0]
+        for b in raw[1:]:
+            if r := of_two[a][b]:
+                heap.append((r << both) + place)
+            a = b
+            place += step
         heapify(heap)
         while heap:
             entry = heappop(heap)
@@ -162,17 +197,16 @@ class Encoder(dict):
             if not 0 < middle < stop or end[middle] != stop:
                 continue
             end[i], end[middle] = stop, 0
+            parts[i], parts[middle] = ids[(entry >> both) - 1], b""
             if stop < n:
                 before[stop] = i
                 if (r := rank(raw[i : end[stop]])) is not None:
-                    heappush(heap, (r << wide | i) << wide | end[stop])
-            if (h := before[i]) >= 0 and (r := rank(raw[h:stop])) is not None:
-                heappush(heap, (r << wide | h) << wide | stop)
-        ids, i = [], 0
-        while i < n:
-            ids.append(rank(raw[i : end[i]]))
-            i = end[i]
-        return np.array(ids, "<u4").tobytes() if n > 64 else b"".join([x.to_bytes(4, "little") for x in ids])
+                    heappush(heap, (r + 1 << wide | i) << wide | end[stop])
+            if i:
+                h = before[i]
+                if (r := rank(raw[h:stop])) is not None:
+                    heappush(heap, (r + 1 << wide | h) << wide | stop)
+        return b"".join(parts)
 
     def cut(self, text: str) -> list[str]:
         return self.latin_text(text) if self.latin_text and _LATIN.fullmatch(text) else self.any_text(text)
@@ -181,7 +215,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.cut(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found = self.values.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, ends, data = found.buffers()
+        return data[: np.frombuffer(ends, "<i4")[len(found)]].to_pybytes() if len(found) else b""
 
 
 _encoders: dict[tuple, Encoder] = {}

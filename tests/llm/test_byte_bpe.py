@@ -79,3 +79,27 @@ def test_odd_and_empty(odd_docs, no_docs):
         e = r[out.columns[-1]]
         assert bytes(e.decoded) == (r.text or "").encode() and e.n_tokens == len(e.ids)
     assert B.encode(no_docs, PATH, P.PATTERN).collect() == []
+
+
+def test_short_pre_tokens_are_merged_once(both, monkeypatch):
+    """Also after they have left the memo, as long as nothing takes their row of the table."""
+    monkeypatch.setattr(B, "MEMO", 5)
+    own, text = B.Encoder(both[0].tokens, P.PATTERN), "zyzzx qqvv xkcdq wvwvx jjkq zzgw pqpqz xxyq " * 30
+    merged, merge = [], own.merge
+    own.merge = lambda raw: merged.append(raw) or merge(raw)
+    assert ids_of(own, text) == both[1].encode_ordinary(text)
+    kept = [raw for raw in merged if len(merge(raw)) <= 4 * 4]  # a row has room for four ids
+    assert len(kept) == len(set(kept)) > 5
+
+
+def test_rows_of_the_table_are_shared(both, monkeypatch):
+    """Few rows, keys that differ in zeros at their end alone, and keys and ids that are too long for a row."""
+    monkeypatch.setattr(B, "MEMO", 3)
+    monkeypatch.setattr(B, "SHELF", 2)
+    own = B.Encoder(both[0].tokens, P.PATTERN)
+    random.seed(4)
+    parts = ["zyzzx", " qqvv", "\0", "\0\0", "q\0", "\x01\0", "漢字", "éàü", " xkcdqzzgwpqpqz", " xkcdqzzgwpqpqzz", "zqzqzqzqzqzq", "x" * 62, "qz" * 32, "qz" * 31 + "q", " ", "12"]
+    for _ in range(600):
+        text = "".join(random.choices(parts, k=random.randrange(30)))
+        assert ids_of(own, text) == both[1].encode_ordinary(text), repr(text)
+        assert own.decode(own.encode(text)) == text.encode()
