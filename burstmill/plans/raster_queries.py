@@ -164,7 +164,8 @@ def raster_compare(spark, sf_dir):
 
 @query(f"""WITH r AS ({_R}) SELECT CAST(floor((46 + y * 0.001) / 0.05) AS BIGINT) AS row, CAST(floor((10 + x * 0.01) / 0.05) AS BIGINT) AS col, round(avg(sqrt(i * i + q * q)), 6) AS amplitude, count(*) AS n FROM r GROUP BY 1, 2""")
 def geocode_grid(spark, sf_dir):
-    r = raster(spark, sf_dir).select((46 + F.col("y") * 0.001).alias("lat"), (10 + F.col("x") * 0.01).alias("lon"), phasors.amplitude(F.col("i"), F.col("q")).alias("amplitude"))
+    # whole steps first, so that each place is the double next to its decimal, as in the SQL: 46 + 34300 * 0.001 would lie a cell further
+    r = raster(spark, sf_dir).select(((46_000.0 + F.col("y")) / 1000).alias("lat"), ((1000.0 + F.col("x")) / 100).alias("lon"), phasors.amplitude(F.col("i"), F.col("q")).alias("amplitude"))
     return rounded(cube.resample_spatial(r, ["amplitude"], "lon", "lat", 0.05), "amplitude")
 
 
