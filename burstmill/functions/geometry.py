@@ -32,27 +32,41 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return (n > 3) & (F.size(hits) % 2 == 1)
 
 
-def _cross(o: Column, p: Column, q: Column) -> Column:
-    return (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+def edges(ring: Column) -> Column:
+    """The sides of a closed ring with their boxes, array<struct<px, py, qx, qy, west, east, south, north>>."""
+
+    def side(p: Column, q: Column) -> Column:
+        ends = (p[0].alias("px"), p[1].alias("py"), q[0].alias("qx"), q[1].alias("qy"))
+        return F.struct(*ends, F.least(p[0], q[0]).alias("west"), F.greatest(p[0], q[0]).alias("east"), F.least(p[1], q[1]).alias("south"), F.greatest(p[1], q[1]).alias("north"))
+
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), side)
 
 
 def _edges_meet(s: Column, t: Column) -> Column:
-    """Whether two edges, each struct(p, q), share a point: each one's ends lie on both sides of the other, and their boxes meet."""
-    sides = lambda a, b: F.signum(_cross(a["p"], a["q"], b["p"])) * F.signum(_cross(a["p"], a["q"], b["q"])) <= 0
-    over = lambda k: (F.least(s["p"][k], s["q"][k]) <= F.greatest(t["p"][k], t["q"][k])) & (F.greatest(s["p"][k], s["q"][k]) >= F.least(t["p"][k], t["q"][k]))
-    return sides(s, t) & sides(t, s) & over(0) & over(1)
+    """Whether two edges share a point: their boxes meet, and each one's ends lie on both sides of the other."""
+    side = lambda a, b, end: F.signum((a["qx"] - a["px"]) * (b[f"{end}y"] - a["py"]) - (a["qy"] - a["py"]) * (b[f"{end}x"] - a["px"]))
+    parted = lambda a, b: side(a, b, "p") * side(a, b, "q") <= 0
+    # boxes first: they cost less and part most edges
+    over = (s["west"] <= t["east"]) & (s["east"] >= t["west"]) & (s["south"] <= t["north"]) & (s["north"] >= t["south"])
+    return over & parted(s, t) & parted(t, s)
 
 
-def rings_meet(a: Column, b: Column) -> Column:
-    """Whether the areas of two closed rings touch or overlap (planar); false for rings of fewer than four points."""
+def _starts_inside(a: Column, b: Column) -> Column:
+    """inside() for the first point of the ring with edges a and the ring with edges b."""
+    x, y = F.get(a, F.lit(0))["px"], F.get(a, F.lit(0))["py"]
+    crossing = lambda s: ((s["py"] > y) != (s["qy"] > y)) & (x < s["px"] + F.try_divide((s["qx"] - s["px"]) * (y - s["py"]), s["qy"] - s["py"]))
+    return F.size(F.filter(b, lambda s: F.coalesce(crossing(s), F.lit(False)))) % 2 == 1
 
-    def edges(ring: Column) -> Column:
-        n = F.greatest(F.size(ring) - 1, F.lit(0))
-        return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
-    crossing = F.exists(edges(a), lambda s: F.exists(edges(b), lambda t: _edges_meet(s, t)))
-    within = inside(b, a[0][0], a[0][1]) | inside(a, b[0][0], b[0][1])
-    return F.coalesce((F.size(a) > 3) & (F.size(b) > 3) & (crossing | within), F.lit(False))
+def outlines_meet(a: Column, b: Column) -> Column:
+    """rings_meet() for the edges() of both rings; joins make these once for each ring, not for each pair."""
+    return F.exists(a, lambda s: F.exists(b, lambda t: _edges_meet(s, t))) | _starts_inside(a, b) | _starts_inside(b, a)
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether the areas of two closed rings touch or overlap (planar); false for rings of fewer than four points."""
+    return F.coalesce((F.size(a) > 3) & (F.size(b) > 3) & outlines_meet(edges(a), edges(b)), F.lit(False))
 
 
 def box_ring(west: float, south: float, east: float, north: float) -> Column:
