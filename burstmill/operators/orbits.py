orbit_states: intervals go to the join as plain columns of vectors, and know which is the last

Symptom: orbit_states wrote and read 47 MB of shuffle for 13.5 MB of orders and lineitem.
Evidence: Spark's event log on sf0.1, MB written by stage: 9.1 only to find each orbit's last interval by a window over finished cubics, 9.7 to send the cubics (a struct of three arrays) to their lines, 5.6 for the window that makes them, 8.7 for the lines; 10.4 is the join of lineitem with orders, which stays.
Fix: the window that puts vectors beside each other also tells the last interval; it works on plain columns; intervals carry their four vectors as they are, which repeat from row to row and compress, and divided differences are made after the join; the bucket of a line is a join key, no column.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1890 -> 624 s, shuffle 2.92 -> 1.97 GB, spill 0.00 -> 0.00 GB, read 0.75 -> 0.66 GB, longest task 82 -> 14 s, most memory of a task 336 -> 336 MB; at 6 GB of input CPU 10305 -> 2435 s, shuffle 17.84 -> 12.13 GB, spill 0.00 -> 0.00 GB, read 4.66 -> 4.15 GB, longest task 48 -> 24 s, most memory of a task 369 -> 369 MB.

@@ -31,23 +31,25 @@ HALVINGS = 40
 
 
 def spans(vectors: DataFrame, by: tuple[str, ...] = ("orbit",), time: str = "t") -> DataFrame:
-    """(by, begin, until, curve): the intervals between vectors (by, t, x, y, z), each with the cubic through the POINTS vectors
-    around it: t0, the first one's time; s1 and s2, those of the next two from t0 on; Newton's coefficients for each axis."""
-    once = vectors.filter(F.col(time).isNotNull()).groupBy(*by, F.col(time).cast("double").alias("t")).agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in AXES))).alias("p"))
-    line = Window.partitionBy(*by).orderBy("t")
-    knot = F.struct("t", *(F.col(f"p.{c}").alias(c) for c in AXES))
-    beside = once.select(*by, F.lag(knot).over(line).alias("_0"), knot.alias("_1"), F.lead(knot).over(line).alias("_2"), F.lead(knot, 2).over(line).alias("_3"))
-    beside = beside.filter(" AND ".join(f"_{k} IS NOT NULL" for k in range(POINTS)))
-    f = lambda k, c: F.col(f"_{k}.{c}")
-    table = {}
-    for c in AXES:
-        table |= {f"_{c}{k}{k + 1}": (f(k + 1, c) - f(k, c)) / (f(k + 1, "t") - f(k, "t")) for k in range(3)}
-    beside = beside.withColumns(table)
-    beside = beside.withColumns({f"_{c}{k}{k + 2}": (F.col(f"_{c}{k + 1}{k + 2}") - F.col(f"_{c}{k}{k + 1}")) / (f(k + 2, "t") - f(k, "t")) for c in AXES for k in range(2)})
-    beside = beside.withColumns({f"_{c}03": (F.col(f"_{c}13") - F.col(f"_{c}02")) / (f(3, "t") - f(0, "t")) for c in AXES})
-    curves = [F.array(f(0, c), *(F.col(f"_{c}0{k}") for k in (1, 2, 3))).alias(c) for c in AXES]
-    curve = F.struct(f(0, "t").alias("t0"), (f(1, "t") - f(0, "t")).alias("s1"), (f(2, "t") - f(0, "t")).alias("s2"), *curves)
-    return beside.select(*by, f(1, "t").alias("begin"), f(2, "t").alias("until"), curve.alias("curve"))
+    """(by, t0 to t3, x0 to x3, y0 to y3, z0 to z3, last): the POINTS vectors around each interval from t1 to t2 between vectors
+    (by, t, x, y, z); last: it is their last one. Intervals that follow each other repeat three vectors, which a shuffle's
+    compression finds and which their divided differences would hide; those are made by with_curve, after the shuffle."""
+    once = vectors.filter(F.col(time).isNotNull()).groupBy(*by, F.col(time).cast("double").alias("_t")).agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in AXES))).alias("_p"))
+    line = Window.partitionBy(*by).orderBy("_t")
+    knots = once.select(*by, "_t", *(F.col(f"_p.{c}").alias(f"_{c}") for c in AXES))
+    beside = knots.select(*by, *(F.lead(f"_{c}", k - 1).over(line).alias(f"{c}{k}") for c in ("t", *AXES) for k in range(POINTS)), F.lead("_t", POINTS - 1).over(line).isNull().alias("last"))
+    return beside.filter(" AND ".join(f"t{k} IS NOT NULL" for k in range(POINTS)))
+
+
+def with_curve(found: DataFrame, of: str = "") -> tuple[DataFrame, Column]:
+    """found, which has the columns of spans() (under the alias `of`), with their divided differences; and the cubic as a struct:
+    t0, the first vector's time; s1 and s2, those of the next two from t0 on; Newton's coefficients for each axis."""
+    f = lambda k, c: F.col(f"{of}{c}{k}")
+    for n in range(1, POINTS):
+        over = lambda c, i, j: F.col(f"_{c}{i}{j}") if i < j else f(i, c)
+        found = found.withColumns({f"_{c}{k}{k + n}": (over(c, k + 1, k + n) - over(c, k, k + n - 1)) / (f(k + n, "t") - f(k, "t")) for c in AXES for k in range(POINTS - n)})
+    axes = (F.array(f(0, c), *(F.col(f"_{c}0{k}") for k in range(1, POINTS))).alias(c) for c in AXES)
+    return found, F.struct(f(0, "t").alias("t0"), (f(1, "t") - f(0, "t")).alias("s1"), (f(2, "t") - f(0, "t")).alias("s2"), *axes)
 
 
 def state(curve: Column, t: Column) -> tuple[Column, Column]:
@@ -61,19 +63,16 @@ def state(curve: Column, t: Column) -> tuple[Column, Column]:
 def with_state(lines: DataFrame, vectors: DataFrame, time: str, by: tuple[str, ...] = ("orbit",)) -> DataFrame:
     """lines and the structs position and velocity at their time, null outside the vectors' reach."""
     found = materialize(spans(vectors, by), "spans")
-    wide = found.agg(F.max(F.col("until") - F.col("begin"))).first()[0] or 1.0
+    wide = found.agg(F.max(F.col("t2") - F.col("t1"))).first()[0] or 1.0
     bucket = lambda c: F.floor(c / F.lit(wide)).cast("long")
     # an interval is no wider than a bucket, so it lies in one or two of them
-    dealt = found.select(*by, "begin", "until", "curve", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("until")))).alias("_bucket"))
-    keyed = lines.withColumn("_t", F.col(time).cast("double")).withColumn("_bucket", bucket(F.col("_t")))
-    last = F.col("until") == F.max("until").over(Window.partitionBy(*by))
-    ends = dealt.withColumn("_last", last)
-    a, b = keyed.alias("a"), ends.alias("b")
-    within = (F.col("a._t") >= F.col("b.begin")) & ((F.col("a._t") < F.col("b.until")) | (F.col("b._last") & (F.col("a._t") == F.col("b.until"))))
-    on = reduce(lambda p, q: p & q, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "_bucket")]) & within
-    met = a.join(b, on, "left")
-    position, velocity = state(F.col("b.curve"), F.col("a._t"))
-    there = F.col("b.curve").isNotNull()
+    dealt = found.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("t1")), bucket(F.col("t2")))))
+    a, b = lines.withColumn("_t", F.col(time).cast("double")).alias("a"), dealt.alias("b")
+    within = (F.col("a._t") >= F.col("b.t1")) & ((F.col("a._t") < F.col("b.t2")) | (F.col("b.last") & (F.col("a._t") == F.col("b.t2"))))
+    on = reduce(lambda p, q: p & q, [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), bucket(F.col("a._t")) == F.col("b._bucket")]) & within
+    met, curve = with_curve(a.join(b, on, "left"), "b.")
+    position, velocity = state(curve, F.col("a._t"))
+    there = F.col("b.t1").isNotNull()
     return met.select(*(F.col(f"a.{c}") for c in lines.columns), F.when(there, position).alias("position"), F.when(there, velocity).alias("velocity"))
 
 
@@ -130,7 +129,8 @@ def radar_places(points: DataFrame, vectors: DataFrame, image: dict[str, float],
     find it. image: start and interval of lines, near (range time of sample 0) and spacing (of samples, in seconds).
     Points that no interval holds are dropped; one that several orbits' intervals hold comes once for each.
     """
-    found = spans(vectors, by)
+    found, curve = with_curve(spans(vectors, by))
+    found = found.select(*by, F.col("t1").alias("begin"), F.col("t2").alias("until"), curve.alias("curve"))
     lag = lambda t: (lambda p, v: dot(minus(F.col(place), p), v))(*state(F.col("curve"), t))
     met = points.join(found, list(by)).withColumns({"_lo": F.col("begin"), "_hi": F.col("until")})
     met = met.filter((lag(F.col("begin")) >= 0) & (lag(F.col("until")) < 0))

@@ -37,6 +37,27 @@ def test_cubic_tracks_are_exact(spark):
     assert found[1]["velocity"]["x"] == pytest.approx(2 - 0.2 * 2.2 + 0.009 * 2.2**2)
 
 
+def test_states_shuffle_lines_and_intervals_once(spark):
+    lines = spark.createDataFrame([(1, 5, 605.0)], "orbit long, line long, t double")
+    plan = orbits.with_state(lines, vectors(spark), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1  # what is known of an orbit's last interval comes with it
+    between = orbits.spans(vectors(spark)).orderBy("t1").collect()
+    assert [r["last"] for r in between] == [False] * 26 + [True]
+    assert all((r["t0"], r["t1"], r["t2"], r["x1"]) == (s["t1"], s["t2"], s["t3"], s["x2"]) for r, s in zip(between[1:], between))  # repeated as they are, for the compression
+
+
+def test_states_of_odd_rows(spark):
+    f = lambda t: (1.0 + t**3, 2.0 * t, None)
+    v = [(o, float(t), *f(t)) for o in (1, None) for t in (-3, 0, 1, 1, 5, 6)] + [(1, None, 1.0, 1.0, 1.0), (1, 5.0, 900.0, 900.0, 900.0), (2, 0.0, *f(0)), (2, 1.0, *f(1)), (2, 2.0, *f(2))]
+    lines = [(1, t) for t in (-1.0, -0.0, 0.5, 1.0, 4.9, 5.0, 5.0, 5.5, None, float("nan"))] + [(2, 1.0), (None, 1.0), (None, None)]
+    found = orbits.with_state(spark.createDataFrame(lines, "orbit long, t double"), spark.createDataFrame(v, "orbit long, t double, x double, y double, z double"), "t").collect()
+    assert len(found) == len(lines)
+    held = [r for r in found if r["position"] is not None]
+    assert sorted(r["t"] for r in held) == [0.0, 0.5, 1.0, 4.9, 5.0, 5.0] and {r["orbit"] for r in held} == {1}
+    assert all(r["position"]["x"] == pytest.approx(f(r["t"])[0]) and r["velocity"]["y"] == pytest.approx(2.0) for r in held)
+    assert all(r["position"]["z"] is None and r["velocity"]["z"] is None for r in held) and all(r["velocity"] is None for r in found if r["position"] is None)
+
+
 def test_baselines(spark):
     v = vectors(spark, {1: 0.0, 2: 120.0, 3: -75.0})
     p, vel = truth(700.0)
