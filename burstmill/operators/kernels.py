@@ -86,14 +86,15 @@ def invert_network(pairs: DataFrame, key: list[str], value: str = "phase", weigh
     """
     ship_package(pairs.sparkSession)
     day = lambda c: F.datediff(c, F.lit("1970-01-01"))
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    table = pairs.select(*key, day("prm_date").alias("_a"), day("sec_date").alias("_b"), F.col(value).cast("double").alias("_v"), w.alias("_w"))
+    w = [F.col(weight).cast("double").alias("_w")] if weight else []
+    table = pairs.select(*key, day("prm_date").alias("_a"), day("sec_date").alias("_b"), F.col(value).cast("double").alias("_v"), *w)
     schema = StructType([*pairs.select(*key).schema.fields, StructField("date", DateType()), StructField("displacement", DoubleType())])
     k = len(key)
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         at = _groups(rows, k)
-        a, b, v, w = (rows.column(k + j).to_numpy() for j in range(4))
+        a, b, v = (rows.column(k + j).to_numpy() for j in range(3))
+        w = rows.column(k + 3).to_numpy() if weight else np.ones(len(v))
         alike: dict[bytes, list[int]] = {}
         for g in range(len(at) - 1):
             s = slice(at[g], at[g + 1])

@@ -47,6 +47,32 @@ def test_small_baselines_by_brute_force(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def _two_views(spark, rows):
+    s = spark.createDataFrame(rows, "y long, t date, v double").groupBy("y", "t").agg(F.sum("v").alias("v"))
+    return s.select("y", F.col("t").alias("prm_date"), F.col("v").alias("v1")), s.select("y", F.col("t").alias("sec_date"), F.col("v").alias("v2"))
+
+
+def test_near_days_shuffle_a_table_once_for_both_sides(spark):
+    near = pairs.within_days(*_two_views(spark, [(1, D(2024, 1, 1), 1.0), (1, D(2024, 2, 1), 2.0)]), "prm_date", "sec_date", 1, 40, ("y",))
+    assert near.columns == ["y", "prm_date", "v1", "sec_date", "v2"] and near.count() == 1
+    near.collect()
+    assert "ReusedExchange" in near._jdf.queryExecution().executedPlan().toString()
+    inverted = kernels.invert_network(near.select("y", "prm_date", "sec_date", "v1"), ["y"], "v1")
+    assert "_w" not in inverted._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [1, -40, 0])
+def test_near_days_of_odd_rows(spark, least):
+    rng = np.random.default_rng(4)
+    rows = [(y, D(1969, 10, 1) + dt.timedelta(int(rng.integers(200))) if rng.random() < 0.9 else None, float(k)) for k, y in enumerate([1, 2, None] * 30)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "Y long, t date, v double")
+    a, b = df.select("Y", F.col("t").alias("prm_date"), F.col("v").alias("bin")), df.select("Y", F.col("t").alias("sec_date"), F.col("v").alias("v2"))
+    found = pairs.within_days(a, b, "prm_date", "sec_date", least, 40, ("y",))
+    truth = [(p[0], p[2], q[2]) for p in rows for q in rows if p[0] is not None and p[0] == q[0] and p[1] and q[1] and least <= (q[1] - p[1]).days <= 40]
+    assert sorted((r["Y"], r["bin"], r["v2"]) for r in found.collect()) == sorted(truth)
+
+
 def test_reference_pairs(spark):
     a = spark.createDataFrame([(1, D(2024, 1, 1), 0.0), (1, D(2024, 1, 13), 50.0), (1, D(2024, 6, 1), 400.0)], "b int, date date, perp double")
     (best,) = pairs.optimal_reference(a, ("b",), 500, 365).collect()
