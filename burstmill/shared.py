@@ -51,8 +51,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; beyond that the planner joins by shuffles."""
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, least: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows; beyond that the planner joins by shuffles.
+
+    least: a table with no more rows than df, which costs less to count; if it is beyond the limit, df isn't made to be counted.
+    """
+    if least is not None and least.select(F.lit(1)).offset(limit).take(1):  # reads no more partitions than that takes
+        return df
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

@@ -1,5 +1,8 @@
+import re
+
 import numpy as np
 import pytest
+from burstmill import shared
 from burstmill.operators import cube, resampling
 from pyspark.sql import functions as F
 
@@ -83,6 +86,45 @@ def test_elevation(spark, kernel):
         assert p["elevation"] == (None if truth is None else pytest.approx(truth, abs=1e-6))
 
 
+@pytest.mark.parametrize("kernel", ["bilinear", "bicubic"])
+def test_elevation_is_compiled(spark, kernel):
+    dem = spark.range(400).selectExpr("id % 20 AS col", "id div 20 AS row", "cast(id AS double) AS height")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its code only when it has run
+    try:
+        found = cube.with_elevation(spark.range(50).selectExpr("id", "id * 0.3 AS lon", "id * 0.2 AS lat"), dem, "lon", "lat", 1.0, kernel)
+        plan = found._jdf.queryExecution()
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "lambda" not in plan.optimizedPlan().toString()
+    assert sizes and max(map(int, sizes)) < 8000  # the JVM interprets longer ones
+
+
+def test_large_grid_is_not_gathered_to_be_counted(spark):
+    costly = spark.range(10).select(F.raise_error(F.lit("it was counted")).alias("x"))
+    assert shared.maybe_broadcast(costly.filter("x IS NULL"), 5, least=spark.range(6)) is not None
+    few = shared.maybe_broadcast(spark.range(5), 5, least=spark.range(5))
+    assert "broadcast" in few._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in shared.maybe_broadcast(spark.range(6), 5, least=spark.range(2))._jdf.queryExecution().analyzed().toString().lower()
+
+
+@pytest.mark.parametrize("kernel", ["bilinear", "bicubic"])
+def test_elevation_of_odd_rows(spark, kernel):
+    heights = {(b, a): float(10 * b + a * a) for b in range(1, 9) for a in range(1, 9) if (b, a) not in ((5, 5), (2, 7))}
+    rows = [(a, b, v) for (b, a), v in heights.items()]
+    rows += [(a, b, v - 1) for a, b, v in rows[::5]] + [(a, b, None) for a, b, _ in rows[::7]] + [(5, 5, float("nan")), (7, 2, None), (None, 3, 1.0), (3, None, 1.0)]
+    dem = spark.createDataFrame(rows, "col long, row long, height double")
+    below = 1 - 2**-52  # as good as the next node, so the cell's own node may be missing
+    at = [(float(x), float(y)) for x in (0.5, below, 1.0, 2.25, 4.5, 5.0, 5.5, 7.75, 8.0, 8.5) for y in (below, 1.0, 3.5, 5.0, 6.25, 8.0)] * 2
+    at += [(None, 2.0), (2.0, None), (float("nan"), 2.0), (float("inf"), 2.0), (2.0, float("-inf"))]
+    found = cube.with_elevation(spark.createDataFrame(at, "lon double, lat double"), dem, "lon", "lat", 1.0, kernel).collect()
+    assert len(found) == len(at) and sum(p["elevation"] is not None for p in found) > 60
+    for p in found:
+        odd = any(c is None or not np.isfinite(c) for c in (p["lon"], p["lat"]))
+        truth = None if odd else slow(heights, p["lat"], p["lon"], kernel)
+        assert p["elevation"] == (None if truth is None else pytest.approx(truth, abs=1e-6))
+
+
 def test_empty(spark):
     none = image(spark, 1, 1).limit(0)
     places = spark.createDataFrame([("a", 0.0, 0.0)], "image string, at_y double, at_x double")
