@@ -79,16 +79,15 @@ def baselines(acquisitions: DataFrame, by: tuple[str, ...] = (), date: str = "da
 def within_days(a: DataFrame, b: DataFrame, first: str, second: str, least: int, most: int, by: tuple[str, ...] = ()) -> DataFrame:
     """a and b joined on `by` where the day `second` of b is least to most days after the day `first` of a.
 
-    Days are cut into bins as wide as the larger bound; rows of a go to two bins (three, if least is negative). The bin of
-    a row of b is a join key and no column: it isn't shuffled, and what a and b are read from is filtered alike, so that two
-    views of one table share its shuffle.
+    Days are cut into bins as wide as the larger bound; rows of a go to two bins (three, if least is negative). Bins are join
+    keys and no columns: they aren't shuffled, and what a and b are read from is filtered alike, so that two views of one
+    table share its shuffle.
     """
     width = max(abs(least), abs(most), 1)
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / width)
-    bin_ = fresh(a.join(b, F.lit(False)), "bin")
-    steps = F.array(*(F.lit(k) for k in range(-1 if least < 0 else 0, 2 if most > 0 else 1)))
-    dealt = a.withColumn(bin_, F.explode(F.transform(steps, lambda k: number(first) + k)))
-    on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), F.col(f"a.{bin_}") == number(F.col(f"b.{second}"))]
+    step = fresh(a.join(b, F.lit(False)), "step")
+    dealt = a.withColumn(step, F.explode(F.array(*(F.lit(k) for k in range(-1 if least < 0 else 0, 2 if most > 0 else 1)))))
+    on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), number(F.col(f"a.{first}")) + F.col(f"a.{step}") == number(F.col(f"b.{second}"))]
     near = dealt.alias("a").join(b.alias("b"), reduce(and_, on)).filter(F.datediff(F.col(f"b.{second}"), F.col(f"a.{first}")).between(least, most))
     keys, named = {c.lower() for c in by}, {c.lower(): c for c in a.columns}
     return near.select(*(F.col(f"a.{named[c.lower()]}") for c in by), *(F.col(f"{x}.{c}") for x, df in (("a", a), ("b", b)) for c in df.columns if c.lower() not in keys))
